@@ -1,0 +1 @@
+"""No streaming operators: every analysis in scope is a batch query over finished tables."""
