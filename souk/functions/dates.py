@@ -23,6 +23,11 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _ts(x: ColumnOrName) -> Column:
+    """As TIMESTAMP; wall-clock (NTZ) inputs are read in the session zone (UTC)."""
+    return _c(x).cast("timestamp")
+
+
 def days_between(start: ColumnOrName, end: ColumnOrName) -> Column:
     """``DATEDIFF(day, start, end)``: midnights crossed (both sides cast to date)."""
     return F.datediff(F.to_date(_c(end)), F.to_date(_c(start)))
@@ -43,13 +48,13 @@ def weeks_between_boundaries(start: ColumnOrName, end: ColumnOrName) -> Column:
 
 def hours_between_boundaries(start: ColumnOrName, end: ColumnOrName) -> Column:
     """``DATEDIFF(hour, start, end)``: hour boundaries crossed (10:59 -> 11:01 is 1)."""
-    return ((F.unix_seconds(F.date_trunc("hour", _c(end)))
-             - F.unix_seconds(F.date_trunc("hour", _c(start)))) / 3600).cast("long")
+    return ((F.unix_seconds(F.date_trunc("hour", _ts(end)))
+             - F.unix_seconds(F.date_trunc("hour", _ts(start)))) / 3600).cast("long")
 
 
 def seconds_between(start: ColumnOrName, end: ColumnOrName) -> Column:
     """``DATEDIFF(second, start, end)`` as a bigint (no overflow on long spans)."""
-    return F.unix_seconds(_c(end)) - F.unix_seconds(_c(start))
+    return F.unix_seconds(_ts(end)) - F.unix_seconds(_ts(start))
 
 
 def weekday_monday_first(d: ColumnOrName) -> Column:

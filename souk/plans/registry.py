@@ -11,9 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from souk.operators import delivery as dlv
 from souk.operators import payments as pay
 from souk.operators import sales
+from souk.operators import sellers as sel
 from souk.sources import fixtures as fx
 from souk.sources.calendar import calendar
 
@@ -53,8 +56,42 @@ def _sales_queries() -> dict[str, Query]:
     }
 
 
+def _delivery_queries() -> dict[str, Query]:
+    return {
+        "on_time_by_state": lambda s, d: (lambda m: dlv.on_time_by_state(m.orders, m.customers))(_m(s, d)),
+        "freight_vs_speed": lambda s, d: (
+            lambda m: dlv.freight_vs_speed(m.orders, m.customers, m.order_items))(_m(s, d)),
+        "delivery_stages": lambda s, d: dlv.delivery_stages(_m(s, d).orders),
+        "local_vs_longhaul": lambda s, d: (
+            lambda m: dlv.local_vs_longhaul(m.orders, m.customers, m.order_items, m.sellers))(_m(s, d)),
+        "freight_ratio": lambda s, d: (lambda m: dlv.freight_ratio(m.order_items, m.products))(_m(s, d)),
+    }
+
+
+def _churn_items(m: fx.Marketplace) -> DataFrame:
+    """FIXTURES.md override for BQ18: every supplier sells every year, so items of
+    sellers with seller_id % 7 = 0 are dropped from 1998 to create churn."""
+    o = m.orders.select("order_id", F.year("order_purchase_timestamp").alias("__y"))
+    return (m.order_items.join(o, "order_id")
+            .where(~((F.col("seller_id") % 7 == 0) & (F.col("__y") == 1998))).drop("__y"))
+
+
+def _seller_queries() -> dict[str, Query]:
+    return {
+        "slow_dispatch_sellers": lambda s, d: (
+            lambda m: sel.slow_dispatch_sellers(m.orders, m.order_items))(_m(s, d)),
+        "category_concentration": lambda s, d: (
+            lambda m: sel.category_concentration(m.order_items, m.products, m.payments, m.orders))(_m(s, d)),
+        "seller_pareto": lambda s, d: (lambda m: sel.seller_pareto(m.order_items, m.payments, m.orders))(_m(s, d)),
+        "seller_churn": lambda s, d: (
+            lambda m: sel.seller_churn(m.orders, _churn_items(m), base_year=1997, next_year=1998))(_m(s, d)),
+        "bad_review_sellers": lambda s, d: (
+            lambda m: sel.bad_review_sellers(m.order_items, m.orders, m.reviews))(_m(s, d)),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for part in (_sales_queries, _payments_queries):
+    for part in (_sales_queries, _delivery_queries, _seller_queries, _payments_queries):
         out.update(part())
     return out

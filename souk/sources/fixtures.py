@@ -14,7 +14,7 @@ All derivations are row-local projections or joins on keys, except
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -175,30 +175,48 @@ def geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@dataclass
 class Marketplace:
-    """The star schema the analyses read, as lazy DataFrames."""
+    """The star schema the analyses read; each view is built on first access."""
 
-    orders: DataFrame
-    customers: DataFrame
-    order_items: DataFrame
-    payments: DataFrame
-    products: DataFrame
-    translation: DataFrame
-    sellers: DataFrame
-    reviews: DataFrame
-    geolocation: DataFrame
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return orders(self.spark, self.sf_dir)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return customers(self.spark, self.sf_dir)
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return order_items(self.spark, self.sf_dir)
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return payments(self.spark, self.sf_dir)
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return products(self.spark, self.sf_dir)
+
+    @cached_property
+    def translation(self) -> DataFrame:
+        return category_translation(self.spark, self.sf_dir)
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        return sellers(self.spark, self.sf_dir)
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        return order_reviews(self.spark, self.sf_dir)
+
+    @cached_property
+    def geolocation(self) -> DataFrame:
+        return geolocation(self.spark, self.sf_dir)
 
 
 def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
-    return Marketplace(
-        orders=orders(spark, sf_dir),
-        customers=customers(spark, sf_dir),
-        order_items=order_items(spark, sf_dir),
-        payments=payments(spark, sf_dir),
-        products=products(spark, sf_dir),
-        translation=category_translation(spark, sf_dir),
-        sellers=sellers(spark, sf_dir),
-        reviews=order_reviews(spark, sf_dir),
-        geolocation=geolocation(spark, sf_dir),
-    )
+    return Marketplace(spark, sf_dir)
