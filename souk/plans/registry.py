@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from souk.operators import delivery as dlv
 from souk.operators import payments as pay
+from souk.operators import reviews as rev
 from souk.operators import sales
 from souk.operators import sellers as sel
+from souk.operators import timeseries as ts
 from souk.sources import fixtures as fx
 from souk.sources.calendar import calendar
+from souk.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,8 +93,43 @@ def _seller_queries() -> dict[str, Query]:
     }
 
 
+def _review_queries() -> dict[str, Query]:
+    return {
+        "delay_vs_score": lambda s, d: (lambda m: rev.delay_vs_score(m.orders, m.reviews))(_m(s, d)),
+        "delay_sentiment": lambda s, d: (lambda m: rev.delay_sentiment(m.orders, m.reviews))(_m(s, d)),
+        "speed_quality_matrix": lambda s, d: (
+            lambda m: rev.speed_quality_matrix(m.orders, m.order_items, m.products, m.reviews))(_m(s, d)),
+        "category_archetypes": lambda s, d: (
+            lambda m: rev.category_archetypes(m.orders, m.order_items, m.products, m.reviews))(_m(s, d)),
+        "comment_effect": lambda s, d: rev.comment_effect(_m(s, d).reviews),
+        "comment_feedback": lambda s, d: rev.comment_feedback(_m(s, d).reviews),
+        "review_distribution": lambda s, d: (
+            lambda m: rev.review_distribution(m.reviews, m.order_items, m.products, m.translation))(_m(s, d)),
+        "review_polarization": lambda s, d: (lambda m: rev.review_polarization(m.reviews, m.order_items))(_m(s, d)),
+        "one_star_sellers": lambda s, d: (lambda m: rev.one_star_sellers(m.reviews, m.order_items))(_m(s, d)),
+        "response_time_effect": lambda s, d: rev.response_time_effect(_m(s, d).reviews),
+    }
+
+
+def _timeseries_queries() -> dict[str, Query]:
+    def mop(fn):
+        return lambda s, d: (lambda m: fn(m.orders, m.payments, _cal(s)))(_m(s, d))
+
+    return {
+        "growth_tiers": mop(ts.growth_tiers),
+        "seasonality_index": mop(ts.seasonality_index),
+        "cumulative_revenue": mop(ts.cumulative_revenue),
+        "seasonality_report": mop(ts.seasonality_report),
+        "cumulative_report": mop(ts.cumulative_report),
+        "order_heatmap": lambda s, d: ts.order_heatmap(_m(s, d).orders),
+        # order minutes are synthetic in the fixture; events carry real times of day (FIXTURES.md)
+        "event_heatmap": lambda s, d: ts.activity_heatmap(read_table(s, d, "events"), "ts", "event_id"),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for part in (_sales_queries, _delivery_queries, _seller_queries, _payments_queries):
+    for part in (_sales_queries, _delivery_queries, _seller_queries, _payments_queries,
+                 _review_queries, _timeseries_queries):
         out.update(part())
     return out
