@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from souk.operators import delivery as dlv
 from souk.operators import payments as pay
+from souk.operators import retention as ret
 from souk.operators import reviews as rev
 from souk.operators import sales
 from souk.operators import sellers as sel
@@ -127,9 +128,20 @@ def _timeseries_queries() -> dict[str, Query]:
     }
 
 
+def _retention_queries() -> dict[str, Query]:
+    return {
+        "rfm_segments": lambda s, d: (lambda m: ret.rfm_segments(m.orders, m.customers, m.payments))(_m(s, d)),
+        "cohort_retention": lambda s, d: (lambda m: ret.cohort_retention(m.orders, m.customers))(_m(s, d)),
+        "customer_pareto": lambda s, d: (lambda m: ret.customer_pareto(m.orders, m.customers, m.payments))(_m(s, d)),
+        "purchase_latency": lambda s, d: (lambda m: ret.purchase_latency(
+            m.orders, m.customers, m.order_items, m.products, m.translation))(_m(s, d)),
+        "churn_risk_count": lambda s, d: (lambda m: ret.churn_risk_count(m.orders, m.customers))(_m(s, d)),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for part in (_sales_queries, _delivery_queries, _seller_queries, _payments_queries,
+    for part in (_retention_queries, _sales_queries, _delivery_queries, _seller_queries, _payments_queries,
                  _review_queries, _timeseries_queries):
         out.update(part())
     return out
