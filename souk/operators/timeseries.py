@@ -121,7 +121,12 @@ def order_heatmap(orders: DataFrame) -> DataFrame:
 
 
 def _union_report(seasonal: DataFrame, heat: DataFrame) -> DataFrame:
-    """Seasonal rows, one separator row, then weekday-hour rows in the same columns."""
+    """Seasonal rows, one separator row, then weekday-hour rows in the same columns.
+
+    ``year`` holds years, NULL and weekday numbers; it travels as DOUBLE because
+    the separator row makes it nullable.
+    """
+    seasonal = seasonal.withColumn("year", F.col("year").cast("double"))
     spark = seasonal.sparkSession
     names = seasonal.columns
     types = {f.name: f.dataType.simpleString() for f in seasonal.schema.fields}

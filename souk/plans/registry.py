@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from souk.operators import delivery as dlv
+from souk.operators import mart
 from souk.operators import payments as pay
 from souk.operators import retention as ret
 from souk.operators import reviews as rev
@@ -139,9 +140,19 @@ def _retention_queries() -> dict[str, Query]:
     }
 
 
+AS_OF_DATE = "2002-01-01"  # fixed "today" for the mart (the reference uses GETDATE())
+
+
+def _mart_queries() -> dict[str, Query]:
+    return {
+        "customer_360": lambda s, d: (lambda m: mart.customer_360(
+            m.customers, m.geolocation, m.orders, m.order_items, m.payments, m.reviews, AS_OF_DATE))(_m(s, d)),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for part in (_retention_queries, _sales_queries, _delivery_queries, _seller_queries, _payments_queries,
-                 _review_queries, _timeseries_queries):
+                 _review_queries, _timeseries_queries, _mart_queries):
         out.update(part())
     return out
