@@ -8,6 +8,7 @@ of the distributed ranking operators.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from souk.operators import sales
 from souk.operators import sellers as sel
 from souk.operators import timeseries as ts
 from souk.sources import fixtures as fx
-from souk.sources.calendar import calendar
+from souk.session import ensure_checkpoint_dir
+from souk.sources import ingest
+from souk.sources.calendar import calendar, calendar_check, calendar_spanning
 from souk.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,6 +143,56 @@ def _retention_queries() -> dict[str, Query]:
     }
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """Folder under the shared checkpoint location (never a machine-local temp dir)."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-scratch/{name}"
+
+
+def _orders_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the marketplace orders as CSV (as the reference receives them), load them back as text."""
+    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    path = _scratch(spark, f"orders-csv-{tag}")
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    (_m(spark, sf_dir).orders.write.mode("overwrite").option("header", True)
+     .option("timestampFormat", fmt).option("timestampNTZFormat", fmt).csv(path))
+    return ingest.load_raw(spark, path, columns=list(ingest.TYPE_SPEC["orders"]))
+
+
+def _star(m: fx.Marketplace) -> dict[str, DataFrame]:
+    return {"customers": m.customers, "orders": m.orders, "order_items": m.order_items, "payments": m.payments,
+            "order_reviews": m.reviews, "products": m.products, "sellers": m.sellers}
+
+
+def _data_calendar(m: fx.Marketplace) -> DataFrame:
+    return calendar_spanning(m.orders, "order_purchase_timestamp", "order_estimated_delivery_date")
+
+
+def _ingest_queries() -> dict[str, Query]:
+    spec = ingest.TYPE_SPEC["orders"]
+    return {
+        "ingest_orders_csv": lambda s, d: ingest.render_timestamps(
+            ingest.normalise(_orders_csv(s, d), spec, min_valid_ts="1990-01-01")),
+        "ingest_cast_failures": lambda s, d: (lambda raw: ingest.cast_failures(
+            raw, ingest.normalise(raw, spec), spec, "orders"))(_orders_csv(s, d)),
+        "date_range_profile": lambda s, d: (lambda m: ingest.date_range_profile([
+            ("orders", m.orders, c) for c in (
+                "order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
+                "order_delivered_customer_date", "order_estimated_delivery_date")
+        ] + [("order_items", m.order_items, "shipping_limit_date"),
+             ("order_reviews", m.reviews, "review_creation_date"),
+             ("order_reviews", m.reviews, "review_answer_timestamp")]))(_m(s, d)),
+        "calendar_dimension": lambda s, d: _data_calendar(_m(s, d)).withColumn(
+            "full_date", F.date_format("full_date", "yyyy-MM-dd")),
+        "calendar_check": lambda s, d: calendar_check(_data_calendar(_m(s, d))).select(
+            F.date_format("min_date", "yyyy-MM-dd").alias("min_date"),
+            F.date_format("max_date", "yyyy-MM-dd").alias("max_date"), "day_count"),
+        "key_violations": lambda s, d: ingest.key_violations(_star(_m(s, d))),
+        "foreign_key_report": lambda s, d: ingest.foreign_key_report(_star(_m(s, d))),
+        "review_surrogate_keys": lambda s, d: ingest.render_timestamps(
+            ingest.add_surrogate_key(_m(s, d).reviews, ["review_id", "order_id"], "review_sk")),
+    }
+
+
 AS_OF_DATE = "2002-01-01"  # fixed "today" for the mart (the reference uses GETDATE())
 
 
@@ -153,6 +206,7 @@ def _mart_queries() -> dict[str, Query]:
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for part in (_retention_queries, _sales_queries, _delivery_queries, _seller_queries, _payments_queries,
-                 _review_queries, _timeseries_queries, _mart_queries):
+                 _review_queries, _timeseries_queries, _mart_queries,
+                 _ingest_queries):
         out.update(part())
     return out

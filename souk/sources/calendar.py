@@ -29,12 +29,29 @@ def calendar(spark: SparkSession, start: str | _dt.date, end: str | _dt.date) ->
     days = (e - s).days + 1
     if days <= 0 or days > MAX_CALENDAR_DAYS:
         raise ValueError(f"calendar range of {days} days is outside 1..{MAX_CALENDAR_DAYS}")
-    d = F.col("full_date")
     base = spark.range(1).select(
         F.explode(F.sequence(F.lit(s), F.lit(e), F.expr("interval 1 day"))).alias("full_date"))
-    return base.select(
+    return base.select(*_attributes(F.col("full_date")))
+
+
+def calendar_spanning(df: DataFrame, start_col: str, end_col: str) -> DataFrame:
+    """Calendar over whole years covering ``min(start_col)`` .. ``max(end_col)`` of ``df``.
+
+    The reference sized its calendar by looking at the fact tables' date range;
+    here that is one global min/max aggregate feeding ``sequence`` lazily.
+    """
+    bounds = df.agg(F.trunc(F.min(start_col), "year").alias("__s"),
+                    F.add_months(F.trunc(F.max(end_col), "year"), 12).alias("__e"))
+    days = bounds.select(F.explode(F.sequence(
+        F.col("__s").cast("date"), F.date_sub(F.col("__e").cast("date"), 1), F.expr("interval 1 day"))
+    ).alias("full_date"))
+    return days.select(*_attributes(F.col("full_date")))
+
+
+def _attributes(d):
+    return [
         D.datekey(d).alias("datekey"),
-        d,
+        d.alias("full_date"),
         F.year(d).alias("year"),
         F.when(F.month(d) <= 6, 1).otherwise(2).alias("semester"),
         F.quarter(d).alias("quarter"),
@@ -47,7 +64,7 @@ def calendar(spark: SparkSession, start: str | _dt.date, end: str | _dt.date) ->
         F.dayofmonth(d).alias("day_of_month"),
         F.dayofyear(d).alias("day_of_year"),
         D.weekday_monday_first(d).isin(6, 7).alias("is_weekend"),
-    )
+    ]
 
 
 def calendar_check(cal: DataFrame) -> DataFrame:
