@@ -11,8 +11,9 @@ Plan shape:
   per-person row number is needed;
 * the branches are left-joined on the person key; they all come out of a
   shuffle on that key, so the joins line up without re-shuffling the big side;
-* the assembled core is checkpointed (shared checkpoint folder) because the
-  three RFM rankings and the final projection all read it;
+* orders x customers (read by six branches) and the assembled core (read by
+  the three RFM rankings and the final projection) are checkpointed to the
+  shared checkpoint folder instead of being recomputed per branch;
 * RFM scores use the bucketed ``global_ntile`` (NULLs lowest, ties by person).
 
 Money sums are exact DECIMAL sums converted to DOUBLE once; averages are one
@@ -113,9 +114,10 @@ def _orders_agg(ob: DataFrame) -> DataFrame:
     )
 
 
-def _gaps(ob: DataFrame, buckets: int | None) -> DataFrame:
+def _gaps(ob: DataFrame, buckets: int | None, materialize: bool) -> DataFrame:
     lagged = grouped_lag(ob.select(KEY, "order_id", "purchase_date"), [KEY],
-                         [("purchase_date", True), ("order_id", True)], "purchase_date", "__prev", buckets)
+                         [("purchase_date", True), ("order_id", True)], "purchase_date", "__prev", buckets,
+                         materialize=materialize)
     gap = F.when(F.col("__prev").isNotNull(), F.datediff("purchase_date", "__prev"))
     return lagged.groupBy(KEY).agg(
         avg_double(gap).alias("avg_days_between_orders"),
@@ -215,13 +217,17 @@ def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame
         .join(customers.select("customer_id", KEY), "customer_id")
         .withColumn("purchase_date", F.to_date("order_purchase_timestamp"))
     )
+    if checkpoint:
+        # orders x customers feeds six branches that each prune it differently (no shuffle
+        # reuse possible); one write to the shared checkpoint folder replaces six joins
+        ob = materialize(ob)
     core = (
         _customers_geo(customers, geolocation)
         .join(_orders_agg(ob), KEY, "left")
         .join(_items_agg(order_items, ob), KEY, "left")
         .join(_payments_agg(payments, ob), KEY, "left")
         .join(_reviews_agg(reviews, ob), KEY, "left")
-        .join(_gaps(ob, buckets), KEY, "left")
+        .join(_gaps(ob, buckets, materialize=not checkpoint), KEY, "left")
     )
     first, last = F.col("__first"), F.col("__last")
     total_orders, delivered = F.col("total_orders"), F.col("delivered_orders")
@@ -265,9 +271,13 @@ def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame
     if checkpoint:
         core = materialize(core)
     key = (KEY, True)
-    r = global_ntile(core.select(KEY, "recency_days"), [("recency_days", True), key], 5, "__r", buckets)
-    f = global_ntile(core.select(KEY, "frequency_orders"), [("frequency_orders", True), key], 5, "__f", buckets)
-    m = global_ntile(core.select(KEY, "monetary_value"), [("monetary_value", True), key], 5, "__m", buckets)
+    again = not checkpoint  # a checkpointed core is cheap to re-read
+    r = global_ntile(core.select(KEY, "recency_days"), [("recency_days", True), key], 5, "__r", buckets,
+                     materialize=again)
+    f = global_ntile(core.select(KEY, "frequency_orders"), [("frequency_orders", True), key], 5, "__f", buckets,
+                     materialize=again)
+    m = global_ntile(core.select(KEY, "monetary_value"), [("monetary_value", True), key], 5, "__m", buckets,
+                     materialize=again)
     scored = (
         core.join(r.select(KEY, (6 - F.col("__r")).alias("rfm_recency_score")), KEY)
         .join(f.select(KEY, F.col("__f").alias("rfm_frequency_score")), KEY)

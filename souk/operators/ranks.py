@@ -21,6 +21,12 @@ task. The operators here keep the exact SQL semantics but spread the work:
 
 The sort key must be a total order (end it with a unique key), as in the
 reference's ranking windows once ties are broken deliberately.
+
+The input is read several times (sample, per-bucket summary, bucket windows).
+Those branches prune different columns, so Spark cannot reuse one shuffle for
+all of them; by default the input is therefore checkpointed once to the
+session's shared checkpoint folder (``materialize=True``). Callers that pass an
+already checkpointed frame set ``materialize=False``.
 """
 
 from __future__ import annotations
@@ -121,10 +127,19 @@ def _bucket_expr(keys: _Keys, cuts: list[tuple]) -> Column:
     return tree(0, len(cuts))
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    from souk.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def bucketize(df: DataFrame, order: OrderSpec, buckets: int | None = None,
-              oversample: int = DEFAULT_OVERSAMPLE) -> tuple[DataFrame, _Keys]:
+              oversample: int = DEFAULT_OVERSAMPLE, materialize: bool = True) -> tuple[DataFrame, _Keys]:
     """Add ``__bucket``: contiguous ranges of the total order ``order``."""
     keyed, keys = _with_keys(df, order)
+    if materialize:
+        keyed = _materialize(keyed)
     b = buckets or _default_buckets(df)
     cuts = _cut_tuples(keyed, keys, b, oversample)
     return keyed.withColumn("__bucket", _bucket_expr(keys, cuts).cast("int")), keys
@@ -142,12 +157,13 @@ def _bucket_offsets(bucketed: DataFrame) -> DataFrame:
 
 
 def global_row_number(df: DataFrame, order: OrderSpec, rn: str = "row_number", total: str = "__n",
-                      buckets: int | None = None, keep_bucket: bool = False) -> DataFrame:
+                      buckets: int | None = None, keep_bucket: bool = False,
+                      materialize: bool = True) -> DataFrame:
     """``row_number() over (order by ...)`` without a single-partition window.
 
     Adds ``rn`` (1-based) and ``total`` (row count of ``df``).
     """
-    bucketed, keys = bucketize(df, order, buckets)
+    bucketed, keys = bucketize(df, order, buckets, materialize=materialize)
     offsets = F.broadcast(_bucket_offsets(bucketed))
     local = F.row_number().over(Window.partitionBy("__bucket").orderBy(*keys.order_cols()))
     out = (
@@ -174,14 +190,14 @@ def ntile_of(rn: Column, n: Column, tiles: int) -> Column:
 
 
 def global_ntile(df: DataFrame, order: OrderSpec, tiles: int, out: str,
-                 buckets: int | None = None) -> DataFrame:
+                 buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """``ntile(tiles) over (order by ...)`` computed bucket-wise."""
-    numbered = global_row_number(df, order, rn="__grn", total="__gn", buckets=buckets)
+    numbered = global_row_number(df, order, rn="__grn", total="__gn", buckets=buckets, materialize=materialize)
     return numbered.withColumn(out, ntile_of(F.col("__grn"), F.col("__gn"), tiles)).drop("__grn", "__gn")
 
 
 def global_percent_rank(df: DataFrame, order: OrderSpec, peers: int, out: str,
-                        buckets: int | None = None) -> DataFrame:
+                        buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """``percent_rank() over (order by <first ``peers`` columns of order>)``.
 
     ``order`` must end with a unique key; only its first ``peers`` columns decide
@@ -191,6 +207,8 @@ def global_percent_rank(df: DataFrame, order: OrderSpec, peers: int, out: str,
     filtered aggregation over at most ``buckets`` values and subtracted.
     """
     keyed, keys = _with_keys(df, order)
+    if materialize:
+        keyed = _materialize(keyed)
     b = buckets or _default_buckets(df)
     cuts = _cut_tuples(keyed, keys, b, DEFAULT_OVERSAMPLE)
     bucketed = keyed.withColumn("__bucket", _bucket_expr(keys, cuts).cast("int"))
@@ -238,7 +256,7 @@ def global_percent_rank(df: DataFrame, order: OrderSpec, peers: int, out: str,
 
 
 def grouped_lag(df: DataFrame, partition: Sequence[str], order: OrderSpec, value: str, out: str,
-                buckets: int | None = None) -> DataFrame:
+                buckets: int | None = None, materialize: bool = True) -> DataFrame:
     """``lag(value) over (partition by ... order by ...)`` safe for a hot group.
 
     ``partition`` + ``order`` must be a total order. Rows are bucketed by the
@@ -248,7 +266,7 @@ def grouped_lag(df: DataFrame, partition: Sequence[str], order: OrderSpec, value
     non-empty bucket (a one-row-per-bucket frame, broadcast back).
     """
     full = [(p, True) for p in partition] + list(order)
-    bucketed, keys = bucketize(df, full, buckets)
+    bucketed, keys = bucketize(df, full, buckets, materialize=materialize)
     part_keys = keys.names[: len(partition)]
     # Ascending-normalised struct for max_by: descending numeric keys are negated.
     norm = []

@@ -62,11 +62,11 @@ def rfm_segments(orders: DataFrame, customers: DataFrame, payments: DataFrame,
     if checkpoint:
         base = materialize(base)
     key = ("customer_unique_id", True)
-    r = global_ntile(base, [("recency_days", False), key], 5, "r_score", buckets)
+    r = global_ntile(base, [("recency_days", False), key], 5, "r_score", buckets, materialize=not checkpoint)
     f = global_ntile(base.select("customer_unique_id", "frequency_count"),
-                     [("frequency_count", True), key], 5, "f_score", buckets)
+                     [("frequency_count", True), key], 5, "f_score", buckets, materialize=not checkpoint)
     m = global_ntile(base.select("customer_unique_id", "monetary_value"),
-                     [("monetary_value", True), key], 5, "m_score", buckets)
+                     [("monetary_value", True), key], 5, "m_score", buckets, materialize=not checkpoint)
     scored = (r.join(f.select("customer_unique_id", "f_score"), "customer_unique_id")
               .join(m.select("customer_unique_id", "m_score"), "customer_unique_id"))
     rs, fm = F.col("r_score"), F.expr("(f_score + m_score) div 2")
