@@ -54,7 +54,7 @@ def on_time_by_state(orders: DataFrame, customers: DataFrame, band: float = 2) -
         rnd(acc).alias("avg_accuracy_days"),
         rnd(nat).alias("national_benchmark"),
         label.alias("relative_performance"),
-    )
+    ).orderBy(F.desc("avg_accuracy_days"))
 
 
 def freight_vs_speed(orders: DataFrame, customers: DataFrame, order_items: DataFrame) -> DataFrame:
@@ -81,7 +81,7 @@ def freight_vs_speed(orders: DataFrame, customers: DataFrame, order_items: DataF
         .when((f <= nf) & (d > nd), L.LOGISTICS_CLASSES[2])
         .otherwise(L.LOGISTICS_CLASSES[3])
     )
-    return states.select(
+    return states.orderBy(F.desc("__f"), F.desc("__d")).select(
         "customer_state",
         rnd(f).alias("avg_freight"),
         rnd(d).alias("avg_delivery_days"),
@@ -182,4 +182,4 @@ def freight_ratio(order_items: DataFrame, products: DataFrame, high: float = 0.2
         rnd("__f").alias("avg_freight"),
         rnd(pct("__fr", "__rev")).alias("freight_ratio_pct"),
         label.alias("shipping_cost_impact"),
-    )
+    ).orderBy(F.desc("freight_ratio_pct"))

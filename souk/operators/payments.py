@@ -34,7 +34,7 @@ def payment_mix(payments: DataFrame) -> DataFrame:
         rnd(pct("total_revenue", grand)).alias("revenue_share_pct"),
         rnd("avg_value").alias("atv"),
         profile.alias("payment_profile"),
-    )
+    ).orderBy(F.desc("revenue_contribution"))
 
 
 def installment_stats(payments: DataFrame) -> DataFrame:
@@ -46,6 +46,7 @@ def installment_stats(payments: DataFrame) -> DataFrame:
         payments.where((F.col("payment_type") == "credit_card") & (F.col("payment_installments") > 0))
         .groupBy("payment_installments")
         .agg(F.count(F.lit(1)).alias("order_count"), rnd(avg_double("payment_value")).alias("avg_payment_value"))
+        .orderBy("payment_installments")
     )
 
 
@@ -106,4 +107,4 @@ def boleto_by_state(payments: DataFrame, orders: DataFrame, customers: DataFrame
         rnd("__national").alias("national_avg_pct"),
         rnd(state_pct - F.col("__national")).alias("percentage_point_diff"),
         profile.alias("regional_payment_profile"),
-    )
+    ).orderBy(F.desc("state_boleto_pct"))

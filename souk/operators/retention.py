@@ -83,7 +83,7 @@ def rfm_segments(orders: DataFrame, customers: DataFrame, payments: DataFrame,
         avg_double("recency_days").cast("long").alias("avg_days_since_last_order"),
         avg_double("frequency_count").cast("long").alias("avg_frequency_count"),
         rnd(avg_double("monetary_value")).alias("avg_lifetime_spend"),
-    )
+    ).orderBy(F.desc("customer_count"))
 
 
 def cohort_retention(orders: DataFrame, customers: DataFrame, months: tuple[int, ...] = (1, 3, 6),
@@ -109,7 +109,7 @@ def cohort_retention(orders: DataFrame, customers: DataFrame, months: tuple[int,
         F.date_format("__cohort", "yyyy-MM-dd").alias("cohort_month"),
         "cohort_size",
         *[rnd(pct(f"__m{k}", "cohort_size")).alias(f"month_{k}_retention_pct") for k in months],
-    )
+    ).orderBy("cohort_month")
 
 
 def customer_pareto(orders: DataFrame, customers: DataFrame, payments: DataFrame, top: float = 0.20,
@@ -130,7 +130,7 @@ def customer_pareto(orders: DataFrame, customers: DataFrame, payments: DataFrame
         F.count("customer_unique_id").alias("customer_count"), F.sum("total_spend").alias("__rev"))
     total = F.sum("__rev").over(Window.partitionBy(F.lit(1)))  # two rows
     return tiers.select("customer_tier", "customer_count", rnd("__rev").alias("revenue_contribution"),
-                        rnd(pct("__rev", total)).alias("revenue_pct"))
+                        rnd(pct("__rev", total)).alias("revenue_pct")).orderBy(F.desc("revenue_pct"))
 
 
 def purchase_latency(orders: DataFrame, customers: DataFrame, order_items: DataFrame, products: DataFrame,
@@ -159,6 +159,7 @@ def purchase_latency(orders: DataFrame, customers: DataFrame, order_items: DataF
              avg_truncated("__days").alias("avg_days_between_orders"),
              F.min("__days").cast("long").alias("min_days"), F.max("__days").cast("long").alias("max_days"))
         .where(F.col("repeat_purchase_events") >= min_events)
+        .orderBy(F.desc("repeat_purchase_events"), "avg_days_between_orders")
     )
     return agg
 

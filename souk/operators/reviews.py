@@ -61,7 +61,7 @@ def delay_vs_score(orders: DataFrame, reviews: DataFrame, min_volume: int = 5,
         rnd("__avg").alias("avg_rating"),
         _delay_ladder(F.col("delay_days"), F.col("__avg"), L.DELAY_TIERS).alias("satisfaction_tier"),
         rnd(pct(F.col("__avg") - F.col("__ontime"), "__ontime")).alias("pct_drop_from_ontime"),
-    )
+    ).orderBy("delay_days")
 
 
 def delay_sentiment(orders: DataFrame, reviews: DataFrame, min_count: int = 10) -> DataFrame:
@@ -75,7 +75,7 @@ def delay_sentiment(orders: DataFrame, reviews: DataFrame, min_count: int = 10)
         F.col("__volume").alias("order_count"),
         rnd("__avg").alias("avg_rating"),
         _delay_ladder(F.col("delay_days"), F.col("__avg"), L.DELAY_SENTIMENT).alias("sentiment_profile"),
-    )
+    ).orderBy("delay_days")
 
 
 # ---------------------------------------------------------------- speed vs quality
@@ -126,7 +126,7 @@ def speed_quality_matrix(orders: DataFrame, order_items: DataFrame, products: Da
         rnd("__lead").alias("avg_lead_time_days"),
         rnd("__score").alias("avg_rating"),
         seg.alias("matrix_segment"),
-    )
+    ).orderBy("avg_rating")
 
 
 def category_archetypes(orders: DataFrame, order_items: DataFrame, products: DataFrame, reviews: DataFrame,
@@ -144,7 +144,7 @@ def category_archetypes(orders: DataFrame, order_items: DataFrame, products: Dat
         .when((s >= 0.75) & (r <= 0.25), L.CATEGORY_ARCHETYPES[2])
         .otherwise(L.CATEGORY_ARCHETYPES[3])
     )
-    return cats.select(
+    return cats.orderBy("__sr").select(
         "product_category_name",
         F.col("__orders").alias("total_orders"),
         rnd("__lead").alias("avg_delivery_speed"),
@@ -218,7 +218,7 @@ def review_distribution(reviews: DataFrame, order_items: DataFrame, products: Da
         F.col("__s1").alias("one_star_reviews"),
         rnd(pct("__s1", "total_reviews")).alias("pct_one_star"),
         rnd(pct("__s5", "total_reviews")).alias("pct_five_star"),
-    )
+    ).orderBy(F.desc("pct_one_star"))
 
 
 def review_polarization(reviews: DataFrame, order_items: DataFrame) -> DataFrame:
@@ -242,7 +242,8 @@ def review_polarization(reviews: DataFrame, order_items: DataFrame) -> DataFrame
     n = F.col("__n")
     bucket = (F.when(n.between(1, 10), L.VOLUME_BUCKETS[0]).when(n.between(11, 50), L.VOLUME_BUCKETS[1])
               .when(n.between(51, 100), L.VOLUME_BUCKETS[2]).otherwise(L.VOLUME_BUCKETS[3]))
-    agg = prod.groupBy(bucket.alias("volume_bucket")).agg(
+    order_key = (F.when(n.between(1, 10), 1).when(n.between(11, 50), 2).when(n.between(51, 100), 3).otherwise(4))
+    agg = prod.groupBy(bucket.alias("volume_bucket"), order_key.alias("__bucket_order")).agg(
         F.count("product_id").alias("number_of_products"),
         F.sum("__n").alias("total_reviews_in_bucket"),
         avg_double("__avg").alias("__avg"),
@@ -250,7 +251,7 @@ def review_polarization(reviews: DataFrame, order_items: DataFrame) -> DataFrame
         F.sum("__c5").alias("__c5"),
     )
     tot = F.col("total_reviews_in_bucket")
-    return agg.select(
+    return agg.orderBy("__bucket_order").select(
         "volume_bucket",
         "number_of_products",
         "total_reviews_in_bucket",
@@ -281,7 +282,7 @@ def one_star_sellers(reviews: DataFrame, order_items: DataFrame, min_reviews: in
         "seller_id", "total_reviews", "count_1_star",
         rnd(pct("count_1_star", "total_reviews")).alias("pct_1_star"),
         rnd("__avg").alias("overall_avg_score"),
-    )
+    ).orderBy(F.desc("pct_1_star"), F.desc("total_reviews"))
 
 
 def response_time_effect(reviews: DataFrame) -> DataFrame:
@@ -311,4 +312,4 @@ def response_time_effect(reviews: DataFrame) -> DataFrame:
         rnd("__avg_s").alias("avg_review_score"),
         rnd(pct("__c1", "total_reviews")).alias("pct_1_star"),
         rnd(pct("__c5", "total_reviews")).alias("pct_5_star"),
-    )
+    ).orderBy("response_speed_category")

@@ -56,7 +56,7 @@ def monthly_growth(orders: DataFrame, payments: DataFrame, cal: DataFrame) -> Da
     w = Window.orderBy("year", "month_number")  # one row per month
     prev = F.lag("total_revenue", 1).over(w)
     prev12 = F.lag("total_revenue", 12).over(w)
-    return m.select(
+    return m.orderBy("year", "month_number").select(
         "year",
         "month_name",
         "total_orders",
@@ -96,7 +96,7 @@ def category_volume_value(order_items: DataFrame, products: DataFrame, orders: D
         rnd("total_revenue").alias("total_revenue"),
         rnd(safe_div("total_revenue", "total_volume")).alias("avg_unit_price"),
         seg.alias("category_segmentation"),
-    )
+    ).orderBy(F.desc("total_revenue"))
 
 
 def rolling_revenue(orders: DataFrame, payments: DataFrame, cal: DataFrame, months: int = 3) -> DataFrame:
@@ -116,7 +116,7 @@ def rolling_revenue(orders: DataFrame, payments: DataFrame, cal: DataFrame, mont
         rnd("__avg", 3).alias("rolling_avg_3m"),
         rnd(safe_div((F.col("total_revenue").cast("double") - F.col("__avg")) * 100.0,
                      "total_revenue")).alias("variance_from_trend"),
-    )
+    ).orderBy("year", "month_number")
 
 
 def regional_profile(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def regional_profile(orders: DataFrame, customers: DataFrame, payments: DataFram
         rnd("total_revenue").alias("total_revenue"),
         rnd(safe_div("total_revenue", "total_orders")).alias("avg_order_value"),
         profile.alias("regional_profile"),
-    )
+    ).orderBy(F.desc("total_revenue"))
 
 
 def aov_basket(orders: DataFrame, order_items: DataFrame, payments: DataFrame, cal: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def aov_basket(orders: DataFrame, order_items: DataFrame, payments: DataFrame, c
     )
     aov = safe_div("monthly_revenue", "total_orders")
     basket = safe_div("monthly_items_count", "total_orders")
-    return m.select(
+    return m.orderBy("year", "month_number").select(
         "year",
         "month_name",
         "total_orders",

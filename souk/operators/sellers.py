@@ -47,7 +47,7 @@ def slow_dispatch_sellers(orders: DataFrame, order_items: DataFrame, min_orders:
         .where(F.col("total_orders_fulfilled") >= min_orders)
     )
     ranked = global_ntile(perf, [("__hours", False), ("seller_id", True)], tiles, "__decile", buckets)
-    return ranked.where(F.col("__decile") == 1).select(
+    return ranked.where(F.col("__decile") == 1).orderBy(F.desc("__hours")).select(
         "seller_id",
         "total_orders_fulfilled",
         rnd("__hours").alias("avg_dispatch_hours"),
@@ -90,7 +90,7 @@ def category_concentration(order_items: DataFrame, products: DataFrame, payments
         .otherwise(L.MARKET_HEALTH[3])
     )
     return cats.select("product_category_name", "total_vendors", share.alias("leader_market_share_pct"),
-                       label.alias("market_health_status"))
+                       label.alias("market_health_status")).orderBy(F.desc("leader_market_share_pct"))
 
 
 def seller_pareto(order_items: DataFrame, payments: DataFrame, orders: DataFrame, tiles: int = 10,
@@ -114,7 +114,7 @@ def seller_pareto(order_items: DataFrame, payments: DataFrame, orders: DataFrame
         "seller_count",
         rnd("__rev").alias("revenue"),
         rnd(pct("__rev", total)).alias("revenue_share_pct"),
-    )
+    ).orderBy("seller_decile")
 
 
 def seller_churn(orders: DataFrame, order_items: DataFrame, base_year: int = 2017,
@@ -174,4 +174,4 @@ def bad_review_sellers(order_items: DataFrame, orders: DataFrame, reviews: DataF
         rnd("__avg").alias("avg_review_score"),
         "one_star_count",
         rnd(pct("one_star_count", "__all_one")).alias("pct_of_platform_one_stars"),
-    )
+    ).orderBy(F.desc("one_star_count"))

@@ -24,7 +24,7 @@ def growth_tiers(orders: DataFrame, payments: DataFrame, cal: DataFrame) -> Data
     m = monthly_sales(orders, payments, cal)
     prev = F.lag("total_revenue").over(Window.orderBy("year", "month_number"))  # one row per month
     mom = rnd(pct(F.col("total_revenue") - prev, prev))
-    g = m.withColumn("mom_revenue_growth_pct", mom)
+    g = m.withColumn("mom_revenue_growth_pct", mom).orderBy("year", "month_number")
     c = F.col("mom_revenue_growth_pct")
     tag = (
         F.when(c > 20, L.GROWTH_TAGS[0]).when(c > 0, L.GROWTH_TAGS[1])
@@ -84,7 +84,7 @@ def seasonality_index(orders: DataFrame, payments: DataFrame, cal: DataFrame) ->
     -> year, month_name, current_month_revenue, month_specific_yoy_growth_pct,
        seasonality_index, seasonal_classification
     """
-    b = _seasonal_base(orders, payments, cal)
+    b = _seasonal_base(orders, payments, cal).orderBy("year", "month_number")
     return b.select(*_seasonal_columns(b, cumulative=False))
 
 
@@ -94,7 +94,7 @@ def cumulative_revenue(orders: DataFrame, payments: DataFrame, cal: DataFrame) -
     -> year, month_name, current_month_revenue, cumulative_revenue,
        month_specific_yoy_growth_pct, seasonality_index, seasonal_classification
     """
-    b = _seasonal_base(orders, payments, cal)
+    b = _seasonal_base(orders, payments, cal).orderBy("year", "month_number")
     return b.select(*_seasonal_columns(b, cumulative=True))
 
 
@@ -112,7 +112,8 @@ def activity_heatmap(df: DataFrame, ts: str, key: str) -> DataFrame:
     g = df.select(key, D.weekday_sunday_first(t).alias("day_num"), F.date_format(t, "EEEE").alias("day_of_week"),
                   F.hour(t).alias("hour_of_day"))
     return g.groupBy("day_of_week", "day_num", "hour_of_day").agg(F.count(key).alias("total_orders")).select(
-        "day_num", "day_of_week", "hour_of_day", "total_orders", hour_window(F.col("hour_of_day")).alias("hour_window"))
+        "day_num", "day_of_week", "hour_of_day", "total_orders", hour_window(F.col("hour_of_day")).alias("hour_window")
+    ).orderBy("day_num", "hour_of_day")
 
 
 def order_heatmap(orders: DataFrame) -> DataFrame:
@@ -132,7 +133,9 @@ def _union_report(seasonal: DataFrame, heat: DataFrame) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in seasonal.schema.fields}
     sep = spark.range(1).select(*[
         (F.lit(L.INTRADAY_SEPARATOR) if n == "month_name" else F.lit(None)).cast(types[n]).alias(n) for n in names])
-    label = F.concat(F.col("day_of_week"), F.lit(" at "), F.col("hour_of_day").cast("string"), F.lit(":00"))
+    # T-SQL CONCAT reads NULL as '' (Spark's concat would return NULL)
+    label = F.concat(F.coalesce(F.col("day_of_week"), F.lit("")), F.lit(" at "),
+                     F.coalesce(F.col("hour_of_day").cast("string"), F.lit("")), F.lit(":00"))
     fill = {
         "year": F.col("day_num").cast(types["year"]),
         "month_name": label,
@@ -140,7 +143,7 @@ def _union_report(seasonal: DataFrame, heat: DataFrame) -> DataFrame:
         "seasonal_classification": F.col("hour_window"),
     }
     intraday = heat.select(*[fill.get(n, F.lit(None).cast(types[n])).alias(n) for n in names])
-    return seasonal.unionByName(sep).unionByName(intraday)
+    return seasonal.unionByName(sep).unionByName(intraday).orderBy("year", "month_name")
 
 
 def seasonality_report(orders: DataFrame, payments: DataFrame, cal: DataFrame) -> DataFrame:

@@ -200,6 +200,9 @@ def _mart_queries() -> dict[str, Query]:
     return {
         "customer_360": lambda s, d: (lambda m: mart.customer_360(
             m.customers, m.geolocation, m.orders, m.order_items, m.payments, m.reviews, AS_OF_DATE))(_m(s, d)),
+        "customer_delivery_median": lambda s, d: (lambda m: mart.delivery_median(m.orders, m.customers))(_m(s, d)),
+        "customer_payment_mode": lambda s, d: (
+            lambda m: mart.payment_type_mode(m.payments, m.orders, m.customers))(_m(s, d)),
     }
 
 
