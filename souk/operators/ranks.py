@@ -102,29 +102,52 @@ def _cut_tuples(df: DataFrame, keys: _Keys, buckets: int, oversample: int) -> li
     return cuts
 
 
-def _precedes(keys: _Keys, cut: tuple) -> Column:
-    """Row strictly before ``cut`` in the lexicographic sort order."""
-    result: Column | None = None
+def _sql_literal(value, dtype: T.DataType) -> str:
+    """Exact SQL literal of a collected key value, typed like its column."""
+    if value is None:
+        return "NULL"
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return f"CAST('{float(value)!r}' AS DOUBLE)"
+    if isinstance(dtype, T.DecimalType):
+        return f"CAST('{format(value, "f")}' AS DECIMAL({dtype.precision},{dtype.scale}))"
+    if isinstance(dtype, T.StringType):
+        text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{text}'"
+    return f"CAST({int(value)} AS {dtype.simpleString().upper()})"
+
+
+def _precedes_sql(keys: _Keys, types: dict[str, T.DataType], cut: tuple) -> str:
+    """SQL predicate: row strictly before ``cut`` in the lexicographic sort order.
+
+    Spark's default null order is used: ascending NULLS FIRST, descending NULLS LAST.
+    """
+    result: str | None = None
     for name, asc, value in reversed(list(zip(keys.names, keys.ascending, cut))):
-        c = F.col(name)
+        c = f"`{name}`"
         if value is None:
-            before = F.lit(False) if asc else c.isNotNull()
-            equal = c.isNull()
+            before = "false" if asc else f"({c} IS NOT NULL)"
+            equal = f"({c} IS NULL)"
         else:
-            before = (c.isNull() | (c < F.lit(value))) if asc else (c.isNotNull() & (c > F.lit(value)))
-            equal = c.eqNullSafe(F.lit(value))
-        result = before if result is None else (before | (equal & result))
-    return result if result is not None else F.lit(False)
+            lit = _sql_literal(value, types[name])
+            before = f"({c} IS NULL OR {c} < {lit})" if asc else f"({c} IS NOT NULL AND {c} > {lit})"
+            equal = f"({c} <=> {lit})"
+        result = before if result is None else f"({before} OR ({equal} AND {result}))"
+    return result or "false"
 
 
-def _bucket_expr(keys: _Keys, cuts: list[tuple]) -> Column:
-    def tree(lo: int, hi: int) -> Column:
+def _bucket_expr(keys: _Keys, types: dict[str, T.DataType], cuts: list[tuple]) -> Column:
+    """Bucket id = number of cut tuples not after the row: a balanced CASE tree.
+
+    Rendered as one SQL expression so building it costs one JVM call, not one
+    per comparison.
+    """
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2  # cuts[mid] separates buckets <= mid from buckets > mid
-        return F.when(_precedes(keys, cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return f"CASE WHEN {_precedes_sql(keys, types, cuts[mid])} THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return tree(0, len(cuts))
+    return F.expr(tree(0, len(cuts)))
 
 
 def _materialize(df: DataFrame) -> DataFrame:
@@ -142,7 +165,8 @@ def bucketize(df: DataFrame, order: OrderSpec, buckets: int | None = None,
         keyed = _materialize(keyed)
     b = buckets or _default_buckets(df)
     cuts = _cut_tuples(keyed, keys, b, oversample)
-    return keyed.withColumn("__bucket", _bucket_expr(keys, cuts).cast("int")), keys
+    types = {f.name: f.dataType for f in keyed.schema.fields}
+    return keyed.withColumn("__bucket", _bucket_expr(keys, types, cuts).cast("int")), keys
 
 
 def _bucket_offsets(bucketed: DataFrame) -> DataFrame:
@@ -211,7 +235,8 @@ def global_percent_rank(df: DataFrame, order: OrderSpec, peers: int, out: str,
         keyed = _materialize(keyed)
     b = buckets or _default_buckets(df)
     cuts = _cut_tuples(keyed, keys, b, DEFAULT_OVERSAMPLE)
-    bucketed = keyed.withColumn("__bucket", _bucket_expr(keys, cuts).cast("int"))
+    types = {f.name: f.dataType for f in keyed.schema.fields}
+    bucketed = keyed.withColumn("__bucket", _bucket_expr(keys, types, cuts).cast("int"))
     peer_names = keys.names[:peers]
     peer_order = keys.order_cols()[:peers]
 

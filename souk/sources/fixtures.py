@@ -175,48 +175,86 @@ def geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+STAR_TABLES = ("orders", "customers", "order_items", "payments", "products", "translation", "sellers",
+               "reviews", "geolocation")
+# key each stored table is hash-distributed on when the star schema is materialised
+_STAR_KEYS = {"orders": "order_id", "customers": "customer_id", "order_items": "order_id",
+              "payments": "order_id", "products": "product_id", "translation": "product_category_name",
+              "sellers": "seller_id", "reviews": "order_id", "geolocation": "geolocation_zip_code_prefix"}
+_STAR_DIRS: dict[str, str] = {}
+
+
 class Marketplace:
-    """The star schema the analyses read; each view is built on first access."""
+    """The star schema the analyses read; each view is built on first access.
+
+    When the star schema has been materialised for ``sf_dir`` (``materialize_star``),
+    the views read those stored tables instead of deriving them again.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.star_dir = _STAR_DIRS.get(sf_dir)
+
+    def _view(self, name: str, build) -> DataFrame:
+        if self.star_dir:
+            return read_table(self.spark, self.star_dir, name)
+        return build(self.spark, self.sf_dir)
 
     @cached_property
     def orders(self) -> DataFrame:
-        return orders(self.spark, self.sf_dir)
+        return self._view("orders", orders)
 
     @cached_property
     def customers(self) -> DataFrame:
-        return customers(self.spark, self.sf_dir)
+        return self._view("customers", customers)
 
     @cached_property
     def order_items(self) -> DataFrame:
-        return order_items(self.spark, self.sf_dir)
+        return self._view("order_items", order_items)
 
     @cached_property
     def payments(self) -> DataFrame:
-        return payments(self.spark, self.sf_dir)
+        return self._view("payments", payments)
 
     @cached_property
     def products(self) -> DataFrame:
-        return products(self.spark, self.sf_dir)
+        return self._view("products", products)
 
     @cached_property
     def translation(self) -> DataFrame:
-        return category_translation(self.spark, self.sf_dir)
+        return self._view("translation", category_translation)
 
     @cached_property
     def sellers(self) -> DataFrame:
-        return sellers(self.spark, self.sf_dir)
+        return self._view("sellers", sellers)
 
     @cached_property
     def reviews(self) -> DataFrame:
-        return order_reviews(self.spark, self.sf_dir)
+        return self._view("reviews", order_reviews)
 
     @cached_property
     def geolocation(self) -> DataFrame:
-        return geolocation(self.spark, self.sf_dir)
+        return self._view("geolocation", geolocation)
 
 
 def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
     return Marketplace(spark, sf_dir)
+
+
+def materialize_star(spark: SparkSession, sf_dir: str, out_dir: str, partitions: int | None = None) -> None:
+    """Load the star schema once, as the reference loads its tables before querying.
+
+    Each table is written as Parquet, hash-distributed on its key into
+    ``partitions`` files (default: shuffle partitions), and later
+    ``marketplace(spark, sf_dir)`` reads these tables instead of re-deriving them.
+    """
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    derived = Marketplace(spark, sf_dir)
+    for name in STAR_TABLES:
+        df = getattr(derived, name)
+        df.repartition(n, _STAR_KEYS[name]).write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}.parquet")
+    _STAR_DIRS[sf_dir] = out_dir
+
+
+def forget_star(sf_dir: str) -> None:
+    _STAR_DIRS.pop(sf_dir, None)

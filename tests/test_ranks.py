@@ -79,3 +79,18 @@ def test_heavy_value_spans_buckets(spark):
     b, _ = bucketize(df, [("v", True), ("id", True)], buckets=8)
     per_bucket = b.where("v = 7").groupBy("__bucket").count().collect()
     assert len(per_bucket) >= 4
+
+
+def test_string_and_decimal_keys_render_exactly(spark):
+    from decimal import Decimal
+
+    names = ["a'b", "c\\d", "o'\\'x", "plain", "z", "", "é"]
+    rows = [(f"{names[i % len(names)]}-{i:03d}", Decimal(i % 5) / Decimal(3) if i % 4 else None, float(i) / 7)
+            for i in range(90)]
+    df = spark.createDataFrame([(k, d.quantize(Decimal("0.000001")) if d is not None else None, f)
+                                for k, d, f in rows], "k string, dec decimal(12,6), f double")
+    for order, col in ((("dec", True), "dec"), (("f", False), "f")):
+        spark_order = F.col(col).asc() if order[1] else F.col(col).desc()
+        want = {r.k: r.t for r in df.select("k", F.ntile(4).over(Window.orderBy(spark_order, "k")).alias("t")).collect()}
+        got = {r.k: r.t for r in global_ntile(df, [order, ("k", True)], 4, "t", buckets=5).collect()}
+        assert got == want
