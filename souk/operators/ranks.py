@@ -78,8 +78,16 @@ def _default_buckets(df: DataFrame) -> int:
     return max(1, min(MAX_BUCKETS, 4 * parts))
 
 
-def _cut_tuples(df: DataFrame, keys: _Keys, buckets: int, oversample: int) -> list[tuple]:
-    """Deterministic bounded sample -> ``buckets - 1`` cut tuples in sort order."""
+MIN_ROWS_PER_BUCKET = 20_000
+
+
+def _cut_tuples(df: DataFrame, keys: _Keys, buckets: int, oversample: int, fixed: bool = True) -> list[tuple]:
+    """Deterministic bounded sample -> up to ``buckets - 1`` cut tuples in sort order.
+
+    If the sample comes back short, it *is* the whole frame, so the row count is
+    known; unless ``fixed``, the bucket count then shrinks to keep at least
+    ``MIN_ROWS_PER_BUCKET`` rows per bucket (a small frame needs no split).
+    """
     if buckets <= 1:
         return []
     size = buckets * oversample
@@ -93,6 +101,10 @@ def _cut_tuples(df: DataFrame, keys: _Keys, buckets: int, oversample: int) -> li
     )
     if not sample:
         return []
+    if not fixed and len(sample) < size:
+        buckets = max(1, min(buckets, len(sample) // MIN_ROWS_PER_BUCKET))
+        if buckets == 1:
+            return []
     step = len(sample) / buckets
     cuts: list[tuple] = []
     for i in range(1, buckets):
@@ -164,7 +176,7 @@ def bucketize(df: DataFrame, order: OrderSpec, buckets: int | None = None,
     if materialize:
         keyed = _materialize(keyed)
     b = buckets or _default_buckets(df)
-    cuts = _cut_tuples(keyed, keys, b, oversample)
+    cuts = _cut_tuples(keyed, keys, b, oversample, fixed=buckets is not None)
     types = {f.name: f.dataType for f in keyed.schema.fields}
     return keyed.withColumn("__bucket", _bucket_expr(keys, types, cuts).cast("int")), keys
 
@@ -234,7 +246,7 @@ def global_percent_rank(df: DataFrame, order: OrderSpec, peers: int, out: str,
     if materialize:
         keyed = _materialize(keyed)
     b = buckets or _default_buckets(df)
-    cuts = _cut_tuples(keyed, keys, b, DEFAULT_OVERSAMPLE)
+    cuts = _cut_tuples(keyed, keys, b, DEFAULT_OVERSAMPLE, fixed=buckets is not None)
     types = {f.name: f.dataType for f in keyed.schema.fields}
     bucketed = keyed.withColumn("__bucket", _bucket_expr(keys, types, cuts).cast("int"))
     peer_names = keys.names[:peers]
