@@ -77,7 +77,7 @@ def category_concentration(order_items: DataFrame, products: DataFrame, payments
         .agg(F.sum("payment_value").alias("__rev"))
     )
     cats = rev.groupBy("product_category_name").agg(
-        F.count_distinct("seller_id").alias("total_vendors"),
+        F.count("seller_id").alias("total_vendors"),  # one row per (category, seller) already
         F.max("__rev").alias("__top"),
         F.sum("__rev").alias("__total"),
     )

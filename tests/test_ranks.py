@@ -94,3 +94,13 @@ def test_string_and_decimal_keys_render_exactly(spark):
         want = {r.k: r.t for r in df.select("k", F.ntile(4).over(Window.orderBy(spark_order, "k")).alias("t")).collect()}
         got = {r.k: r.t for r in global_ntile(df, [order, ("k", True)], 4, "t", buckets=5).collect()}
         assert got == want
+
+
+def test_grouped_lag_descending_order_with_null_keys(spark):
+    rows = [(i, i % 3 if i % 7 else None, (i * 37) % 11 if i % 5 else None) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, g long, t long")
+    w = Window.partitionBy("g").orderBy(F.col("t").desc(), "id")
+    want = {r.id: r.prev for r in df.select("id", F.lag("id").over(w).alias("prev")).collect()}
+    got = {r.id: r.prev for r in grouped_lag(df, ["g"], [("t", False), ("id", True)], "id", "prev",
+                                             buckets=6).collect()}
+    assert got == want
