@@ -10,17 +10,20 @@ DRIVER_TABLES = (
 )
 
 
-_SCANS: dict[tuple[int, str], DataFrame] = {}
+_SCANS: dict[str, tuple[SparkSession, DataFrame]] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy Parquet scan; Catalyst prunes columns and pushes filters into it.
 
-    The resolved scan is memoised per session so repeated query construction
-    does not re-read file footers; DataFrames are immutable, so sharing is safe.
+    The resolved scan is memoised for the *same* session object so repeated
+    query construction does not re-read file footers; DataFrames are
+    immutable, so sharing is safe. A different (e.g. restarted) session reads again.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    if key not in _SCANS:
-        _SCANS[key] = spark.read.parquet(path)
-    return _SCANS[key]
+    hit = _SCANS.get(path)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    df = spark.read.parquet(path)
+    _SCANS[path] = (spark, df)
+    return df

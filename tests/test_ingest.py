@@ -74,3 +74,13 @@ def test_materialised_star_gives_identical_results(spark):
     finally:
         fixtures.forget_star(sf)
     assert before == after
+
+
+def test_scan_memo_is_per_session(spark):
+    from souk.sources.tables import read_table
+
+    a = read_table(spark, "/root/testdata/sf0.001", "nation")
+    assert read_table(spark, "/root/testdata/sf0.001", "nation") is a
+    other = spark.newSession()
+    b = read_table(other, "/root/testdata/sf0.001", "nation")
+    assert b is not a and b.sparkSession is other
