@@ -4,11 +4,11 @@
 group that may hold a third of all rows, make Spark move the data to a single
 task. The operators here keep the exact SQL semantics but spread the work:
 
-1. *Cut tuples.* A bounded, deterministic sample (rows with the smallest
-   ``xxhash64`` of the sort key, at most ``buckets * oversample`` rows) is
-   sorted by the full sort key and every k-th tuple becomes a cut. This is the
-   only driver round trip and its size depends on the bucket count, not on
-   the data.
+1. *Cut tuples.* A bounded, deterministic sample (rows whose ``xxhash64``
+   of the sort key falls under a threshold sized for ``buckets * oversample``
+   rows, given the exact row count) is sorted by the full sort key and every
+   k-th tuple becomes a cut. This is the only driver round trip and its size
+   depends on the bucket count, not on the data or the number of partitions.
 2. *Buckets.* Each row's bucket is the number of cut tuples not after it,
    computed with a balanced ``CASE`` tree (log2(buckets) tuple comparisons).
    The bucket is a pure function of the row, so recomputing a lost partition
@@ -79,32 +79,32 @@ def _default_buckets(df: DataFrame) -> int:
 
 
 MIN_ROWS_PER_BUCKET = 20_000
+_HASH_SPACE = 1 << 30
 
 
 def _cut_tuples(df: DataFrame, keys: _Keys, buckets: int, oversample: int, fixed: bool = True) -> list[tuple]:
-    """Deterministic bounded sample -> up to ``buckets - 1`` cut tuples in sort order.
-
-    If the sample comes back short, it *is* the whole frame, so the row count is
-    known; unless ``fixed``, the bucket count then shrinks to keep at least
-    ``MIN_ROWS_PER_BUCKET`` rows per bucket (a small frame needs no split).
+    """Bounded deterministic sample -> up to ``buckets - 1`` cut tuples in sort order.
+
+    The row count comes first (the input is materialised, so this is a scan of
+    stored rows). Rows are then kept when ``xxhash64(key) mod 2^30`` falls under a
+    threshold sized for ``buckets * oversample`` rows in total, so the sample
+    does not grow with the number of input partitions (a top-k per partition
+    would), and a recomputation keeps the same rows. Unless ``fixed``, small
+    inputs get fewer buckets (at least ``MIN_ROWS_PER_BUCKET`` rows each).
     """
-    if buckets <= 1:
+    n = df.count()
+    if not fixed:
+        buckets = max(1, min(buckets, n // MIN_ROWS_PER_BUCKET))
+    if buckets <= 1 or n == 0:
         return []
     size = buckets * oversample
-    sample = (
-        df.select(*keys.names)
-        .withColumn("__h", F.xxhash64(*keys.names))
-        .orderBy("__h", *keys.names)
-        .limit(size)
-        .orderBy(*keys.order_cols())
-        .collect()
-    )
+    keyed = df.select(*keys.names)
+    if n > size:
+        threshold = max(1, int(_HASH_SPACE * size / n))
+        keyed = keyed.where(F.pmod(F.xxhash64(*keys.names), F.lit(_HASH_SPACE)) < threshold)
+    sample = keyed.orderBy(*keys.order_cols()).collect()
     if not sample:
         return []
-    if not fixed and len(sample) < size:
-        buckets = max(1, min(buckets, len(sample) // MIN_ROWS_PER_BUCKET))
-        if buckets == 1:
-            return []
     step = len(sample) / buckets
     cuts: list[tuple] = []
     for i in range(1, buckets):
