@@ -163,15 +163,20 @@ def preview(df: DataFrame, n: int = 10) -> DataFrame:
 def date_range_profile(columns: Iterable[tuple[str, DataFrame, str]]) -> DataFrame:
     """Min and max of each (table, frame, timestamp column), one row per column.
 
-    Each column is one global aggregate (partial min/max per task), unioned.
+    Columns of the same frame share one global aggregate (one scan, partial
+    min/max per task); the per-table rows are unpivoted with ``stack``.
     """
-    parts = [
-        df.agg(F.min(col).alias("__min"), F.max(col).alias("__max")).select(
-            F.lit(table).alias("table_name"), F.lit(col).alias("column_name"),
-            F.date_format("__min", "yyyy-MM-dd HH:mm:ss").alias("min_value"),
-            F.date_format("__max", "yyyy-MM-dd HH:mm:ss").alias("max_value"))
-        for table, df, col in columns
-    ]
+    groups: dict[int, tuple[str, DataFrame, list[str]]] = {}
+    for table, df, col in columns:
+        groups.setdefault(id(df), (table, df, []))[2].append(col)
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    parts = []
+    for table, df, cols in groups.values():
+        agg = df.agg(*[F.date_format(F.min(c), fmt).alias(f"__min{i}") for i, c in enumerate(cols)],
+                     *[F.date_format(F.max(c), fmt).alias(f"__max{i}") for i, c in enumerate(cols)])
+        pairs = ", ".join(f"'{c}', __min{i}, __max{i}" for i, c in enumerate(cols))
+        parts.append(agg.selectExpr(f"'{table}' as table_name",
+                                    f"stack({len(cols)}, {pairs}) as (column_name, min_value, max_value)"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -187,18 +192,18 @@ def key_violations(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[
     for table, cols in keys.items():
         if table not in tables:
             continue
-        df = tables[table].select(*cols)
         any_null = F.lit(False)
         for c in cols:
             any_null = any_null | F.col(c).isNull()
-        counted = df.where(~any_null).groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
-        dup = counted.where(F.col("__n") > 1).agg(
-            F.count(F.lit(1)).alias("duplicate_keys"),
-            F.coalesce(F.sum("__n"), F.lit(0)).alias("rows_in_duplicate_keys"))
-        nulls = df.agg(F.count(F.when(any_null, 1)).alias("null_keys"))
-        parts.append(dup.crossJoin(nulls).select(  # both sides are single global-aggregate rows
-            F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
-            "duplicate_keys", "rows_in_duplicate_keys", "null_keys"))
+        # one grouped pass: NULL key parts form their own groups, counted separately
+        counted = tables[table].groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).withColumn("__null", any_null)
+        clean_dup = (~F.col("__null")) & (F.col("__n") > 1)
+        parts.append(counted.agg(
+            F.count(F.when(clean_dup, 1)).alias("duplicate_keys"),
+            F.coalesce(F.sum(F.when(clean_dup, F.col("__n"))), F.lit(0)).alias("rows_in_duplicate_keys"),
+            F.coalesce(F.sum(F.when(F.col("__null"), F.col("__n"))), F.lit(0)).alias("null_keys"),
+        ).select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
+                 "duplicate_keys", "rows_in_duplicate_keys", "null_keys"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
