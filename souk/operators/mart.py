@@ -1,11 +1,14 @@
 """``customer_360``: one row per person (customer_unique_id), 61 feature columns.
 
 Plan shape:
-* every branch is a ``groupBy(customer_unique_id)`` (map-side partial
-  aggregation, so a person with a third of all orders costs one partial row
-  per task, not one task); two-level aggregations (order, then person) replace
-  the reference's join-backs (installments per order, order values, payment
-  type mode via ``min_by``);
+* items, payments and reviews are reduced to one row per order and joined to
+  the orders on ``order_id`` (one co-partitioned join chain); one two-level
+  aggregation (person x month, then person) then yields every order,
+  monetary, payment and review metric, replacing the reference's separate
+  per-table branches and join-backs (installments per order, order values);
+* every aggregation is a ``groupBy`` with map-side partial aggregation, so a
+  person with a third of all orders costs one partial row per task, not one
+  task; the payment-type mode is a ``min_by``;
 * inter-purchase gaps use the skew-safe ``grouped_lag``; the second purchase
   date is the earliest date among rows that have a predecessor, so no
   per-person row number is needed;
@@ -87,14 +90,47 @@ def _customers_geo(customers: DataFrame, geolocation: DataFrame) -> DataFrame:
     return cust.join(geo, cond, "left").drop("geolocation_zip_code_prefix", "geolocation_state")
 
 
-def _orders_agg(ob: DataFrame) -> DataFrame:
-    """Order counts, delivery stats, first/last purchase and active months per person.
+def _order_facts(ob: DataFrame, items: DataFrame, payments: DataFrame, reviews: DataFrame) -> DataFrame:
+    """One row per order of ``ob`` with that order's item, payment and review sums.
+
+    Each fact table is first reduced to one row per order (map-side partial
+    aggregation), so the three left joins are order-to-order joins on the same
+    key: ``ob`` is shuffled once and the aggregated sides arrive already
+    partitioned by ``order_id``. Items, payments or reviews whose order is not
+    in ``ob`` drop out, as with the reference's inner joins.
+    """
+    it = items.groupBy("order_id").agg(
+        F.sum("price").alias("__order_value"),
+        F.sum("freight_value").alias("__freight"),
+        F.count(F.lit(1)).alias("__items"),
+    )
+    pay = payments.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("__pay_rows"),
+        F.sum("payment_value").alias("__paid"),
+        F.max("payment_installments").alias("__inst"),
+        F.max((F.col("payment_type") == "credit_card").cast("int")).alias("__cc"),
+    )
+    s = F.col("review_score")
+    rv = reviews.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("__reviews"),
+        F.sum(s).alias("__score_sum"),
+        F.min(s).alias("__score_min"),
+        F.max(s).alias("__score_max"),
+        count_if(s <= 2).alias("__neg"),
+        count_if(s >= 4).alias("__pos"),
+    )
+    return ob.join(it, "order_id", "left").join(pay, "order_id", "left").join(rv, "order_id", "left")
+
+
+def _person_agg(facts: DataFrame) -> DataFrame:
+    """All order, monetary, payment and review metrics per person in one aggregation.
 
     Two plain hash aggregations: per (person, calendar month), then per person;
     the number of month rows is the active-months count, so no distinct
     aggregate (and no row expansion) is needed. ``order_id`` is the orders
     primary key (declared by the reference, checked by ``key_violations``), so
-    counting rows equals ``COUNT(DISTINCT order_id)``.
+    counting rows equals ``COUNT(DISTINCT order_id)``. Every metric is a sum,
+    count, min or max of per-order values, so the two levels compose exactly.
     """
     status = F.col("order_status")
     delivered = status == "delivered"
@@ -106,7 +142,8 @@ def _orders_agg(ob: DataFrame) -> DataFrame:
     delivery_days = F.when(delivered & F.col("order_delivered_customer_date").isNotNull(),
                            D.days_between("order_purchase_timestamp", "order_delivered_customer_date"))
     days_late = F.when(late, D.days_between("order_estimated_delivery_date", "order_delivered_customer_date"))
-    monthly = ob.groupBy(KEY, D.year_month_text("purchase_date").alias("__ym")).agg(
+    month_key = F.year("purchase_date") * 100 + F.month("purchase_date")  # integer yyyyMM, cheaper than text
+    monthly = facts.groupBy(KEY, month_key.alias("__ym")).agg(
         F.min("purchase_date").alias("__first"),
         F.max("purchase_date").alias("__last"),
         F.count("order_id").alias("__orders"),
@@ -117,6 +154,18 @@ def _orders_agg(ob: DataFrame) -> DataFrame:
         count_if(late).alias("__late"),
         F.sum(delivery_days).alias("__dd_sum"), F.count(delivery_days).alias("__dd_n"),
         F.sum(days_late).alias("__dl_sum"), F.count(days_late).alias("__dl_n"),
+        # items (per order: value, freight, item count)
+        F.sum("__order_value").alias("__rev"), F.count("__order_value").alias("__valued"),
+        F.min("__order_value").alias("__ov_min"), F.max("__order_value").alias("__ov_max"),
+        F.sum("__freight").alias("__freight"), F.sum("__items").alias("__items"),
+        # payments (per order: rows, paid, max installments, any credit card)
+        F.sum("__paid").alias("__paid"), F.sum(F.col("__pay_rows") * F.col("__inst")).alias("__inst_w"),
+        F.sum("__pay_rows").alias("__pay_rows"), F.count("__pay_rows").alias("__paid_orders"),
+        F.sum("__cc").alias("__cc"), count_if(F.col("__inst") > 1).alias("__inst_orders"),
+        # reviews (per order: count, score sum/min/max, negatives, positives)
+        F.sum("__reviews").alias("__reviews"), F.sum("__score_sum").alias("__score_sum"),
+        F.min("__score_min").alias("__score_min"), F.max("__score_max").alias("__score_max"),
+        F.sum("__neg").alias("__neg"), F.sum("__pos").alias("__pos"),
     )
     return monthly.groupBy(KEY).agg(
         F.min("__first").alias("__first"),
@@ -130,6 +179,24 @@ def _orders_agg(ob: DataFrame) -> DataFrame:
         safe_div(F.sum("__dd_sum"), F.sum("__dd_n")).alias("avg_delivery_days"),
         safe_div(F.sum("__dl_sum"), F.sum("__dl_n")).alias("avg_days_late"),
         F.count(F.lit(1)).alias("active_months_count"),
+        F.sum("__rev").cast("double").alias("total_revenue"),
+        safe_div(F.sum("__rev"), F.sum("__valued")).alias("avg_order_value"),
+        F.min("__ov_min").cast("double").alias("min_order_value"),
+        F.max("__ov_max").cast("double").alias("max_order_value"),
+        F.sum("__freight").cast("double").alias("total_freight_value"),
+        F.sum("__items").alias("__total_items"),
+        F.sum("__paid").cast("double").alias("total_payment_value"),
+        # mean over payment rows of the order's max installments (row-weighted, as in the reference)
+        safe_div(F.sum("__inst_w"), F.sum("__pay_rows")).alias("avg_installments_per_order"),
+        F.sum("__paid_orders").alias("__paid_orders"),
+        F.sum("__cc").alias("__cc_orders"),
+        F.sum("__inst_orders").alias("__inst_orders"),
+        F.sum("__reviews").alias("total_reviews"),
+        safe_div(F.sum("__score_sum"), F.sum("__reviews")).alias("avg_review_score"),
+        F.min("__score_min").alias("min_review_score"),
+        F.max("__score_max").alias("max_review_score"),
+        safe_div(F.sum("__neg"), F.sum("__reviews")).alias("negative_review_rate"),
+        safe_div(F.sum("__pos"), F.sum("__reviews")).alias("positive_review_rate"),
     )
 
 
@@ -153,64 +220,20 @@ def _gaps(ob: DataFrame, buckets: int | None, materialize: bool) -> DataFrame:
     )
 
 
-def _items_agg(items: DataFrame, ob: DataFrame) -> DataFrame:
-    ib = items.select("order_id", "product_id", "seller_id", "price", "freight_value").join(
-        ob.select("order_id", KEY), "order_id")
-    per_order = ib.groupBy(KEY, "order_id").agg(
-        F.sum("price").alias("__order_value"),
-        F.sum("freight_value").alias("__freight"),
-        F.count(F.lit(1)).alias("__items"),
-    )
-    order_stats = per_order.groupBy(KEY).agg(
-        F.sum("__order_value").cast("double").alias("total_revenue"),
-        avg_double("__order_value").alias("avg_order_value"),
-        F.min("__order_value").cast("double").alias("min_order_value"),
-        F.max("__order_value").cast("double").alias("max_order_value"),
-        F.sum("__freight").cast("double").alias("total_freight_value"),
-        F.sum("__items").alias("__total_items"),
-    )
-    distincts = ib.groupBy(KEY).agg(
+def _distinct_items(items: DataFrame, ob: DataFrame) -> DataFrame:
+    ib = items.select("order_id", "product_id", "seller_id").join(ob.select("order_id", KEY), "order_id")
+    return ib.groupBy(KEY).agg(
         F.count_distinct("product_id").alias("distinct_products_purchased"),
         F.count_distinct("seller_id").alias("distinct_sellers_purchased"),
     )
-    return order_stats.join(distincts, KEY)
 
 
-def _payments_agg(payments: DataFrame, ob: DataFrame) -> DataFrame:
-    pb = payments.select("order_id", "payment_type", "payment_value", "payment_installments").join(
-        ob.select("order_id", KEY), "order_id")
-    ptype = F.col("payment_type")
-    per_order = pb.groupBy(KEY, "order_id").agg(
-        F.count(F.lit(1)).alias("__rows"),
-        F.sum("payment_value").alias("__paid"),
-        F.max("payment_installments").alias("__inst"),
-        F.max((ptype == "credit_card").cast("int")).alias("__cc"),
-    )
-    stats = per_order.groupBy(KEY).agg(
-        F.sum("__paid").cast("double").alias("total_payment_value"),
-        # mean over payment rows of the order's max installments (row-weighted, as in the reference)
-        safe_div(F.sum(F.col("__rows") * F.col("__inst")), F.sum("__rows")).alias("avg_installments_per_order"),
-        F.count(F.lit(1)).alias("__paid_orders"),
-        F.sum("__cc").alias("__cc_orders"),
-        count_if(F.col("__inst") > 1).alias("__inst_orders"),
-    )
-    by_type = pb.groupBy(KEY, "payment_type").agg(F.count_distinct("order_id").alias("__n"))
-    mode = by_type.groupBy(KEY).agg(
+def _payment_mode(payments: DataFrame, ob: DataFrame) -> DataFrame:
+    """Most used type by distinct orders; ties go to the alphabetically first type."""
+    typed = payments.select("order_id", "payment_type").distinct().join(ob.select("order_id", KEY), "order_id")
+    by_type = typed.groupBy(KEY, "payment_type").agg(F.count(F.lit(1)).alias("__n"))
+    return by_type.groupBy(KEY).agg(
         F.min_by("payment_type", F.struct(-F.col("__n"), F.col("payment_type"))).alias("most_used_payment_type"))
-    return stats.join(mode, KEY)
-
-
-def _reviews_agg(reviews: DataFrame, ob: DataFrame) -> DataFrame:
-    rb = reviews.select("order_id", "review_score").join(ob.select("order_id", KEY), "order_id")
-    s = F.col("review_score")
-    return rb.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("total_reviews"),
-        avg_double(s).alias("avg_review_score"),
-        F.min(s).alias("min_review_score"),
-        F.max(s).alias("max_review_score"),
-        safe_div(count_if(s <= 2), F.count(F.lit(1))).alias("negative_review_rate"),
-        safe_div(count_if(s >= 4), F.count(F.lit(1))).alias("positive_review_rate"),
-    )
 
 
 def _flag(cond: Column) -> Column:
@@ -249,11 +272,10 @@ def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame
         ob = materialize(ob)
     core = (
         _customers_geo(customers, geolocation)
-        .join(_orders_agg(ob), KEY, "left")
+        .join(_person_agg(_order_facts(ob, order_items, payments, reviews)), KEY, "left")
         .join(_median_agg(ob), KEY, "left")
-        .join(_items_agg(order_items, ob), KEY, "left")
-        .join(_payments_agg(payments, ob), KEY, "left")
-        .join(_reviews_agg(reviews, ob), KEY, "left")
+        .join(_distinct_items(order_items, ob), KEY, "left")
+        .join(_payment_mode(payments, ob), KEY, "left")
         .join(_gaps(ob, buckets, materialize=not checkpoint), KEY, "left")
     )
     first, last = F.col("__first"), F.col("__last")
@@ -338,7 +360,7 @@ def payment_type_mode(payments: DataFrame, orders: DataFrame, customers: DataFra
     Two partial aggregations and ``min_by`` (no per-person window).
     -> customer_unique_id, most_used_payment_type
     """
-    return _payments_agg(payments, _person_orders(orders, customers)).select(KEY, "most_used_payment_type")
+    return _payment_mode(payments, _person_orders(orders, customers))
 
 
 def write_customer_360(mart_df: DataFrame, path: str, mode: str = "overwrite") -> None:
