@@ -256,3 +256,54 @@ __all__ = [
     "date_range_profile", "foreign_key_report", "key_violations", "load_raw", "normalise", "null_before",
     "orphans", "preview", "render_timestamps", "schema_report",
 ]
+
+
+# attribute names the operators use for each loaded table (see fixtures.Marketplace)
+_STAR_ATTRS = {"orders": "orders", "customers": "customers", "order_items": "order_items",
+               "payments": "payments", "products": "products",
+               "product_category_name_translation": "translation", "sellers": "sellers",
+               "order_reviews": "reviews", "geolocation": "geolocation"}
+
+
+class StarSchema:
+    """Typed tables loaded from raw files, with the attribute names operators expect."""
+
+    def __init__(self, tables: Mapping[str, DataFrame]):
+        self.tables = dict(tables)
+        for name, df in tables.items():
+            setattr(self, _STAR_ATTRS.get(name, name), df)
+
+
+def load_star_schema(spark: SparkSession, csv_dir: str, blank_to_null: bool = True,
+                     min_valid_ts: str | None = "1900-01-02") -> StarSchema:
+    """T1-T3, T8, T11 in one call: every ``*.csv`` under ``csv_dir`` -> typed star schema.
+
+    Files are matched to tables by ``compact_name`` of their stem; columns are
+    read as text and converted with ``normalise`` (cast failures become NULL and
+    can be counted with ``cast_failures``). Orders, items and reviews get their
+    ``yyyyMMdd`` date keys. Lazy: nothing is read until a query runs.
+    """
+    import os
+
+    from souk.sources.calendar import add_datekeys
+
+    tables: dict[str, DataFrame] = {}
+    for entry in sorted(os.listdir(csv_dir)):
+        stem, ext = os.path.splitext(entry)
+        name = compact_name(stem)
+        if ext.lower() != ".csv" or name not in TYPE_SPEC:
+            continue
+        raw = load_raw(spark, os.path.join(csv_dir, entry))
+        tables[name] = normalise(raw, TYPE_SPEC[name], blank_to_null=blank_to_null, min_valid_ts=min_valid_ts)
+    keys = {"orders": {"order_purchase_timestamp": "purchase_datekey",
+                       "order_approved_at": "approved_datekey",
+                       "order_delivered_carrier_date": "delivered_carrier_datekey",
+                       "order_delivered_customer_date": "delivered_customer_datekey",
+                       "order_estimated_delivery_date": "estimated_delivery_datekey"},
+            "order_items": {"shipping_limit_date": "shipping_limit_datekey"},
+            "order_reviews": {"review_creation_date": "review_creation_datekey",
+                              "review_answer_timestamp": "review_answer_datekey"}}
+    for name, mapping in keys.items():
+        if name in tables:
+            tables[name] = add_datekeys(tables[name], mapping)
+    return StarSchema(tables)
