@@ -1,6 +1,8 @@
 """Plan audit: per query, exchanges, single-partition exchanges, broadcasts, scans.
 
-usage: python tools/plan_audit.py [sf_dir] [name ...]
+usage: python tools/plan_audit.py [--star] [sf_dir] [name ...]
+
+With ``--star`` the marketplace star schema is materialised first, as bench.py does.
 
 Runs each query once into the noop sink so the adaptive plan is final, then
 reads the formatted physical plan.
@@ -23,9 +25,18 @@ from souk.session import get_spark  # noqa: E402
 
 def main() -> None:
     args = sys.argv[1:]
+    star = "--star" in args
+    args = [a for a in args if a != "--star"]
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
     spark = get_spark()
+    if star:
+        from souk.session import ensure_checkpoint_dir
+        from souk.sources import fixtures
+
+        fixtures.materialize_star(spark, sf_dir, f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-star")
+    print("| query | exchanges | single-partition | broadcasts | windows | scans | widest scan (cols) |")
+    print("|---|---|---|---|---|---|---|")
     qs = E.queries()
     for name in names or list(qs):
         df = qs[name](spark, sf_dir)
@@ -40,8 +51,7 @@ def main() -> None:
         windows = len(re.findall(r"^\(\d+\) Window", plan, re.M))
         scans = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
         widest = max((s.count(":") for s in scans), default=0)
-        print(f"{name:28s} exchanges={shuffles:3d} single_partition={single:2d} broadcasts={bcast:3d} "
-              f"windows={windows:2d} scans={len(scans):3d} widest_scan_cols={widest}")
+        print(f"| {name} | {shuffles} | {single} | {bcast} | {windows} | {len(scans)} | {widest} |", flush=True)
 
 
 if __name__ == "__main__":
