@@ -57,3 +57,17 @@ def test_entry_smoke(spark):
     assert len(rows) > 0
     assert df.columns == ["year", "month_name", "total_orders", "total_revenue", "mom_revenue_growth_pct",
                           "yoy_revenue_growth_pct", "seasonality_tag"]
+
+
+RANKED = ["rfm_segments", "customer_pareto", "purchase_latency", "churn_risk_count", "seller_pareto",
+          "customer_360"]
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_ranked_queries_match_oracle_with_many_buckets(spark, duck, name, monkeypatch):
+    import souk.operators.ranks as ranks
+
+    monkeypatch.setattr(ranks, "MIN_ROWS_PER_BUCKET", 20)  # force several buckets on small inputs
+    got = E.queries()[name](spark, SF).toPandas()
+    want = duck.sql(E.oracle_sql()[name]).df()
+    assert _rows(got) == _rows(want)
