@@ -9,9 +9,9 @@ Plan shape:
 * every aggregation is a ``groupBy`` with map-side partial aggregation, so a
   person with a third of all orders costs one partial row per task, not one
   task; the payment-type mode is a ``min_by``;
-* inter-purchase gaps use the skew-safe ``grouped_lag``; the second purchase
-  date is the earliest date among rows that have a predecessor, so no
-  per-person row number is needed;
+* inter-purchase gaps come from one row per (person, day): same-day orders
+  are adjacent in the reference's order, so the gap statistics follow
+  exactly, and the window over that frame is bounded by the calendar;
 * the branches are left-joined on the person key; they all come out of a
   shuffle on that key, so the joins line up without re-shuffling the big side;
 * orders x customers (read by six branches) and the assembled core (read by
@@ -27,13 +27,13 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions import dates as D
 from souk.functions import labels as L
 from souk.functions.numeric import avg_double, count_if, safe_div
-from souk.operators.ranks import global_ntile, grouped_lag
+from souk.operators.ranks import global_ntile
 from souk.operators.retention import materialize
 
 KEY = "customer_unique_id"
@@ -207,16 +207,39 @@ def _median_agg(ob: DataFrame) -> DataFrame:
     return d.groupBy(KEY).agg(F.percentile(days, F.lit(0.5)).alias("median_delivery_days"))
 
 
-def _gaps(ob: DataFrame, buckets: int | None, materialize: bool) -> DataFrame:
-    lagged = grouped_lag(ob.select(KEY, "order_id", "purchase_date"), [KEY],
-                         [("purchase_date", True), ("order_id", True)], "purchase_date", "__prev", buckets,
-                         materialize=materialize)
-    gap = F.when(F.col("__prev").isNotNull(), F.datediff("purchase_date", "__prev"))
-    return lagged.groupBy(KEY).agg(
-        avg_double(gap).alias("avg_days_between_orders"),
-        F.max(gap).cast("long").alias("max_days_between_orders"),
-        F.datediff(F.min(F.when(F.col("__prev").isNotNull(), F.col("purchase_date"))),
-                   F.min("purchase_date")).cast("long").alias("first_to_second_order_days"),
+def _gaps(ob: DataFrame) -> DataFrame:
+    """Average, maximum and first-to-second gap in days between a person's orders.
+
+    Orders are ranked by (purchase_date, order_id), so orders on the same day
+    are adjacent and contribute 0-day gaps. Everything therefore follows from
+    one row per (person, day) with its order count: the gaps telescope to
+    (last - first) / (orders - 1); the maximum is the largest gap between
+    consecutive distinct days (0 if all orders share one day); the second
+    order falls on the first day if that day has two orders. The window runs
+    on the per-day frame, which holds at most one row per calendar day per
+    person, however many orders a person has. Orders without a purchase date
+    are ignored.
+    """
+    per_day = (ob.where(F.col("purchase_date").isNotNull())
+               .groupBy(KEY, "purchase_date").agg(F.count(F.lit(1)).alias("__cnt")))
+    w = Window.partitionBy(KEY).orderBy("purchase_date")  # bounded: one row per calendar day
+    days = (per_day.withColumn("__prev", F.lag("purchase_date").over(w))
+            .withColumn("__day_rank", F.row_number().over(w)))
+    agg = days.groupBy(KEY).agg(
+        F.sum("__cnt").alias("__n"),
+        F.min("purchase_date").alias("__d1"),
+        F.max("purchase_date").alias("__dn"),
+        F.max(F.datediff("purchase_date", "__prev")).alias("__max_step"),
+        F.max(F.when(F.col("__day_rank") == 1, F.col("__cnt"))).alias("__first_cnt"),
+        F.max(F.when(F.col("__day_rank") == 2, F.col("purchase_date"))).alias("__second_day"),
+    )
+    repeat = F.col("__n") >= 2
+    return agg.select(
+        KEY,
+        F.when(repeat, safe_div(F.datediff("__dn", "__d1"), F.col("__n") - 1)).alias("avg_days_between_orders"),
+        F.when(repeat, F.coalesce(F.col("__max_step"), F.lit(0))).cast("long").alias("max_days_between_orders"),
+        F.when(repeat, F.when(F.col("__first_cnt") >= 2, F.lit(0)).otherwise(F.datediff("__second_day", "__d1")))
+        .cast("long").alias("first_to_second_order_days"),
     )
 
 
@@ -276,7 +299,7 @@ def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame
         .join(_median_agg(ob), KEY, "left")
         .join(_distinct_items(order_items, ob), KEY, "left")
         .join(_payment_mode(payments, ob), KEY, "left")
-        .join(_gaps(ob, buckets, materialize=not checkpoint), KEY, "left")
+        .join(_gaps(ob), KEY, "left")
     )
     first, last = F.col("__first"), F.col("__last")
     total_orders, delivered = F.col("total_orders"), F.col("delivered_orders")
