@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions import labels as L
-from souk.functions.numeric import avg_double, pct, rnd, safe_div
+from souk.functions.numeric import pct, rnd, safe_div
 from souk.sources.calendar import add_datekeys, join_calendar
 
 
@@ -183,5 +183,5 @@ def aov_basket(orders: DataFrame, order_items: DataFrame, payments: DataFrame, c
 
 __all__ = [
     "aov_basket", "category_volume_value", "monthly_growth", "monthly_sales", "regional_profile",
-    "rolling_revenue", "seasonality_tag", "valid_orders", "avg_double",
+    "rolling_revenue", "seasonality_tag", "valid_orders",
 ]
