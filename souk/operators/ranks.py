@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 OrderSpec = Sequence[tuple[str, bool]]  # (column, ascending)
 
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1024  # beyond this the per-row CASE tree costs more than the buckets save
 DEFAULT_OVERSAMPLE = 32
 
 
