@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -20,5 +27,11 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "component_id")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hnsw import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
