@@ -19,6 +19,15 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"),
+                          public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
