@@ -2,4 +2,81 @@
 
 from __future__ import annotations
 
-QUERIES: dict[str, str] = {}
+OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS z
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.z, c.z), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
+
+# targets: the level of an uncapped source, one more capped set per step of the recursion
+OP6 = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(md5(text), 'null') AS h,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, h) AS copy FROM d
+), s AS (
+  SELECT source, source_size,
+         [1, 2, 3][(row_number() OVER (ORDER BY source IS NULL, source::BLOB) - 1) % 3 + 1] AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)
+), lvl AS (
+  SELECT 0 AS step, sum(source_size)::DOUBLE / sum(weight)::DOUBLE AS level FROM s
+  UNION ALL
+  SELECT step + 1, next FROM (
+    SELECT any_value(lvl.step) AS step, any_value(lvl.level) AS level,
+           ((SELECT sum(source_size) FROM s)
+            - coalesce(sum(3 * source_size) FILTER (3 * source_size < weight * level), 0))::DOUBLE
+           / (sum(weight) FILTER (3 * source_size >= weight * level))::DOUBLE AS next
+    FROM lvl, s)
+  WHERE next > level
+), t AS (
+  SELECT source, source_size,
+         least(weight * (SELECT max(level) FROM lvl), 3.0::DOUBLE * source_size) AS target
+  FROM s
+), e AS (
+  SELECT r.*, source_size, target,
+         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
+         CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END
+           - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS p,
+         (('0x' || substr(md5('42' || chr(31) || coalesce(doc_id::VARCHAR, '') || chr(31) || h
+           || chr(31) || copy::VARCHAR), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+), k AS (
+  SELECT *, target - source_size * whole AS wanted,
+         (u / (1 - u)) / (p / (1 - p)) AS odds
+  FROM e
+), c AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY floor(odds / (1 + odds) * 4503599627370496.0),
+                            doc_id, h, copy ROWS UNBOUNDED PRECEDING) AS until,
+         row_number() OVER (PARTITION BY source
+                            ORDER BY floor(odds / (1 + odds) * 4503599627370496.0), doc_id, h, copy) AS pos
+  FROM k WHERE size > 0 AND p > 0
+), stop AS (
+  SELECT source, CASE WHEN min(abs(until - wanted)) < min(wanted)
+                      THEN arg_min(pos, abs(until - wanted)) ELSE 0 END AS last
+  FROM c GROUP BY source
+)
+SELECT k.doc_id, k.size, k.source_size, k.target,
+       (k.size * (k.whole + CASE WHEN c.pos <= stop.last THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM k
+LEFT JOIN c ON k.doc_id IS NOT DISTINCT FROM c.doc_id AND k.h = c.h AND k.copy = c.copy
+  AND k.source IS NOT DISTINCT FROM c.source
+LEFT JOIN stop ON k.source IS NOT DISTINCT FROM stop.source
+"""
+
+QUERIES: dict[str, str] = {
+    "op1_exact_topk": OP1,
+    "op6_mixing": OP6,
+}

@@ -28,6 +28,19 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import NAMES, scan, span_text
+
+    found = scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["k"] < 3)
+
+    def count(k: int):
+        return F.size(F.filter("spans", lambda s: s["k"] == k)).cast("long").alias(f"n_{NAMES[k]}")
+
+    return found.select("doc_id", count(0), count(1), count(2), F.sha2(span_text(base), 256).alias("base_sha256"),
+                        span_text(F.col("spans")).alias("spans"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -36,6 +49,13 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_plan
+
+    return mix_plan(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hnsw import near_duplicates
 
