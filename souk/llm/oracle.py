@@ -76,7 +76,63 @@ LEFT JOIN c ON k.doc_id IS NOT DISTINCT FROM c.doc_id AND k.h = c.h AND k.copy =
 LEFT JOIN stop ON k.source IS NOT DISTINCT FROM stop.source
 """
 
+# the url after its first "://"; rules as rows, the longest that fits wins
+OP9 = """
+WITH rules(verdict, rhost, rpath) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), p AS (
+  SELECT page_id, row_number() OVER () AS n,
+         CASE WHEN instr(coalesce(url, ''), '://') > 0
+              THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), q AS (
+  SELECT page_id, n,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM p
+), listed AS (
+  SELECT DISTINCT host || rtrim(path, '/') AS canon FROM q
+  WHERE regexp_matches(host, '(^|\\.)(spam-farm|cheap-pills)\\.') AND host || rtrim(path, '/') <> ''
+), best AS (
+  SELECT n, arg_max(rhost || rpath, len(rhost || rpath) * 1000 + len(rhost)) AS rule,
+         arg_max(verdict, len(rhost || rpath) * 1000 + len(rhost)) AS verdict
+  FROM q JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY n
+)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN host || rtrim(path, '/') IN (SELECT canon FROM listed)
+                              THEN 'block' ELSE 'allow' END) AS verdict
+FROM q LEFT JOIN best USING (n)
+"""
+
+# base32 of the digest: five bits at a time out of the hexadecimal digits
+OP8 = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, sha1(coalesce(html, '')) AS sha FROM pages
+), b AS (
+  SELECT *, min(page_id) OVER (PARTITION BY sha) AS first,
+         list_aggregate(list_transform(str_split(sha, ''),
+           lambda h: right('000' || bin(('0x' || h)::INTEGER), 4)), 'string_agg', '') AS bits
+  FROM p
+)
+SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                1 + 16 * substr(bits, (5 * i + 1)::INTEGER, 1)::INTEGER
+                  + 8 * substr(bits, (5 * i + 2)::INTEGER, 1)::INTEGER
+                  + 4 * substr(bits, (5 * i + 3)::INTEGER, 1)::INTEGER
+                  + 2 * substr(bits, (5 * i + 4)::INTEGER, 1)::INTEGER
+                  + substr(bits, (5 * i + 5)::INTEGER, 1)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM b
+"""
+
 QUERIES: dict[str, str] = {
     "op1_exact_topk": OP1,
     "op6_mixing": OP6,
+    "op8_warc": OP8,
+    "op9_url_filter": OP9,
 }

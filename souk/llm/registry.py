@@ -41,6 +41,13 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         span_text(F.col("spans")).alias("spans"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages")).withColumn(
+        "n_chars", F.length("text").cast("long"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -56,6 +63,30 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"), least_bytes=0).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+# hosts whose pages make up the list of canonical URLs
+LISTED_HOSTS = r"(^|\.)(spam-farm|cheap-pills)\."
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge, url_parts
+
+    pages = table(spark, sf_dir, "pages")
+    host, _ = url_parts("url")
+    listed = pages.where(host.rlike(LISTED_HOSTS)).select("url")
+    return judge(pages, URL_RULES, listed)
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hnsw import near_duplicates
 
