@@ -27,8 +27,11 @@ carried or ignored, as ``doc_id`` only labels the output.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -42,10 +45,12 @@ STEP = 0.05               # share of a length's count covered in one round at mo
 NEAR = 0.02               # configurations within this share of the best are raised
 SHARPNESS = 6.0           # exponent of the weights per unit of coverage
 ROUNDS = 400
-CACHE_WORDS = 400_000     # words per cache generation of a Python worker (two are kept)
+CACHE_WORDS = 500_000     # words per cache generation of a Python worker (two are kept)
 GROUP_CHARS = 500_000     # texts looked up together
 
 END_ID = 0
+BEYOND_LATIN = re.compile("[^\\x00-\u017f]")
+FINAL_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[\x20\n]|\Z)")
 
 
 # ---- tokens -----------------------------------------------------------------------
@@ -73,15 +78,43 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        self.model = self.inner.model
+        # the usual byte-level alphabet: printable bytes stand for themselves, the others for
+        # the characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = iter(range(256, 512))
+        self.byte_alphabet = [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         mark = self.inner.encode(self.MARK, add_special_tokens=False).ids
         if len(mark) != 1:
             raise ValueError("the marker word must be a single token")
         self.mark = mark[0]
-        self.tails = dict(zip(".,", self._encode_words([".", ","])))
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. A word of letters in lower case is one piece of the model: the
+        byte alphabet of ASCII letters is the letters themselves, others are looked up."""
+        tokenise, out, others = self.model.tokenize, [], []
+        for w in words:
+            if not w.isalpha():
+                others.append(w)
+                out.append(None)
+                continue
+            if not w.isascii():
+                if not (w.islower() and max(w) < "\u0180" and is_normalized("NFC", w)):
+                    others.append(w)
+                    out.append(None)
+                    continue
+                w = "".join(map(self.byte_alphabet.__getitem__, w.encode()))
+            elif not w.islower():
+                w = w.lower()
+            out.append(array("I", [t.id for t in tokenise(w)]).tobytes())
+        if others:
+            rest = iter(self._encode_others(others))
+            out = [next(rest) if ids is None else ids for ids in out]
+        return out
+
+    def _encode_others(self, words: list[str]) -> list[bytes]:
         plain = [w for w in words if self.MARK not in w]
         found = {}
         if plain:
@@ -99,11 +132,19 @@ class WordTokenizer:
                 found[w] = np.array(e.ids, "<u4").tobytes()
         return [found[w] for w in words]
 
+    def split(self, text: str) -> list[str]:
+        """Words whose ids, in order, are the text's. In texts of Latin letters case is
+        dropped and a stop or comma behind a letter is a word of its own: the tokenizer
+        does both in any case, and the fewer different words there are, the better."""
+        if "<|" not in text and not BEYOND_LATIN.search(text):
+            text = FINAL_STOP.sub(r" \1", text.lower())
+        return text.split()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         group, chars = [], 0
         for text in texts:
-            group.append(text.split())
+            group.append(self.split(text))
             chars += len(text)
             if chars >= GROUP_CHARS:
                 yield from self._encode_group(group)
@@ -115,27 +156,14 @@ class WordTokenizer:
         if len(self.words) + len(wanted) > CACHE_WORDS:
             # two generations: words in use move on, the others are forgotten
             self.old, self.words = self.words, {}
-        words, old, tails = self.words, self.old, self.tails
+        words, old = self.words, self.old
         missing = wanted.difference(words)
         if old:
             again = [w for w in missing if w in old]
             words.update(zip(again, map(old.__getitem__, again)))
             missing.difference_update(again)
-        # a word of letters and its final stop or comma are encoded apart in any case,
-        # and case is dropped: most unknown words are known ones in another dress
-        plain = {}
-        for w in missing:
-            core, tail = (w[:-1], w[-1]) if w[-1] in tails and w[:-1].isalpha() else (w, "")
-            plain[w] = (core.lower() if core.isascii() else core, tail)
-        unknown = {core for core, _ in plain.values()}.difference(words)
-        if old:
-            again = [w for w in unknown if w in old]
-            words.update(zip(again, map(old.__getitem__, again)))
-            unknown.difference_update(again)
-        unknown = list(unknown)
+        unknown = list(missing)
         words.update(zip(unknown, self._encode_words(unknown)))
-        for w, (core, tail) in plain.items():
-            words[w] = words[core] + tails[tail] if tail else words[core]
         for split in group:
             yield b"".join(map(words.__getitem__, split))
 
