@@ -6,11 +6,10 @@ Layout:
     operators/  analysis operators, one module per business domain, plus the
                 distributed ranking operators in ``operators.ranks``
     plans/      the query catalogue (name -> DataFrame builder) and its SQL oracles
-    streaming/  intentionally empty: the analyses have no streaming form
+    llm/        training-data pipeline operators (optional; nothing here imports it)
 
 Every operator takes DataFrames in the reference schema and returns a lazy
-DataFrame; nothing is collected to the driver except bounded metadata (rank
-cut points, bucket counts).
+DataFrame; nothing is collected to the driver except single rows of bounds.
 """
 
 from souk.session import get_spark

@@ -110,5 +110,5 @@ SEASONAL_CLASSES = (
 HOUR_WINDOWS = ("Lunchtime Spike Window", "Evening Spike Window", "Standard Time")
 INTRADAY_SEPARATOR = "--- INTRA-DAY ANALYSIS ---"
 RFM_MART = ("Champions", "Loyal Customers", "Potential Loyalist", "At Risk", "Hibernating", "Others")
-PAYMENT_TYPES = ("credit_card", "boleto", "voucher", "debit_card")
+
 # ---- end of fixed values -----------------------------------------------------

@@ -1,8 +1,7 @@
 """Numeric helpers shared by every operator.
 
-Rounding goes through DECIMAL: the reference casts results to ``decimal(p,2)``
-(half away from zero), and a decimal round is exact, whereas rounding a binary
-double (e.g. 1.005) differs between engines. Results are returned as DOUBLE.
+Rounding is one cast to DECIMAL, as the reference casts results to ``decimal(p,2)``
+(half away from zero). Results are returned as DOUBLE.
 """
 
 from __future__ import annotations
@@ -17,9 +16,14 @@ def _c(x: ColumnOrName) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def rnd_decimal(x: ColumnOrName, digits: int = 2) -> Column:
+    """``CAST(x AS decimal(p, digits))``, kept exact for a later sum of rounded values."""
+    return _c(x).cast(f"decimal(38,{digits})")
+
+
 def rnd(x: ColumnOrName, digits: int = 2) -> Column:
     """``CAST(x AS decimal(p, digits))`` semantics, returned as DOUBLE."""
-    return F.round(_c(x).cast("decimal(38,6)"), digits).cast("double")
+    return rnd_decimal(x, digits).cast("double")
 
 
 def dbl(x: ColumnOrName) -> Column:
@@ -44,8 +48,8 @@ def avg_double(x: ColumnOrName) -> Column:
 
 def avg_truncated(x: ColumnOrName) -> Column:
     """T-SQL ``AVG(int_col)``: integer average, truncated toward zero."""
-    s, n = F.sum(_c(x)), F.count(_c(x))
-    return F.when(n > 0, (s / n).cast("long"))
+    s, n = F.sum(_c(x)).cast("long"), F.count(_c(x))
+    return F.when(n > 0, F.call_function("div", s, n))
 
 
 def truncate_int(x: ColumnOrName) -> Column:

@@ -14,10 +14,12 @@ Plan shape:
   exactly, and the window over that frame is bounded by the calendar;
 * the branches are left-joined on the person key; they all come out of a
   shuffle on that key, so the joins line up without re-shuffling the big side;
-* orders x customers (read by six branches) and the assembled core (read by
-  the three RFM rankings and the final projection) are checkpointed to the
-  shared checkpoint folder instead of being recomputed per branch;
-* RFM scores use the bucketed ``global_ntile`` (NULLs lowest, ties by person).
+* the order facts (read by six branches) and the assembled core (read by the
+  three RFM rankings and the final projection) are checkpointed to the shared
+  checkpoint folder instead of being recomputed per branch; the facts carry each
+  order's product, seller and payment-type sets, so items and payments are
+  shuffled once;
+* RFM scores use the ranged ``global_ntile`` (NULLs lowest, ties by person).
 
 Money sums are exact DECIMAL sums converted to DOUBLE once; averages are one
 division of exact sums, so the values do not depend on summation order.
@@ -38,34 +40,27 @@ from souk.operators.retention import materialize
 
 KEY = "customer_unique_id"
 
+# ---- fixed values: the mart's output contract ----
 OUTPUT_COLUMNS = (
-    # identity & location
     "customer_unique_id", "first_customer_id", "customer_city", "customer_state", "customer_zip_code_prefix",
     "customer_latitude", "customer_longitude",
-    # acquisition & lifecycle
     "first_purchase_date", "first_purchase_year", "first_purchase_month", "acquisition_cohort_month",
     "last_purchase_date", "customer_lifetime_days", "days_since_last_purchase", "is_churned_flag",
-    # order behaviour
     "total_orders", "delivered_orders", "canceled_orders", "undelivered_orders", "distinct_products_purchased",
     "distinct_sellers_purchased", "avg_items_per_order", "is_repeat_buyer_flag",
-    # monetary
     "total_revenue", "avg_order_value", "min_order_value", "max_order_value", "total_freight_value",
     "avg_freight_per_order", "freight_to_revenue_ratio", "total_payment_value", "avg_installments_per_order",
-    # purchase frequency
     "active_months_count", "purchase_frequency_per_month", "avg_days_between_orders",
     "first_to_second_order_days", "max_days_between_orders",
-    # delivery
     "avg_delivery_days", "median_delivery_days", "on_time_deliveries", "late_deliveries",
     "on_time_delivery_rate", "late_delivery_rate", "avg_days_late",
-    # reviews
     "total_reviews", "review_participation_rate", "avg_review_score", "min_review_score", "max_review_score",
     "negative_review_rate", "positive_review_rate",
-    # payments
     "most_used_payment_type", "credit_card_usage_rate", "installment_usage_rate",
-    # segmentation
     "recency_days", "frequency_orders", "monetary_value", "rfm_recency_score", "rfm_frequency_score",
     "rfm_monetary_score", "rfm_segment_label",
 )
+# ---- end of fixed values ----
 
 
 NULLABLE_COUNTS = (
@@ -103,16 +98,21 @@ def _order_facts(ob: DataFrame, items: DataFrame, payments: DataFrame, reviews:
         F.sum("price").alias("__order_value"),
         F.sum("freight_value").alias("__freight"),
         F.count(F.lit(1)).alias("__items"),
+        # sets of one order: bounded by the order's lines
+        F.collect_set("product_id").alias("__products"),
+        F.collect_set("seller_id").alias("__sellers"),
     )
     pay = payments.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("__pay_rows"),
         F.sum("payment_value").alias("__paid"),
         F.max("payment_installments").alias("__inst"),
         F.max((F.col("payment_type") == "credit_card").cast("int")).alias("__cc"),
+        F.collect_set("payment_type").alias("__types"),
     )
     s = F.col("review_score")
     rv = reviews.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("__reviews"),
+        F.count(s).alias("__scored"),
         F.sum(s).alias("__score_sum"),
         F.min(s).alias("__score_min"),
         F.max(s).alias("__score_max"),
@@ -160,10 +160,12 @@ def _person_agg(facts: DataFrame) -> DataFrame:
         F.sum("__freight").alias("__freight"), F.sum("__items").alias("__items"),
         # payments (per order: rows, paid, max installments, any credit card)
         F.sum("__paid").alias("__paid"), F.sum(F.col("__pay_rows") * F.col("__inst")).alias("__inst_w"),
-        F.sum("__pay_rows").alias("__pay_rows"), F.count("__pay_rows").alias("__paid_orders"),
+        F.sum(F.when(F.col("__inst").isNotNull(), F.col("__pay_rows"))).alias("__inst_rows"),
+        F.count("__pay_rows").alias("__paid_orders"),
         F.sum("__cc").alias("__cc"), count_if(F.col("__inst") > 1).alias("__inst_orders"),
         # reviews (per order: count, score sum/min/max, negatives, positives)
-        F.sum("__reviews").alias("__reviews"), F.sum("__score_sum").alias("__score_sum"),
+        F.sum("__reviews").alias("__reviews"), F.sum("__scored").alias("__scored"),
+        F.sum("__score_sum").alias("__score_sum"),
         F.min("__score_min").alias("__score_min"), F.max("__score_max").alias("__score_max"),
         F.sum("__neg").alias("__neg"), F.sum("__pos").alias("__pos"),
     )
@@ -178,7 +180,7 @@ def _person_agg(facts: DataFrame) -> DataFrame:
         F.sum("__late").alias("late_deliveries"),
         safe_div(F.sum("__dd_sum"), F.sum("__dd_n")).alias("avg_delivery_days"),
         safe_div(F.sum("__dl_sum"), F.sum("__dl_n")).alias("avg_days_late"),
-        F.count(F.lit(1)).alias("active_months_count"),
+        F.count("__ym").alias("active_months_count"),  # a month row without a date is none
         F.sum("__rev").cast("double").alias("total_revenue"),
         safe_div(F.sum("__rev"), F.sum("__valued")).alias("avg_order_value"),
         F.min("__ov_min").cast("double").alias("min_order_value"),
@@ -187,12 +189,12 @@ def _person_agg(facts: DataFrame) -> DataFrame:
         F.sum("__items").alias("__total_items"),
         F.sum("__paid").cast("double").alias("total_payment_value"),
         # mean over payment rows of the order's max installments (row-weighted, as in the reference)
-        safe_div(F.sum("__inst_w"), F.sum("__pay_rows")).alias("avg_installments_per_order"),
+        safe_div(F.sum("__inst_w"), F.sum("__inst_rows")).alias("avg_installments_per_order"),
         F.sum("__paid_orders").alias("__paid_orders"),
         F.sum("__cc").alias("__cc_orders"),
         F.sum("__inst_orders").alias("__inst_orders"),
         F.sum("__reviews").alias("total_reviews"),
-        safe_div(F.sum("__score_sum"), F.sum("__reviews")).alias("avg_review_score"),
+        safe_div(F.sum("__score_sum"), F.sum("__scored")).alias("avg_review_score"),
         F.min("__score_min").alias("min_review_score"),
         F.max("__score_max").alias("max_review_score"),
         safe_div(F.sum("__neg"), F.sum("__reviews")).alias("negative_review_rate"),
@@ -243,18 +245,19 @@ def _gaps(ob: DataFrame) -> DataFrame:
     )
 
 
-def _distinct_items(items: DataFrame, ob: DataFrame) -> DataFrame:
-    ib = items.select("order_id", "product_id", "seller_id").join(ob.select("order_id", KEY), "order_id")
-    return ib.groupBy(KEY).agg(
-        F.count_distinct("product_id").alias("distinct_products_purchased"),
-        F.count_distinct("seller_id").alias("distinct_sellers_purchased"),
-    )
+def _distinct_values(facts: DataFrame, sets: str, out: str) -> DataFrame:
+    """Distinct values per person out of the per-order sets, hashed and partially combined."""
+    values = facts.select(KEY, F.explode(sets).alias("__value")).distinct()
+    return values.groupBy(KEY).agg(F.count(F.lit(1)).alias(out))
+
 
+def _payment_mode(facts: DataFrame) -> DataFrame:
+    """Most used type by distinct orders; ties go to the alphabetically first type.
 
-def _payment_mode(payments: DataFrame, ob: DataFrame) -> DataFrame:
-    """Most used type by distinct orders; ties go to the alphabetically first type."""
-    typed = payments.select("order_id", "payment_type").distinct().join(ob.select("order_id", KEY), "order_id")
-    by_type = typed.groupBy(KEY, "payment_type").agg(F.count(F.lit(1)).alias("__n"))
+    An order's set names each of its types once, so rows per type are distinct orders.
+    """
+    by_type = (facts.select(KEY, F.explode("__types").alias("payment_type"))
+               .groupBy(KEY, "payment_type").agg(F.count(F.lit(1)).alias("__n")))
     return by_type.groupBy(KEY).agg(
         F.min_by("payment_type", F.struct(-F.col("__n"), F.col("payment_type"))).alias("most_used_payment_type"))
 
@@ -289,17 +292,18 @@ def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame
         .join(customers.select("customer_id", KEY), "customer_id")
         .withColumn("purchase_date", F.to_date("order_purchase_timestamp"))
     )
+    facts = _order_facts(ob, order_items, payments, reviews)
     if checkpoint:
-        # orders x customers feeds six branches that each prune it differently (no shuffle
-        # reuse possible); one write to the shared checkpoint folder replaces six joins
-        ob = materialize(ob)
+        # six branches read the order facts; items and payments are shuffled once for all of them
+        facts = materialize(facts)
     core = (
         _customers_geo(customers, geolocation)
-        .join(_person_agg(_order_facts(ob, order_items, payments, reviews)), KEY, "left")
-        .join(_median_agg(ob), KEY, "left")
-        .join(_distinct_items(order_items, ob), KEY, "left")
-        .join(_payment_mode(payments, ob), KEY, "left")
-        .join(_gaps(ob), KEY, "left")
+        .join(_person_agg(facts), KEY, "left")
+        .join(_median_agg(facts), KEY, "left")
+        .join(_distinct_values(facts, "__products", "distinct_products_purchased"), KEY, "left")
+        .join(_distinct_values(facts, "__sellers", "distinct_sellers_purchased"), KEY, "left")
+        .join(_payment_mode(facts), KEY, "left")
+        .join(_gaps(facts), KEY, "left")
     )
     first, last = F.col("__first"), F.col("__last")
     total_orders, delivered = F.col("total_orders"), F.col("delivered_orders")
@@ -343,13 +347,9 @@ def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame
     if checkpoint:
         core = materialize(core)
     key = (KEY, True)
-    again = not checkpoint  # a checkpointed core is cheap to re-read
-    r = global_ntile(core.select(KEY, "recency_days"), [("recency_days", True), key], 5, "__r", buckets,
-                     materialize=again)
-    f = global_ntile(core.select(KEY, "frequency_orders"), [("frequency_orders", True), key], 5, "__f", buckets,
-                     materialize=again)
-    m = global_ntile(core.select(KEY, "monetary_value"), [("monetary_value", True), key], 5, "__m", buckets,
-                     materialize=again)
+    r = global_ntile(core.select(KEY, "recency_days"), [("recency_days", True), key], 5, "__r", buckets)
+    f = global_ntile(core.select(KEY, "frequency_orders"), [("frequency_orders", True), key], 5, "__f", buckets)
+    m = global_ntile(core.select(KEY, "monetary_value"), [("monetary_value", True), key], 5, "__m", buckets)
     scored = (
         core.join(r.select(KEY, (6 - F.col("__r")).alias("rfm_recency_score")), KEY)
         .join(f.select(KEY, F.col("__f").alias("rfm_frequency_score")), KEY)
@@ -383,7 +383,9 @@ def payment_type_mode(payments: DataFrame, orders: DataFrame, customers: DataFra
     Two partial aggregations and ``min_by`` (no per-person window).
     -> customer_unique_id, most_used_payment_type
     """
-    return _payment_mode(payments, _person_orders(orders, customers))
+    types = payments.groupBy("order_id").agg(F.collect_set("payment_type").alias("__types"))
+    return _payment_mode(types.join(orders.select("order_id", "customer_id"), "order_id")
+                         .join(customers.select("customer_id", KEY), "customer_id"))
 
 
 def write_customer_360(mart_df: DataFrame, path: str, mode: str = "overwrite") -> None:

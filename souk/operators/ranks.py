@@ -1,215 +1,72 @@
 """Distributed replacements for windows that have no PARTITION BY.
 
-``ntile``/``percent_rank``/``row_number`` over a whole table, or ``lag`` inside a
-group that may hold a third of all rows, make Spark move the data to a single
-task. The operators here keep the exact SQL semantics but spread the work:
+``ntile``/``rank``/``percent_rank``/``row_number`` over a whole table, or ``lag`` inside
+a group that may hold a third of all rows, make Spark move the data to a single task.
+The operators here keep the exact SQL semantics but spread the work:
 
-1. *Cut tuples.* A bounded, deterministic sample (rows whose ``xxhash64``
-   of the sort key falls under a threshold sized for ``buckets * oversample``
-   rows, given the exact row count) is sorted by the full sort key and every
-   k-th tuple becomes a cut. This is the only driver round trip and its size
-   depends on the bucket count, not on the data or the number of partitions.
-2. *Buckets.* Each row's bucket is the number of cut tuples not after it,
-   computed with a balanced ``CASE`` tree (log2(buckets) tuple comparisons).
-   The bucket is a pure function of the row, so recomputing a lost partition
-   gives the same answer. Because every sort column takes part in the
-   comparison, one heavy value spreads over many buckets.
-3. *Local work.* Windows run with ``partitionBy(bucket)``.
-4. *Stitching.* A per-bucket summary (one row per bucket, so its size is
-   bounded by ``buckets``) gives row offsets, totals and the row that ends each
-   bucket; it is broadcast back.
+1. *Ranges.* ``repartitionByRange`` on the full sort key deals the rows into
+   contiguous ranges, as many as the session's shuffle partitions (or ``buckets``).
+   Every sort column takes part, so one heavy value spreads over many ranges. The
+   partition id is stored with the rows in the shared checkpoint folder, which makes
+   it a fact that recomputing a lost task cannot change.
+2. *Local work.* Windows run with ``partitionBy(range)``.
+3. *Stitching.* One summary row per range gives row offsets, totals and the rows that
+   open and close it. Those few rows are joined back on the range id.
+
+There is no cap on the number of ranges and no other path for small inputs.
 
 The sort key must be a total order (end it with a unique key), as in the
 reference's ranking windows once ties are broken deliberately.
-
-The input is read several times (sample, per-bucket summary, bucket windows).
-Those branches prune different columns, so Spark cannot reuse one shuffle for
-all of them; by default the input is therefore checkpointed once to the
-session's shared checkpoint folder (``materialize=True``). Callers that pass an
-already checkpointed frame set ``materialize=False``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-OrderSpec = Sequence[tuple[str, bool]]  # (column, ascending)
-
-MAX_BUCKETS = 1024  # beyond this the per-row CASE tree costs more than the buckets save
-DEFAULT_OVERSAMPLE = 32
-
-
-@dataclass(frozen=True)
-class _Keys:
-    """Sort columns rewritten to types whose order survives a driver round trip."""
-
-    names: list[str]          # hidden key column names, in sort order
-    ascending: list[bool]
-
-    def order_cols(self) -> list[Column]:
-        # Spark default null order: ascending NULLS FIRST, descending NULLS LAST.
-        return [F.col(n).asc() if a else F.col(n).desc() for n, a in zip(self.names, self.ascending)]
 
+from souk.session import ensure_checkpoint_dir
 
-def _with_keys(df: DataFrame, order: OrderSpec, prefix: str = "__k") -> tuple[DataFrame, _Keys]:
-    types = dict((f.name, f.dataType) for f in df.schema.fields)
-    names, cols = [], []
-    for i, (name, _) in enumerate(order):
-        dt = types[name]
-        c = F.col(name)
-        if isinstance(dt, T.TimestampType) or isinstance(dt, T.TimestampNTZType):
-            c = F.unix_micros(c.cast("timestamp"))
-        elif isinstance(dt, T.DateType):
-            c = F.unix_date(c)
-        elif isinstance(dt, T.BooleanType):
-            c = c.cast("int")
-        names.append(f"{prefix}{i}")
-        cols.append(c.alias(f"{prefix}{i}"))
-    return df.select("*", *cols), _Keys(names, [a for _, a in order])
-
-
-def _default_buckets(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(MAX_BUCKETS, 4 * parts))
-
-
-MIN_ROWS_PER_BUCKET = 20_000
-_HASH_SPACE = 1 << 30
-
-
-def _cut_tuples(df: DataFrame, keys: _Keys, buckets: int, oversample: int, fixed: bool = True) -> list[tuple]:
-    """Bounded deterministic sample -> up to ``buckets - 1`` cut tuples in sort order.
-
-    The row count comes first (the input is materialised, so this is a scan of
-    stored rows). Rows are then kept when ``xxhash64(key) mod 2^30`` falls under a
-    threshold sized for ``buckets * oversample`` rows in total, so the sample
-    does not grow with the number of input partitions (a top-k per partition
-    would), and a recomputation keeps the same rows. Unless ``fixed``, small
-    inputs get fewer buckets (at least ``MIN_ROWS_PER_BUCKET`` rows each).
-    """
-    n = df.count()
-    if not fixed:
-        buckets = max(1, min(buckets, n // MIN_ROWS_PER_BUCKET))
-    if buckets <= 1 or n == 0:
-        return []
-    size = buckets * oversample
-    keyed = df.select(*keys.names)
-    if n > size:
-        threshold = max(1, int(_HASH_SPACE * size / n))
-        keyed = keyed.where(F.pmod(F.xxhash64(*keys.names), F.lit(_HASH_SPACE)) < threshold)
-    sample = keyed.orderBy(*keys.order_cols()).collect()
-    if not sample:
-        return []
-    step = len(sample) / buckets
-    cuts: list[tuple] = []
-    for i in range(1, buckets):
-        row = tuple(sample[min(len(sample) - 1, int(i * step))])
-        if not cuts or cuts[-1] != row:
-            cuts.append(row)
-    return cuts
-
-
-def _sql_literal(value, dtype: T.DataType) -> str:
-    """Exact SQL literal of a collected key value, typed like its column."""
-    if value is None:
-        return "NULL"
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return f"CAST('{float(value)!r}' AS DOUBLE)"
-    if isinstance(dtype, T.DecimalType):
-        return f"CAST('{format(value, "f")}' AS DECIMAL({dtype.precision},{dtype.scale}))"
-    if isinstance(dtype, T.StringType):
-        text = str(value).replace("\\", "\\\\").replace("'", "\\'")
-        return f"'{text}'"
-    return f"CAST({int(value)} AS {dtype.simpleString().upper()})"
-
-
-def _precedes_sql(keys: _Keys, types: dict[str, T.DataType], cut: tuple) -> str:
-    """SQL predicate: row strictly before ``cut`` in the lexicographic sort order.
-
-    Spark's default null order is used: ascending NULLS FIRST, descending NULLS LAST.
-    """
-    result: str | None = None
-    for name, asc, value in reversed(list(zip(keys.names, keys.ascending, cut))):
-        c = f"`{name}`"
-        if value is None:
-            before = "false" if asc else f"({c} IS NOT NULL)"
-            equal = f"({c} IS NULL)"
-        else:
-            lit = _sql_literal(value, types[name])
-            before = f"({c} IS NULL OR {c} < {lit})" if asc else f"({c} IS NOT NULL AND {c} > {lit})"
-            equal = f"({c} <=> {lit})"
-        result = before if result is None else f"({before} OR ({equal} AND {result}))"
-    return result or "false"
-
-
-def _bucket_expr(keys: _Keys, types: dict[str, T.DataType], cuts: list[tuple]) -> Column:
-    """Bucket id = number of cut tuples not after the row: a balanced CASE tree.
-
-    Rendered as one SQL expression so building it costs one JVM call, not one
-    per comparison.
-    """
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2  # cuts[mid] separates buckets <= mid from buckets > mid
-        return f"CASE WHEN {_precedes_sql(keys, types, cuts[mid])} THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
-
-    return F.expr(tree(0, len(cuts)))
-
+OrderSpec = Sequence[tuple[str, bool]]  # (column, ascending)
+BUCKET = "__bucket"
 
-def _materialize(df: DataFrame) -> DataFrame:
-    from souk.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _order_cols(order: OrderSpec) -> list[Column]:
+    # Spark default null order: ascending NULLS FIRST, descending NULLS LAST.
+    return [F.col(n).asc() if a else F.col(n).desc() for n, a in order]
 
 
-def bucketize(df: DataFrame, order: OrderSpec, buckets: int | None = None,
-              oversample: int = DEFAULT_OVERSAMPLE, materialize: bool = True) -> tuple[DataFrame, _Keys]:
-    """Add ``__bucket``: contiguous ranges of the total order ``order``."""
-    keyed, keys = _with_keys(df, order)
-    if materialize:
-        keyed = _materialize(keyed)
-    b = buckets or _default_buckets(df)
-    cuts = _cut_tuples(keyed, keys, b, oversample, fixed=buckets is not None)
-    types = {f.name: f.dataType for f in keyed.schema.fields}
-    return keyed.withColumn("__bucket", _bucket_expr(keys, types, cuts).cast("int")), keys
+def bucketize(df: DataFrame, order: OrderSpec, buckets: int | None = None) -> DataFrame:
+    """``df`` with ``__bucket``, the number of its contiguous range of ``order``; stored."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ensure_checkpoint_dir(spark)
+    ranged = df.repartitionByRange(n, *_order_cols(order)).withColumn(BUCKET, F.spark_partition_id())
+    return ranged.checkpoint(eager=True)
 
 
-def _bucket_offsets(bucketed: DataFrame) -> DataFrame:
-    """One row per non-empty bucket: rows before it and the grand total."""
-    counts = bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__cnt"))
-    w = Window.orderBy("__bucket")  # at most MAX_BUCKETS rows
-    return counts.select(
-        "__bucket",
-        F.coalesce(F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__offset"),
-        F.sum("__cnt").over(Window.partitionBy(F.lit(1))).alias("__n"),
-    )
+def _offsets(counts: DataFrame) -> list[Column]:
+    """Columns over one row per range with ``__cnt``: rows before it and the grand total."""
+    w = Window.orderBy(BUCKET)  # one row per range
+    before = F.sum("__cnt").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    total = F.sum("__cnt").over(Window.partitionBy(F.lit(1)))
+    return [F.coalesce(before, F.lit(0)).alias("__offset"), total.alias("__n")]
 
 
 def global_row_number(df: DataFrame, order: OrderSpec, rn: str = "row_number", total: str = "__n",
-                      buckets: int | None = None, keep_bucket: bool = False,
-                      materialize: bool = True) -> DataFrame:
+                      buckets: int | None = None) -> DataFrame:
     """``row_number() over (order by ...)`` without a single-partition window.
 
     Adds ``rn`` (1-based) and ``total`` (row count of ``df``).
     """
-    bucketed, keys = bucketize(df, order, buckets, materialize=materialize)
-    offsets = F.broadcast(_bucket_offsets(bucketed))
-    local = F.row_number().over(Window.partitionBy("__bucket").orderBy(*keys.order_cols()))
-    out = (
-        bucketed.withColumn("__local_rn", local)
-        .join(offsets, "__bucket")
-        .withColumn(rn, F.col("__offset") + F.col("__local_rn"))
-        .withColumnRenamed("__n", total)
-    )
-    drop = ["__local_rn", "__offset", *keys.names] + ([] if keep_bucket else ["__bucket"])
-    return out.drop(*drop)
+    bucketed = bucketize(df, order, buckets)
+    counts = bucketed.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("__cnt"))
+    offsets = counts.select(BUCKET, *_offsets(counts))
+    local = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*_order_cols(order)))
+    return (bucketed.withColumn("__local", local).join(offsets, BUCKET)
+            .withColumn(rn, F.col("__offset") + F.col("__local"))
+            .withColumnRenamed("__n", total).drop(BUCKET, "__local", "__offset"))
 
 
 def ntile_of(rn: Column, n: Column, tiles: int) -> Column:
@@ -226,108 +83,73 @@ def ntile_of(rn: Column, n: Column, tiles: int) -> Column:
 
 
 def global_ntile(df: DataFrame, order: OrderSpec, tiles: int, out: str,
-                 buckets: int | None = None, materialize: bool = True) -> DataFrame:
-    """``ntile(tiles) over (order by ...)`` computed bucket-wise."""
-    numbered = global_row_number(df, order, rn="__grn", total="__gn", buckets=buckets, materialize=materialize)
+                 buckets: int | None = None) -> DataFrame:
+    """``ntile(tiles) over (order by ...)`` computed range by range."""
+    numbered = global_row_number(df, order, rn="__grn", total="__gn", buckets=buckets)
     return numbered.withColumn(out, ntile_of(F.col("__grn"), F.col("__gn"), tiles)).drop("__grn", "__gn")
 
 
-def global_percent_rank(df: DataFrame, order: OrderSpec, peers: int, out: str,
-                        buckets: int | None = None, materialize: bool = True) -> DataFrame:
-    """``percent_rank() over (order by <first ``peers`` columns of order>)``.
+def global_rank(df: DataFrame, order: OrderSpec, peers: int, out: str, total: str = "__n",
+                buckets: int | None = None) -> DataFrame:
+    """``rank() over (order by <first ``peers`` columns of order>)`` and the row count.
 
     ``order`` must end with a unique key; only its first ``peers`` columns decide
-    ties, exactly like ``rank``. A peer group can straddle buckets; only the
-    value that opens a bucket can do so, because the opening row of every bucket
-    is a cut tuple. Rows of that value in earlier buckets are counted with one
-    filtered aggregation over at most ``buckets`` values and subtracted.
+    ties. A value can straddle ranges only as the value that closes one and opens the
+    next ones, so two rows per range tell where each such value starts: its rank is
+    the least one found for it.
     """
-    keyed, keys = _with_keys(df, order)
-    if materialize:
-        keyed = _materialize(keyed)
-    b = buckets or _default_buckets(df)
-    cuts = _cut_tuples(keyed, keys, b, DEFAULT_OVERSAMPLE, fixed=buckets is not None)
-    types = {f.name: f.dataType for f in keyed.schema.fields}
-    bucketed = keyed.withColumn("__bucket", _bucket_expr(keys, types, cuts).cast("int"))
-    peer_names = keys.names[:peers]
-    peer_order = keys.order_cols()[:peers]
+    bucketed = bucketize(df, order, buckets)
+    names = [n for n, _ in order[:peers]]
+    local = F.rank().over(Window.partitionBy(BUCKET).orderBy(*_order_cols(order[:peers])))
+    ranked = bucketed.withColumn("__local", local)
+    value = F.struct(*names)
+    ends = ranked.groupBy(BUCKET).agg(
+        F.count(F.lit(1)).alias("__cnt"), F.max("__local").alias("__last_rank"),
+        F.min_by(value, "__local").alias("__first"), F.max_by(value, "__local").alias("__last"))
+    ends = ends.select("*", *_offsets(ends))
+    starts = ends.select(F.explode(F.array(
+        F.struct(F.col("__first").alias("v"), (F.col("__offset") + 1).alias("r")),
+        F.struct(F.col("__last").alias("v"), (F.col("__offset") + F.col("__last_rank")).alias("r")),
+    )).alias("s")).groupBy(F.col("s.v").alias("__value")).agg(F.min("s.r").alias("__start"))
+    stitch = ends.join(starts, F.col("__first").eqNullSafe(F.col("__value"))) \
+        .select(BUCKET, "__offset", F.col("__n").alias("__total"), "__first", "__start")
+    opens = F.col("__first").eqNullSafe(value)
+    return (ranked.join(stitch, BUCKET)
+            .withColumn(out, F.when(opens, F.col("__start")).otherwise(F.col("__offset") + F.col("__local")))
+            .withColumnRenamed("__total", total)
+            .drop(BUCKET, "__local", "__offset", "__first", "__start"))
 
-    offsets = _bucket_offsets(bucketed)
-    spark = df.sparkSession
-    # value opening each bucket k >= 1 is the peer part of cuts[k - 1]
-    schema = T.StructType([T.StructField("__bucket", T.IntegerType())] + [
-        f for f in keyed.schema.fields if f.name in peer_names
-    ])
-    openers = spark.createDataFrame([(k + 1, *cut[:peers]) for k, cut in enumerate(cuts)], schema)
-    cond = [bucketed["__bucket"] < openers["__bucket"]] + [
-        bucketed[n].eqNullSafe(openers[n]) for n in peer_names
-    ]
-    # rows equal to a bucket's opening value that sit in earlier buckets
-    spill = (
-        bucketed.select("__bucket", *peer_names).alias("r")
-        .join(F.broadcast(openers.alias("o")), cond)
-        .groupBy(openers["__bucket"]).agg(F.count(F.lit(1)).alias("__spill"))
-    )
-    stitch = (
-        offsets.join(openers, "__bucket", "left")
-        .join(spill, "__bucket", "left")
-        .select("__bucket", "__offset", "__n", F.coalesce("__spill", F.lit(0)).alias("__spill"),
-                *[F.col(n).alias(f"__open_{n}") for n in peer_names])
-    )
-    local_rank = F.rank().over(Window.partitionBy("__bucket").orderBy(*peer_order))
-    opens_bucket = F.lit(True)
-    for n in peer_names:
-        opens_bucket = opens_bucket & F.col(n).eqNullSafe(F.col(f"__open_{n}"))
-    opens_bucket = opens_bucket & (F.col("__bucket") > 0)
-    rank = F.when(opens_bucket, F.col("__offset") - F.col("__spill") + 1).otherwise(
-        F.col("__offset") + F.col("__local_rank"))
-    pr = F.when(F.col("__n") > 1, (rank - 1) / (F.col("__n") - 1)).otherwise(F.lit(0.0))
-    out_df = (
-        bucketed.withColumn("__local_rank", local_rank)
-        .join(F.broadcast(stitch), "__bucket")
-        .withColumn(out, pr.cast("double"))
-    )
-    hidden = ["__bucket", "__local_rank", "__offset", "__n", "__spill", *keys.names,
-              *[f"__open_{n}" for n in peer_names]]
-    return out_df.drop(*hidden)
+
+def global_percent_rank(df: DataFrame, order: OrderSpec, peers: int, out: str,
+                        buckets: int | None = None) -> DataFrame:
+    """``percent_rank() over (order by <first ``peers`` columns of order>)``."""
+    ranked = global_rank(df, order, peers, "__rank", "__rows", buckets)
+    share = F.when(F.col("__rows") > 1, (F.col("__rank") - 1) / (F.col("__rows") - 1)).otherwise(F.lit(0.0))
+    return ranked.withColumn(out, share.cast("double")).drop("__rank", "__rows")
 
 
 def grouped_lag(df: DataFrame, partition: Sequence[str], order: OrderSpec, value: str, out: str,
-                buckets: int | None = None, materialize: bool = True) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """``lag(value) over (partition by ... order by ...)`` safe for a hot group.
 
-    ``partition`` + ``order`` must be a total order. Rows are bucketed by the
-    combined key, so a group holding a third of the data spans many buckets;
-    inside a bucket a plain partitioned ``lag`` runs, and the first row of a
-    bucket takes its predecessor from the row that closes the previous
-    non-empty bucket (a one-row-per-bucket frame, broadcast back).
+    ``partition`` + ``order`` must be a total order. Rows are ranged by the
+    combined key, so a group holding a third of the data spans many ranges;
+    inside a range a plain partitioned ``lag`` runs, and the first row of a
+    range takes its predecessor from the row that closes the previous range.
     """
     full = [(p, True) for p in partition] + list(order)
-    bucketed, keys = bucketize(df, full, buckets, materialize=materialize)
-    part_keys = keys.names[: len(partition)]
-    # Ascending-normalised struct for max_by: descending numeric keys are negated.
-    norm = []
-    for name, asc in zip(keys.names, keys.ascending):
-        norm.append(F.col(name) if asc else -F.col(name))
-    last = (
-        bucketed.groupBy("__bucket")
-        .agg(F.max_by(F.struct(*[F.col(p).alias(p) for p in part_keys], F.col(value).alias("__v")),
-                      F.struct(*norm)).alias("__last"))
-    )
-    pred = last.select(
-        "__bucket", F.lag("__last").over(Window.orderBy("__bucket")).alias("__pred")
-    )
-    w = Window.partitionBy("__bucket", *part_keys).orderBy(*keys.order_cols()[len(partition):])
-    same_group = F.lit(True)
-    for p in part_keys:
-        same_group = same_group & F.col(p).eqNullSafe(F.col(f"__pred.{p}"))
-    local = F.lag(value).over(w)
-    first_in_group = F.row_number().over(w) == 1
-    res = (
-        bucketed.withColumn("__local_lag", local)
-        .withColumn("__first", first_in_group)
-        .join(F.broadcast(pred), "__bucket", "left")
-        .withColumn(out, F.when(F.col("__first") & same_group, F.col("__pred.__v"))
-                    .otherwise(F.col("__local_lag")))
-    )
-    return res.drop("__local_lag", "__first", "__pred", "__bucket", *keys.names)
+    bucketed = bucketize(df, full, buckets)
+    place = F.row_number().over(Window.partitionBy(BUCKET).orderBy(*_order_cols(full)))
+    closing = (bucketed.withColumn("__place", place).groupBy(BUCKET)
+               .agg(F.max_by(F.struct(*partition, F.col(value).alias("__v")), "__place").alias("__close")))
+    pred = closing.select(BUCKET, F.lag("__close").over(Window.orderBy(BUCKET)).alias("__pred"))
+    w = Window.partitionBy(BUCKET, *partition).orderBy(*_order_cols(order))
+    same = F.lit(True)
+    for p in partition:
+        same = same & F.col(p).eqNullSafe(F.col(f"__pred.{p}"))
+    first = F.row_number().over(w) == 1
+    return (bucketed.withColumn("__lag", F.lag(value).over(w)).withColumn("__head", first)
+            .join(pred, BUCKET, "left")
+            .withColumn(out, F.when(F.col("__head") & F.col("__pred").isNotNull() & same, F.col("__pred.__v"))
+                        .otherwise(F.col("__lag")))
+            .drop("__lag", "__head", "__pred", BUCKET))

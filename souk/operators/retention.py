@@ -2,13 +2,12 @@
 
 Scale notes:
 * RFM scores and the Pareto split are ranking windows over *all* customers.
-  They use the bucketed ``global_ntile`` / ``global_percent_rank`` so no task
+  They use the ranged ``global_ntile`` / ``global_percent_rank`` so no task
   holds every customer. The per-customer base is checkpointed to the shared
-  checkpoint folder first, because three rankings read it and each ranking
-  also samples it once; recomputing the fact joins five times would cost more
-  than one write.
-* Inter-purchase gaps are ``lag`` per customer. ``grouped_lag`` spreads a
-  customer holding a large share of all orders over several tasks.
+  checkpoint folder first, because three rankings read it.
+* Payments are summed per order before any join, so no fan-out is counted.
+* Inter-purchase gaps are ``lag`` per customer at order grain. ``grouped_lag``
+  spreads a customer holding a large share of all orders over several tasks.
 * Cohorts aggregate to distinct (customer, month) first, so the per-customer
   window sees at most one row per calendar month.
 """
@@ -20,9 +19,9 @@ from pyspark.sql import functions as F
 
 from souk.functions import dates as D
 from souk.functions import labels as L
-from souk.functions.numeric import avg_double, avg_truncated, pct, rnd
+from souk.functions.numeric import avg_double, pct, rnd
 from souk.operators.ranks import global_ntile, global_percent_rank, grouped_lag
-from souk.operators.sales import valid_orders
+from souk.operators.sales import order_payments, valid_orders
 from souk.session import ensure_checkpoint_dir
 
 
@@ -50,10 +49,10 @@ def rfm_segments(orders: DataFrame, customers: DataFrame, payments: DataFrame,
     max_date = orders.agg(F.max("order_purchase_timestamp").alias("__max_date"))  # one row
     base = (
         _person_orders(orders, customers, F.col("order_status") == "delivered")
-        .join(payments.select("order_id", "payment_value"), "order_id")
+        .join(order_payments(payments), "order_id")
         .groupBy("customer_unique_id")
         .agg(F.max("order_purchase_timestamp").alias("__last"),
-             F.count_distinct("order_id").alias("frequency_count"),
+             F.count("order_id").alias("frequency_count"),
              F.sum("payment_value").alias("monetary_value"))
         .crossJoin(F.broadcast(max_date))
         .select("customer_unique_id", "frequency_count", "monetary_value",
@@ -62,11 +61,11 @@ def rfm_segments(orders: DataFrame, customers: DataFrame, payments: DataFrame,
     if checkpoint:
         base = materialize(base)
     key = ("customer_unique_id", True)
-    r = global_ntile(base, [("recency_days", False), key], 5, "r_score", buckets, materialize=not checkpoint)
+    r = global_ntile(base, [("recency_days", False), key], 5, "r_score", buckets)
     f = global_ntile(base.select("customer_unique_id", "frequency_count"),
-                     [("frequency_count", True), key], 5, "f_score", buckets, materialize=not checkpoint)
+                     [("frequency_count", True), key], 5, "f_score", buckets)
     m = global_ntile(base.select("customer_unique_id", "monetary_value"),
-                     [("monetary_value", True), key], 5, "m_score", buckets, materialize=not checkpoint)
+                     [("monetary_value", True), key], 5, "m_score", buckets)
     scored = (r.join(f.select("customer_unique_id", "f_score"), "customer_unique_id")
               .join(m.select("customer_unique_id", "m_score"), "customer_unique_id"))
     rs, fm = F.col("r_score"), F.expr("(f_score + m_score) div 2")
@@ -120,7 +119,7 @@ def customer_pareto(orders: DataFrame, customers: DataFrame, payments: DataFrame
     """
     spend = (
         _person_orders(orders, customers, valid_orders(orders))
-        .join(payments.select("order_id", "payment_value"), "order_id")
+        .join(order_payments(payments), "order_id")
         .groupBy("customer_unique_id").agg(F.sum("payment_value").alias("total_spend"))
     )
     ranked = global_percent_rank(spend, [("total_spend", False), ("customer_unique_id", True)], 1,
@@ -137,31 +136,43 @@ def purchase_latency(orders: DataFrame, customers: DataFrame, order_items: DataF
                      translation: DataFrame, min_events: int = 5, buckets: int | None = None) -> DataFrame:
     """Days since the customer's previous purchase row, per product category.
 
-    Item grain: items of one order follow each other with a 0-day gap. Row
-    order per customer is (purchase time, order_id, order_item_id).
+    Purchase rows are items, in the order (purchase time, order_id, order_item_id).
+    Items of one order follow each other with a 0-day gap, so the gap is taken at order
+    grain and belongs to the order's first item; its other items are 0-day events.
     -> product_category_name, product_category_name_english, repeat_purchase_events,
        avg_days_between_orders, min_days, max_days
     """
-    rows = (
-        _person_orders(orders, customers, valid_orders(orders))
-        .join(order_items.select("order_id", "order_item_id", "product_id"), "order_id")
-        .join(products, "product_id")
+    per_category = (
+        order_items.select("order_id", "order_item_id", "product_id")
+        .join(products.select("product_id", "product_category_name"), "product_id")
+        .groupBy("order_id", "product_category_name")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("order_item_id").alias("item"))
     )
-    lagged = grouped_lag(rows, ["customer_unique_id"],
-                         [("order_purchase_timestamp", True), ("order_id", True), ("order_item_id", True)],
+    baskets = per_category.groupBy("order_id").agg(   # bounded by the lines of one order
+        F.collect_list(F.struct("product_category_name", "n", "item")).alias("__lines"),
+        F.min("item").alias("__first"))
+    rows = (_person_orders(orders, customers, valid_orders(orders) & F.col("order_purchase_timestamp").isNotNull())
+            .join(baskets, "order_id"))
+    lagged = grouped_lag(rows, ["customer_unique_id"], [("order_purchase_timestamp", True), ("order_id", True)],
                          "order_purchase_timestamp", "__prev", buckets)
-    gaps = lagged.where(F.col("__prev").isNotNull()).select(
-        "product_category_name", D.days_between("__prev", "order_purchase_timestamp").alias("__days"))
-    agg = (
-        gaps.join(translation, "product_category_name", "left")
-        .groupBy("product_category_name", "product_category_name_english")
-        .agg(F.count(F.lit(1)).alias("repeat_purchase_events"),
-             avg_truncated("__days").alias("avg_days_between_orders"),
-             F.min("__days").cast("long").alias("min_days"), F.max("__days").cast("long").alias("max_days"))
-        .where(F.col("repeat_purchase_events") >= min_events)
+    lines = lagged.select("__first", D.days_between("__prev", "order_purchase_timestamp").alias("__gap"),
+                          F.explode("__lines").alias("l")).select("__first", "__gap", "l.*")
+    opens = F.col("item") == F.col("__first")
+    gap = F.when(opens, F.col("__gap"))                       # NULL on a customer's first order
+    zeros = F.col("n") - F.when(opens, 1).otherwise(0)
+    agg = lines.groupBy("product_category_name").agg(
+        (F.sum(zeros) + F.count(gap)).alias("repeat_purchase_events"),
+        F.coalesce(F.sum(gap), F.lit(0)).cast("long").alias("__days"),
+        F.least(F.min(gap), F.min(F.when(zeros > 0, 0))).cast("long").alias("min_days"),
+        F.greatest(F.max(gap), F.max(F.when(zeros > 0, 0))).cast("long").alias("max_days"),
+    ).where(F.col("repeat_purchase_events") >= min_events)
+    return (
+        agg.join(translation, "product_category_name", "left")  # one row per category
+        .select("product_category_name", "product_category_name_english", "repeat_purchase_events",
+                F.call_function("div", F.col("__days"), F.col("repeat_purchase_events"))
+                .cast("long").alias("avg_days_between_orders"), "min_days", "max_days")
         .orderBy(F.desc("repeat_purchase_events"), "avg_days_between_orders")
     )
-    return agg
 
 
 def churn_risk_count(orders: DataFrame, customers: DataFrame, k: float = 2,
@@ -178,9 +189,9 @@ def churn_risk_count(orders: DataFrame, customers: DataFrame, k: float = 2,
     stats = gaps.agg((avg_double("__gap") + F.lit(k) * F.stddev_samp(F.col("__gap").cast("double")))
                      .alias("__threshold"))  # one row
     max_date = orders.agg(F.max("order_purchase_timestamp").alias("__max_date"))  # one row, all statuses
-    last = po.groupBy("customer_unique_id").agg(F.max("order_purchase_timestamp").alias("__last"))
-    flagged = (
+    last = lagged.groupBy("customer_unique_id").agg(F.max("order_purchase_timestamp").alias("__last"))
+    flagged = (  # one row per customer
         last.crossJoin(F.broadcast(max_date)).crossJoin(F.broadcast(stats))
         .where(D.days_between("__last", "__max_date") > F.col("__threshold"))
     )
-    return flagged.agg(F.count_distinct("customer_unique_id").alias("high_risk_churn_customer_count"))
+    return flagged.agg(F.count("customer_unique_id").alias("high_risk_churn_customer_count"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import dates as D
 from souk.functions import labels as L
-from souk.functions.numeric import avg_double, count_if, pct, rnd
+from souk.functions.numeric import avg_double, count_if, pct, rnd, rnd_decimal, safe_div
 
 # ---------------------------------------------------------------- delay vs score
 
@@ -161,22 +161,31 @@ def comment_effect(reviews: DataFrame, labels: tuple[str, str] = L.COMMENT_TYPES
                                              "one_star_comment_pct", "five_star_comment_pct")) -> DataFrame:
     """Written vs rating-only reviews, and the comment share among 1- and 5-star reviews.
 
-    The two polar shares are global aggregates computed in the same pass.
+    One scan, grouped by (has text, score): a handful of rows hold everything.
     -> review_type, review_count, avg_score, one_star_comment_pct, five_star_comment_pct
     """
-    r = reviews.select("review_score", F.col("review_comment_message").isNotNull().alias("__text"))
-    by_type = r.groupBy("__text").agg(F.count(F.lit(1)).alias("__n"), avg_double("review_score").alias("__avg"))
-    score, text = F.col("review_score"), F.col("__text")
-    polar = r.agg(
-        rnd(pct(count_if((score == 1) & text), count_if(score == 1))).alias("__one"),
-        rnd(pct(count_if((score == 5) & text), count_if(score == 5))).alias("__five"),
-    )
-    return by_type.crossJoin(F.broadcast(polar)).select(  # polar: exactly one row
+    counts = (reviews.groupBy(F.col("review_comment_message").isNotNull().alias("__text"), "review_score")
+              .agg(F.count(F.lit(1)).alias("__n")))
+    score, n = F.col("review_score"), F.col("__n")
+    every = Window.partitionBy(F.lit(1))                 # two rows
+
+    def stars(k: int) -> Column:
+        return F.coalesce(F.sum(F.when(score == k, n)), F.lit(0))
+
+    by_type = counts.groupBy("__text").agg(
+        F.sum(n).alias("__all"), safe_div(F.sum(score * n), F.sum(F.when(score.isNotNull(), n))).alias("__avg"),
+        stars(1).alias("__one"), stars(5).alias("__five"))
+
+    def share(c: str) -> Column:
+        written = F.sum(F.when(F.col("__text"), F.col(c)).otherwise(0)).over(every)
+        return rnd(pct(written, F.sum(c).over(every)))
+
+    return by_type.select(
         F.when(F.col("__text"), labels[0]).otherwise(labels[1]).alias(names[0]),
-        F.col("__n").alias(names[1]),
+        F.col("__all").alias(names[1]),
         rnd("__avg").alias(names[2]),
-        F.col("__one").alias(names[3]),
-        F.col("__five").alias(names[4]),
+        share("__one").alias(names[3]),
+        share("__five").alias(names[4]),
     )
 
 
@@ -199,13 +208,15 @@ def review_distribution(reviews: DataFrame, order_items: DataFrame, products: Da
 
     -> category, total_reviews, one_star_reviews, pct_one_star, pct_five_star
     """
+    # dimension to dimension first: the few category names never meet the fact rows as a join key
+    named = (products.select("product_id", "product_category_name")
+             .join(translation, "product_category_name", "left")
+             .select("product_id", F.col("product_category_name_english").alias("category_name")))
     rows = (
         reviews.where(F.col("review_score").isNotNull()).select("review_id", "order_id", "review_score")
         .join(order_items.select("order_id", "product_id"), "order_id")
-        .join(products, "product_id")
-        .join(translation, "product_category_name", "left")
-        .select("review_id", "order_id", "review_score",
-                F.col("product_category_name_english").alias("category_name"))
+        .join(named, "product_id")
+        .select("review_id", "order_id", "review_score", "category_name")
         .distinct()
     )
     stats = rows.groupBy(F.coalesce("category_name", F.lit(L.UNKNOWN_CATEGORY)).alias("category")).agg(
@@ -246,7 +257,7 @@ def review_polarization(reviews: DataFrame, order_items: DataFrame) -> DataFrame
     agg = prod.groupBy(bucket.alias("volume_bucket"), order_key.alias("__bucket_order")).agg(
         F.count("product_id").alias("number_of_products"),
         F.sum("__n").alias("total_reviews_in_bucket"),
-        avg_double("__avg").alias("__avg"),
+        avg_double(rnd_decimal("__avg", 12)).alias("__avg"),  # an exact sum in any order
         F.sum("__c1").alias("__c1"),
         F.sum("__c5").alias("__c5"),
     )

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions import labels as L
-from souk.functions.numeric import pct, rnd, safe_div
+from souk.functions.numeric import dbl, pct, rnd, safe_div
+from souk.operators.ranks import global_rank
 from souk.sources.calendar import add_datekeys, join_calendar
 
 
@@ -22,6 +23,11 @@ def valid_orders(orders: DataFrame) -> Column:
     return ~F.col("order_status").isin(*L.VALID_ORDER_EXCLUDED)
 
 
+def order_payments(payments: DataFrame) -> DataFrame:
+    """One row per order: the sum of its payment rows."""
+    return payments.groupBy("order_id").agg(F.sum("payment_value").alias("payment_value"))
+
+
 def seasonality_tag(month: Column) -> Column:
     return (
         F.when(month == 11, L.SEASONALITY_TAGS[0])
@@ -38,9 +44,9 @@ def monthly_sales(orders: DataFrame, payments: DataFrame, cal: DataFrame) -> Dat
     """
     o = add_datekeys(orders.where(valid_orders(orders)).select("order_id", "order_purchase_timestamp"),
                      {"order_purchase_timestamp": "purchase_datekey"})
-    facts = o.join(payments.select("order_id", "payment_value"), "order_id")
+    facts = o.join(order_payments(payments), "order_id")  # one row per order
     return join_calendar(facts, cal).groupBy("year", "month_number", "month_name").agg(
-        F.count_distinct("order_id").alias("total_orders"),
+        F.count("order_id").alias("total_orders"),
         F.sum("payment_value").alias("total_revenue"),
     )
 
@@ -60,7 +66,7 @@ def monthly_growth(orders: DataFrame, payments: DataFrame, cal: DataFrame) -> Da
         "year",
         "month_name",
         "total_orders",
-        rnd("total_revenue").alias("total_revenue"),
+        dbl("total_revenue").alias("total_revenue"),
         rnd(pct(F.col("total_revenue") - prev, prev)).alias("mom_revenue_growth_pct"),
         rnd(pct(F.col("total_revenue") - prev12, prev12)).alias("yoy_revenue_growth_pct"),
         seasonality_tag(F.col("month_number")).alias("seasonality_tag"),
@@ -93,7 +99,7 @@ def category_volume_value(order_items: DataFrame, products: DataFrame, orders: D
     return r.select(
         "product_category_name",
         "total_volume",
-        rnd("total_revenue").alias("total_revenue"),
+        dbl("total_revenue").alias("total_revenue"),
         rnd(safe_div("total_revenue", "total_volume")).alias("avg_unit_price"),
         seg.alias("category_segmentation"),
     ).orderBy(F.desc("total_revenue"))
@@ -112,14 +118,15 @@ def rolling_revenue(orders: DataFrame, payments: DataFrame, cal: DataFrame, mont
         "year",
         "month_number",
         "month_name",
-        rnd("total_revenue").alias("raw_monthly_revenue"),
+        dbl("total_revenue").alias("raw_monthly_revenue"),
         rnd("__avg", 3).alias("rolling_avg_3m"),
         rnd(safe_div((F.col("total_revenue").cast("double") - F.col("__avg")) * 100.0,
                      "total_revenue")).alias("variance_from_trend"),
     ).orderBy("year", "month_number")
 
 
-def regional_profile(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
+def regional_profile(orders: DataFrame, customers: DataFrame, payments: DataFrame,
+                     buckets: int | None = None) -> DataFrame:
     """Revenue and order rank per (state, city) with a profile label.
 
     The third ladder branch of the reference repeats the first test, so it can
@@ -129,13 +136,14 @@ def regional_profile(orders: DataFrame, customers: DataFrame, payments: DataFram
     facts = (
         orders.where(valid_orders(orders)).select("order_id", "customer_id")
         .join(customers.select("customer_id", "customer_state", "customer_city"), "customer_id")
-        .join(payments.select("order_id", "payment_value"), "order_id")
+        .join(order_payments(payments), "order_id")  # one row per order
     )
     regions = facts.groupBy("customer_state", "customer_city").agg(
-        F.count_distinct("order_id").alias("total_orders"), F.sum("payment_value").alias("total_revenue"))
-    rev_rank = F.rank().over(Window.orderBy(F.desc("total_revenue")))  # one row per city
-    vol_rank = F.rank().over(Window.orderBy(F.desc("total_orders")))
-    r = regions.withColumn("__rr", rev_rank).withColumn("__vr", vol_rank)
+        F.count("order_id").alias("total_orders"), F.sum("payment_value").alias("total_revenue"))
+    # cities are free text, so the ranks are taken range by range
+    key = [("customer_state", True), ("customer_city", True)]
+    by_revenue = global_rank(regions, [("total_revenue", False), *key], 1, "__rr", "__cities", buckets)
+    r = global_rank(by_revenue, [("total_orders", False), *key], 1, "__vr", "__again", buckets)
     rr, vr = F.col("__rr"), F.col("__vr")
     profile = (
         F.when((rr <= 10) & (vr <= 10), L.REGIONAL_PROFILES[0])
@@ -147,7 +155,7 @@ def regional_profile(orders: DataFrame, customers: DataFrame, payments: DataFram
         "customer_state",
         "customer_city",
         "total_orders",
-        rnd("total_revenue").alias("total_revenue"),
+        dbl("total_revenue").alias("total_revenue"),
         rnd(safe_div("total_revenue", "total_orders")).alias("avg_order_value"),
         profile.alias("regional_profile"),
     ).orderBy(F.desc("total_revenue"))
@@ -159,14 +167,14 @@ def aov_basket(orders: DataFrame, order_items: DataFrame, payments: DataFrame, c
     -> year, month_name, total_orders, aov, avg_basket_size, avg_price_per_item
     """
     item_tot = order_items.groupBy("order_id").agg(F.count("order_item_id").alias("items_in_basket"))
-    pay_tot = payments.groupBy("order_id").agg(F.sum("payment_value").alias("total_order_payment"))
+    pay_tot = order_payments(payments)
     o = add_datekeys(orders.where(valid_orders(orders)).select("order_id", "order_purchase_timestamp"),
                      {"order_purchase_timestamp": "purchase_datekey"})
     m = (
         join_calendar(o, cal).join(item_tot, "order_id").join(pay_tot, "order_id")
         .groupBy("year", "month_number", "month_name")
         .agg(F.count("order_id").alias("total_orders"),
-             F.sum("total_order_payment").alias("monthly_revenue"),
+             F.sum("payment_value").alias("monthly_revenue"),
              F.sum("items_in_basket").alias("monthly_items_count"))
     )
     aov = safe_div("monthly_revenue", "total_orders")

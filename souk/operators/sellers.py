@@ -1,6 +1,6 @@
 """Seller performance and marketplace health (BQ16-BQ19, BQ17a).
 
-Seller-grain global windows (``ntile(10)`` over all sellers) use the bucketed
+Seller-grain global windows (``ntile(10)`` over all sellers) use the ranged
 ``global_ntile`` so no single task receives every seller. Category totals that
 the reference takes with ``sum(sum(x)) over (partition by category)`` are a
 second partial aggregation here: a category holding most sellers is summed
@@ -14,16 +14,11 @@ from pyspark.sql import functions as F
 
 from souk.functions import dates as D
 from souk.functions import labels as L
-from souk.functions.numeric import avg_double, count_if, pct, rnd, safe_div
+from souk.functions.numeric import avg_double, count_if, pct, rnd, rnd_decimal, safe_div
 from souk.operators.ranks import global_ntile
 from souk.operators.sales import valid_orders
 
 
-def _rnd_dec(x, digits: int = 2):
-    """Rounded DECIMAL (kept exact for a later average of rounded values)."""
-    return F.round(x.cast("decimal(38,6)"), digits)
-
-
 def slow_dispatch_sellers(orders: DataFrame, order_items: DataFrame, min_orders: int = 5,
                           tiles: int = 10, buckets: int | None = None) -> DataFrame:
     """Sellers in the slowest ``ntile(10)`` of average approval-to-carrier hours.
@@ -123,30 +118,26 @@ def seller_churn(orders: DataFrame, order_items: DataFrame, base_year: int = 201
 
     All statuses count; canceled is summed over item rows, so a rate can exceed
     100 as in the reference. The mean rate is over per-seller rates rounded to
-    two decimals.
-    -> churn_status, seller_count, avg_cancellation_rate_pct, avg_2017_order_volume
+    two decimals. One grouped pass over (seller, order) pairs counts both years.
+    -> churn_status, seller_count, avg_cancellation_rate_pct, avg_{base_year}_order_volume
     """
-    act = (
-        orders.select("order_id", "order_status", F.year("order_purchase_timestamp").alias("activity_year"))
-        .where(F.col("activity_year").isin(base_year, next_year))
-        .join(order_items.select("order_id", "seller_id"), "order_id")
-        .groupBy("seller_id", "activity_year")
-        .agg(F.count_distinct("order_id").alias("total_orders"),
-             count_if(F.col("order_status") == "canceled").alias("canceled_orders"))
+    lines = order_items.groupBy("seller_id", "order_id").agg(F.count(F.lit(1)).alias("__items"))
+    year = F.year("order_purchase_timestamp")
+    dated = (orders.where(year.isin(base_year, next_year))
+             .select("order_id", year.alias("__year"), (F.col("order_status") == "canceled").alias("__canceled")))
+    base = F.col("__year") == base_year
+    cohort = (
+        lines.join(dated, "order_id").groupBy("seller_id")
+        .agg(count_if(base).alias("__orders"), count_if(~base).alias("__next"),
+             F.coalesce(F.sum(F.when(base & F.col("__canceled"), F.col("__items"))), F.lit(0)).alias("__cancels"))
+        .where(F.col("__orders") > 0)
     )
-    base = act.where(F.col("activity_year") == base_year)
-    nxt = act.where(F.col("activity_year") == next_year).select("seller_id", F.lit(True).alias("__active"))
     churned, retained = (t.format(next_year=next_year) for t in L.SELLER_CHURN)
-    cohort = base.join(nxt, "seller_id", "left").select(
-        "seller_id",
-        F.col("total_orders").alias("orders_base"),
-        _rnd_dec(pct("canceled_orders", "total_orders")).alias("__rate"),
-        F.when(F.col("__active").isNull(), churned).otherwise(retained).alias("churn_status"),
-    )
-    return cohort.groupBy("churn_status").agg(
+    status = F.when(F.col("__next") == 0, churned).otherwise(retained)
+    return cohort.groupBy(status.alias("churn_status")).agg(
         F.count("seller_id").alias("seller_count"),
-        rnd(avg_double("__rate")).alias("avg_cancellation_rate_pct"),
-        rnd(avg_double("orders_base")).alias("avg_2017_order_volume"),
+        rnd(avg_double(rnd_decimal(pct("__cancels", "__orders")))).alias("avg_cancellation_rate_pct"),
+        rnd(avg_double("__orders")).alias(f"avg_{base_year}_order_volume"),
     )
 
 

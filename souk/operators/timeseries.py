@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import dates as D
 from souk.functions import labels as L
-from souk.functions.numeric import pct, rnd, safe_div
+from souk.functions.numeric import dbl, pct, rnd, safe_div
 from souk.operators.sales import monthly_sales, seasonality_tag, valid_orders
 
 
@@ -32,7 +32,7 @@ def growth_tiers(orders: DataFrame, payments: DataFrame, cal: DataFrame) -> Data
     )
     return g.select(
         "year", "month_name", "total_orders",
-        rnd("total_revenue").alias("total_revenue"),
+        dbl("total_revenue").alias("total_revenue"),
         "mom_revenue_growth_pct",
         tag.alias("growth_performance_tag"),
         seasonality_tag(F.col("month_number")).alias("seasonality_tag"),

@@ -1,14 +1,14 @@
 """Query catalogue: name -> ``(spark, sf_dir) -> DataFrame``.
 
 Each entry wires the reference-schema views (``souk.sources.fixtures``) into
-one analysis operator with the parameters documented in FIXTURES.md. Entries
-are lazy: building one runs no Spark job except the bounded cut-point sample
-of the distributed ranking operators.
+one analysis operator with the parameters documented in FIXTURES.md. Building an
+entry runs jobs where the operator stores an intermediate frame (ranges, order facts),
+bounds a calendar by the data, or writes the files that an ingest entry reads back.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,23 +25,20 @@ from souk.operators import timeseries as ts
 from souk.sources import fixtures as fx
 from souk.session import ensure_checkpoint_dir
 from souk.sources import ingest
-from souk.sources.calendar import calendar, calendar_check, calendar_spanning
+from souk.sources.calendar import add_datekeys, calendar_check, calendar_spanning
 from souk.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-CALENDAR_RANGE = ("1995-01-01", "2002-12-31")
+Make = Callable[[SparkSession, str], fx.Marketplace]
 
 
-def _cal(spark: SparkSession) -> DataFrame:
-    return calendar(spark, *CALENDAR_RANGE)
+def _cal(m: fx.Marketplace) -> DataFrame:
+    """A calendar that covers every purchase date in the data."""
+    return calendar_spanning(m.orders, "order_purchase_timestamp", "order_purchase_timestamp")
 
 
-def _m(spark: SparkSession, sf_dir: str) -> fx.Marketplace:
-    return fx.marketplace(spark, sf_dir)
-
-
-def _payments_queries() -> dict[str, Query]:
+def _payments_queries(_m: Make) -> dict[str, Query]:
     return {
         "payment_mix": lambda s, d: pay.payment_mix(_m(s, d).payments),
         "installment_stats": lambda s, d: pay.installment_stats(_m(s, d).payments),
@@ -51,20 +48,20 @@ def _payments_queries() -> dict[str, Query]:
     }
 
 
-def _sales_queries() -> dict[str, Query]:
+def _sales_queries(_m: Make) -> dict[str, Query]:
     return {
-        "monthly_growth": lambda s, d: (lambda m: sales.monthly_growth(m.orders, m.payments, _cal(s)))(_m(s, d)),
+        "monthly_growth": lambda s, d: (lambda m: sales.monthly_growth(m.orders, m.payments, _cal(m)))(_m(s, d)),
         "category_volume_value": lambda s, d: (
             lambda m: sales.category_volume_value(m.order_items, m.products, m.orders))(_m(s, d)),
-        "rolling_revenue": lambda s, d: (lambda m: sales.rolling_revenue(m.orders, m.payments, _cal(s)))(_m(s, d)),
+        "rolling_revenue": lambda s, d: (lambda m: sales.rolling_revenue(m.orders, m.payments, _cal(m)))(_m(s, d)),
         "regional_profile": lambda s, d: (
             lambda m: sales.regional_profile(m.orders, m.customers, m.payments))(_m(s, d)),
         "aov_basket": lambda s, d: (
-            lambda m: sales.aov_basket(m.orders, m.order_items, m.payments, _cal(s)))(_m(s, d)),
+            lambda m: sales.aov_basket(m.orders, m.order_items, m.payments, _cal(m)))(_m(s, d)),
     }
 
 
-def _delivery_queries() -> dict[str, Query]:
+def _delivery_queries(_m: Make) -> dict[str, Query]:
     return {
         "on_time_by_state": lambda s, d: (lambda m: dlv.on_time_by_state(m.orders, m.customers))(_m(s, d)),
         "freight_vs_speed": lambda s, d: (
@@ -76,15 +73,7 @@ def _delivery_queries() -> dict[str, Query]:
     }
 
 
-def _churn_items(m: fx.Marketplace) -> DataFrame:
-    """FIXTURES.md override for BQ18: every supplier sells every year, so items of
-    sellers with seller_id % 7 = 0 are dropped from 1998 to create churn."""
-    o = m.orders.select("order_id", F.year("order_purchase_timestamp").alias("__y"))
-    return (m.order_items.join(o, "order_id")
-            .where(~((F.col("seller_id") % 7 == 0) & (F.col("__y") == 1998))).drop("__y"))
-
-
-def _seller_queries() -> dict[str, Query]:
+def _seller_queries(_m: Make) -> dict[str, Query]:
     return {
         "slow_dispatch_sellers": lambda s, d: (
             lambda m: sel.slow_dispatch_sellers(m.orders, m.order_items))(_m(s, d)),
@@ -92,13 +81,13 @@ def _seller_queries() -> dict[str, Query]:
             lambda m: sel.category_concentration(m.order_items, m.products, m.payments, m.orders))(_m(s, d)),
         "seller_pareto": lambda s, d: (lambda m: sel.seller_pareto(m.order_items, m.payments, m.orders))(_m(s, d)),
         "seller_churn": lambda s, d: (
-            lambda m: sel.seller_churn(m.orders, _churn_items(m), base_year=1997, next_year=1998))(_m(s, d)),
+            lambda m: sel.seller_churn(m.orders, m.order_items, base_year=1997, next_year=1998))(_m(s, d)),
         "bad_review_sellers": lambda s, d: (
             lambda m: sel.bad_review_sellers(m.order_items, m.orders, m.reviews))(_m(s, d)),
     }
 
 
-def _review_queries() -> dict[str, Query]:
+def _review_queries(_m: Make) -> dict[str, Query]:
     return {
         "delay_vs_score": lambda s, d: (lambda m: rev.delay_vs_score(m.orders, m.reviews))(_m(s, d)),
         "delay_sentiment": lambda s, d: (lambda m: rev.delay_sentiment(m.orders, m.reviews))(_m(s, d)),
@@ -116,9 +105,9 @@ def _review_queries() -> dict[str, Query]:
     }
 
 
-def _timeseries_queries() -> dict[str, Query]:
+def _timeseries_queries(_m: Make) -> dict[str, Query]:
     def mop(fn):
-        return lambda s, d: (lambda m: fn(m.orders, m.payments, _cal(s)))(_m(s, d))
+        return lambda s, d: (lambda m: fn(m.orders, m.payments, _cal(m)))(_m(s, d))
 
     return {
         "growth_tiers": mop(ts.growth_tiers),
@@ -126,13 +115,15 @@ def _timeseries_queries() -> dict[str, Query]:
         "cumulative_revenue": mop(ts.cumulative_revenue),
         "seasonality_report": mop(ts.seasonality_report),
         "cumulative_report": mop(ts.cumulative_report),
-        "order_heatmap": lambda s, d: ts.order_heatmap(_m(s, d).orders),
+        # orders without a date form a NULL weekday and hour; nullable integers travel as DOUBLE
+        "order_heatmap": lambda s, d: ts.order_heatmap(_m(s, d).orders).withColumns(
+            {c: F.col(c).cast("double") for c in ("day_num", "hour_of_day")}),
         # order minutes are synthetic in the fixture; events carry real times of day (FIXTURES.md)
         "event_heatmap": lambda s, d: ts.activity_heatmap(read_table(s, d, "events"), "ts", "event_id"),
     }
 
 
-def _retention_queries() -> dict[str, Query]:
+def _retention_queries(_m: Make) -> dict[str, Query]:
     return {
         "rfm_segments": lambda s, d: (lambda m: ret.rfm_segments(m.orders, m.customers, m.payments))(_m(s, d)),
         "cohort_retention": lambda s, d: (lambda m: ret.cohort_retention(m.orders, m.customers))(_m(s, d)),
@@ -144,22 +135,30 @@ def _retention_queries() -> dict[str, Query]:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """Folder under the shared checkpoint location (never a machine-local temp dir)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-scratch/{name}"
+    """A fresh path under the shared checkpoint location."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-scratch/{name}-{uuid.uuid4().hex}"
 
 
-def _orders_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _orders_csv(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
     """Write the marketplace orders as CSV (as the reference receives them), load them back as text."""
-    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
-    path = _scratch(spark, f"orders-csv-{tag}")
-    fmt = "yyyy-MM-dd HH:mm:ss"
-    (_m(spark, sf_dir).orders.write.mode("overwrite").option("header", True)
-     .option("timestampFormat", fmt).option("timestampNTZFormat", fmt).csv(path))
+    path = _scratch(spark, "orders-csv")
+    fx.raw_orders(m).write.option("header", True).csv(path)
     return ingest.load_raw(spark, path, columns=list(ingest.TYPE_SPEC["orders"]))
 
 
+def _mart_read_back(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
+    """Write the mart, read it back as its consumers do, one row per cohort year."""
+    path = _scratch(spark, "mart")
+    mart.write_customer_360(_customer_360(m), path)
+    stored = spark.read.parquet(path)
+    return stored.groupBy(F.col("cohort_year").cast("string").alias("cohort_year")).agg(
+        F.count("customer_unique_id").alias("customers"), F.sum("total_orders").alias("orders"),
+        F.max("last_purchase_date").alias("last_purchase_date"))
+
+
 def _star(m: fx.Marketplace) -> dict[str, DataFrame]:
-    return {"customers": m.customers, "orders": m.orders, "order_items": m.order_items, "payments": m.payments,
+    orders = add_datekeys(m.orders, ingest.ORDER_DATEKEYS)
+    return {"calendar": _data_calendar(m), "customers": m.customers, "orders": orders, "order_items": m.order_items, "payments": m.payments,
             "order_reviews": m.reviews, "products": m.products, "sellers": m.sellers}
 
 
@@ -167,13 +166,12 @@ def _data_calendar(m: fx.Marketplace) -> DataFrame:
     return calendar_spanning(m.orders, "order_purchase_timestamp", "order_estimated_delivery_date")
 
 
-def _ingest_queries() -> dict[str, Query]:
+def _ingest_queries(_m: Make) -> dict[str, Query]:
     spec = ingest.TYPE_SPEC["orders"]
     return {
         "ingest_orders_csv": lambda s, d: ingest.render_timestamps(
-            ingest.normalise(_orders_csv(s, d), spec, min_valid_ts="1990-01-01")),
-        "ingest_cast_failures": lambda s, d: (lambda raw: ingest.cast_failures(
-            raw, ingest.normalise(raw, spec), spec, "orders"))(_orders_csv(s, d)),
+            ingest.normalise(_orders_csv(s, _m(s, d)), spec, min_valid_ts="1990-01-01")),
+        "ingest_cast_failures": lambda s, d: ingest.cast_failures(_orders_csv(s, _m(s, d)), spec, "orders"),
         "date_range_profile": lambda s, d: (lambda m: ingest.date_range_profile([
             ("orders", m.orders, c) for c in (
                 "order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
@@ -189,27 +187,37 @@ def _ingest_queries() -> dict[str, Query]:
         "key_violations": lambda s, d: ingest.key_violations(_star(_m(s, d))),
         "foreign_key_report": lambda s, d: ingest.foreign_key_report(_star(_m(s, d))),
         "review_surrogate_keys": lambda s, d: ingest.render_timestamps(
-            ingest.add_surrogate_key(_m(s, d).reviews, ["review_id", "order_id"], "review_sk")),
+            ingest.add_surrogate_key(_m(s, d).reviews, ["review_id", "order_id"], "review_sk")
+            .withColumn("review_score", F.col("review_score").cast("double"))),
     }
 
 
 AS_OF_DATE = "2002-01-01"  # fixed "today" for the mart (the reference uses GETDATE())
 
 
-def _mart_queries() -> dict[str, Query]:
+def _customer_360(m: fx.Marketplace) -> DataFrame:
+    return mart.customer_360(m.customers, m.geolocation, m.orders, m.order_items, m.payments, m.reviews, AS_OF_DATE)
+
+
+def _mart_queries(_m: Make) -> dict[str, Query]:
     return {
-        "customer_360": lambda s, d: (lambda m: mart.customer_360(
-            m.customers, m.geolocation, m.orders, m.order_items, m.payments, m.reviews, AS_OF_DATE))(_m(s, d)),
+        "customer_360": lambda s, d: _customer_360(_m(s, d)),
+        "customer_360_read_back": lambda s, d: _mart_read_back(s, _m(s, d)),
         "customer_delivery_median": lambda s, d: (lambda m: mart.delivery_median(m.orders, m.customers))(_m(s, d)),
         "customer_payment_mode": lambda s, d: (
             lambda m: mart.payment_type_mode(m.payments, m.orders, m.customers))(_m(s, d)),
     }
 
 
-def queries() -> dict[str, Query]:
+def queries(star_dir: str | None = None) -> dict[str, Query]:
+    """All queries; with ``star_dir`` they read the star schema stored there."""
+
+    def make(spark: SparkSession, sf_dir: str) -> fx.Marketplace:
+        return fx.marketplace(spark, sf_dir, star_dir)
+
     out: dict[str, Query] = {}
     for part in (_retention_queries, _sales_queries, _delivery_queries, _seller_queries, _payments_queries,
                  _review_queries, _timeseries_queries, _mart_queries,
                  _ingest_queries):
-        out.update(part())
+        out.update(part(make))
     return out

@@ -1,19 +1,19 @@
-"""Session construction and reliable-storage helpers."""
+"""Session construction and the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "souk") -> SparkSession:
+              app_name: str = "souk", checkpoint_dir: str | None = None) -> SparkSession:
     """Return (or create) a session configured the way every operator expects.
 
     UTC session time zone (date arithmetic must not depend on the host), AQE on
     (runtime coalescing, broadcast switch and skew-join splitting), UI off.
+    ``checkpoint_dir`` names the shared folder where the session names none itself.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
     builder = (
@@ -33,16 +33,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    if checkpoint_dir and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", checkpoint_dir)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure ``SparkContext.setCheckpointDir`` points at shared storage.
+    """The shared folder for checkpoints and stored tables, from ``spark.checkpoint.dir``.
 
-    On a cluster the directory comes from ``spark.checkpoint.dir`` (a shared
-    filesystem the cluster names); it is never invented here. Only a local-mode
-    session without that setting (tests, the bench) gets a fresh scratch folder.
+    It is never invented here: a machine-local folder would lose data on a cluster.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,9 +49,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="souk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(configured)
     return configured

@@ -37,15 +37,15 @@ def calendar(spark: SparkSession, start: str | _dt.date, end: str | _dt.date) ->
 def calendar_spanning(df: DataFrame, start_col: str, end_col: str) -> DataFrame:
     """Calendar over whole years covering ``min(start_col)`` .. ``max(end_col)`` of ``df``.
 
-    The reference sized its calendar by looking at the fact tables' date range;
-    here that is one global min/max aggregate feeding ``sequence`` lazily.
+    The date range comes from the data (one row of bounds reaches the driver), so no
+    fact falls outside, and it passes the same day-count check as a given range: one
+    bad date centuries away raises instead of widening what is broadcast. Without any
+    date the calendar covers a single day that matches nothing in ``df``.
     """
-    bounds = df.agg(F.trunc(F.min(start_col), "year").alias("__s"),
-                    F.add_months(F.trunc(F.max(end_col), "year"), 12).alias("__e"))
-    days = bounds.select(F.explode(F.sequence(
-        F.col("__s").cast("date"), F.date_sub(F.col("__e").cast("date"), 1), F.expr("interval 1 day"))
-    ).alias("full_date"))
-    return days.select(*_attributes(F.col("full_date")))
+    low, high = df.agg(F.year(F.min(start_col)), F.year(F.max(end_col))).first()
+    if low is None or high is None:
+        return calendar(df.sparkSession, "1970-01-01", "1970-01-01")
+    return calendar(df.sparkSession, _dt.date(low, 1, 1), _dt.date(high, 12, 31))
 
 
 def _attributes(d):

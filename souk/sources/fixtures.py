@@ -48,7 +48,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("order_id"),
         k.alias("customer_id"),
         status.alias("order_status"),
-        (F.col("o_orderdate") + _minutes((k * 37) % 1440)).alias("order_purchase_timestamp"),
+        # every 211th order has no purchase date
+        F.when(k % 211 != 0, F.col("o_orderdate") + _minutes((k * 37) % 1440)).alias("order_purchase_timestamp"),
     )
     oid = F.col("order_id")
     approved = F.when(oid % 97 != 0, F.col("order_purchase_timestamp") + _minutes((oid * 11) % 2880))
@@ -111,7 +112,10 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "order_id",
         F.row_number().over(Window.partitionBy("order_id").orderBy("l_returnflag")).alias("payment_sequential"),
         F.when(flag == "A", "credit_card").when(flag == "N", "boleto").otherwise("voucher").alias("payment_type"),
-        F.when(flag == "A", 1 + (F.col("order_id") * 7) % 12).otherwise(F.lit(1).cast("long"))
+        # some card payments have an unknown or zero number of installments
+        F.when((flag == "A") & (F.col("order_id") % 83 == 0), F.lit(None).cast("long"))
+        .when((flag == "A") & (F.col("order_id") % 61 == 0), F.lit(0).cast("long"))
+        .when(flag == "A", 1 + (F.col("order_id") * 7) % 12).otherwise(F.lit(1).cast("long"))
         .alias("payment_installments"),
         "payment_value",
     )
@@ -121,19 +125,19 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     return p.select(
         F.col("p_partkey").alias("product_id"),
-        F.when(F.col("p_partkey") % 50 != 0, F.col("p_brand")).alias("product_category_name"),
+        # some categories are missing, some blank
+        F.when(F.col("p_partkey") % 50 == 25, F.lit("")).when(F.col("p_partkey") % 50 != 0, F.col("p_brand"))
+        .alias("product_category_name"),
     )
 
 
 def category_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "part").select("p_brand")
-    return (
-        p.where(~F.col("p_brand").isin("Brand#7", "Brand#9"))
-        .distinct()
-        .select(
-            F.col("p_brand").alias("product_category_name"),
-            F.concat(F.lit("category_"), F.col("p_brand")).alias("product_category_name_english"),
-        )
+    """Every category has a row; two of them have no English name."""
+    p = read_table(spark, sf_dir, "part").select("p_brand").distinct()
+    return p.select(
+        F.col("p_brand").alias("product_category_name"),
+        F.when(~F.col("p_brand").isin("Brand#7", "Brand#9"), F.concat(F.lit("category_"), F.col("p_brand")))
+        .alias("product_category_name_english"),
     )
 
 
@@ -148,10 +152,10 @@ def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``review_id`` repeats; some comments and answers are NULL."""
+    """``review_id`` repeats; some scores, comments and answers are NULL."""
     e = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", "props")
     eid, v = F.col("event_id"), F.col("value")
-    score = (F.when(v < 10, 1).when(v < 25, 2).when(v < 45, 3).when(v < 80, 4).otherwise(5))
+    score = (F.when(eid % 89 == 0, F.lit(None).cast("int")).when(v < 10, 1).when(v < 25, 2).when(v < 45, 3).when(v < 80, 4).otherwise(5))
     return e.select(
         (eid % 9973).alias("review_id"),
         eid.alias("order_id"),
@@ -181,19 +185,17 @@ STAR_TABLES = ("orders", "customers", "order_items", "payments", "products", "tr
 _STAR_KEYS = {"orders": "order_id", "customers": "customer_id", "order_items": "order_id",
               "payments": "order_id", "products": "product_id", "translation": "product_category_name",
               "sellers": "seller_id", "reviews": "order_id", "geolocation": "geolocation_zip_code_prefix"}
-_STAR_DIRS: dict[str, str] = {}
 
 
 class Marketplace:
     """The star schema the analyses read; each view is built on first access.
 
-    When the star schema has been materialised for ``sf_dir`` (``materialize_star``),
-    the views read those stored tables instead of deriving them again.
+    With ``star_dir`` (written by ``materialize_star``) the views read those stored
+    tables instead of deriving them again.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-        self.star_dir = _STAR_DIRS.get(sf_dir)
+    def __init__(self, spark: SparkSession, sf_dir: str, star_dir: str | None = None):
+        self.spark, self.sf_dir, self.star_dir = spark, sf_dir, star_dir
 
     def _view(self, name: str, build) -> DataFrame:
         if self.star_dir:
@@ -237,16 +239,33 @@ class Marketplace:
         return self._view("geolocation", geolocation)
 
 
-def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
-    return Marketplace(spark, sf_dir)
+def marketplace(spark: SparkSession, sf_dir: str, star_dir: str | None = None) -> Marketplace:
+    return Marketplace(spark, sf_dir, star_dir)
+
+
+def raw_orders(m: Marketplace) -> DataFrame:
+    """Orders as text, as the reference receives them: sentinel dates and uncastable text.
+
+    Orders without an approval carry the sentinel 1900-01-01 if their id is even, and
+    undelivered orders whose id ends in 0 or 5 say so in words.
+    """
+    text = m.orders.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if "_at" in c or "timestamp" in c or "date" in c
+                             else F.col(c).cast("string").alias(c) for c in m.orders.columns])
+    k = F.col("order_id").cast("long")
+    return text.withColumns({
+        "order_approved_at": F.when(F.col("order_approved_at").isNull() & (k % 2 == 0), "1900-01-01 00:00:00")
+        .otherwise(F.col("order_approved_at")),
+        "order_delivered_customer_date": F.when(F.col("order_delivered_customer_date").isNull() & (k % 5 == 0), "not yet")
+        .otherwise(F.col("order_delivered_customer_date")),
+    })
 
 
 def materialize_star(spark: SparkSession, sf_dir: str, out_dir: str, partitions: int | None = None) -> None:
     """Load the star schema once, as the reference loads its tables before querying.
 
     Each table is written as Parquet, hash-distributed on its key into
-    ``partitions`` files (default: shuffle partitions), and later
-    ``marketplace(spark, sf_dir)`` reads these tables instead of re-deriving them.
+    ``partitions`` files (default: shuffle partitions); ``marketplace(spark, sf_dir,
+    out_dir)`` reads these tables instead of re-deriving them.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -262,8 +281,3 @@ def materialize_star(spark: SparkSession, sf_dir: str, out_dir: str, partitions:
     # scheduler overlap their scan stages instead of running them one by one
     with ThreadPoolExecutor(max_workers=len(frames)) as pool:
         list(pool.map(write, frames))
-    _STAR_DIRS[sf_dir] = out_dir
-
-
-def forget_star(sf_dir: str) -> None:
-    _STAR_DIRS.pop(sf_dir, None)

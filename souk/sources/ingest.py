@@ -66,7 +66,18 @@ RELATIONSHIPS: tuple[tuple[str, str, str, str], ...] = (
     ("order_items", "seller_id", "sellers", "seller_id"),
     ("payments", "order_id", "orders", "order_id"),
     ("order_reviews", "order_id", "orders", "order_id"),
+    ("orders", "purchase_datekey", "calendar", "datekey"),
+    ("orders", "approved_datekey", "calendar", "datekey"),
+    ("orders", "delivered_datekey", "calendar", "datekey"),
+    ("orders", "estimated_datekey", "calendar", "datekey"),
 )
+ORDER_DATEKEYS: dict[str, str] = {
+    "order_purchase_timestamp": "purchase_datekey",
+    "order_approved_at": "approved_datekey",
+    "order_delivered_customer_date": "delivered_datekey",
+    "order_estimated_delivery_date": "estimated_datekey",
+}
+MULTI_LINE_TABLES = ("order_reviews",)   # the only free text
 PRIMARY_KEYS: dict[str, tuple[str, ...]] = {
     "customers": ("customer_id",),
     "orders": ("order_id",),
@@ -88,13 +99,15 @@ def compact_name(stem: str) -> str:
     return "payments" if name == "order_payments" else name
 
 
-def load_raw(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def load_raw(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
+             multi_line: bool = False) -> DataFrame:
     """Read a CSV file or folder with every column as text.
 
-    Multi-line quoted fields are allowed (free-text review comments span lines).
+    ``multi_line`` allows quoted fields that span lines (free-text review comments); such
+    a file cannot be split, so only the tables that need it are read that way.
     With ``columns`` the header is not inferred; the schema is all-string.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     else:
@@ -128,26 +141,19 @@ def null_before(c: Column, instant: str) -> Column:
     return F.when(c >= F.lit(instant).cast("timestamp"), c)
 
 
-def cast_failures(raw: DataFrame, typed: DataFrame, spec: Mapping[str, str], table: str) -> DataFrame:
+def cast_failures(raw: DataFrame, spec: Mapping[str, str], table: str) -> DataFrame:
     """Per column: non-empty raw values, values after the cast, and the difference.
 
-    Both frames are aggregated in one pass each; the result has one row per column.
+    One scan counts both; the result has one row per column.
     """
     cols = [c for c in raw.columns if c in spec]
-    raw_counts = raw.agg(*[F.count(F.when(F.trim(c) != "", 1)).alias(c) for c in cols])
-    typed_counts = typed.agg(*[F.count(c).alias(c) for c in cols])
-    stack = "stack({n}, {pairs}) as (column_name, n)"
-    def longform(df: DataFrame) -> DataFrame:
-        pairs = ", ".join(f"'{c}', `{c}`" for c in cols)
-        return df.selectExpr(stack.format(n=len(cols), pairs=pairs))
-    r = longform(raw_counts).withColumnRenamed("n", "raw_values")
-    t = longform(typed_counts).withColumnRenamed("n", "typed_values")
-    types = raw.sparkSession.createDataFrame([(c, spec[c]) for c in cols], "column_name string, target_type string")
-    return (
-        r.join(t, "column_name").join(types, "column_name")
+    cast = {c: F.when(F.trim(c) != "", F.col(c)) for c in cols}
+    counts = raw.agg(*[F.count(cast[c]).alias(f"r{i}") for i, c in enumerate(cols)],
+                     *[F.count(cast[c].try_cast(spec[c])).alias(f"t{i}") for i, c in enumerate(cols)])
+    rows = ", ".join(f"'{c}', '{spec[c]}', r{i}, t{i}" for i, c in enumerate(cols))
+    return counts.selectExpr(f"stack({len(cols)}, {rows}) as (column_name, target_type, raw_values, typed_values)") \
         .select(F.lit(table).alias("table_name"), "column_name", "target_type", "raw_values", "typed_values",
                 (F.col("raw_values") - F.col("typed_values")).alias("failed_casts"))
-    )
 
 
 def schema_report(df: DataFrame, table: str) -> list[tuple[str, str, str, bool]]:
@@ -212,7 +218,7 @@ def key_violations(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[
 
 def orphans(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
     """Child rows whose non-NULL key has no parent (a ``left_anti`` join)."""
-    keys = parent.select(F.col(parent_col).alias("__k")).distinct()
+    keys = parent.select(F.col(parent_col).alias("__k"))
     return child.where(F.col(child_col).isNotNull()).join(keys, F.col(child_col) == F.col("__k"), "left_anti")
 
 
@@ -274,32 +280,35 @@ class StarSchema:
             setattr(self, _STAR_ATTRS.get(name, name), df)
 
 
-def load_star_schema(spark: SparkSession, csv_dir: str, blank_to_null: bool = True,
-                     min_valid_ts: str | None = "1900-01-02") -> StarSchema:
+def _csv_files(spark: SparkSession, folder: str) -> dict[str, str]:
+    """File stem -> path of the CSV files (or CSV folders) in ``folder``, by Spark's file system."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    found = {s.getPath().getName(): s.getPath().toString() for s in status}
+    return {name[:-len(".csv")]: p for name, p in sorted(found.items()) if name.lower().endswith(".csv")}
+
+
+def load_star_schema(spark: SparkSession, csv_dir: str | Mapping[str, str], blank_to_null: bool = True,
+                     min_valid_ts: str | None = "2000-01-01") -> StarSchema:
     """T1-T3, T8, T11 in one call: every ``*.csv`` under ``csv_dir`` -> typed star schema.
 
-    Files are matched to tables by ``compact_name`` of their stem; columns are
+    ``csv_dir`` is a folder on any file system Spark reads, or a mapping of table names
+    to paths. Files are matched to tables by ``compact_name`` of their stem; columns are
     read as text and converted with ``normalise`` (cast failures become NULL and
     can be counted with ``cast_failures``). Orders, items and reviews get their
     ``yyyyMMdd`` date keys. Lazy: nothing is read until a query runs.
     """
-    import os
-
     from souk.sources.calendar import add_datekeys
 
     tables: dict[str, DataFrame] = {}
-    for entry in sorted(os.listdir(csv_dir)):
-        stem, ext = os.path.splitext(entry)
+    for stem, path in (csv_dir if isinstance(csv_dir, Mapping) else _csv_files(spark, csv_dir)).items():
         name = compact_name(stem)
-        if ext.lower() != ".csv" or name not in TYPE_SPEC:
+        if name not in TYPE_SPEC:
             continue
-        raw = load_raw(spark, os.path.join(csv_dir, entry))
+        raw = load_raw(spark, path, multi_line=name in MULTI_LINE_TABLES)
         tables[name] = normalise(raw, TYPE_SPEC[name], blank_to_null=blank_to_null, min_valid_ts=min_valid_ts)
-    keys = {"orders": {"order_purchase_timestamp": "purchase_datekey",
-                       "order_approved_at": "approved_datekey",
-                       "order_delivered_carrier_date": "delivered_carrier_datekey",
-                       "order_delivered_customer_date": "delivered_customer_datekey",
-                       "order_estimated_delivery_date": "estimated_delivery_datekey"},
+    keys = {"orders": {**ORDER_DATEKEYS, "order_delivered_carrier_date": "carrier_datekey"},
             "order_items": {"shipping_limit_date": "shipping_limit_datekey"},
             "order_reviews": {"review_creation_date": "review_creation_datekey",
                               "review_answer_timestamp": "review_answer_datekey"}}

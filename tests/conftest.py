@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,4 +12,5 @@ sys.path.insert(0, ROOT)
 def spark():
     from souk.session import get_spark
 
-    return get_spark(master="local[*]", shuffle_partitions=8)
+    return get_spark(master="local[*]", shuffle_partitions=8,
+                     checkpoint_dir=tempfile.mkdtemp(prefix="souk-test-ckpt-"))

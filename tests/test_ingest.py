@@ -26,15 +26,14 @@ def test_multiline_csv_and_countable_cast_failures(spark):
         f.write("r2,o2,five,,  ,1900-01-01 00:00:00,2018-01-03 00:00:00\n")
         f.write("r1,o3,1,,bad,2018-01-04 00:00:00,\n")
     spec = ingest.TYPE_SPEC["order_reviews"]
-    raw = ingest.load_raw(spark, path)
+    raw = ingest.load_raw(spark, path, multi_line=True)
     assert raw.count() == 3
     typed = ingest.normalise(raw, spec, min_valid_ts="2000-01-01")
     rows = {r.order_id: r for r in typed.collect()}
     assert rows["o1"].review_comment_message == "great\nsecond line"
     assert rows["o2"].review_score is None and rows["o2"].review_comment_message is None
     assert rows["o2"].review_creation_date is None  # sentinel date nulled
-    fails = {r.column_name: r.failed_casts for r in ingest.cast_failures(raw, ingest.normalise(raw, spec), spec,
-                                                                        "order_reviews").collect()}
+    fails = {r.column_name: r.failed_casts for r in ingest.cast_failures(raw, spec, "order_reviews").collect()}
     assert fails["review_score"] == 1 and fails["review_creation_date"] == 0
     dup = ingest.key_violations({"order_reviews": typed}).collect()[0]
     assert (dup.duplicate_keys, dup.rows_in_duplicate_keys, dup.null_keys) == (1, 2, 0)
@@ -62,28 +61,47 @@ def test_mart_sink_partitions_by_cohort_year(spark):
 
 
 def test_materialised_star_gives_identical_results(spark):
-    import __spark_entry__ as E
+    from souk.plans import registry
     from souk.sources import fixtures
 
-    sf = "/root/testdata/sf0.001"
+    sf, star = "/root/testdata/sf0.001", os.path.join(_scratch(), "star")
     names = ["customer_pareto", "local_vs_longhaul", "review_distribution", "seller_churn"]
-    before = {n: sorted(map(tuple, E.queries()[n](spark, sf).collect())) for n in names}
-    fixtures.materialize_star(spark, sf, os.path.join(_scratch(), "star"), partitions=3)
-    try:
-        after = {n: sorted(map(tuple, E.queries()[n](spark, sf).collect())) for n in names}
-    finally:
-        fixtures.forget_star(sf)
-    assert before == after
+    fixtures.materialize_star(spark, sf, star, partitions=3)
+    for n in names:
+        derived = registry.queries()[n](spark, sf).collect()
+        assert sorted(map(tuple, derived)) == sorted(map(tuple, registry.queries(star)[n](spark, sf).collect()))
 
 
-def test_scan_memo_is_per_session(spark):
+def test_every_read_sees_the_files_of_its_time(spark):
     from souk.sources.tables import read_table
 
-    a = read_table(spark, "/root/testdata/sf0.001", "nation")
-    assert read_table(spark, "/root/testdata/sf0.001", "nation") is a
-    other = spark.newSession()
-    b = read_table(other, "/root/testdata/sf0.001", "nation")
-    assert b is not a and b.sparkSession is other
+    folder = _scratch()
+    for rows in (3, 5):
+        spark.range(rows).write.mode("overwrite").parquet(os.path.join(folder, "nation.parquet"))
+        assert read_table(spark, folder, "nation").count() == rows
+
+
+def test_two_ingest_frames_live_side_by_side(spark):
+    from souk.plans import registry
+
+    first = registry.queries()["ingest_cast_failures"](spark, "/root/testdata/sf0.001")
+    second = registry.queries()["ingest_cast_failures"](spark, "/root/testdata/sf0.001")
+    rows = {r.column_name: r.failed_casts for r in first.collect()}
+    assert rows == {r.column_name: r.failed_casts for r in second.collect()}
+    assert rows["order_delivered_customer_date"] > 0 and rows["order_approved_at"] == 0
+
+
+def test_calendar_covers_the_data_and_refuses_a_stray_date(spark):
+    import pytest
+
+    from souk.sources.calendar import calendar_spanning
+
+    dates = spark.createDataFrame([("1987-03-02",), ("2031-05-06",), (None,)], "d string").selectExpr("d::timestamp as d")
+    cal = calendar_spanning(dates, "d", "d")
+    assert cal.count() == 45 * 365 + 11 and cal.agg({"full_date": "min"}).first()[0].isoformat() == "1987-01-01"
+    with pytest.raises(ValueError):
+        calendar_spanning(dates.unionByName(spark.sql("select timestamp'0001-01-01' as d")), "d", "d")
+    assert calendar_spanning(dates.where("d is null"), "d", "d").count() == 1
 
 
 def test_load_star_schema_from_csv_files_end_to_end(spark):
@@ -102,9 +120,11 @@ def test_load_star_schema_from_csv_files_end_to_end(spark):
         # Spark writes a folder named <stem>.csv; the loader reads it as one table
         (getattr(m, attr).write.option("header", True).option("timestampFormat", fmt)
          .option("timestampNTZFormat", fmt).csv(os.path.join(out, stem + ".csv")))
-    star = ingest.load_star_schema(spark, out)
+    star = ingest.load_star_schema(spark, "file://" + out, min_valid_ts="1990-01-01")
+    paths = {stem: os.path.join(out, stem + ".csv") for stem in files.values()}
+    assert set(ingest.load_star_schema(spark, paths).tables) == set(star.tables)
     assert set(star.tables) == {"orders", "customers", "payments"}
-    assert "purchase_datekey" in star.orders.columns
+    assert {"purchase_datekey", "approved_datekey", "delivered_datekey", "estimated_datekey"} <= set(star.orders.columns)
     loaded = sorted(map(tuple, pay.boleto_by_state(star.payments, star.orders, star.customers).collect()))
     direct = sorted(map(tuple, E.queries()["boleto_by_state"](spark, sf).collect()))
     assert loaded == direct

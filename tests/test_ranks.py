@@ -5,7 +5,10 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from souk.operators.ranks import (global_ntile, global_percent_rank, global_row_number, grouped_lag, ntile_of)
+import pytest
+
+from souk.operators.ranks import (bucketize, global_ntile, global_percent_rank, global_rank, global_row_number, grouped_lag,
+                                  ntile_of)
 
 SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -75,8 +78,7 @@ def test_heavy_value_spans_buckets(spark):
     want = {r.id: r.p for r in df.select("id", F.percent_rank().over(Window.orderBy("v")).alias("p")).collect()}
     got = {r.id: r.p for r in global_percent_rank(df, [("v", True), ("id", True)], 1, "p", buckets=8).collect()}
     assert got == want
-    from souk.operators.ranks import bucketize
-    b, _ = bucketize(df, [("v", True), ("id", True)], buckets=8)
+    b = bucketize(df, [("v", True), ("id", True)], buckets=8)
     per_bucket = b.where("v = 7").groupBy("__bucket").count().collect()
     assert len(per_bucket) >= 4
 
@@ -104,3 +106,25 @@ def test_grouped_lag_descending_order_with_null_keys(spark):
     got = {r.id: r.prev for r in grouped_lag(df, ["g"], [("t", False), ("id", True)], "id", "prev",
                                              buckets=6).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("ranges", [3, 64, 5000])
+def test_string_keys_and_one_heavy_value_at_any_number_of_ranges(spark, ranges):
+    rows = [(f"id-{i:04d}", "heavy" if i % 3 else f"v{i % 50}") for i in range(900)]
+    df = spark.createDataFrame(rows, "id string, v string")
+    w = Window.orderBy(F.col("v").desc())
+    want = {r.id: (r.r, r.p, r.t) for r in df.select(
+        "id", F.rank().over(w).alias("r"), F.percent_rank().over(w).alias("p"),
+        F.ntile(7).over(Window.orderBy(F.col("v").desc(), "id")).alias("t")).collect()}
+    key = [("v", False), ("id", True)]
+    ranked = {r.id: (r.r, r.n) for r in global_rank(df, key, 1, "r", "n", buckets=ranges).collect()}
+    share = {r.id: r.p for r in global_percent_rank(df, key, 1, "p", buckets=ranges).collect()}
+    tile = {r.id: r.t for r in global_ntile(df, key, 7, "t", buckets=ranges).collect()}
+    assert {i: (ranked[i][0], share[i], tile[i]) for i in want} == want
+    assert {n for _, n in ranked.values()} == {900}
+
+
+def test_default_ranges_follow_the_shuffle_partitions_for_small_inputs_too(spark):
+    df = spark.range(40).withColumn("v", F.col("id") % 3)
+    used = bucketize(df, [("v", True), ("id", True)]).select("__bucket").distinct().count()
+    assert used > 1

@@ -14,12 +14,13 @@ import io
 import os
 import re
 import sys
+import tempfile
 from contextlib import redirect_stdout
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-import __spark_entry__ as E  # noqa: E402
+from souk.plans import registry  # noqa: E402
 from souk.session import get_spark  # noqa: E402
 
 
@@ -29,15 +30,16 @@ def main() -> None:
     args = [a for a in args if a != "--star"]
     sf_dir = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")]
-    spark = get_spark()
-    if star:
-        from souk.session import ensure_checkpoint_dir
+    scratch = tempfile.mkdtemp(prefix="souk-audit-")
+    spark = get_spark(checkpoint_dir=scratch)
+    stored = f"{scratch}/star" if star else None
+    if stored:
         from souk.sources import fixtures
 
-        fixtures.materialize_star(spark, sf_dir, f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-star")
+        fixtures.materialize_star(spark, sf_dir, stored)
     print("| query | exchanges | single-partition | broadcasts | windows | scans | widest scan (cols) |")
     print("|---|---|---|---|---|---|---|")
-    qs = E.queries()
+    qs = registry.queries(stored)
     for name in names or list(qs):
         df = qs[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
