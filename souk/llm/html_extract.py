@@ -6,8 +6,8 @@ footers, asides, hidden elements, and elements whose class, id or role names a m
 advert, a notice, a sidebar or comments.
 
 Pass one labels each block by length, link density and stop-word density: long blocks
-with running text are good, link-dense ones bad, blocks without stop words outside an
-article bad. Blocks too short or too odd to tell stay undecided. Where the page marks an
+with running text are good, link-dense ones bad (inside an article only from three in a
+row on, a menu), blocks without stop words outside an article bad. Blocks too short or too odd to tell stay undecided. Where the page marks an
 article or main region (or names an element like one that holds most of its text), only
 blocks in it are candidates. Pass two gives undecided
 blocks the label of the nearest decided neighbour of their region; a region without any
@@ -50,15 +50,16 @@ head nav footer aside form button select option optgroup dialog menu iframe obje
 audio svg math map fieldset legend title
 """.split())
 DROPPED_NAMES = frozenset("""
-ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner
+ad ads adv advert adverts advertisement advertising adsbygoogle alert sponsor sponsored promo promotion banner
 cookie cookies consent gdpr notice notices sidebar comment comments commentlist disqus reply
 replies menu nav navbar navigation breadcrumb breadcrumbs header masthead footer share sharing
 social related recommended popup modal overlay newsletter subscribe subscription signup login
-widget toolbar pager pagination copyright disclaimer complementary contentinfo
+widget toolbar toc pager pagination copyright disclaimer complementary contentinfo
 """.split())
 CONTENT_NAMES = frozenset("article post entry content story title body main text".split())
 REGIONS = frozenset(("article", "main"))
-REGION_NAMES = frozenset("article post entry story content".split())
+REGION_NAMES = frozenset("article post entry story content main".split())
+MENU = 3                        # link-dense blocks in a row that make a menu inside an article
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -184,11 +185,15 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
     return blocks
 
 
+def _link_dense(words: str, linked: int) -> bool:
+    return linked > LINK_DENSE * len(words.replace(" ", ""))
+
+
 def _label(words: str, linked: int, in_region: bool) -> bool | None:
-    """Pass one: good, bad or undecided."""
+    """Pass one: good, bad or undecided. A lone link inside an article may be text."""
     n = len(words)
-    if linked > LINK_DENSE * len(words.replace(" ", "")):
-        return False
+    if _link_dense(words, linked):
+        return None if in_region else False
     found = LETTERS.findall(words.lower())
     prose = sum(w in STOP_WORDS for w in found) / max(1, len(found))
     if n >= LONG and prose >= SOME_PROSE or n >= SHORT and prose >= PROSE:
@@ -205,9 +210,19 @@ def main_text(page: str | None) -> str:
         blocks = [b for b in blocks if b[2] > 0]
     elif 2 * sum(len(b[0]) for b in blocks if b[2]) >= sum(len(b[0]) for b in blocks):
         blocks = [b for b in blocks if b[2]]
-    labels = [_label(words, linked, region != 0) for words, linked, region, _ in blocks]
-    kept = []
+    n, kept = len(blocks), []
+    menu, run = [False] * n, []
+    for i, (words, linked, region, _) in enumerate(blocks):
+        if not _link_dense(words, linked) or run and blocks[run[-1]][2] != region:
+            run = []
+        if _link_dense(words, linked):
+            run.append(i)
+            for j in run if len(run) == MENU else run[-1:] if len(run) > MENU else ():
+                menu[j] = True
+    # a menu inside an article is cut out like the dropped regions and lends nobody its label
+    blocks = [b for b, m in zip(blocks, menu) if not (m and b[2])]
     n = len(blocks)
+    labels = [_label(words, linked, region != 0) for words, linked, region, _ in blocks]
     before, after = [-1] * n, [n] * n           # nearest decided block of the same region
     for i in range(n):
         if i and blocks[i - 1][2] == blocks[i][2]:

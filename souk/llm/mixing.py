@@ -3,9 +3,10 @@
 Targets: all sizes together are shared by source weight; a source's target stops at
 ``cap`` times its size and the excess is shared again by weight until none is above.
 
-Copies: with ``e = target / source size`` expected copies (times the document's own
-relative weight, if any), ``floor(e)`` whole copies are certain and the fraction is the
-inclusion probability of one more. Pareto order sampling ranks a source's documents by
+Copies: a document's expected copies ``e`` are proportional to its own weight (one, unless
+``doc_weight`` names a column), at most ``cap``, and such that the words expected of a source are its
+target. ``floor(e)`` whole copies are certain and the fraction is the inclusion probability
+``p`` of one more. Pareto order sampling ranks a source's documents by
 ``(u / (1 - u)) / (p / (1 - p))``, the odds of a random number over the odds of
 inclusion, and takes them in that order up to the words still wanted. The random number
 is a hash of the row, so reruns agree on any layout.
@@ -21,7 +22,8 @@ cycle through ``weights``. All tables but the documents' keys have a row per sou
 
 Defined results: null and empty texts have size 0 and are never drawn for words (they get
 the certain copies, which take none); a source without words has target 0; the null
-source is a source of its own; an empty table gives no rows; extra columns are ignored
+source is a source of its own; a null document weight is one, a negative or NaN one is
+zero; an empty table gives no rows; extra columns are ignored
 by ``mix_plan`` and carried by ``mixed_documents``.
 """
 
@@ -81,24 +83,54 @@ def text_hash(col: str):
     return F.coalesce(F.md5(F.col(col)), F.lit("null"))
 
 
-def _keyed(docs: DataFrame, text: str, doc_id: str, source: str):
+def _keyed(docs: DataFrame, text: str, doc_id: str, source: str, doc_weight: str | None) -> DataFrame:
+    w = F.lit(1.0) if doc_weight is None else F.coalesce(F.col(doc_weight).cast("double"), F.lit(1.0))
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                       n_words(text).alias("size"), text_hash(text).alias("h"))
+                       n_words(text).alias("size"), text_hash(text).alias("h"),
+                       F.when(F.isnan(w) | (w < 0), 0.0).otherwise(w).alias("w"))
+
+
+def _levels(items: DataFrame, targets: DataFrame, cap: int, even: bool) -> DataFrame:
+    """``targets`` with ``level``: copies per unit of weight that bring the target's words.
+
+    Documents at the cap leave and the others share the rest, as sources do; with even
+    weights the level is plainly target over size, which is never above the cap.
+    """
+    size = F.col("source_size")
+    if even:
+        return targets.withColumn("level", F.when(size > 0, F.col("target") / size).otherwise(0.0))
+    levels = targets.withColumn("level", F.lit(0.0))
+    while True:
+        words = (F.col("i.size") * F.col("i.m")).cast("double")
+        full = F.col("t.level") * F.col("i.w") >= cap
+        sums = (items.alias("i").join(levels.alias("t"), F.col("i.source").eqNullSafe(F.col("t.source")))
+                .groupBy(F.col("t.source").alias("s")).agg(
+                    F.coalesce(F.sum(F.when(full, words * cap)), F.lit(0.0)).alias("gone"),
+                    F.coalesce(F.sum(F.when(~full, words * F.col("i.w"))), F.lit(0.0)).alias("open")))
+        level = F.when(F.col("open") > 0, F.greatest("level", (F.col("target") - F.col("gone")) / F.col("open"))) \
+            .otherwise(F.col("level"))
+        after = stored(levels.join(sums, F.col("source").eqNullSafe(F.col("s")))
+                       .select("source", "source_size", "weight", "target", level.alias("level"),
+                               (level > F.col("level") * (1 + 1e-12)).alias("moved")), "levels")
+        levels = after.drop("moved")
+        if not after.where("moved").take(1):
+            return levels
 
 
 def mix_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
-             weights: tuple = (1, 2, 3), cap: int = 3, seed: int = 42) -> DataFrame:
+             weights: tuple = (1, 2, 3), cap: int = 3, seed: int = 42,
+             doc_weight: str | None = None) -> DataFrame:
     """One row per document row: ``doc_id, source, size, h, copy, source_size, target,
     copies`` (``h``: hash of the text; ``copy``: number among equal rows)."""
     # equal rows are one group with a count; no row of a hot group moves by itself
-    items = stored(_keyed(docs, text, doc_id, source).groupBy("doc_id", "source", "size", "h")
+    items = stored(_keyed(docs, text, doc_id, source, doc_weight).groupBy("doc_id", "source", "size", "h", "w")
                    .agg(F.count(F.lit(1)).alias("m")), "items")
     rows = items.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m")
     targets = stored(source_targets(
         items.select("source", (F.col("size") * F.col("m")).alias("size")), weights, cap), "targets")
+    targets = stored(_levels(items, targets, cap, doc_weight is None), "targets")
     same = F.col("r.source").eqNullSafe(F.col("t.source"))
-    expected = F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")) \
-        .otherwise(F.lit(0.0))
+    expected = F.least(F.lit(float(cap)), F.col("t.level") * F.col("r.w"))
     digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")),
                                F.col("r.h"), F.col("r.copy").cast("string")))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << BITS)
@@ -109,9 +141,9 @@ def mix_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     place = F.when(F.col("p") > 0, F.floor(odds / (1 + odds) * float(1 << BITS)))
     ranked = stored(ranked.select("doc_id", "source", "size", "h", "copy", "source_size", "target",
                                   "whole", place.cast("long").alias("place")), "ranked")
-    wanted = targets.select("source", (F.col("target") - F.col("source_size") * F.floor(
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
-        .otherwise(F.lit(0.0)))).alias("wanted"))
+    certain = ranked.groupBy("source").agg(F.first("target").alias("target"),
+                                           F.sum(F.col("size") * F.col("whole")).alias("sure"))
+    wanted = stored(certain.select("source", (F.col("target") - F.col("sure")).alias("wanted")), "wanted")
     drawn = ranked.where((F.col("size") > 0) & F.col("place").isNotNull()) \
         .select("source", "size", "place", "doc_id", "h", "copy")
     # narrow the cut: a source's cell in which the running sum passes the wanted words
@@ -169,13 +201,13 @@ def _narrow(drawn: DataFrame, cut: DataFrame, shift: int, bits: int) -> DataFram
 
 def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     source: str = "source", weights: tuple = (1, 2, 3), cap: int = 3,
-                    seed: int = 42) -> DataFrame:
+                    seed: int = 42, doc_weight: str | None = None) -> DataFrame:
     """The mix itself: each document row as often as it is taken, with its columns.
 
     Rows that agree in id, source and text share their copies: one of them stands for all.
     """
     names = docs.columns
-    taken = (mix_plan(docs, text, doc_id, source, weights, cap, seed)
+    taken = (mix_plan(docs, text, doc_id, source, weights, cap, seed, doc_weight)
              .groupBy("doc_id", "source", "size", "h").agg(F.sum("copies").alias("__souk_copies"))
              .where(F.col("__souk_copies") > 0))
     taken = stored(taken.select(F.col("doc_id").alias("__souk_id"), F.col("source").alias("__souk_source"),

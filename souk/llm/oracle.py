@@ -130,9 +130,33 @@ SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
 FROM b
 """
 
+# all pairs by cosine; what a vector reaches is walked edge by edge, each vector once
+OP10 = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS n, vec_id,
+         CASE WHEN embedding IS NOT NULL AND len(embedding) > 0
+               AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+               AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+              THEN list_transform(embedding, lambda x: x::DOUBLE) END AS e
+  FROM embeddings
+), link AS (
+  SELECT a.n AS a, b.n AS b FROM v a JOIN v b ON a.n <> b.n AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT n AS a, n AS b FROM v
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), comp AS (
+  SELECT reach.a AS n, min(v.vec_id) AS component_id FROM reach JOIN v ON v.n = reach.b GROUP BY reach.a
+)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN comp USING (n) LEFT JOIN (SELECT a AS n, count(*) AS k FROM link GROUP BY a) USING (n)
+"""
+
 QUERIES: dict[str, str] = {
     "op1_exact_topk": OP1,
     "op6_mixing": OP6,
     "op8_warc": OP8,
     "op9_url_filter": OP9,
+    "op10_embedding_dedup": OP10,
 }

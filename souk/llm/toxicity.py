@@ -15,7 +15,7 @@ reduced to features where they lie; one task fits the model, whose size is bound
 
 Defined results: null and empty texts, and texts without letters, have severity 0 and are
 not toxic; labels that are null are ignored, of contradicting labels of an id the highest
-counts; without labels of both classes nothing is toxic; repeated rows are scored each;
+counts, of texts that share an id the least is learned from; without labels of both classes nothing is toxic; repeated rows are scored each;
 an empty table gives no rows; extra columns are ignored by ``severity`` and carried by
 ``reject_toxic``.
 """
@@ -139,25 +139,26 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for body, toxic in zip(batch["text"], batch["toxic"]):
+            for place, body, toxic in zip(batch["place"], batch["text"], batch["toxic"]):
                 words = words_of(body)
                 found: Counter = Counter()
                 for word, n in Counter(words).items():
                     for f in features_of(word):
                         found[f] += n
                 if words:
-                    out.append((toxic, len(words), np.fromiter(found, np.uint32, len(found)).tobytes(),
+                    out.append((place, toxic, len(words), np.fromiter(found, np.uint32, len(found)).tobytes(),
                                 np.fromiter(found.values(), np.uint32, len(found)).tobytes()))
-            yield pd.DataFrame(out, columns=["toxic", "n", "ids", "counts"])
+            yield pd.DataFrame(out, columns=["place", "toxic", "n", "ids", "counts"])
 
     # the sample has at most 2 * per_class rows
     sample = (docs.select(F.col(doc_id).alias("__souk_doc"), F.col(text).alias("text"))
               .join(F.broadcast(picked), F.col("__souk_doc") == F.col("__souk_id"))
-              .dropDuplicates(["__souk_id"])
-              .select("text", F.col("__souk_toxic").alias("toxic"))
-              .mapInPandas(featurise, "toxic boolean, n long, ids binary, counts binary"))
+              .groupBy("__souk_id", F.col("__souk_toxic").alias("toxic")).agg(F.min("text").alias("text"))
+              .select(F.xxhash64("__souk_id").alias("place"), "text", "toxic")
+              .mapInPandas(featurise, "place long, toxic boolean, n long, ids binary, counts binary"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")      # one order of the sums, whatever came first
         model = train(pdf["toxic"].to_numpy(bool), pdf["n"].to_numpy(float),
                       [np.frombuffer(b, np.uint32) for b in pdf["ids"]],
                       [np.frombuffer(b, np.uint32) for b in pdf["counts"]],

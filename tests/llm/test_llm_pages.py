@@ -40,6 +40,14 @@ def test_bare_pages_follow_the_density_rules():
     assert html_extract.main_text(named) == f"{PROSE.strip()}\nOk."
 
 
+def test_links_inside_an_article():
+    items = "".join(f"<li><a href='/{i}'>Menu item {i}</a></li>" for i in range(4))
+    page = (f"<article><h1>Head</h1><ul>{items}</ul><p>{PROSE}</p><p><a href='/s'>Source of the text</a></p>"
+            f"<ul><li>One</li><li>Two</li></ul><blockquote>Quoted</blockquote></article>")
+    assert html_extract.main_text(page).split("\n") == ["Head", PROSE.strip(), "Source of the text", "One", "Two", "Quoted"]
+    assert html_extract.main_text(f"<p>Above</p><div role='main'><p>{PROSE}</p></div>") == PROSE.strip()
+
+
 def test_broken_markup_and_empty_pages():
     cases = {None: "", "": "", "plain": "plain", "<p>a<p>b": "a\nb", "<p>a <b>b": "a b", "<p": "", "a < b": "a < b",
              "<script>x": "", "<p title='a>b'>c</p>": "c", "<p title='a>c</p>": "c", "<nav><ul><li>x<article><p>y": "y",

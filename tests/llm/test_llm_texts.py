@@ -259,6 +259,26 @@ def test_mix_is_near_its_targets_and_repeatable(spark):
     assert mixing.mixed_documents(_docs(spark, [])).collect() == []
 
 
+def test_document_weights_tilt_the_sample(spark):
+    rows = [(i, " ".join(["w"] * 10), "ab"[i % 2], [0.5, 1.0, 4.0, None][i % 8 // 2]) for i in range(2000)]
+    rows += [(9000, "z " * 10, "a", 0.0), (9001, "z " * 10, "a", float("nan")), (9002, "z " * 10, "a", -1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    got = mixing.mix_plan(docs, doc_weight="w").collect()
+    by_weight, taken, target = collections.defaultdict(list), collections.Counter(), {}
+    of = {r[0]: r[3] for r in rows}
+    for r in got:
+        assert 0 <= r.copies <= 3
+        by_weight[r.source, str(of[r.doc_id])].append(r.copies)
+        taken[r.source] += r.copies * r.size
+        target[r.source] = r.target
+    for source, want in target.items():
+        assert abs(taken[source] - want) <= 5
+        mean = {k: np.mean(v) for (s, k), v in by_weight.items() if s == source}
+        assert mean["0.5"] < mean["1.0"] < mean["4.0"] and abs(mean["1.0"] - mean["None"]) < 0.15
+        assert abs(mean["1.0"] / mean["0.5"] - 2) < 0.4
+    assert not any(by_weight["a", k] != [0] for k in ("0.0", "nan", "-1.0"))
+
+
 def test_words_are_counted_by_ascii_space(spark):
     texts = [None, "", "  ", "a", " a\tb\nc\x0bd\x0ce\rf ", "a\u00a0b c", "xx x"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.n_words("t")).collect()
