@@ -64,12 +64,17 @@ def test_round_half_away_from_zero_through_decimal(spark):
     assert _one(spark, rnd("x"), x=1.005) == 1.01
     assert _one(spark, rnd("x", 0), x=-2.5) == -3.0
     assert _one(spark, rnd("x"), x=Decimal("136.225")) == 136.23
+    assert _one(spark, rnd("x"), x=2.6749996) == 2.67       # one rounding, not two
+    assert _one(spark, rnd("x"), x=-2.6749996) == -2.67
 
 
 def test_safe_div_and_truncated_avg(spark):
     assert _one(spark, safe_div("a", "b"), a=1, b=0) is None
     df = spark.createDataFrame([(1,), (2,), (2,)], "x int")
     assert df.agg(avg_truncated("x").alias("a")).collect()[0].a == 1
+    assert df.agg(avg_truncated(-F.col("x")).alias("a")).collect()[0].a == -1   # toward zero
+    big = spark.createDataFrame([(2 ** 53,), (2 ** 53 + 2,)], "x long")
+    assert big.agg(avg_truncated("x").alias("a")).collect()[0].a == 2 ** 53 + 1
     assert df.where("x > 5").agg(avg_truncated("x").alias("a")).collect()[0].a is None
 
 

@@ -120,3 +120,59 @@ def test_union_report_has_separator_and_weekday_rows(spark):
     seps = [r for r in rows if r.month_name == L.INTRADAY_SEPARATOR]
     assert len(seps) == 1 and seps[0].year is None
     assert any(r.month_name.startswith("Sunday at ") for r in rows)
+
+
+def test_high_tickets_count_whatever_their_installments(spark):
+    pays = spark.createDataFrame([(1, "credit_card", 0, 900.0), (2, "credit_card", 6, 900.0), (3, "credit_card", None, 900.0),
+                                  (4, "credit_card", 1, 100.0), (5, "boleto", 1, 900.0)],
+                                 "order_id long, payment_type string, payment_installments int, payment_value double")
+    r = payments.installment_financing(pays).first()
+    assert (r.total_high_ticket_orders, r.high_installment_count, r.high_ticket_financing_pct) == (3, 1, 33.33)
+    assert r.avg_val_1_inst == 100.0 and r.avg_val_10_inst is None
+
+
+def test_mart_measures_ignore_unknown_values(spark):
+    day = T(2017, 3, 5)
+    orders = _orders(spark, [(1, 1, "delivered", day, None, None, None, None), (2, 2, "shipped", None, None, None, None, None)])
+    customers = _customers(spark, [(1, 7), (2, 7)])
+    items = spark.createDataFrame([(1, 1, 5, 9, 10.0, 1.0), (1, 2, 5, 8, 10.0, 1.0), (2, 1, 6, 9, 5.0, 1.0)],
+                                  "order_id long, order_item_id int, product_id long, seller_id long, price double, freight_value double")
+    pays = spark.createDataFrame([(1, 1, "voucher", 4, 10.0), (2, 1, "boleto", None, 5.0)],
+                                 "order_id long, payment_sequential int, payment_type string, payment_installments int, payment_value double")
+    revs = spark.createDataFrame([(1, 1, 4), (2, 2, None)], "review_id long, order_id long, review_score int")
+    geo = spark.createDataFrame([(1, "ST", 1.0, 2.0)], "geolocation_zip_code_prefix int, geolocation_state string, "
+                                                       "geolocation_lat double, geolocation_lng double")
+    r = mart.customer_360(customers, geo, orders, items, pays, revs, "2018-01-01").first()
+    assert r.avg_review_score == 4.0 and r.total_reviews == 2
+    assert r.avg_installments_per_order == 4.0
+    assert r.active_months_count == 1 and r.total_orders == 2
+    assert (r.distinct_products_purchased, r.distinct_sellers_purchased, r.most_used_payment_type) == (2, 2, "boleto")
+
+
+def test_seller_churn_names_and_statuses(spark):
+    from souk.operators.sellers import seller_churn
+
+    orders = _orders(spark, [(1, 1, "delivered", T(2017, 1, 1), None, None, None, None),
+                             (2, 2, "canceled", T(2017, 2, 1), None, None, None, None),
+                             (3, 3, "delivered", T(2018, 1, 1), None, None, None, None),
+                             (4, 4, "delivered", None, None, None, None, None)])
+    items = spark.createDataFrame([(1, 1, 10), (2, 1, 10), (2, 2, 10), (2, 3, 20), (3, 1, 20), (3, 1, 30), (4, 1, 10)],
+                                  "order_id long, order_item_id int, seller_id long")
+    got = {r.churn_status: tuple(r)[1:] for r in seller_churn(orders, items).collect()}
+    assert got == {L.SELLER_CHURN[0].format(next_year=2018): (1, 100.0, 2.0),   # two cancelled items over two orders
+                   L.SELLER_CHURN[1].format(next_year=2018): (1, 100.0, 1.0)}
+    assert seller_churn(orders, items, 2016, 2017).columns[-1] == "avg_2016_order_volume"
+
+
+def test_latency_gaps_at_order_grain(spark):
+    orders = _orders(spark, [(1, 1, "delivered", T(2017, 1, 1), None, None, None, None),
+                             (2, 2, "delivered", T(2017, 1, 11), None, None, None, None),
+                             (3, 3, "delivered", None, None, None, None, None)])
+    items = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1), (3, 1, 1)],
+                                  "order_id long, order_item_id int, product_id long")
+    products = spark.createDataFrame([(1, "a"), (2, "b")], "product_id long, product_category_name string")
+    names = spark.createDataFrame([("a", "A")], "product_category_name string, product_category_name_english string")
+    got = {tuple(r) for r in retention.purchase_latency(orders, _customers(spark, [(1, 7), (2, 7), (3, 7)]), items,
+                                                        products, names, min_events=1).collect()}
+    # rows: a (first), b 0 days later, b 10 days later, a 0 days later
+    assert got == {("a", "A", 1, 0, 0, 0), ("b", None, 2, 5, 0, 10)}
