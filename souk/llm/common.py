@@ -7,7 +7,9 @@ lineages are cut. Nothing here uses a machine-local folder.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SPACE = {str: re.compile(r"[\x20\x09-\x0D]"), bytes: re.compile(rb"[\x20\x09-\x0D]")}
+
+
+def slices(text, size: int = 1 << 20) -> Iterator:
+    """A text in parts of about ``size``, cut at ASCII white space, so words stay whole and
+    a very long text never becomes one very long list of words."""
+    at, n = 0, len(text)
+    while n - at > size:
+        cut = SPACE[type(text)].search(text, at + size)
+        if cut is None:
+            break
+        yield text[at:cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def block_pairs(left: DataFrame, left_key: str, n_left: int,
                 right: DataFrame, right_key: str, n_right: int) -> DataFrame:
     """Every (left block row, right block row) pair, one task per pair of partitions.

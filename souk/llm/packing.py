@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 STEP = 0.05               # share of a length's count covered in one round at most
 NEAR = 0.02               # configurations within this share of the best are raised
@@ -144,6 +144,12 @@ class WordTokenizer:
         """Little-endian 32-bit ids of each text."""
         group, chars = [], 0
         for text in texts:
+            if len(text) > GROUP_CHARS:
+                yield from self._encode_group(group)
+                group, chars = [], 0
+                yield b"".join(ids for part in slices(text, GROUP_CHARS)
+                               for ids in self._encode_group([self.split(part)]))
+                continue
             group.append(self.split(text))
             chars += len(text)
             if chars >= GROUP_CHARS:

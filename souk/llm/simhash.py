@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, stored
+from .common import connected_components, slices, stored
 
 SEED = 42
 CELL_ROWS = 8192          # rows of one chunk of a large cell
@@ -40,32 +40,33 @@ PACK_ROWS = 4096          # small cells are compared together up to this many ro
 HASH_CHUNK = 1 << 16      # shingle hashes unpacked to bits at once
 
 
-def shingle_hashes(text: str | None, shingle: int = 3, seed: int = SEED) -> np.ndarray:
-    """Unsigned XXH64 of each word shingle of a text (repeats included)."""
+def shingle_hashes(text: str | None, shingle: int = 3, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Unsigned XXH64 of each word shingle of a text (repeats included), in parts."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < shingle:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    grams = zip(*(words[i:] for i in range(shingle)))
-    return np.fromiter((digest(join(g), seed) for g in grams), np.uint64,
-                       len(words) - shingle + 1)
+    digest, join, words = xxhash.xxh64_intdigest, b" ".join, []
+    hashed = False
+    for part in slices((text or "").encode("utf-8", "replace").lower()):
+        words += part.split()
+        if len(words) >= shingle:
+            grams = zip(*(words[i:] for i in range(shingle)))
+            yield np.fromiter((digest(join(g), seed) for g in grams), np.uint64,
+                              len(words) - shingle + 1)
+            words, hashed = words[len(words) - shingle + 1:], True
+    if words and not hashed:
+        yield np.array([digest(join(words), seed)], np.uint64)
 
 
 def simhash64(text: str | None, shingle: int = 3, seed: int = SEED) -> int:
     """64-bit majority fingerprint; a bit is set if in over half of the hashes."""
-    h = shingle_hashes(text, shingle, seed)
-    if not len(h):
-        return 0
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(h), HASH_CHUNK):
-        part = h[i:i + HASH_CHUNK]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1,
-                              bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle, seed):
+        n += len(h)
+        for i in range(0, len(h), HASH_CHUNK):
+            part = h[i:i + HASH_CHUNK]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1,
+                                  bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprint_column(text_col: str, shingle: int = 3, seed: int = SEED):

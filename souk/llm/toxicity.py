@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 PER_CLASS = 4000          # labelled rows per class that the model is fitted on, at most
 FEATURES = 1024           # features kept
@@ -55,8 +55,9 @@ def features_of(word: str) -> list[int]:
     return [zlib.crc32(n.encode("utf-8", "replace")) for n in names]
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words_of(text: str | None) -> Iterator[list[str]]:
+    """Lower-case words of a text, in parts."""
+    return (WORD.findall(part) for part in slices((text or "").lower()))
 
 
 def _probabilities(score: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -140,13 +141,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
         for batch in batches:
             out = []
             for place, body, toxic in zip(batch["place"], batch["text"], batch["toxic"]):
-                words = words_of(body)
+                words: Counter = Counter()
+                for part in words_of(body):
+                    words.update(part)
                 found: Counter = Counter()
-                for word, n in Counter(words).items():
+                for word, n in words.items():
                     for f in features_of(word):
                         found[f] += n
                 if words:
-                    out.append((place, toxic, len(words), np.fromiter(found, np.uint32, len(found)).tobytes(),
+                    out.append((place, toxic, words.total(), np.fromiter(found, np.uint32, len(found)).tobytes(),
                                 np.fromiter(found.values(), np.uint32, len(found)).tobytes()))
             yield pd.DataFrame(out, columns=["place", "toxic", "n", "ids", "counts"])
 
@@ -187,11 +190,12 @@ class Scorer:
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
         cache, word, weights = self.cache, self.word, self.model["features"]
         for i, text in enumerate(texts):
-            words = words_of(text)
-            n[i] = len(words)
-            root = max(1, len(words)) ** POWER
-            found = [cache[w] if w in cache else word(w) for w in words]
-            counts = Counter(f for some in filter(None, found) for f in some)
+            counts: Counter = Counter()
+            for words in words_of(text):
+                n[i] += len(words)
+                found = [cache[w] if w in cache else word(w) for w in words]
+                counts.update(f for some in filter(None, found) for f in some)
+            root = max(1, n[i]) ** POWER
             total[i] = (sum(k / root * weights[f][0] + math.log1p(k) * weights[f][1]
                             for f, k in sorted(counts.items()))
                         + self.model["root"] * root + self.model["inverse"] / root)
@@ -208,9 +212,11 @@ def _scored(docs: DataFrame, model: dict | None, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)    # at most FEATURES weights
 
     @F.pandas_udf("severity double, toxic double")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        severity, toxic = Scorer(shared.value).score(list(texts))
-        return pd.DataFrame({"severity": severity, "toxic": toxic})
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        for texts in batches:
+            severity, toxic = scorer.score(list(texts))
+            yield pd.DataFrame({"severity": severity, "toxic": toxic})
 
     both = docs.select(*names, score(F.col(text)).alias("__souk_score"))
     return both.select(*names, F.col("__souk_score.severity").alias("__souk_severity"),

@@ -94,6 +94,24 @@ def test_fingerprint_bits_are_a_strict_majority_of_the_hashes(spark):
         simhash.HASH_CHUNK = chunk
 
 
+def test_long_texts_are_cut_between_words_only(monkeypatch):
+    from souk.llm import common
+
+    text = "alpha beta\tgamma  delta\nepsilon zeta" * 9 + " The END. x"
+    parts = list(common.slices(text, 7))
+    assert len(parts) > 9 and "".join(parts) == text
+    assert [w for p in parts for w in p.split()] == text.split()
+    assert list(common.slices("x" * 30, 7)) == ["x" * 30] and list(common.slices("", 7)) == [""]
+    whole = simhash.simhash64(text), packing.WordTokenizer(TOKENIZER), [w for p in toxicity.words_of(text) for w in p]
+    ids = list(whole[1].encode([text, "a b"]))
+    cut = common.slices
+    for module in (simhash, toxicity, packing):
+        monkeypatch.setattr(module, "slices", lambda t, size=0: cut(t, 7))
+    monkeypatch.setattr(packing, "GROUP_CHARS", 7)
+    assert simhash.simhash64(text) == whole[0] and [w for p in toxicity.words_of(text) for w in p] == whole[2]
+    assert list(packing.WordTokenizer(TOKENIZER).encode([text, "a b"])) == ids
+
+
 @pytest.mark.parametrize("n,radius", [(10, 3), (10 ** 8, 3), (10 ** 11, 3), (10, 0)])
 def test_cells_lose_no_pair_within_the_radius(n, radius):
     masks = simhash.cell_masks(simhash.blocks_for(n, radius), radius)
