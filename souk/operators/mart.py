@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import dates as D
 from souk.functions import labels as L
-from souk.functions.numeric import avg_double, count_if, safe_div
+from souk.functions.numeric import count_if, safe_div
 from souk.operators.ranks import global_ntile
 from souk.operators.retention import materialize
 
