@@ -29,7 +29,7 @@ by ``mix_plan`` and carried by ``mixed_documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -83,11 +83,15 @@ def text_hash(col: str):
     return F.coalesce(F.md5(F.col(col)), F.lit("null"))
 
 
-def _keyed(docs: DataFrame, text: str, doc_id: str, source: str, doc_weight: str | None) -> DataFrame:
+def _weight(doc_weight: str | None) -> Column:
     w = F.lit(1.0) if doc_weight is None else F.coalesce(F.col(doc_weight).cast("double"), F.lit(1.0))
+    return F.when(F.isnan(w) | (w < 0), 0.0).otherwise(w)
+
+
+def _keyed(docs: DataFrame, text: str, doc_id: str, source: str, doc_weight: str | None) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
                        n_words(text).alias("size"), text_hash(text).alias("h"),
-                       F.when(F.isnan(w) | (w < 0), 0.0).otherwise(w).alias("w"))
+                       _weight(doc_weight).alias("w"))
 
 
 def _levels(items: DataFrame, targets: DataFrame, cap: int, even: bool) -> DataFrame:
@@ -117,30 +121,42 @@ def _levels(items: DataFrame, targets: DataFrame, cap: int, even: bool) -> DataF
             return levels
 
 
-def mix_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
-             weights: tuple = (1, 2, 3), cap: int = 3, seed: int = 42,
-             doc_weight: str | None = None) -> DataFrame:
-    """One row per document row: ``doc_id, source, size, h, copy, source_size, target,
-    copies`` (``h``: hash of the text; ``copy``: number among equal rows)."""
+def _rank(c: dict[str, Column], seed: int, cap: int) -> tuple[Column, Column]:
+    """Certain copies and Pareto rank (null: no further copy) of rows with the columns ``c``."""
+    expected = F.least(F.lit(float(cap)), c["level"] * c["w"])
+    p = expected - F.floor(expected)
+    digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce(c["doc_id"].cast("string"), F.lit("")),
+                               c["h"], c["copy"].cast("string")))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << BITS)
+    odds = (u / (1 - u)) / (p / (1 - p))
+    place = F.when(p > 0, F.floor(odds / (1 + odds) * float(1 << BITS))).cast("long")
+    return F.floor(expected), place
+
+
+def _same_source(a: str, b: str) -> Column:
+    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """One row per document row: equal rows are told apart by ``copy``."""
+    return items.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m")
+
+
+def _cuts(docs: DataFrame, text: str, doc_id: str, source: str, weights: tuple, cap: int, seed: int,
+          doc_weight: str | None) -> tuple[DataFrame, DataFrame]:
+    """The grouped rows, and per source all that decides about one of its rows: ``source,
+    source_size, target, level, cell, end`` (ranks below the cell are in, and those of the
+    cell up to the row ``end``)."""
     # equal rows are one group with a count; no row of a hot group moves by itself
     items = stored(_keyed(docs, text, doc_id, source, doc_weight).groupBy("doc_id", "source", "size", "h", "w")
                    .agg(F.count(F.lit(1)).alias("m")), "items")
-    rows = items.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m")
     targets = stored(source_targets(
         items.select("source", (F.col("size") * F.col("m")).alias("size")), weights, cap), "targets")
     targets = stored(_levels(items, targets, cap, doc_weight is None), "targets")
-    same = F.col("r.source").eqNullSafe(F.col("t.source"))
-    expected = F.least(F.lit(float(cap)), F.col("t.level") * F.col("r.w"))
-    digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), F.coalesce(F.col("r.doc_id").cast("string"), F.lit("")),
-                               F.col("r.h"), F.col("r.copy").cast("string")))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << BITS)
-    ranked = (rows.alias("r").join(targets.alias("t"), same)
-              .select("r.*", "t.source_size", "t.target", expected.alias("e"), u.alias("u"))
-              .withColumn("whole", F.floor("e")).withColumn("p", F.col("e") - F.col("whole")))
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    place = F.when(F.col("p") > 0, F.floor(odds / (1 + odds) * float(1 << BITS)))
-    ranked = stored(ranked.select("doc_id", "source", "size", "h", "copy", "source_size", "target",
-                                  "whole", place.cast("long").alias("place")), "ranked")
+    both = _numbered(items).alias("r").join(targets.alias("t"), _same_source("r", "t"))
+    whole, place = _rank({k: F.col(k) for k in ("level", "w", "doc_id", "h", "copy")}, seed, cap)
+    ranked = stored(both.select("r.doc_id", "r.source", "size", "h", "copy", "target",
+                                whole.alias("whole"), place.alias("place")), "ranked")
     certain = ranked.groupBy("source").agg(F.first("target").alias("target"),
                                            F.sum(F.col("size") * F.col("whole")).alias("sure"))
     wanted = stored(certain.select("source", (F.col("target") - F.col("sure")).alias("wanted")), "wanted")
@@ -161,18 +177,37 @@ def mix_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source
     ends = ends.groupBy("source").agg(
         F.min(F.struct(F.abs(F.col("sum") - F.col("wanted")).alias("miss"), "place", "doc_id", "h", "copy"))
         .alias("end"), F.min(F.abs(F.col("base") - F.col("wanted"))).alias("none"))
-    stop = stored(cut.select(F.col("source").alias("s"), "cell")
-                  .join(ends, F.col("s").eqNullSafe(F.col("source")), "left")
-                  .select(F.col("s").alias("source"), "cell",
-                          F.when(F.col("end.miss") < F.col("none"), F.col("end")).alias("end")), "stop")
-    at = F.struct("r.place", "r.doc_id", "r.h", "r.copy")
-    end = F.struct("t.end.place", "t.end.doc_id", "t.end.h", "t.end.copy")
-    more = (F.col("r.place").isNotNull() & (F.col("r.size") > 0)
-            & ((F.shiftright("r.place", SECOND) < F.col("t.cell"))
-               | (F.col("t.end").isNotNull() & (at <= end))))
-    return (ranked.alias("r").join(stop.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source")), "left")
-            .select("r.doc_id", "r.source", "r.size", "r.h", "r.copy", "r.source_size", "r.target",
-                    (F.col("r.whole") + F.coalesce(more, F.lit(False)).cast("long")).alias("copies")))
+    end = F.when(F.col("end.miss") < F.col("none"), F.struct("end.place", "end.doc_id", "end.h", "end.copy"))
+    stop = cut.alias("c").join(ends.alias("e"), _same_source("c", "e"), "left") \
+        .select("c.source", "cell", end.alias("end"))
+    cuts = targets.alias("t").join(stop.alias("s"), _same_source("t", "s"), "left") \
+        .select("t.source", "source_size", "target", "level", "cell", "end")
+    return items, stored(cuts, "cuts")
+
+
+def _with_copies(rows: DataFrame, cuts: DataFrame, seed: int, cap: int, prefix: str = "") -> DataFrame:
+    """``rows`` with ``{prefix}source_size, {prefix}target, {prefix}copies``; the row's own
+    ``doc_id, source, size, h, copy, w`` bear the prefix, too. ``cuts`` has a row per source."""
+    named = cuts.select(*[F.col(c).alias(f"__cut_{c}") for c in cuts.columns])
+    key = {k: F.col(prefix + k) for k in ("doc_id", "source", "size", "h", "copy", "w")}
+    whole, place = _rank(key | {"level": F.col("__cut_level")}, seed, cap)
+    at = F.struct(place.alias("place"), key["doc_id"].alias("doc_id"), key["h"].alias("h"), key["copy"].alias("copy"))
+    more = (place.isNotNull() & (key["size"] > 0)
+            & ((F.shiftright(place, SECOND) < F.col("__cut_cell"))
+               | (F.col("__cut_end").isNotNull() & (at <= F.col("__cut_end")))))
+    return rows.join(named, key["source"].eqNullSafe(F.col("__cut_source"))).select(
+        *[F.col(f"`{c}`") for c in rows.columns], F.col("__cut_source_size").alias(prefix + "source_size"),
+        F.col("__cut_target").alias(prefix + "target"),
+        (whole + F.coalesce(more, F.lit(False)).cast("long")).alias(prefix + "copies"))
+
+
+def mix_plan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source",
+             weights: tuple = (1, 2, 3), cap: int = 3, seed: int = 42,
+             doc_weight: str | None = None) -> DataFrame:
+    """One row per document row: ``doc_id, source, size, h, w, copy, source_size, target,
+    copies`` (``h``: hash of the text; ``copy``: number among equal rows)."""
+    items, cuts = _cuts(docs, text, doc_id, source, weights, cap, seed, doc_weight)
+    return _with_copies(_numbered(items), cuts, seed, cap)
 
 
 def _in_cell(shift: int):
@@ -204,20 +239,28 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     seed: int = 42, doc_weight: str | None = None) -> DataFrame:
     """The mix itself: each document row as often as it is taken, with its columns.
 
-    Rows that agree in id, source and text share their copies: one of them stands for all.
+    The copies of a row follow from the row and its source's cut, so texts stay where they
+    are; only rows that are repeated are brought together by id, source and text, and one of
+    them stands for all.
     """
     names = docs.columns
-    taken = (mix_plan(docs, text, doc_id, source, weights, cap, seed, doc_weight)
-             .groupBy("doc_id", "source", "size", "h").agg(F.sum("copies").alias("__souk_copies"))
-             .where(F.col("__souk_copies") > 0))
-    taken = stored(taken.select(F.col("doc_id").alias("__souk_id"), F.col("source").alias("__souk_source"),
-                                F.col("h").alias("__souk_h"), "__souk_copies"), "taken")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names],
-                        text_hash(text).alias("__souk_hash"))
-    one = keyed.dropDuplicates([doc_id, source, "__souk_hash"])
-    on = (F.col(f"`{doc_id}`").eqNullSafe(F.col("__souk_id"))
-          & F.col(f"`{source}`").eqNullSafe(F.col("__souk_source"))
-          & (F.col("__souk_hash") == F.col("__souk_h")))
-    repeated = one.join(taken, on).withColumn(
-        "__souk_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__souk_copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in names])
+    items, cuts = _cuts(docs, text, doc_id, source, weights, cap, seed, doc_weight)
+    repeated = stored(items.where(F.col("m") > 1), "repeated")
+    keys = ["doc_id", "source", "size", "h", "w"]
+    own = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{doc_id}`").alias("__souk_doc_id"),
+                      F.col(f"`{source}`").alias("__souk_source"), n_words(text).alias("__souk_size"),
+                      text_hash(text).alias("__souk_h"), _weight(doc_weight).alias("__souk_w"),
+                      F.lit(1).cast("long").alias("__souk_copy"))
+    other = repeated.select(*[F.col(k).alias(f"__many_{k}") for k in keys])
+    same = [F.col(f"__souk_{k}").eqNullSafe(F.col(f"__many_{k}")) for k in keys]
+    plain = _with_copies(own.join(other, same, "left_anti"), cuts, seed, cap, "__souk_")
+    taken = stored(_with_copies(_numbered(repeated), cuts, seed, cap).groupBy(*keys)
+                   .agg(F.sum("copies").alias("__souk_copies")), "taken")
+    taken = taken.select(*[F.col(k).alias(f"__many_{k}") for k in keys], "__souk_copies")
+    one = (own.join(other, same, "left_semi").groupBy(*[f"__souk_{k}" for k in keys])
+           .agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__souk_row")))
+    many = one.join(taken, same).select("__souk_row.*", "__souk_copies")
+    both = plain.select(*[F.col(f"`{c}`") for c in names], "__souk_copies").unionByName(many)
+    times = F.sequence(F.lit(1).cast("long"), F.col("__souk_copies"))
+    return (both.where(F.col("__souk_copies") > 0).withColumn("__souk_n", F.explode(times))
+            .select(*[F.col(f"`{c}`") for c in names]))

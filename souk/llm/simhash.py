@@ -281,5 +281,6 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     first = (prints.join(components(prints, "doc_id", radius), "fp")
              .groupBy("component")
              .agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("k")))
+    # nearly every row is kept, so the key set is never a small side to broadcast
     keep = stored(first.select(F.col("k.row").alias("__souk_row")), "keep")
-    return held.join(keep, "__souk_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    return held.join(keep.hint("merge"), "__souk_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
