@@ -312,7 +312,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     (and ``ids``, little-endian unsigned 32-bit, with ``keep_ids``)."""
     spark = docs.sparkSession
     id_type = docs.schema[doc_id].dataType.simpleString()
-    schema = (f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, "
+    # ids travel as text: pandas would turn whole numbers beside a null into floats
+    schema = ("doc_id string, piece int, start long, length long, ids_crc32 long, "
               "task long, number long" + (", ids binary" if keep_ids else ""))
 
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,7 +333,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
                                                "task", "number", "ids"])
             yield frame if keep_ids else frame.drop(columns="ids")
 
-    pieces = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    pieces = stored(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
                     .mapInPandas(tokenise, schema), "pieces")
     dealt = stored(pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n")), "dealt")
     histogram = {r["length"]: r["n"] for r in
@@ -354,6 +355,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
             sequence, offset = where.of(batch["length"].to_numpy(), batch["number"].to_numpy())
             yield batch[names].assign(sequence_id=sequence, offset=offset)
 
-    return numbered.mapInPandas(
-        place, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, "
+    placed = numbered.mapInPandas(
+        place, "doc_id string, piece int, start long, length long, ids_crc32 long, "
         + ("ids binary, " if keep_ids else "") + "sequence_id long, offset long")
+    return placed.withColumn("doc_id", F.col("doc_id").cast(id_type))

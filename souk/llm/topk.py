@@ -54,7 +54,7 @@ def _integers(arrays, scale: int) -> np.ndarray:
     for i, a in enumerate(arrays):
         x[i, :len(a)] = np.asarray(a, np.float64)
     x = np.floor(scale * x)
-    if not x.size or np.abs(x).max() < 2.0 ** 27:
+    if not x.size or np.abs(x).max() < 2.0 ** 29 / width ** 0.5:   # no sum of products above 2**58
         return x.astype(np.int64)
     return np.array([[int(e) for e in row] for row in x], object).reshape(x.shape)
 
@@ -165,7 +165,9 @@ def usable(col: str):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024,
           vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` best rows of other ids."""
-    pick = [F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v")]
+    # a null id travels as a flag: pandas would turn the ids of its batch into floats
+    pick = [F.coalesce(F.col(vec_id), F.lit(0)).cast("long").alias("vec_id"),
+            F.col(vec_id).isNull().alias("null_id"), F.col(embedding).alias("v")]
     rows = vectors.where(usable(embedding)).select(*pick)
     asks = queries.where(usable(embedding) & F.col(vec_id).isNotNull()).select(*pick).distinct()
     rows, asks = stored(rows, "rows"), stored(asks, "asks")
@@ -188,13 +190,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         return frame.repartition(parts).mapInPandas(chunks, schema)
 
     def index_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        null = pdf["vec_id"].isna().to_numpy()
-        ids = pdf["vec_id"].fillna(0).to_numpy().astype(np.int64)
-        index = ImpactIndex(ids, null, _integers(list(pdf["v"]), scale))
+        index = ImpactIndex(pdf["vec_id"].to_numpy(np.int64), pdf["null_id"].to_numpy(bool),
+                            _integers(list(pdf["v"]), scale))
         return pd.DataFrame({"index": [pickle.dumps(index.__dict__, protocol=5)]})
 
     def query_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        state = (pdf["vec_id"].to_numpy().astype(np.int64), _integers(list(pdf["v"]), scale))
+        state = (pdf["vec_id"].to_numpy(np.int64), _integers(list(pdf["v"]), scale))
         return pd.DataFrame({"queries": [pickle.dumps(state, protocol=5)]})
 
     index = stored(in_blocks(rows, parts, INDEX_ROWS, index_block, "index binary")

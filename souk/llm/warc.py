@@ -126,10 +126,11 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     shared = stored(keyed.where(F.col("size") >= least_bytes).groupBy("sha")
                     .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
                     .where("n > 1").drop("n"), "shared")
+    # ids travel as text: pandas would turn whole numbers beside a null into floats
     records = keyed.join(shared, "sha", "left").select(
-        "page_id", "url", "html",
+        F.col("page_id").cast("string").alias("page_id"), "url", "html",
         F.when((F.col("size") >= least_bytes) & ~F.col("first").eqNullSafe(F.col("page_id")),
-               F.col("first")).alias("refers_to"))
+               F.col("first")).cast("string").alias("refers_to"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -163,8 +164,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         for batch in batches:
             for key, link, body, refers in zip(batch["page_id"], batch["url"], batch["html"],
                                                batch["refers_to"]):
-                record = make_record(None if pd.isna(key) else int(key), link, body.encode("utf-8"),
-                                     None if pd.isna(refers) else int(refers))
+                record = make_record(key, link, body.encode("utf-8"), refers)
                 if writer is not None:
                     add(record)
                     if size >= ARCHIVE_BYTES:
@@ -191,10 +191,11 @@ def read_archives(spark: SparkSession, folder: str, finished: DataFrame) -> Data
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-        whole = {"page_id": "Int64", "payload_bytes": "int64", "refers_to": "Int64"}
+        whole = {"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"}
 
         def frame(rows):
-            return pd.DataFrame(rows, columns=names).astype(whole)
+            return pd.DataFrame({name: pd.array(list(col), whole.get(name, object))
+                                 for name, col in zip(names, zip(*rows))})
 
         for batch in batches:
             for data in batch["content"]:

@@ -87,7 +87,7 @@ def test_archives_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 9000)        # several archives per task
     rows = [(i, f"http://h/{i}", f"<p>{'page text é ' * (i % 9)}{i % 13}</p>") for i in range(120)]
     rows += [(200, None, None), (201, "a\r\nb", ""), (202, "ü", ""), (5, "again", rows[5][2]), (5, "again", rows[5][2]),
-             (None, "n", "only here"), (None, "n", rows[7][2]), (300, "x", "long " * 4000)]
+             (2 ** 62 + 1, "big", "big"), (2 ** 62 + 3, "big", "big"), (None, "n", "only here"), (None, "n", rows[7][2]), (300, "x", "long " * 4000)]
     for least in (0, 20):
         pages = _pages(spark, rows).repartition(3)
         folder = shared_path(spark, "warc-test")

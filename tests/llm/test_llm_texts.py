@@ -166,6 +166,8 @@ def test_packing_round_trip(spark):
             at += length
         assert at <= 16
     assert len(sequences) <= -(-sum(r.length for r in got) // 16) + 1
+    big = _docs(spark, [(2 ** 62 + 1, "a", "a"), (None, "b", "a")])
+    assert {r.doc_id for r in packing.pack_documents(big, TOKENIZER).collect()} == {2 ** 62 + 1, None}
     assert packing.pack_documents(_docs(spark, []), TOKENIZER).collect() == []
 
 

@@ -63,6 +63,9 @@ def test_top_k_repeats_empty_and_huge(spark):
     got = [tuple(r) for r in top_k(twice, twice.where("vec_id = 0"), k=10).orderBy("rank").collect()]
     # the padded repeated row counts twice, the null id is a candidate that ranks by score
     assert [r[2:] for r in got] == [(None, 1024 * 1024), (1, 512 * 1024), (1, 512 * 1024)]
+    big = 2 ** 62 + 1                           # no float in between
+    large = _frame(spark, [(big, [1.0]), (big + 2, [1.0]), (None, [0.5])])
+    assert [r.vec_id for r in top_k(large, large.where(f"vec_id = {big}"), k=5).orderBy("rank").collect()] == [big + 2, None]
     none = _frame(spark, [])
     assert top_k(none, none, k=3).collect() == []
     huge = _frame(spark, [(0, [3e38]), (1, [3e38])])
