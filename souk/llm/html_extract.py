@@ -21,6 +21,7 @@ are extracted each; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pandas as pd
@@ -110,6 +111,13 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
     linked = regions = links = 0
     tag_of = ""
 
+    opened: Counter = Counter()                 # tags on the stack
+
+    def close() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     def flush() -> None:
         nonlocal linked
         if text:
@@ -143,12 +151,9 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
         if m["end"] or m["end2"]:
             if tag == "a":
                 links = max(0, links - 1)
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == tag:
-                    del stack[at:]
-                    break
-                # an inline end tag does not close the blocks around it
-                if not block and stack[at][0] in BLOCK_TAGS:
+            # an end tag closes what is open inside its element; an inline one no block
+            while opened[tag] and (block or stack[-1][0] not in BLOCK_TAGS):
+                if close() == tag:
                     break
             if block:
                 links = 0 if tag != "li" else links
@@ -160,7 +165,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
         if block:
             while stack and (stack[-1][0] == "p" or stack[-1][0] not in BLOCK_TAGS
                              or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                stack.pop()
+                close()
             links = 0
         outer = stack[-1] if stack else ("", False, 0)
         drop = outer[1] or _dropped(tag, attrs, outer[2] > 0)
@@ -169,7 +174,8 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
             # an article cannot lie in a menu or advert: that one was never closed
             if outer[1] and not any(t in ("article", "form", "dialog") for t, _, _ in stack):
                 drop = False
-                stack = [(t, False, r) for t, _, r in stack if t in ("html", "body")]
+                while stack:
+                    close()
             if not drop:
                 regions += 1
                 region = regions if region <= 0 or tag == "article" else region
@@ -178,8 +184,9 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
             region = -regions
         if tag == "a":
             links += 1
-        if block or drop or tag not in ("a",):
+        if block or drop:       # other inline elements change nothing for what is in them
             stack.append((tag, drop, region))
+            opened[tag] += 1
         tag_of = tag if block else tag_of
     flush()
     return blocks

@@ -55,6 +55,7 @@ def test_broken_markup_and_empty_pages():
     for page, want in cases.items():
         assert html_extract.main_text(page) == want, page
     assert html_extract.main_text("<a>" * 5000 + "<div>" * 5000 + "x") == "x"
+    assert html_extract.main_text("<b>" * 90000 + "x" + "</i>" * 90000) == "x"        # in linear time
 
 
 def test_extraction_query_shape(spark):
