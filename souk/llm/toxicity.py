@@ -40,6 +40,7 @@ PER_CLASS = 4000          # labelled rows per class that the model is fitted on,
 FEATURES = 1024           # features kept
 GRADES = 3
 PREFIXES = (4, 5, 6, 7)
+HASHES = 1 << 23          # feature hashes; counts over all of them fit a task
 STEPS = 400
 RIDGE = 1e-4
 POWER = 0.5              # counts are divided by this power of the text's words
@@ -52,7 +53,7 @@ WORD = re.compile(r"[^\W\d_]+")
 def features_of(word: str) -> list[int]:
     """Hashed features of a word: itself and its prefixes."""
     names = [word] + [f"{word[:k]}*" for k in PREFIXES if len(word) >= k]
-    return [zlib.crc32(n.encode("utf-8", "replace")) for n in names]
+    return [zlib.crc32(n.encode("utf-8", "replace")) % HASHES for n in names]
 
 
 def words_of(text: str | None) -> Iterator[list[str]]:
@@ -95,26 +96,26 @@ def train(toxic: np.ndarray, n_words: np.ndarray, ids: list[np.ndarray], counts:
     """Fit the model on featurised documents; None without both classes."""
     if not toxic.any() or toxic.all():
         return None
-    doc = np.repeat(np.arange(len(ids)), [len(i) for i in ids])
-    names, at = np.unique(np.concatenate(ids), return_inverse=True)
-    count = np.concatenate(counts).astype(float)
-    in_toxic = toxic[doc]
-    c1 = np.bincount(at, count * in_toxic, len(names))
-    c0 = np.bincount(at, count * ~in_toxic, len(names))
-    docs1 = np.bincount(at, in_toxic, len(names))
+    c1, c0, docs1 = (np.zeros(HASHES, np.uint32) for _ in range(3))
+    for is_toxic, i, c in zip(toxic, ids, counts):      # an id occurs once per document
+        (c1 if is_toxic else c0)[i] += c
+        docs1[i] += is_toxic
     n1, n0 = n_words[toxic].sum(), n_words[~toxic].sum()
-    ratio = np.log((c1 + 0.5) / (n1 + 1)) - np.log((c0 + 0.5) / (n0 + 1))
-    gain = np.where((docs1 >= 2) & (ratio > 1), c1 * ratio, 0.0)
-    keep = np.argsort(-gain, kind="stable")[:FEATURES]
-    keep = keep[gain[keep] > 0]
-    place = np.full(len(names), -1)
+    known = np.flatnonzero(docs1 >= 2)
+    ratio = np.log((c1[known] + 0.5) / (n1 + 1)) - np.log((c0[known] + 0.5) / (n0 + 1))
+    gain = np.where(ratio > 1, c1[known] * ratio, 0.0)
+    best = np.argsort(-gain, kind="stable")[:FEATURES]
+    keep = known[best[gain[best] > 0]]
+    place = np.full(HASHES, -1, np.int32)
     place[keep] = np.arange(len(keep))
     m = len(keep)
     x = np.zeros((len(ids), 2 * m + 2))
-    some = place[at] >= 0
     root = n_words ** POWER
-    np.add.at(x, (doc[some], place[at[some]]), SCALE * count[some] / root[doc[some]])
-    x[doc[some], m + place[at[some]]] = np.log1p(count[some])
+    for row, i, c in zip(range(len(ids)), ids, counts):
+        some = place[i] >= 0
+        at, c = place[i[some]], c[some].astype(float)
+        x[row, at] = SCALE * c / root[row]
+        x[row, m + at] = np.log1p(c)
     share = x[:, :m].sum(1) * root / n_words
     x[:, -2], x[:, -1] = root / SCALE, SCALE / root
     cuts = np.quantile(share[toxic], [i / GRADES for i in range(1, GRADES)])
@@ -122,7 +123,7 @@ def train(toxic: np.ndarray, n_words: np.ndarray, ids: list[np.ndarray], counts:
     weight = np.where(toxic, totals[1] / toxic.sum(), totals[0] / (~toxic).sum())
     w, t = fit_ordinal(x, grade, weight)
     weights = zip((SCALE * w[:m]).tolist(), w[m:2 * m].tolist())
-    return {"features": dict(zip(names[keep].tolist(), weights)),
+    return {"features": dict(zip(keep.tolist(), weights)),
             "root": float(w[-2]) / SCALE, "inverse": float(w[-1]) * SCALE, "thresholds": t.tolist()}
 
 
