@@ -46,11 +46,10 @@ NEAR = 0.02               # configurations within this share of the best are rai
 SHARPNESS = 6.0           # exponent of the weights per unit of coverage
 ROUNDS = 400
 CACHE_WORDS = 500_000     # words per cache generation of a Python worker (two are kept)
-GROUP_CHARS = 500_000     # texts looked up together
+GROUP_CHARS = 6_000_000   # characters of texts looked up together
 
 END_ID = 0
 BEYOND_LATIN = re.compile("[^\\x00-\u017f]")
-FINAL_STOP = re.compile(r"(?<=[^\W\d_])([.,])(?=[\x20\n]|\Z)")
 
 
 # ---- tokens -----------------------------------------------------------------------
@@ -90,6 +89,7 @@ class WordTokenizer:
         if len(mark) != 1:
             raise ValueError("the marker word must be a single token")
         self.mark = mark[0]
+        self.tails = dict(zip(".,", self._encode_words([".", ","])))
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word. A word of letters in lower case is one piece of the model: the
@@ -132,46 +132,73 @@ class WordTokenizer:
                 found[w] = np.array(e.ids, "<u4").tobytes()
         return [found[w] for w in words]
 
-    def split(self, text: str) -> list[str]:
-        """Words whose ids, in order, are the text's. In texts of Latin letters case is
-        dropped and a stop or comma behind a letter is a word of its own: the tokenizer
-        does both in any case, and the fewer different words there are, the better."""
-        if "<|" not in text and not BEYOND_LATIN.search(text):
-            text = FINAL_STOP.sub(r" \1", text.lower())
-        return text.split()
+    @staticmethod
+    def prepare(text: str) -> str:
+        """A text with the same ids and fewer different words: case is dropped in texts of
+        Latin letters, as the tokenizer does in any case."""
+        return text if "<|" in text or BEYOND_LATIN.search(text) else text.lower()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text as unsigned 32-bit integers."""
         group, chars = [], 0
         for text in texts:
             if len(text) > GROUP_CHARS:
                 yield from self._encode_group(group)
                 group, chars = [], 0
-                yield b"".join(ids for part in slices(text, GROUP_CHARS)
-                               for ids in self._encode_group([self.split(part)]))
+                yield np.concatenate([ids for part in slices(text, GROUP_CHARS)
+                                      for ids in self._encode_group([part])])
                 continue
-            group.append(self.split(text))
+            group.append(text)
             chars += len(text)
             if chars >= GROUP_CHARS:
                 yield from self._encode_group(group)
                 group, chars = [], 0
         yield from self._encode_group(group)
 
-    def _encode_group(self, group: list[list[str]]) -> Iterator[bytes]:
-        wanted = set().union(*group)
+    def _encode_group(self, group: list[str]) -> Iterator[np.ndarray]:
+        """Words as numbers of a dictionary (Arrow), ids of its words, ids of all by gathering."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not group:
+            return
+        split = pc.ascii_split_whitespace(pa.array(map(self.prepare, group), pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        ids = self._ids_of(coded.dictionary.to_pylist())
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        by_word = pa.LargeListArray.from_arrays(np.append(0, ends), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        found = by_word.take(coded.indices)
+        tokens = found.flatten().to_numpy()
+        bounds = found.offsets.to_numpy()[split.offsets.to_numpy()]
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield tokens[lo:hi]
+
+    def _ids_of(self, wanted: list[str]) -> list[bytes]:
         if len(self.words) + len(wanted) > CACHE_WORDS:
             # two generations: words in use move on, the others are forgotten
             self.old, self.words = self.words, {}
-        words, old = self.words, self.old
-        missing = wanted.difference(words)
-        if old:
-            again = [w for w in missing if w in old]
-            words.update(zip(again, map(old.__getitem__, again)))
-            missing.difference_update(again)
-        unknown = list(missing)
-        words.update(zip(unknown, self._encode_words(unknown)))
-        for split in group:
-            yield b"".join(map(words.__getitem__, split))
+        words, old, tails = self.words, self.old, self.tails
+        unknown, tailed = set(), []
+        for w in wanted:
+            if w in words:
+                continue
+            if w in old:
+                words[w] = old[w]
+            elif w[-1:] in tails and w[:-1].isalpha():
+                # letters and a final stop or comma are pieces of their own in any case
+                tailed.append(w)
+                core = w[:-1]
+                if core in old:
+                    words[core] = old[core]
+                elif core not in words:
+                    unknown.add(core)
+            else:
+                unknown.add(w)
+        fresh = list(unknown)
+        words.update(zip(fresh, self._encode_words(fresh)))
+        for w in tailed:
+            words[w] = words[w[:-1]] + tails[w[-1]]
+        return [words[w] for w in wanted]
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -319,15 +346,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048,
     def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, task = tokenizer(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out = []
             for key, ids in zip(batch["doc_id"], words.encode([t or "" for t in batch["text"]])):
-                ids += end
-                for piece, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[lo:lo + 4 * capacity]
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                for piece, lo in enumerate(range(0, len(ids), capacity)):
+                    part = ids[lo:lo + capacity].tobytes()
                     n = len(part) // 4
-                    out.append((key, piece, lo // 4, n, zlib.crc32(part), task, seen[n], part))
+                    out.append((key, piece, lo, n, zlib.crc32(part), task, seen[n], part))
                     seen[n] += 1
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32",
                                                "task", "number", "ids"])
