@@ -45,8 +45,8 @@ STEP = 0.05               # share of a length's count covered in one round at mo
 NEAR = 0.02               # configurations within this share of the best are raised
 SHARPNESS = 6.0           # exponent of the weights per unit of coverage
 ROUNDS = 400
-CACHE_WORDS = 500_000     # words per cache generation of a Python worker (two are kept)
-GROUP_CHARS = 6_000_000   # characters of texts looked up together
+CACHE_WORDS = 300_000     # words per cache generation of a Python worker (two are kept)
+GROUP_CHARS = 3_000_000   # characters of texts looked up together
 
 END_ID = 0
 BEYOND_LATIN = re.compile("[^\\x00-\u017f]")
@@ -170,8 +170,11 @@ class WordTokenizer:
         found = by_word.take(coded.indices)
         tokens = found.flatten().to_numpy()
         bounds = found.offsets.to_numpy()[split.offsets.to_numpy()]
+        del split, coded, ids, by_word
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
             yield tokens[lo:hi]
+        del found, tokens
+        pa.default_memory_pool().release_unused()
 
     def _ids_of(self, wanted: list[str]) -> list[bytes]:
         if len(self.words) + len(wanted) > CACHE_WORDS:

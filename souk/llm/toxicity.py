@@ -46,7 +46,7 @@ RIDGE = 1e-4
 POWER = 0.5              # counts are divided by this power of the text's words
 SCALE = 10.0              # feature units that bring weights near one
 CUT = 0.5
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
