@@ -5,13 +5,20 @@ drops regions that are never main text: scripts, styles, forms, navigation, head
 footers, asides, hidden elements, and elements whose class, id or role names a menu, an
 advert, a notice, a sidebar or comments.
 
-Pass one labels each block by length, link density and stop-word density: long blocks
-with running text are good, link-dense ones bad (inside an article only from three in a
-row on, a menu), blocks without stop words outside an article bad. Blocks too short or too odd to tell stay undecided. Where the page marks an
-article or main region (or names an element like one that holds most of its text), only
-blocks in it are candidates. Pass two gives undecided
-blocks the label of the nearest decided neighbour of their region; a region without any
-decided block keeps its blocks.
+Pass one labels each block by length, link density, stop-word density and region: long
+blocks with running text are good, link-dense ones and ones without stop words bad, blocks
+too short or too odd to tell stay undecided. Where the page marks article or main regions
+(or names elements like one) that hold most of its text outside links, only blocks in them
+are candidates. A region is a feature that spares what may be text: in it, links that read
+as a sentence, headings, preformatted text and blocks without stop words that are below
+``LONG`` or end like a sentence stay undecided, and so do all others without stop words if
+the regions' running text does not outweigh them (stop words say nothing about languages
+that are not listed). Three link-dense blocks in a row in a region are a menu and cut out.
+
+Pass two gives undecided blocks the label of the nearest decided neighbour of their region;
+inside an article or main region, one between a good and a bad block is good, and a heading
+is good if a good block follows before the next heading of its rank. A region without any decided block
+keeps its blocks.
 
 Defined results: null and empty pages give an empty text; a page without text blocks
 too; malformed and cut-off markup is read as far as it goes; repeated rows and null ids
@@ -62,6 +69,9 @@ REGIONS = frozenset(("article", "main"))
 REGION_NAMES = frozenset("article post entry story content main".split())
 MENU = 3                        # link-dense blocks in a row that make a menu inside an article
 
+HEADING = re.compile("h[1-6]")
+SENTENCE = re.compile(r"[.!?:…。！？؟।][\"'”’»)\]]*\Z")
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|textarea|xmp)\b.*?(?:</(?P=raw)\s*>|\Z)"
@@ -196,27 +206,34 @@ def _link_dense(words: str, linked: int) -> bool:
     return linked > LINK_DENSE * len(words.replace(" ", ""))
 
 
-def _label(words: str, linked: int, in_region: bool) -> bool | None:
-    """Pass one: good, bad or undecided. A lone link inside an article may be text."""
+def _label(words: str, linked: int, in_region: bool, tag: str) -> bool | None:
+    """Pass one: good, bad or undecided. A region spares what may be text."""
     n = len(words)
-    if _link_dense(words, linked):
-        return None if in_region else False
     found = LETTERS.findall(words.lower())
     prose = sum(w in STOP_WORDS for w in found) / max(1, len(found))
+    spared = in_region and bool(HEADING.fullmatch(tag))
+    if _link_dense(words, linked):      # a few words need a larger share to read as a sentence
+        sentence = prose >= (PROSE if n >= SHORT else 2 * PROSE)
+        return None if spared or in_region and sentence else False
     if n >= LONG and prose >= SOME_PROSE or n >= SHORT and prose >= PROSE:
         return True
-    if in_region or n < SHORT:
+    if n < (LONG if in_region else SHORT) or spared or in_region and (tag == "pre" or SENTENCE.search(words)):
         return None
     return False if prose < SOME_PROSE else None
 
 
+def _candidates(blocks: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
+    """The blocks of the marked, else of all regions, if these hold most text outside links."""
+    size = [max(0, len(words.replace(" ", "")) - linked) for words, linked, _, _ in blocks]
+    for inside in ([b[2] > 0 for b in blocks], [b[2] != 0 for b in blocks]):
+        if any(inside) and 2 * sum(n for n, i in zip(size, inside) if i) >= sum(size):
+            return [b for b, i in zip(blocks, inside) if i]
+    return blocks
+
+
 def main_text(page: str | None) -> str:
     """The main text, blocks joined by line ends."""
-    blocks = blocks_of(page or "")
-    if any(b[2] > 0 for b in blocks):
-        blocks = [b for b in blocks if b[2] > 0]
-    elif 2 * sum(len(b[0]) for b in blocks if b[2]) >= sum(len(b[0]) for b in blocks):
-        blocks = [b for b in blocks if b[2]]
+    blocks = _candidates(blocks_of(page or ""))
     n, kept = len(blocks), []
     menu, run = [False] * n, []
     for i, (words, linked, region, _) in enumerate(blocks):
@@ -229,7 +246,11 @@ def main_text(page: str | None) -> str:
     # a menu inside an article is cut out like the dropped regions and lends nobody its label
     blocks = [b for b, m in zip(blocks, menu) if not (m and b[2])]
     n = len(blocks)
-    labels = [_label(words, linked, region != 0) for words, linked, region, _ in blocks]
+    labels = [_label(words, linked, region != 0, tag) for words, linked, region, tag in blocks]
+    odd = [i for i, b in enumerate(blocks) if b[2] and labels[i] is False and not _link_dense(b[0], b[1])]
+    if sum(len(blocks[i][0]) for i in odd) > sum(len(b[0]) for b, good in zip(blocks, labels) if b[2] and good):
+        for i in odd:
+            labels[i] = None
     before, after = [-1] * n, [n] * n           # nearest decided block of the same region
     for i in range(n):
         if i and blocks[i - 1][2] == blocks[i][2]:
@@ -237,18 +258,32 @@ def main_text(page: str | None) -> str:
     for i in range(n - 2, -1, -1):
         if blocks[i + 1][2] == blocks[i][2]:
             after[i] = i + 1 if labels[i + 1] is not None else after[i + 1]
+    leads, text_at, heads = [False] * n, n, [n] * 7     # next good block, next heading by rank
+    for i in range(n - 1, -1, -1):
+        if i + 1 < n and blocks[i + 1][2] != blocks[i][2]:
+            text_at, heads = n, [n] * 7
+        if HEADING.fullmatch(blocks[i][3]):
+            rank = int(blocks[i][3][1])
+            leads[i] = text_at < heads[rank]
+            heads[rank:] = [i] * (7 - rank)
+        if labels[i]:
+            text_at = i
     for i, (words, _, region, tag) in enumerate(blocks):
         good = labels[i]
         if good is None:
             left, right = before[i], after[i]
             if left < 0 and right >= n:
                 good = True
+            elif region and leads[i]:
+                good = True
+            elif region and left >= 0 and right < n:
+                good = labels[left] or labels[right]
             elif left < 0 or right < n and right - i < i - left:
                 good = labels[right]
             elif right >= n or i - left < right - i:
                 good = labels[left]
             else:                               # between two: a heading belongs to what follows
-                good = labels[right] if re.fullmatch("h[1-6]", tag) else labels[left] or labels[right]
+                good = labels[right] if HEADING.fullmatch(tag) else labels[left] or labels[right]
         if good:
             kept.append(words)
     return "\n".join(kept)

@@ -48,6 +48,25 @@ def test_links_inside_an_article():
     assert html_extract.main_text(f"<p>Above</p><div role='main'><p>{PROSE}</p></div>") == PROSE.strip()
 
 
+def test_density_rules_decide_inside_an_article():
+    words = " | ".join(f"Word{chr(97 + i)}" for i in range(26))
+    share = "Share: <a href='/f'>Facebook</a> <a href='/t'>Twitter</a>"
+    page = (f"<article><h1>Head</h1><p>By <a href='/j'>Jane Doe</a></p><h2>Sub</h2><p>{PROSE * 6}</p><p>{share}</p><p>{words}</p>"
+            f"<p>{PROSE}</p><p>Ok.</p><p>{words}</p><p>Tags</p><p>{share}</p></article>")
+    assert html_extract.main_text(page) == "\n".join(["Head", "Sub", (PROSE * 6).strip(), PROSE.strip(), "Ok."])
+    # an article that holds little of the text is no region, its blocks are judged like all
+    card = "<article><h3>Card</h3><p>Of the day.</p></article>"
+    assert html_extract.main_text(f"{card}<div><p>{PROSE * 3}</p><p>{PROSE * 3}</p></div>") == "\n".join(
+        ["Card", "Of the day."] + [(PROSE * 3).strip()] * 2)
+
+
+def test_stop_words_judge_no_article_in_another_language():
+    other = "Кошка сидела возле дома рядом с собакой короля долгое время. " * 4
+    page = f"<article><h1>Кошка</h1><p>{other}</p><p>{PROSE}</p><p>{other}</p><pre>{'x = y + z ' * 30}</pre></article>"
+    assert html_extract.main_text(page).split("\n") == [
+        "Кошка", other.strip(), PROSE.strip(), other.strip(), ("x = y + z " * 30).strip()]
+
+
 def test_broken_markup_and_empty_pages():
     cases = {None: "", "": "", "plain": "plain", "<p>a<p>b": "a\nb", "<p>a <b>b": "a b", "<p": "", "a < b": "a < b",
              "<script>x": "", "<p title='a>b'>c</p>": "c", "<p title='a>c</p>": "c", "<nav><ul><li>x<article><p>y": "y",
