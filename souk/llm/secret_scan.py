@@ -7,7 +7,9 @@ Strong kinds (``assign``, ``access``, ``hex``) are always reported. Weak candida
 (``ident``: an identifier assignment, ``opaque``: a long mixed token, ``endpoint``: a URL
 or an IPv4 address) mean little alone. They are reported only if a complementary part
 lies in the same scope: identifiers need a secret, secrets an identifier or an endpoint,
-endpoints a secret. The interval join of parts within ``scope`` code points is done by
+endpoints a secret. An opaque token that shares characters with an identifier assignment or
+an endpoint is its value or path and no second part, unless it lies in the user part of a
+URL (``scheme://user:secret@host``). The interval join of parts within ``scope`` code points is done by
 two ordered sweeps per text (furthest end so far, nearest start to come), so it needs
 no pairs, whatever the number of parts.
 
@@ -41,6 +43,7 @@ KINDS = [
     ("endpoint", r"(?<![A-Za-z0-9.])(?:[a-z][a-z0-9+]{1,15}://[^\x20\x09-\x0D\"'<>]+"
                  r"|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.]*[0-9]))", 0, False),
 ]
+USER = r"^[^:]+://[^/?#@]*@"                    # an endpoint up to its host, if it names a user
 NAMES = [k[0] for k in KINDS]
 LEAST_SECRET = 12
 SCOPE = 200
@@ -70,13 +73,14 @@ def _parts(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
             elif name == "opaque":
                 good = good & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
             secret = value.rlike("[a-f]") if name == "hex" else F.lit(True)
+            user = F.length(F.regexp_extract(value, USER, 0)) if name == "endpoint" else F.lit(0)
             return F.struct(F.lit(k).alias("k"), i.alias("i"),
                             (F.length(p) - F.when(i > 0, 1).otherwise(0)).cast("long").alias("step"),
                             n.cast("long").alias("n"), (good & (i > 0)).alias("good"),
-                            secret.alias("secret"))
+                            secret.alias("secret"), user.cast("long").alias("user"))
 
         return F.when(F.size(name) > 1, F.transform(name, piece)).otherwise(
-            F.array().cast("array<struct<k:int,i:int,step:bigint,n:bigint,good:boolean,secret:boolean>>"))
+            F.array().cast("array<struct<k:int,i:int,step:bigint,n:bigint,good:boolean,secret:boolean,user:bigint>>"))
 
     return marked.select(*carry, "h", F.flatten(F.array(*[pieces(k) for k in range(len(KINDS))])).alias("parts"))
 
@@ -102,15 +106,22 @@ def _spans(parts: DataFrame, scope: int) -> DataFrame:
         right = F.min(F.when(role, F.col("start"))).over(after) <= F.col("end") + gap
         return F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False))
 
-    # a weak token that shares characters with a strong part is that part, no new one
-    inside = F.coalesce(F.max(F.when(strong, F.col("end"))).over(before) > F.col("start"), F.lit(False)) \
-        | F.coalesce(F.min(F.when(strong, F.col("start"))).over(after) < F.col("end"), F.lit(False))
-    found = found.withColumn("inside", inside & ~strong).where(~F.col("inside"))
+    def shares(role: Column) -> Column:
+        return F.coalesce(F.max(F.when(role, F.col("end"))).over(before) > F.col("start"), F.lit(False)) \
+            | F.coalesce(F.min(F.when(role, F.col("start"))).over(after) < F.col("end"), F.lit(False))
+
+    # a weak token that shares characters with a strong part is that part, no new one; so is an
+    # opaque one with an identifier assignment or an endpoint, but for a URL's user part
+    ident, opaque = F.col("k") == NAMES.index("ident"), F.col("k") == NAMES.index("opaque")
+    user = F.max(F.when(endpoint & (F.col("user") > 0), F.col("start") + F.col("user"))).over(before)
+    path = shares(endpoint) & ~F.coalesce(user >= F.col("end"), F.lit(False))
+    inside = (~strong & shares(strong)) | (opaque & (shares(ident) | path))
+    found = found.withColumn("inside", inside).where(~F.col("inside"))
     linked = (found.withColumn("by_secret", near(secret, scope))
               .withColumn("by_identifier", near(identifier, scope))
               .withColumn("by_endpoint", near(endpoint, scope)))
     keep = (strong | ((identifier | endpoint) & F.col("by_secret"))
-            | ((F.col("k") == NAMES.index("opaque")) & (F.col("by_identifier") | F.col("by_endpoint"))))
+            | (opaque & (F.col("by_identifier") | F.col("by_endpoint"))))
     return linked.where(keep).select("h", "k", "start", "end")
 
 

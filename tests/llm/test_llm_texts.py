@@ -215,6 +215,23 @@ def test_weak_candidates_need_a_complement_in_scope(spark):
     assert got == {i: kinds for i, (_, kinds) in cases.items()}
 
 
+def test_characters_of_one_token_are_no_complement_of_it(spark):
+    url, opaque = "https://a.example.com/blog/2024/some-long-title-12", "Zk9qLw8vTn3bXy7cRm2pQd5h"
+    cases = {
+        0: (url, []), 1: (f"see {url} now, or {url}", []),                   # ordinary URLs with long paths
+        2: (f"{url} {opaque}", ["endpoint", "opaque"]),
+        3: (f"client_id=\"{opaque}\"", []), 4: (f"client_id='{opaque}' app_id='{opaque}'", []),
+        5: (f"{url} password={KEY}", ["endpoint"]), 6: (f"{url}?password={KEY} and 10.1.2.3", ["endpoint"]),
+        7: (f"postgres://joe:{opaque}@db.example.com/x", ["endpoint", "opaque"]),
+        8: (f"10.1.2.3/{opaque}", []), 9: ("https://maps.example.com/photos/12345678abcdefgh/@52.1,4.2", []),
+        10: (f"client_id=acme-42 {url}", []), 11: (f"client_id=acme-42 {opaque}", ["ident", "opaque"]),
+    }
+    docs = _docs(spark, [(i, t, "a") for i, (t, _) in cases.items()])
+    got = {r.doc_id: sorted(s.kind for s in r.spans if s.k >= 3) for r in secret_scan.scan(docs).collect()}
+    assert got == {i: kinds for i, (_, kinds) in cases.items()}
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}[1] == cases[1][0]
+
+
 def test_redaction_masks_spans_and_keeps_the_rest(spark):
     rows = [(0, f"é {ID} b password={KEY} end", "a"), (1, "clean", "a"), (2, None, "a"), (3, "", "a"), (3, KEY, "a")]
     got = secret_scan.redact(_docs(spark, rows))
