@@ -240,8 +240,8 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """The mix itself: each document row as often as it is taken, with its columns.
 
     The copies of a row follow from the row and its source's cut, so texts stay where they
-    are; only rows that are repeated are brought together by id, source and text, and one of
-    them stands for all.
+    are; only rows that are repeated are brought together by id, source and text. They are
+    numbered in the order of their other columns, so each keeps its own values.
     """
     names = docs.columns
     items, cuts = _cuts(docs, text, doc_id, source, weights, cap, seed, doc_weight)
@@ -254,13 +254,16 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     other = repeated.select(*[F.col(k).alias(f"__many_{k}") for k in keys])
     same = [F.col(f"__souk_{k}").eqNullSafe(F.col(f"__many_{k}")) for k in keys]
     plain = _with_copies(own.join(other, same, "left_anti"), cuts, seed, cap, "__souk_")
-    taken = stored(_with_copies(_numbered(repeated), cuts, seed, cap).groupBy(*keys)
-                   .agg(F.sum("copies").alias("__souk_copies")), "taken")
-    taken = taken.select(*[F.col(k).alias(f"__many_{k}") for k in keys], "__souk_copies")
-    one = (own.join(other, same, "left_semi").groupBy(*[f"__souk_{k}" for k in keys])
-           .agg(F.first(F.struct(*[F.col(f"`{c}`") for c in names])).alias("__souk_row")))
-    many = one.join(taken, same).select("__souk_row.*", "__souk_copies")
-    both = plain.select(*[F.col(f"`{c}`") for c in names], "__souk_copies").unionByName(many)
+    own_keys, columns = [f"__souk_{k}" for k in keys], [F.col(f"`{c}`") for c in names]
+    alike = (own.join(other, same, "left_semi").groupBy(*own_keys, *columns)
+             .agg(F.count(F.lit(1)).alias("__souk_m")))
+    order = Window.partitionBy(*own_keys).orderBy(
+        F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))
+    last = F.sum("__souk_m").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = alike.withColumn("__souk_last", last).withColumn("__souk_copy", F.explode(
+        F.sequence(F.col("__souk_last") - F.col("__souk_m") + 1, F.col("__souk_last"))))
+    many = _with_copies(numbered, cuts, seed, cap, "__souk_").select(*columns, "__souk_copies")
+    both = plain.select(*columns, "__souk_copies").unionByName(many)
     times = F.sequence(F.lit(1).cast("long"), F.col("__souk_copies"))
     return (both.where(F.col("__souk_copies") > 0).withColumn("__souk_n", F.explode(times))
-            .select(*[F.col(f"`{c}`") for c in names]))
+            .select(*columns))

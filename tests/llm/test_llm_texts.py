@@ -271,6 +271,20 @@ def test_targets_share_everything_and_stop_at_the_cap(spark):
     assert {k: v[1] for k, v in got.items()} == pytest.approx(target)
 
 
+def test_repeated_rows_keep_their_own_columns(spark):
+    rows = [(1, "same words here", "a", f"h{i}") for i in range(6)] + [(1, "same words here", "a", "h0")] * 2 \
+        + [(2, "w " * 40, "a", "x"), (None, "x y", "a", "n0"), (None, "x y", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `h.x` string")
+    mixed = mixing.mixed_documents(docs)                    # one source: each row is taken once
+    assert mixed.columns == docs.columns
+    assert collections.Counter(map(tuple, mixed.collect())) == collections.Counter(rows)
+    more = spark.createDataFrame(rows + [(9, "b " * 60, "b", "y")], docs.schema)
+    draws = [collections.Counter(map(tuple, mixing.mixed_documents(d, weights=(2, 1)).collect()))
+             for d in (more, more.repartition(4))]
+    taken = sum(r.copies for r in mixing.mix_plan(more, weights=(2, 1)).collect() if r.doc_id == 1)
+    assert draws[0] == draws[1] and sum(n for r, n in draws[0].items() if r[0] == 1) == taken > 8
+
+
 def test_mix_is_near_its_targets_and_repeatable(spark):
     rng = np.random.default_rng(6)
     rows = [(i, " ".join(["w"] * int(n)), ["hot", "b", None][i % 7 % 3]) for i, n in enumerate(rng.integers(0, 60, 400))]
