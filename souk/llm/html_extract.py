@@ -3,7 +3,9 @@
 A tolerant scanner cuts a page into blocks (runs of text between block-level tags) and
 drops regions that are never main text: scripts, styles, forms, navigation, headers,
 footers, asides, hidden elements, and elements whose class, id or role names a menu, an
-advert, a notice, a sidebar or comments.
+advert, a notice, a sidebar or comments. A form is kept without its controls if it holds an
+article or main region, or at least ``LONG`` characters and most of the page's text outside
+links (pages that lie in one form as a whole).
 
 Pass one labels each block by length, link density, stop-word density and region: long
 blocks with running text are good, link-dense ones and ones without stop words bad, blocks
@@ -54,9 +56,10 @@ ul iframe video audio canvas
 """.split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED_TAGS = frozenset("""
-head nav footer aside form button select option optgroup dialog menu iframe object canvas video
+head nav footer aside button select option optgroup dialog menu iframe object canvas video
 audio svg math map fieldset legend title
 """.split())
+FORM_TAGS = frozenset("label datalist output".split())      # dropped in forms only
 DROPPED_NAMES = frozenset("""
 ad ads adv advert adverts advertisement advertising adsbygoogle alert sponsor sponsored promo promotion banner
 cookie cookies consent gdpr notice notices sidebar comment comments commentlist disqus reply
@@ -118,7 +121,9 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
     blocks: list[tuple[str, int, int, str]] = []
     stack: list[tuple[str, bool, int]] = []     # (tag, dropped, region)
     text: list[str] = []
-    linked = regions = links = 0
+    linked = regions = links = forms = 0
+    form_of: list[int] = []                     # per block the form it lies in (0: none)
+    whole: set[int] = set()                     # forms that hold an article or main element
     tag_of = ""
 
     opened: Counter = Counter()                 # tags on the stack
@@ -134,6 +139,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
             words = " ".join("".join(text).split())
             if words:
                 blocks.append((words, linked, stack[-1][2] if stack else 0, tag_of))
+                form_of.append(forms if opened["form"] else 0)
             text.clear()
         linked = 0
 
@@ -178,15 +184,17 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
                 close()
             links = 0
         outer = stack[-1] if stack else ("", False, 0)
-        drop = outer[1] or _dropped(tag, attrs, outer[2] > 0)
+        drop = outer[1] or _dropped(tag, attrs, outer[2] > 0) or tag in FORM_TAGS and opened["form"] > 0
         region = outer[2]
         if tag in REGIONS and not _dropped(tag, attrs, False):
             # an article cannot lie in a menu or advert: that one was never closed
-            if outer[1] and not any(t in ("article", "form", "dialog") for t, _, _ in stack):
+            if outer[1] and not any(t in ("article", "dialog") or t == "form" and d for t, d, _ in stack):
                 drop = False
-                while stack:
+                while stack and stack[-1][1]:
                     close()
             if not drop:
+                if opened["form"]:
+                    whole.add(forms)
                 regions += 1
                 region = regions if region <= 0 or tag == "article" else region
         elif not drop and not region and tag in ("div", "section", "td") and _names(attrs) & REGION_NAMES:
@@ -194,12 +202,24 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
             region = -regions
         if tag == "a":
             links += 1
+        if tag == "form" and not opened["form"]:
+            forms += 1
         if block or drop:       # other inline elements change nothing for what is in them
             stack.append((tag, drop, region))
             opened[tag] += 1
         tag_of = tag if block else tag_of
     flush()
-    return blocks
+    size = _unlinked(blocks)
+    held: Counter = Counter()
+    for form, n in zip(form_of, size):
+        held[form] += n
+    whole |= {form for form, n in held.items() if not form or n >= LONG and 2 * n >= sum(size)}
+    return [b for b, form in zip(blocks, form_of) if form in whole]
+
+
+def _unlinked(blocks: list[tuple[str, int, int, str]]) -> list[int]:
+    """Characters of each block outside links."""
+    return [max(0, len(words.replace(" ", "")) - linked) for words, linked, _, _ in blocks]
 
 
 def _link_dense(words: str, linked: int) -> bool:
@@ -224,7 +244,7 @@ def _label(words: str, linked: int, in_region: bool, tag: str) -> bool | None:
 
 def _candidates(blocks: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
     """The blocks of the marked, else of all regions, if these hold most text outside links."""
-    size = [max(0, len(words.replace(" ", "")) - linked) for words, linked, _, _ in blocks]
+    size = _unlinked(blocks)
     for inside in ([b[2] > 0 for b in blocks], [b[2] != 0 for b in blocks]):
         if any(inside) and 2 * sum(n for n, i in zip(size, inside) if i) >= sum(size):
             return [b for b, i in zip(blocks, inside) if i]

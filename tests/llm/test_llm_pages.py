@@ -67,6 +67,20 @@ def test_stop_words_judge_no_article_in_another_language():
         "Кошка", other.strip(), PROSE.strip(), other.strip(), ("x = y + z " * 30).strip()]
 
 
+def test_a_form_around_the_page_is_no_dropped_region():
+    controls = "<select><option>One</option></select><label>Name</label><button>Go</button><textarea>x</textarea>"
+    body = f"<nav><a href='/'>Home</a></nav>{controls}<h1>Head</h1><p>{PROSE * 4}</p><p>Ok.</p>"
+    want = ["Head", (PROSE * 4).strip(), "Ok."]
+    for inner in (f"<article>{body}</article>", f"<div>{body}</div>", f"<div><nav><ul><li>x<article>{body}</article></div>"):
+        page = f"<body><form id='aspnetForm' method='post'>{inner}</form><footer>{PROSE}</footer></body>"
+        assert html_extract.main_text(page).split("\n") == want, inner
+    body = body.replace(controls, "")
+    login = f"<form action='/in'><p>User</p><p>{PROSE}</p>{controls}</form>"
+    assert html_extract.main_text(f"{login}<article>{body}</article>{login}").split("\n") == want
+    assert html_extract.main_text(f"<div>{body}</div>{login}").split("\n") == want
+    assert html_extract.main_text(login) == ""
+
+
 def test_broken_markup_and_empty_pages():
     cases = {None: "", "": "", "plain": "plain", "<p>a<p>b": "a\nb", "<p>a <b>b": "a b", "<p": "", "a < b": "a < b",
              "<script>x": "", "<p title='a>b'>c</p>": "c", "<p title='a>c</p>": "c", "<nav><ul><li>x<article><p>y": "y",
