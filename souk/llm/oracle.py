@@ -153,10 +153,102 @@ SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, component_id, vec_id = compone
 FROM v JOIN comp USING (n) LEFT JOIN (SELECT a AS n, count(*) AS k FROM link GROUP BY a) USING (n)
 """
 
+# nearest entries by all distances; two rounds of floored means, then the last assignment
+OP11_ROUND = """
+, a{r} AS (
+  SELECT n, p, arg_min(k, d * 64 + k) AS k, min(d) AS d
+  FROM (SELECT q.n, q.p, b.k, CAST(list_sum(list_transform(list_zip(q.c, b.c),
+               lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS d
+        FROM q JOIN b{r} b USING (p))
+  GROUP BY n, p
+)"""
+OP11_MEANS = """
+, s{r} AS (
+  SELECT p, k, i, sum(q.c[i])::BIGINT AS s, count(*) AS w
+  FROM a{r} JOIN q USING (n, p), (SELECT unnest(range(1, (SELECT max(len(c)) FROM q) + 1)) AS i)
+  GROUP BY p, k, i
+), m{r} AS (
+  SELECT p, k, list((s - ((s % w) + w) % w) // w ORDER BY i) AS c FROM s{r} GROUP BY p, k
+), b{next} AS (
+  SELECT p, k, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (p, k)
+)"""
+OP11 = """
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, label, len(embedding) // 16 AS m,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS z
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), q AS (
+  SELECT n, p, z[p * m + 1:(p + 1) * m] AS c FROM v, (SELECT unnest(range(16)) AS p)
+), b0 AS (
+  SELECT p, n - 1 AS k, c FROM q WHERE n <= 64
+)""" + "".join(OP11_ROUND.format(r=r) + OP11_MEANS.format(r=r, next=r + 1) for r in (0, 1)) \
+    + OP11_ROUND.format(r=2) + """
+, e AS (
+  SELECT n, string_agg(format('{:02x}', k), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY n
+)
+SELECT vec_id, code, error,
+       sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) FROM b2) AS codebooks_sha256
+FROM v JOIN e USING (n)
+"""
+
+# a CRC table by eight shifts per entry, then byte by byte over each different word
+OP12 = """
+WITH d AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws
+  FROM documents
+), g AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w
+  FROM benchmark
+), dw AS (
+  SELECT n, w, count(*) AS c FROM (SELECT n, unnest(ws) AS w FROM d) GROUP BY n, w
+), tab AS (
+  SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT)
+                                                 ELSE c >> 1 END, i) ORDER BY i) AS t
+  FROM (SELECT unnest(range(256)) AS i)
+), vocabulary AS (
+  SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM g)
+), bucket AS (
+  SELECT w, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+                            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT),
+                4294967295::BIGINT) % 10000 AS b
+  FROM vocabulary, tab
+), source AS (
+  SELECT b, sum(c)::BIGINT AS s FROM dw JOIN bucket USING (w) GROUP BY b
+), target AS (
+  SELECT b, count(*) AS t FROM g JOIN bucket USING (w) GROUP BY b
+), gain AS (
+  SELECT b, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (coalesce((SELECT sum(s) FROM source), 0)::DOUBLE + 10000)
+                            / ((s::DOUBLE + 1) * (coalesce((SELECT sum(t) FROM target), 0)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM source LEFT JOIN target USING (b)
+), weights AS (
+  SELECT n, sum(c * gain)::BIGINT AS weight FROM dw JOIN bucket USING (w) JOIN gain USING (b) GROUP BY n
+), scores AS (
+  SELECT n, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))
+                                                      ::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (n)
+), places AS (
+  SELECT n, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place
+  FROM scores WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= (SELECT count(*) * 10 // 100 FROM places) THEN place END AS rank
+FROM scores LEFT JOIN places USING (n)
+"""
+
 QUERIES: dict[str, str] = {
     "op1_exact_topk": OP1,
     "op6_mixing": OP6,
     "op8_warc": OP8,
     "op9_url_filter": OP9,
     "op10_embedding_dedup": OP10,
+    "op11_vector_codes": OP11,
+    "op12_importance_resampling": OP12,
 }

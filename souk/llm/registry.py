@@ -99,5 +99,27 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import book_digest, code_text, product_codes, with_label_error
+
+    coded, books = product_codes(table(spark, sf_dir, "embeddings"), scale=256, parts=16, entries=64, rounds=2)
+    return with_label_error(coded).select(
+        "vec_id", code_text("codes").alias("code"), "error", "label_error",
+        F.lit(book_digest(books)).alias("codebooks_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10,
+                    least_words=20, ngrams=1, buckets=10_000, seed=2024)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import labels_and_score, license_scan
+
+    return labels_and_score(license_scan(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
