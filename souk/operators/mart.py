@@ -15,11 +15,12 @@ Plan shape:
 * the branches are left-joined on the person key; they all come out of a
   shuffle on that key, so the joins line up without re-shuffling the big side;
 * the order facts (read by six branches) and the assembled core (read by the
-  three RFM rankings and the final projection) are checkpointed to the shared
-  checkpoint folder instead of being recomputed per branch; the facts carry each
+  passes of the RFM scores and the final projection) are stored in the shared
+  folder instead of being recomputed per branch; the facts carry each
   order's product, seller and payment-type sets, so items and payments are
   shuffled once;
-* RFM scores use the ranged ``global_ntile`` (NULLs lowest, ties by person).
+* the three RFM scores are selected together by grouped counts over the stored core
+  (``with_tiles``: no sort, no join-back; NULLs lowest, ties by person).
 
 Money sums are exact DECIMAL sums converted to DOUBLE once; averages are one
 division of exact sums, so the values do not depend on summation order.
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from souk.functions import dates as D
 from souk.functions import labels as L
 from souk.functions.numeric import count_if, safe_div
-from souk.operators.ranks import global_ntile
-from souk.operators.retention import materialize
+from souk.operators.selection import Tiles, with_tiles
+from souk.session import stored_table
 
 KEY = "customer_unique_id"
 
@@ -279,7 +280,7 @@ def _segment(r: Column, f: Column, m: Column) -> Column:
 
 def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame, order_items: DataFrame,
                  payments: DataFrame, reviews: DataFrame, as_of_date: str | _dt.date,
-                 churn_days: int = 180, buckets: int | None = None, checkpoint: bool = True) -> DataFrame:
+                 churn_days: int = 180, checkpoint: bool = True) -> DataFrame:
     """The customer feature mart. Dates are rendered as ``yyyy-MM-dd`` text.
 
     ``as_of_date`` replaces the reference's ``GETDATE()`` so results are
@@ -295,7 +296,7 @@ def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame
     facts = _order_facts(ob, order_items, payments, reviews)
     if checkpoint:
         # six branches read the order facts; items and payments are shuffled once for all of them
-        facts = materialize(facts)
+        facts = stored_table(facts, "facts")
     core = (
         _customers_geo(customers, geolocation)
         .join(_person_agg(facts), KEY, "left")
@@ -345,16 +346,12 @@ def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame
         F.col("total_revenue").alias("monetary_value"),
     )
     if checkpoint:
-        core = materialize(core)
+        core = stored_table(core, "core")
     key = (KEY, True)
-    r = global_ntile(core.select(KEY, "recency_days"), [("recency_days", True), key], 5, "__r", buckets)
-    f = global_ntile(core.select(KEY, "frequency_orders"), [("frequency_orders", True), key], 5, "__f", buckets)
-    m = global_ntile(core.select(KEY, "monetary_value"), [("monetary_value", True), key], 5, "__m", buckets)
-    scored = (
-        core.join(r.select(KEY, (6 - F.col("__r")).alias("rfm_recency_score")), KEY)
-        .join(f.select(KEY, F.col("__f").alias("rfm_frequency_score")), KEY)
-        .join(m.select(KEY, F.col("__m").alias("rfm_monetary_score")), KEY)
-    )
+    scored = with_tiles(core, [Tiles([("recency_days", True), key], 5, "__r"),
+                               Tiles([("frequency_orders", True), key], 5, "rfm_frequency_score"),
+                               Tiles([("monetary_value", True), key], 5, "rfm_monetary_score")])
+    scored = scored.withColumn("rfm_recency_score", 6 - F.col("__r"))
     label = _segment(F.col("rfm_recency_score"), F.col("rfm_frequency_score"), F.col("rfm_monetary_score"))
     out = scored.withColumn("rfm_segment_label", label)
     # counts that are NULL for people without items/reviews/repeat orders travel as DOUBLE,

@@ -128,6 +128,45 @@ def global_percent_rank(df: DataFrame, order: OrderSpec, peers: int, out: str,
     return ranked.withColumn(out, share.cast("double")).drop("__rank", "__rows")
 
 
+def global_running_sum(df: DataFrame, order: OrderSpec, peers: int, value: str, out: str, total: str,
+                       buckets: int | None = None) -> DataFrame:
+    """``sum(value) over (order by <first ``peers`` columns of order>)`` with SQL's RANGE frame
+    (rows with equal order values share one sum), and the total over all rows.
+
+    Each range sums by itself, moved up by the sums of the ranges before. A value that
+    straddles ranges is complete only in the last range that it reaches, and that range
+    opens with it: the rows of the closing value of each range take their sum from there.
+    """
+    bucketed = bucketize(df, order, buckets)
+    names = [n for n, _ in order[:peers]]
+    key = F.struct(*names)
+    peers_of = Window.partitionBy(BUCKET).orderBy(*_order_cols(order[:peers]))
+    local = bucketed.withColumn("__local", F.sum(value).over(peers_of)).withColumn("__rank", F.rank().over(peers_of))
+    ends = local.groupBy(BUCKET).agg(
+        F.sum(value).alias("__sum"),
+        F.min_by(F.struct(key.alias("v"), F.col("__local").alias("s")), "__rank").alias("__first"),
+        F.max_by(F.struct(key.alias("v"), F.col("__local").alias("s")), "__rank").alias("__last"))
+    every = Window.partitionBy(F.lit(1))
+    before = F.sum("__sum").over(Window.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1))  # a row per range
+    ends = ends.select(BUCKET, "__first", "__last", F.sum("__sum").over(every).alias("__total"),
+                       before.alias("__base")).checkpoint(eager=True)
+
+    def moved(s: Column) -> Column:         # NULL only where no value came before or in the range
+        return F.when(F.col("__base").isNull(), s).otherwise(F.col("__base") + F.coalesce(s, F.lit(0)))
+
+    sums = ends.select(BUCKET, F.explode(F.array(
+        F.struct(F.col("__first.v").alias("v"), moved(F.col("__first.s")).alias("s")),
+        F.struct(F.col("__last.v").alias("v"), moved(F.col("__last.s")).alias("s")))).alias("e"))
+    complete = sums.groupBy(F.col("e.v").alias("__value")).agg(F.max_by("e.s", BUCKET).alias("__complete"))
+    stitch = ends.join(complete, F.col("__last.v").eqNullSafe(F.col("__value"))) \
+        .select(BUCKET, "__base", "__total", F.col("__last.v").alias("__closing"), "__complete")
+    closes = F.col("__closing").eqNullSafe(key)
+    return (local.join(stitch, BUCKET)
+            .withColumn(out, F.when(closes, F.col("__complete")).otherwise(moved(F.col("__local"))))
+            .withColumnRenamed("__total", total)
+            .drop(BUCKET, "__local", "__rank", "__base", "__closing", "__complete"))
+
+
 def grouped_lag(df: DataFrame, partition: Sequence[str], order: OrderSpec, value: str, out: str,
                 buckets: int | None = None) -> DataFrame:
     """``lag(value) over (partition by ... order by ...)`` safe for a hot group.

@@ -1,10 +1,10 @@
 """Customer segmentation and retention (BQ1-BQ5).
 
 Scale notes:
-* RFM scores and the Pareto split are ranking windows over *all* customers.
-  They use the ranged ``global_ntile`` / ``global_percent_rank`` so no task
-  holds every customer. The per-customer base is checkpointed to the shared
-  checkpoint folder first, because three rankings read it.
+* RFM scores and the Pareto split are ranking windows over *all* customers. The
+  three scores are selected together (``with_tiles``: grouped counts, no sort); the
+  percent rank is taken range by range. The per-customer base is stored in the
+  shared folder first, because the passes read it.
 * Payments are summed per order before any join, so no fan-out is counted.
 * Inter-purchase gaps are ``lag`` per customer at order grain. ``grouped_lag``
   spreads a customer holding a large share of all orders over several tasks.
@@ -20,15 +20,10 @@ from pyspark.sql import functions as F
 from souk.functions import dates as D
 from souk.functions import labels as L
 from souk.functions.numeric import avg_double, pct, rnd
-from souk.operators.ranks import global_ntile, global_percent_rank, grouped_lag
+from souk.operators.ranks import global_percent_rank, global_running_sum, grouped_lag
 from souk.operators.sales import order_payments, valid_orders
-from souk.session import ensure_checkpoint_dir
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from souk.operators.selection import Tiles, with_tiles
+from souk.session import stored_table
 
 
 def _person_orders(orders: DataFrame, customers: DataFrame, cond) -> DataFrame:
@@ -37,7 +32,7 @@ def _person_orders(orders: DataFrame, customers: DataFrame, cond) -> DataFrame:
 
 
 def rfm_segments(orders: DataFrame, customers: DataFrame, payments: DataFrame,
-                 buckets: int | None = None, checkpoint: bool = True) -> DataFrame:
+                 checkpoint: bool = True) -> DataFrame:
     """RFM quintiles over delivered orders and the mean profile of each segment.
 
     Reference date = latest purchase over *all* orders. Scores: ntile(5) by
@@ -59,15 +54,11 @@ def rfm_segments(orders: DataFrame, customers: DataFrame, payments: DataFrame,
                 D.days_between("__last", "__max_date").alias("recency_days"))
     )
     if checkpoint:
-        base = materialize(base)
+        base = stored_table(base, "rfm")
     key = ("customer_unique_id", True)
-    r = global_ntile(base, [("recency_days", False), key], 5, "r_score", buckets)
-    f = global_ntile(base.select("customer_unique_id", "frequency_count"),
-                     [("frequency_count", True), key], 5, "f_score", buckets)
-    m = global_ntile(base.select("customer_unique_id", "monetary_value"),
-                     [("monetary_value", True), key], 5, "m_score", buckets)
-    scored = (r.join(f.select("customer_unique_id", "f_score"), "customer_unique_id")
-              .join(m.select("customer_unique_id", "m_score"), "customer_unique_id"))
+    scored = with_tiles(base, [Tiles([("recency_days", False), key], 5, "r_score"),
+                               Tiles([("frequency_count", True), key], 5, "f_score"),
+                               Tiles([("monetary_value", True), key], 5, "m_score")])
     rs, fm = F.col("r_score"), F.expr("(f_score + m_score) div 2")
     seg = (
         F.when((rs >= 4) & (fm >= 4), L.RFM_BQ[0]).when((rs >= 3) & (fm >= 3), L.RFM_BQ[1])
@@ -111,17 +102,38 @@ def cohort_retention(orders: DataFrame, customers: DataFrame, months: tuple[int,
     ).orderBy("cohort_month")
 
 
+def customer_spend(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
+    """``customer_unique_id, total_spend`` over valid orders."""
+    return (
+        _person_orders(orders, customers, valid_orders(orders))
+        .join(order_payments(payments), "order_id")
+        .groupBy("customer_unique_id").agg(F.sum("payment_value").alias("total_spend"))
+    )
+
+
+def customer_running_revenue(orders: DataFrame, customers: DataFrame, payments: DataFrame,
+                             buckets: int | None = None) -> DataFrame:
+    """Customers by spend with the revenue of all who spend at least as much.
+
+    ``sum(total_spend) over (order by total_spend desc)``: its frame is RANGE, so customers
+    with equal spend share one running total.
+    -> customer_unique_id, total_spend, cumulative_revenue, cumulative_pct
+    """
+    running = global_running_sum(customer_spend(orders, customers, payments),
+                                 [("total_spend", False), ("customer_unique_id", True)], 1,
+                                 "total_spend", "__running", "__total", buckets)
+    return running.select(
+        "customer_unique_id", rnd("total_spend").alias("total_spend"),
+        rnd("__running").alias("cumulative_revenue"), rnd(pct("__running", "__total")).alias("cumulative_pct"))
+
+
 def customer_pareto(orders: DataFrame, customers: DataFrame, payments: DataFrame, top: float = 0.20,
                     buckets: int | None = None) -> DataFrame:
     """Customers in the top ``top`` spend percentile vs the rest, and their revenue share.
 
     -> customer_tier, customer_count, revenue_contribution, revenue_pct
     """
-    spend = (
-        _person_orders(orders, customers, valid_orders(orders))
-        .join(order_payments(payments), "order_id")
-        .groupBy("customer_unique_id").agg(F.sum("payment_value").alias("total_spend"))
-    )
+    spend = customer_spend(orders, customers, payments)
     ranked = global_percent_rank(spend, [("total_spend", False), ("customer_unique_id", True)], 1,
                                  "__pr", buckets)
     tier = F.when(F.col("__pr") <= top, L.PARETO_TIERS[0]).otherwise(L.PARETO_TIERS[1])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from souk.functions import dates as D
 from souk.functions import labels as L
 from souk.functions.numeric import avg_double, count_if, pct, rnd, rnd_decimal, safe_div
+from souk.operators.sales import order_scores
 
 # ---------------------------------------------------------------- delay vs score
 
@@ -83,18 +84,24 @@ def delay_sentiment(orders: DataFrame, reviews: DataFrame, min_count: int = 10)
 
 def _category_speed_quality(orders: DataFrame, order_items: DataFrame, products: DataFrame,
                             reviews: DataFrame) -> DataFrame:
+    """Per category, over items x reviews of delivered orders: reviews are one row per order
+    with their sums, an order's items of a category one row with their number."""
+    lines = (
+        order_items.select("order_id", "product_id")
+        .join(products.where(F.col("product_category_name").isNotNull()), "product_id")
+        .groupBy("product_category_name", "order_id").agg(F.count(F.lit(1)).alias("items"))
+    )
     rows = (
         orders.where((F.col("order_status") == "delivered") & F.col("order_delivered_customer_date").isNotNull())
         .select("order_id", D.days_between("order_purchase_timestamp", "order_delivered_customer_date").alias("lead"))
-        .join(order_items.select("order_id", "product_id"), "order_id")
-        .join(products.where(F.col("product_category_name").isNotNull()), "product_id")
-        .join(reviews.select("order_id", "review_score"), "order_id")
+        .join(order_scores(reviews), "order_id").join(lines, "order_id")
     )
+    fan = F.col("items") * F.col("reviews")
     return rows.groupBy("product_category_name").agg(
-        F.count("order_id").alias("__rows"),
-        F.count_distinct("order_id").alias("__orders"),
-        avg_double("lead").alias("__lead"),
-        avg_double("review_score").alias("__score"),
+        F.sum(fan).alias("__rows"),
+        F.count("order_id").alias("__orders"),
+        safe_div(F.sum(fan * F.col("lead")), F.sum(F.when(F.col("lead").isNotNull(), fan))).alias("__lead"),
+        safe_div(F.sum(F.col("items") * F.col("score_sum")), F.sum(F.col("items") * F.col("scored"))).alias("__score"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions import labels as L
-from souk.functions.numeric import dbl, pct, rnd, safe_div
+from souk.functions.numeric import count_if, dbl, pct, rnd, safe_div
 from souk.operators.ranks import global_rank
 from souk.sources.calendar import add_datekeys, join_calendar
 
@@ -28,6 +28,14 @@ def order_payments(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(F.sum("payment_value").alias("payment_value"))
 
 
+def order_scores(reviews: DataFrame) -> DataFrame:
+    """One row per reviewed order: its review rows, scored rows, sum of scores and one-star rows."""
+    s = F.col("review_score")
+    return reviews.groupBy("order_id").agg(
+        F.count(F.lit(1)).alias("reviews"), F.count(s).alias("scored"),
+        F.coalesce(F.sum(s), F.lit(0)).alias("score_sum"), count_if(s == 1).alias("one_star"))
+
+
 def seasonality_tag(month: Column) -> Column:
     return (
         F.when(month == 11, L.SEASONALITY_TAGS[0])
@@ -190,6 +198,6 @@ def aov_basket(orders: DataFrame, order_items: DataFrame, payments: DataFrame, c
 
 
 __all__ = [
-    "aov_basket", "category_volume_value", "monthly_growth", "monthly_sales", "regional_profile",
+    "aov_basket", "category_volume_value", "monthly_growth", "monthly_sales", "order_payments", "order_scores", "regional_profile",
     "rolling_revenue", "seasonality_tag", "valid_orders",
 ]

@@ -1,7 +1,9 @@
 """Seller performance and marketplace health (BQ16-BQ19, BQ17a).
 
-Seller-grain global windows (``ntile(10)`` over all sellers) use the ranged
-``global_ntile`` so no single task receives every seller. Category totals that
+Seller-grain global windows (``ntile(10)`` over all sellers) are selected by grouped
+counts (``with_tiles``), so sellers are never sorted. Revenue that the reference takes from
+items joined to payments is factorised: payments are summed per order first, so the join
+has a row per item and the product is never made. Category totals that
 the reference takes with ``sum(sum(x)) over (partition by category)`` are a
 second partial aggregation here: a category holding most sellers is summed
 map-side instead of landing in one window partition.
@@ -15,12 +17,13 @@ from pyspark.sql import functions as F
 from souk.functions import dates as D
 from souk.functions import labels as L
 from souk.functions.numeric import avg_double, count_if, pct, rnd, rnd_decimal, safe_div
-from souk.operators.ranks import global_ntile
-from souk.operators.sales import valid_orders
+from souk.operators.sales import order_payments, order_scores, valid_orders
+from souk.operators.selection import Tiles, with_tiles
+from souk.session import stored_table
 
 
 def slow_dispatch_sellers(orders: DataFrame, order_items: DataFrame, min_orders: int = 5,
-                          tiles: int = 10, buckets: int | None = None) -> DataFrame:
+                          tiles: int = 10) -> DataFrame:
     """Sellers in the slowest ``ntile(10)`` of average approval-to-carrier hours.
 
     Hours are averaged at item grain (an order with three items counts three
@@ -41,7 +44,8 @@ def slow_dispatch_sellers(orders: DataFrame, order_items: DataFrame, min_orders:
              safe_div(F.sum("secs") / 3600.0, F.count("secs")).alias("__hours"))
         .where(F.col("total_orders_fulfilled") >= min_orders)
     )
-    ranked = global_ntile(perf, [("__hours", False), ("seller_id", True)], tiles, "__decile", buckets)
+    ranked = with_tiles(stored_table(perf, "sellers"),
+                        [Tiles([("__hours", False), ("seller_id", True)], tiles, "__decile")])
     return ranked.where(F.col("__decile") == 1).orderBy(F.desc("__hours")).select(
         "seller_id",
         "total_orders_fulfilled",
@@ -50,13 +54,14 @@ def slow_dispatch_sellers(orders: DataFrame, order_items: DataFrame, min_orders:
     )
 
 
-def _item_payment_revenue(order_items: DataFrame, payments: DataFrame, orders: DataFrame) -> DataFrame:
-    """Items x payment rows of valid orders (fan-out reproduced on purpose)."""
-    return (
-        order_items.select("order_id", "product_id", "seller_id")
-        .join(orders.where(valid_orders(orders)).select("order_id"), "order_id")
-        .join(payments.select("order_id", "payment_value"), "order_id")
-    )
+def _item_revenue(order_items: DataFrame, payments: DataFrame, orders: DataFrame) -> DataFrame:
+    """Each item of a valid order with what was paid for the order.
+
+    Summed over items this equals the reference's sum over items x payment rows: the payment
+    rows of an order are added up before they meet its items.
+    """
+    paid = orders.where(valid_orders(orders)).select("order_id").join(order_payments(payments), "order_id")
+    return order_items.select("order_id", "product_id", "seller_id").join(paid, "order_id")
 
 
 def category_concentration(order_items: DataFrame, products: DataFrame, payments: DataFrame,
@@ -66,7 +71,7 @@ def category_concentration(order_items: DataFrame, products: DataFrame, payments
     -> product_category_name, total_vendors, leader_market_share_pct, market_health_status
     """
     rev = (
-        _item_payment_revenue(order_items, payments, orders)
+        _item_revenue(order_items, payments, orders)
         .join(products.where(F.col("product_category_name").isNotNull()), "product_id")
         .groupBy("product_category_name", "seller_id")
         .agg(F.sum("payment_value").alias("__rev"))
@@ -88,8 +93,7 @@ def category_concentration(order_items: DataFrame, products: DataFrame, payments
                        label.alias("market_health_status")).orderBy(F.desc("leader_market_share_pct"))
 
 
-def seller_pareto(order_items: DataFrame, payments: DataFrame, orders: DataFrame, tiles: int = 10,
-                  buckets: int | None = None) -> DataFrame:
+def seller_pareto(order_items: DataFrame, payments: DataFrame, orders: DataFrame, tiles: int = 10) -> DataFrame:
     """Revenue per seller decile (``ntile(10)`` by fan-out revenue, descending).
 
     The reference computes the deciles and the platform total but never groups
@@ -97,10 +101,11 @@ def seller_pareto(order_items: DataFrame, payments: DataFrame, orders: DataFrame
     -> seller_decile, seller_count, revenue, revenue_share_pct
     """
     rev = (
-        _item_payment_revenue(order_items, payments, orders)
+        _item_revenue(order_items, payments, orders)
         .groupBy("seller_id").agg(F.sum("payment_value").alias("__rev"))
     )
-    ranked = global_ntile(rev, [("__rev", False), ("seller_id", True)], tiles, "seller_decile", buckets)
+    ranked = with_tiles(stored_table(rev, "sellers"),
+                        [Tiles([("__rev", False), ("seller_id", True)], tiles, "seller_decile")])
     deciles = ranked.groupBy("seller_decile").agg(
         F.count(F.lit(1)).alias("seller_count"), F.sum("__rev").alias("__rev"))
     total = F.sum("__rev").over(Window.partitionBy(F.lit(1)))  # at most ``tiles`` rows
@@ -143,18 +148,20 @@ def seller_churn(orders: DataFrame, order_items: DataFrame, base_year: int = 201
 
 def bad_review_sellers(order_items: DataFrame, orders: DataFrame, reviews: DataFrame, min_orders: int = 50,
                        max_score: float = 3) -> DataFrame:
-    """High-volume sellers with a low average review score (item x review grain).
+    """High-volume sellers with a low average review score (item x review grain, from the
+    reviews' sums per order).
 
     -> seller_id, total_orders, avg_review_score, one_star_count, pct_of_platform_one_stars
     """
+    # an order's items at one seller are one row with their number; its reviews are one row, too
+    lines = order_items.groupBy("seller_id", "order_id").agg(F.count(F.lit(1)).alias("__items"))
+    items = F.col("__items")
     stats = (
-        order_items.select("order_id", "seller_id")
-        .join(orders.select("order_id"), "order_id")
-        .join(reviews.select("order_id", "review_score"), "order_id")
+        lines.join(orders.select("order_id"), "order_id").join(order_scores(reviews), "order_id")
         .groupBy("seller_id")
-        .agg(F.count_distinct("order_id").alias("total_orders"),
-             avg_double("review_score").alias("__avg"),
-             count_if(F.col("review_score") == 1).alias("one_star_count"))
+        .agg(F.count("order_id").alias("total_orders"),
+             safe_div(F.sum(items * F.col("score_sum")), F.sum(items * F.col("scored"))).alias("__avg"),
+             F.sum(items * F.col("one_star")).alias("one_star_count"))
         .where((F.col("total_orders") > min_orders) & (F.col("__avg") < max_score))
     )
     # platform total: one global aggregate row, broadcast (size is exactly one row)

@@ -128,6 +128,8 @@ def _retention_queries(_m: Make) -> dict[str, Query]:
         "rfm_segments": lambda s, d: (lambda m: ret.rfm_segments(m.orders, m.customers, m.payments))(_m(s, d)),
         "cohort_retention": lambda s, d: (lambda m: ret.cohort_retention(m.orders, m.customers))(_m(s, d)),
         "customer_pareto": lambda s, d: (lambda m: ret.customer_pareto(m.orders, m.customers, m.payments))(_m(s, d)),
+        "customer_running_revenue": lambda s, d: (
+            lambda m: ret.customer_running_revenue(m.orders, m.customers, m.payments))(_m(s, d)),
         "purchase_latency": lambda s, d: (lambda m: ret.purchase_latency(
             m.orders, m.customers, m.order_items, m.products, m.translation))(_m(s, d)),
         "churn_risk_count": lambda s, d: (lambda m: ret.churn_risk_count(m.orders, m.customers))(_m(s, d)),

@@ -72,7 +72,7 @@ def test_rfm_labels_cover_every_customer(spark):
     out = retention.rfm_segments(_orders(spark, rows), _customers(spark, pairs),
                                  spark.createDataFrame(pays, "order_id long, payment_sequential int, payment_type "
                                                              "string, payment_installments int, payment_value "
-                                                             "decimal(20,3)"), buckets=3, checkpoint=False).collect()
+                                                             "decimal(20,3)"), checkpoint=False).collect()
     assert sum(r.customer_count for r in out) == 20
     assert {r.customer_segment for r in out} <= set(L.RFM_BQ)
 
@@ -98,7 +98,7 @@ def test_mart_same_day_orders_and_payment_mode_tie(spark):
                                 "geolocation_zip_code_prefix int, geolocation_state string, "
                                 "geolocation_lat decimal(9,6), geolocation_lng decimal(9,6)")
     out = {r.customer_unique_id: r for r in mart.customer_360(
-        customers, geo, orders, items, pays, revs, "2020-06-01", buckets=2, checkpoint=False).collect()}
+        customers, geo, orders, items, pays, revs, "2020-06-01", checkpoint=False).collect()}
     two = out[100]
     assert len(mart.OUTPUT_COLUMNS) == 61
     assert two.first_to_second_order_days == 0.0 and two.max_days_between_orders == 0.0
