@@ -1,25 +1,19 @@
 """``customer_360``: one row per person (customer_unique_id), 61 feature columns.
 
 Plan shape:
-* items, payments and reviews are reduced to one row per order and joined to
-  the orders on ``order_id`` (one co-partitioned join chain); one two-level
-  aggregation (person x month, then person) then yields every order,
-  monetary, payment and review metric, replacing the reference's separate
-  per-table branches and join-backs (installments per order, order values);
-* every aggregation is a ``groupBy`` with map-side partial aggregation, so a
-  person with a third of all orders costs one partial row per task, not one
-  task; the payment-type mode is a ``min_by``;
-* inter-purchase gaps come from one row per (person, day): same-day orders
-  are adjacent in the reference's order, so the gap statistics follow
-  exactly, and the window over that frame is bounded by the calendar;
-* the branches are left-joined on the person key; they all come out of a
-  shuffle on that key, so the joins line up without re-shuffling the big side;
-* the order facts (read by six branches) and the assembled core (read by the
-  passes of the RFM scores and the final projection) are stored in the shared
-  folder instead of being recomputed per branch; the facts carry each
-  order's product, seller and payment-type sets, so items and payments are
-  shuffled once;
-* the three RFM scores are selected together by grouped counts over the stored core
+* items, payments and reviews are reduced to one row per order and joined to the orders on
+  ``order_id`` (one co-partitioned join chain): the *order facts*;
+* everything else follows from two mergeable partials of the facts, each one aggregation
+  with map-side combine: sums, minima and maxima per (person, month), and counts per
+  (person, trait), where a trait is a product, seller or payment type of the person's
+  orders, a purchase day or a number of delivery days. Distinct counts, the payment-type
+  mode, the exact median and the gaps between purchase days all come from the second, so
+  a person with a third of all orders costs one partial row per task, not one task;
+* what is gathered per person is its purchase days, bounded by the calendar;
+* partials of several loads add up, so the mart can follow its tables (``mart_store``);
+* the order facts and the assembled rows are stored in the shared folder, as both partials
+  read the one and the passes of the RFM scores the other;
+* the three RFM scores are selected together by grouped counts over the stored rows
   (``with_tiles``: no sort, no join-back; NULLs lowest, ties by person).
 
 Money sums are exact DECIMAL sums converted to DOUBLE once; averages are one
@@ -86,15 +80,22 @@ def _customers_geo(customers: DataFrame, geolocation: DataFrame) -> DataFrame:
     return cust.join(geo, cond, "left").drop("geolocation_zip_code_prefix", "geolocation_state")
 
 
-def _order_facts(ob: DataFrame, items: DataFrame, payments: DataFrame, reviews: DataFrame) -> DataFrame:
-    """One row per order of ``ob`` with that order's item, payment and review sums.
+def order_facts(orders: DataFrame, customers: DataFrame, items: DataFrame, payments: DataFrame,
+                reviews: DataFrame) -> DataFrame:
+    """One row per order and person with that order's item, payment and review sums.
 
     Each fact table is first reduced to one row per order (map-side partial
     aggregation), so the three left joins are order-to-order joins on the same
-    key: ``ob`` is shuffled once and the aggregated sides arrive already
-    partitioned by ``order_id``. Items, payments or reviews whose order is not
-    in ``ob`` drop out, as with the reference's inner joins.
+    key: the orders are shuffled once and the aggregated sides arrive already
+    partitioned by ``order_id``. Items, payments or reviews of other orders
+    drop out, as with the reference's inner joins.
     """
+    ob = (
+        orders.select("order_id", "customer_id", "order_status", "order_purchase_timestamp",
+                      "order_delivered_customer_date", "order_estimated_delivery_date")
+        .join(customers.select("customer_id", KEY), "customer_id")
+        .withColumn("purchase_date", F.to_date("order_purchase_timestamp"))
+    )
     it = items.groupBy("order_id").agg(
         F.sum("price").alias("__order_value"),
         F.sum("freight_value").alias("__freight"),
@@ -123,15 +124,22 @@ def _order_facts(ob: DataFrame, items: DataFrame, payments: DataFrame, reviews:
     return ob.join(it, "order_id", "left").join(pay, "order_id", "left").join(rv, "order_id", "left")
 
 
-def _person_agg(facts: DataFrame) -> DataFrame:
-    """All order, monetary, payment and review metrics per person in one aggregation.
+# how each column of the month partials merges with itself
+MONTH_MIN = ("__first", "__ov_min", "__score_min")
+MONTH_MAX = ("__last", "__ov_max", "__score_max")
+MONTH_SUM = (
+    "__orders", "__delivered", "__canceled", "__undelivered", "__on_time", "__late", "__dd_sum", "__dd_n",
+    "__dl_sum", "__dl_n", "__rev", "__valued", "__freight", "__items", "__paid", "__inst_w", "__inst_rows",
+    "__paid_orders", "__cc", "__inst_orders", "__reviews", "__scored", "__score_sum", "__neg", "__pos",
+)
+
+
+def month_partials(facts: DataFrame) -> DataFrame:
+    """All order, monetary, payment and review sums per (person, calendar month).
 
-    Two plain hash aggregations: per (person, calendar month), then per person;
-    the number of month rows is the active-months count, so no distinct
-    aggregate (and no row expansion) is needed. ``order_id`` is the orders
-    primary key (declared by the reference, checked by ``key_violations``), so
-    counting rows equals ``COUNT(DISTINCT order_id)``. Every metric is a sum,
-    count, min or max of per-order values, so the two levels compose exactly.
+    ``order_id`` is the orders primary key (declared by the reference, checked by
+    ``key_violations``), so counting rows equals ``COUNT(DISTINCT order_id)``. Every column
+    is a sum, count, min or max of per-order values, so partials compose exactly.
     """
     status = F.col("order_status")
     delivered = status == "delivered"
@@ -140,11 +148,9 @@ def _person_agg(facts: DataFrame) -> DataFrame:
     d_est = F.to_date("order_estimated_delivery_date")
     on_time = delivered & has_dates & (d_deliv <= d_est)
     late = delivered & has_dates & (d_deliv > d_est)
-    delivery_days = F.when(delivered & F.col("order_delivered_customer_date").isNotNull(),
-                           D.days_between("order_purchase_timestamp", "order_delivered_customer_date"))
     days_late = F.when(late, D.days_between("order_estimated_delivery_date", "order_delivered_customer_date"))
     month_key = F.year("purchase_date") * 100 + F.month("purchase_date")  # integer yyyyMM, cheaper than text
-    monthly = facts.groupBy(KEY, month_key.alias("__ym")).agg(
+    return facts.groupBy(KEY, month_key.alias("__ym")).agg(
         F.min("purchase_date").alias("__first"),
         F.max("purchase_date").alias("__last"),
         F.count("order_id").alias("__orders"),
@@ -153,7 +159,7 @@ def _person_agg(facts: DataFrame) -> DataFrame:
         count_if(status != "delivered").alias("__undelivered"),
         count_if(on_time).alias("__on_time"),
         count_if(late).alias("__late"),
-        F.sum(delivery_days).alias("__dd_sum"), F.count(delivery_days).alias("__dd_n"),
+        F.sum(_delivery_days()).alias("__dd_sum"), F.count(_delivery_days()).alias("__dd_n"),
         F.sum(days_late).alias("__dl_sum"), F.count(days_late).alias("__dl_n"),
         # items (per order: value, freight, item count)
         F.sum("__order_value").alias("__rev"), F.count("__order_value").alias("__valued"),
@@ -170,7 +176,48 @@ def _person_agg(facts: DataFrame) -> DataFrame:
         F.min("__score_min").alias("__score_min"), F.max("__score_max").alias("__score_max"),
         F.sum("__neg").alias("__neg"), F.sum("__pos").alias("__pos"),
     )
-    return monthly.groupBy(KEY).agg(
+
+
+def merged_months(months: DataFrame) -> DataFrame:
+    """Month partials of several loads as those of all their orders."""
+    return months.groupBy(KEY, "__ym").agg(
+        *[F.min(c).alias(c) for c in MONTH_MIN], *[F.max(c).alias(c) for c in MONTH_MAX],
+        *[F.sum(c).alias(c) for c in MONTH_SUM])
+
+
+def _delivery_days() -> Column:
+    return F.when((F.col("order_status") == "delivered") & F.col("order_delivered_customer_date").isNotNull(),
+                  D.days_between("order_purchase_timestamp", "order_delivered_customer_date"))
+
+
+# kinds of traits
+PRODUCT, SELLER, TYPE, DAY, LEAD = range(5)
+
+
+def trait_partials(facts: DataFrame) -> DataFrame:
+    """``person, kind, value, n``: orders per product, seller, payment type, purchase day
+    (days since 1970) and number of delivery days of a person."""
+    def traits(kind: int, values: Column) -> Column:
+        some = F.filter(values, lambda v: v.isNotNull())
+        return F.coalesce(F.transform(some, lambda v: F.struct(
+            F.lit(kind).alias("kind"), v.cast("string").alias("value"))),
+            F.array().cast("array<struct<kind:int,value:string>>"))
+
+    every = F.concat(traits(PRODUCT, F.col("__products")), traits(SELLER, F.col("__sellers")),
+                     traits(TYPE, F.col("__types")), traits(DAY, F.array(F.unix_date("purchase_date"))),
+                     traits(LEAD, F.array(_delivery_days())))
+    return merged_traits(facts.select(KEY, F.explode(every).alias("t"))
+                         .select(KEY, "t.kind", "t.value", F.lit(1).cast("long").alias("n")))
+
+
+def merged_traits(traits: DataFrame) -> DataFrame:
+    """Trait partials of several loads as those of all their orders."""
+    return traits.groupBy(KEY, "kind", "value").agg(F.sum("n").alias("n"))
+
+
+def _order_metrics(months: DataFrame) -> DataFrame:
+    """All order, monetary, payment and review metrics per person from its month rows."""
+    return months.groupBy(KEY).agg(
         F.min("__first").alias("__first"),
         F.max("__last").alias("__last"),
         F.sum("__orders").alias("total_orders"),
@@ -203,53 +250,50 @@ def _person_agg(facts: DataFrame) -> DataFrame:
     )
 
 
-def _median_agg(ob: DataFrame) -> DataFrame:
-    """Exact median delivery days per person, over delivered orders only."""
-    d = ob.where((F.col("order_status") == "delivered") & F.col("order_delivered_customer_date").isNotNull())
-    days = D.days_between("order_purchase_timestamp", "order_delivered_customer_date")
-    return d.groupBy(KEY).agg(F.percentile(days, F.lit(0.5)).alias("median_delivery_days"))
+def _trait_metrics(traits: DataFrame) -> DataFrame:
+    """Distinct products and sellers, payment-type mode, median delivery days and purchase gaps.
 
-
-def _gaps(ob: DataFrame) -> DataFrame:
-    """Average, maximum and first-to-second gap in days between a person's orders.
-
-    Orders are ranked by (purchase_date, order_id), so orders on the same day
-    are adjacent and contribute 0-day gaps. Everything therefore follows from
-    one row per (person, day) with its order count: the gaps telescope to
-    (last - first) / (orders - 1); the maximum is the largest gap between
-    consecutive distinct days (0 if all orders share one day); the second
-    order falls on the first day if that day has two orders. The window runs
-    on the per-day frame, which holds at most one row per calendar day per
-    person, however many orders a person has. Orders without a purchase date
-    are ignored.
+    * Mode: most orders, ties to the alphabetically first type.
+    * Median: exact over delivered orders, from counts per number of days.
+    * Gaps: orders are ranked by (purchase_date, order_id), so orders of one day are
+      adjacent and 0 days apart. The gaps telescope to (last - first) / (orders - 1); the
+      greatest is between consecutive days (0 if all orders share one); the second order
+      falls on the first day if that day has two. Orders without a date are ignored.
     """
-    per_day = (ob.where(F.col("purchase_date").isNotNull())
-               .groupBy(KEY, "purchase_date").agg(F.count(F.lit(1)).alias("__cnt")))
-    w = Window.partitionBy(KEY).orderBy("purchase_date")  # bounded: one row per calendar day
-    days = (per_day.withColumn("__prev", F.lag("purchase_date").over(w))
-            .withColumn("__day_rank", F.row_number().over(w)))
-    agg = days.groupBy(KEY).agg(
-        F.sum("__cnt").alias("__n"),
-        F.min("purchase_date").alias("__d1"),
-        F.max("purchase_date").alias("__dn"),
-        F.max(F.datediff("purchase_date", "__prev")).alias("__max_step"),
-        F.max(F.when(F.col("__day_rank") == 1, F.col("__cnt"))).alias("__first_cnt"),
-        F.max(F.when(F.col("__day_rank") == 2, F.col("purchase_date"))).alias("__second_day"),
+    kind, n = F.col("kind"), F.col("n")
+
+    def of(k: int, value: Column) -> Column:
+        return F.when(kind == k, value)
+
+    number = F.when(kind.isin(DAY, LEAD), F.col("value").cast("int"))
+    agg = traits.groupBy(KEY).agg(
+        F.sum(of(PRODUCT, F.lit(1))).alias("distinct_products_purchased"),
+        F.sum(of(SELLER, F.lit(1))).alias("distinct_sellers_purchased"),
+        F.min_by(of(TYPE, F.col("value")), of(TYPE, F.struct(-n, "value"))).alias("most_used_payment_type"),
+        F.percentile(of(LEAD, number), F.lit(0.5), n).alias("median_delivery_days"),
+        F.sum(of(DAY, n)).alias("__n"),
+        # at most one per calendar day
+        F.array_sort(F.collect_list(of(DAY, F.struct(number.alias("day"), n.alias("n"))))).alias("__days"),
     )
-    repeat = F.col("__n") >= 2
+    days, size, repeat = F.col("__days"), F.size("__days"), F.col("__n") >= 2
+    steps = F.transform(F.slice(days, F.lit(2), F.greatest(size - 1, F.lit(0))),
+                        lambda d, i: d["day"] - F.get(days, i)["day"])
+    first, last = F.get(days, 0), F.get(days, size - 1)
     return agg.select(
-        KEY,
-        F.when(repeat, safe_div(F.datediff("__dn", "__d1"), F.col("__n") - 1)).alias("avg_days_between_orders"),
-        F.when(repeat, F.coalesce(F.col("__max_step"), F.lit(0))).cast("long").alias("max_days_between_orders"),
-        F.when(repeat, F.when(F.col("__first_cnt") >= 2, F.lit(0)).otherwise(F.datediff("__second_day", "__d1")))
+        KEY, "distinct_products_purchased", "distinct_sellers_purchased", "most_used_payment_type",
+        "median_delivery_days",
+        F.when(repeat, safe_div(last["day"] - first["day"], F.col("__n") - 1)).alias("avg_days_between_orders"),
+        F.when(repeat, F.coalesce(F.array_max(steps), F.lit(0))).cast("long").alias("max_days_between_orders"),
+        F.when(repeat, F.when(first["n"] >= 2, 0).otherwise(F.get(days, 1)["day"] - first["day"]))
         .cast("long").alias("first_to_second_order_days"),
     )
 
 
-def _distinct_values(facts: DataFrame, sets: str, out: str) -> DataFrame:
-    """Distinct values per person out of the per-order sets, hashed and partially combined."""
-    values = facts.select(KEY, F.explode(sets).alias("__value")).distinct()
-    return values.groupBy(KEY).agg(F.count(F.lit(1)).alias(out))
+def _median_agg(ob: DataFrame) -> DataFrame:
+    """Exact median delivery days per person, over delivered orders only."""
+    d = ob.where((F.col("order_status") == "delivered") & F.col("order_delivered_customer_date").isNotNull())
+    days = D.days_between("order_purchase_timestamp", "order_delivered_customer_date")
+    return d.groupBy(KEY).agg(F.percentile(days, F.lit(0.5)).alias("median_delivery_days"))
 
 
 def _payment_mode(facts: DataFrame) -> DataFrame:
@@ -278,38 +322,19 @@ def _segment(r: Column, f: Column, m: Column) -> Column:
     )
 
 
-def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame, order_items: DataFrame,
-                 payments: DataFrame, reviews: DataFrame, as_of_date: str | _dt.date,
-                 churn_days: int = 180, checkpoint: bool = True) -> DataFrame:
-    """The customer feature mart. Dates are rendered as ``yyyy-MM-dd`` text.
+def person_rows(customers: DataFrame, geolocation: DataFrame, months: DataFrame, traits: DataFrame) -> DataFrame:
+    """One row per person of ``customers`` with all that does not depend on the day of asking."""
+    return (_customers_geo(customers, geolocation)
+            .join(_order_metrics(months), KEY, "left").join(_trait_metrics(traits), KEY, "left"))
 
-    ``as_of_date`` replaces the reference's ``GETDATE()`` so results are
-    reproducible.
-    """
+
+def features(persons: DataFrame, as_of_date: str | _dt.date, churn_days: int = 180) -> DataFrame:
+    """The mart's columns but for scores and label."""
     as_of = F.lit(_dt.date.fromisoformat(str(as_of_date)))
-    ob = (
-        orders.select("order_id", "customer_id", "order_status", "order_purchase_timestamp",
-                      "order_delivered_customer_date", "order_estimated_delivery_date")
-        .join(customers.select("customer_id", KEY), "customer_id")
-        .withColumn("purchase_date", F.to_date("order_purchase_timestamp"))
-    )
-    facts = _order_facts(ob, order_items, payments, reviews)
-    if checkpoint:
-        # six branches read the order facts; items and payments are shuffled once for all of them
-        facts = stored_table(facts, "facts")
-    core = (
-        _customers_geo(customers, geolocation)
-        .join(_person_agg(facts), KEY, "left")
-        .join(_median_agg(facts), KEY, "left")
-        .join(_distinct_values(facts, "__products", "distinct_products_purchased"), KEY, "left")
-        .join(_distinct_values(facts, "__sellers", "distinct_sellers_purchased"), KEY, "left")
-        .join(_payment_mode(facts), KEY, "left")
-        .join(_gaps(facts), KEY, "left")
-    )
     first, last = F.col("__first"), F.col("__last")
     total_orders, delivered = F.col("total_orders"), F.col("delivered_orders")
     since = F.datediff(as_of, last)
-    core = core.select(
+    return persons.select(
         KEY, "first_customer_id", "customer_city", "customer_state", "customer_zip_code_prefix",
         "customer_latitude", "customer_longitude",
         F.date_format(first, "yyyy-MM-dd").alias("first_purchase_date"),
@@ -345,8 +370,10 @@ def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame
         total_orders.alias("frequency_orders"),
         F.col("total_revenue").alias("monetary_value"),
     )
-    if checkpoint:
-        core = stored_table(core, "core")
+
+
+def with_scores(core: DataFrame) -> DataFrame:
+    """The mart from its stored feature rows: RFM scores over all persons, and the label."""
     key = (KEY, True)
     scored = with_tiles(core, [Tiles([("recency_days", True), key], 5, "__r"),
                                Tiles([("frequency_orders", True), key], 5, "rfm_frequency_score"),
@@ -359,6 +386,24 @@ def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame
     return out.withColumns({c: F.col(c).cast("double") for c in NULLABLE_COUNTS}).select(*OUTPUT_COLUMNS)
 
 
+def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame, order_items: DataFrame,
+                 payments: DataFrame, reviews: DataFrame, as_of_date: str | _dt.date,
+                 churn_days: int = 180, checkpoint: bool = True) -> DataFrame:
+    """The customer feature mart. Dates are rendered as ``yyyy-MM-dd`` text.
+
+    ``as_of_date`` replaces the reference's ``GETDATE()`` so results are
+    reproducible.
+    """
+    facts = order_facts(orders, customers, order_items, payments, reviews)
+    if checkpoint:
+        facts = stored_table(facts, "facts")
+    core = features(person_rows(customers, geolocation, month_partials(facts), trait_partials(facts)),
+                    as_of_date, churn_days)
+    if checkpoint:
+        core = stored_table(core, "core")
+    return with_scores(core)
+
+
 def _person_orders(orders: DataFrame, customers: DataFrame) -> DataFrame:
     return (orders.join(customers.select("customer_id", KEY), "customer_id")
             .withColumn("purchase_date", F.to_date("order_purchase_timestamp")))

@@ -26,11 +26,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CELLS = 2048
+CELLS = 4096
 BYTES = 6                 # of a text per digit: 48 bits are exact in a double
 AHEAD = 4                 # digits whose bounds a pass finds, the current one included
 
@@ -61,13 +61,18 @@ class _Cell:
         return len(self.path)
 
 
+def _num(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
 class _Digits:
-    """Columns of doubles that compare, one after the other, like ``order`` does; each is
-    built when it is asked for, as a text has as many as its length needs."""
+    """SQL expressions of doubles that compare, one after the other, like ``order`` does; each
+    is built when it is asked for, as a text has as many as its length needs. (Text, because a
+    pass holds hundreds of comparisons and each Column operation is a call into the JVM.)"""
 
     def __init__(self, df: DataFrame, order: Sequence[tuple[str, bool]], longest: dict[str, int]):
         self.df, self.longest = df, longest
-        self.places: list[tuple[str, float, int]] = []      # (column, sign, digit of the column)
+        self.places: list[tuple[str, bool, int]] = []       # (column, ascending, digit of the column)
         for name, ascending in order:
             kind = df.schema[name].dataType
             n = 2
@@ -75,82 +80,78 @@ class _Digits:
                 n = 2 + -(-longest[name] // BYTES)
             elif isinstance(kind, (T.LongType, T.TimestampType, T.DecimalType)):
                 n = 3
-            self.places += [(name, 1.0 if ascending else -1.0, i) for i in range(n)]
+            self.places += [(name, ascending, i) for i in range(n)]
 
     def __len__(self) -> int:
         return len(self.places)
 
-    def __getitem__(self, at: int) -> Column:
-        name, sign, digit = self.places[at]
-        kind = self.df.schema[name].dataType
+    def __getitem__(self, at: int) -> str:
+        name, ascending, digit = self.places[at]
+        kind, c = self.df.schema[name].dataType, f"`{name}`"
         if isinstance(kind, (T.FloatType, T.DoubleType)):
-            value = self._of_double(F.col(name).cast("double"), digit)
+            value = self._of_double(f"CAST({c} AS DOUBLE)", digit)
         elif digit == 0:
-            value = F.when(F.col(name).isNull(), 0.0).otherwise(2.0)
+            value = f"IF({c} IS NULL, 0D, 2D)"
         elif isinstance(kind, (T.StringType, T.BinaryType)):
-            value = self._of_text(name, digit)
+            value = self._of_text(c, (digit - 1) * BYTES, self.longest[name])
         else:
-            value = self._of_number(F.col(name), kind, digit)
-        value = F.coalesce(value, F.lit(0.0))
-        return value if sign > 0 else F.lit(sign) * value
+            value = self._of_number(c, kind, digit)
+        return f"{'' if ascending else '-'}coalesce({value}, 0D)"
+
+    @staticmethod
+    def _of_double(v: str, digit: int) -> str:
+        klass = (f"CASE WHEN {v} IS NULL THEN 0D WHEN isnan({v}) THEN 4D WHEN {v} = double('inf') THEN 3D "
+                 f"WHEN {v} = double('-inf') THEN 1D ELSE 2D END")
+        return klass if digit == 0 else f"IF(({klass}) = 2D, {v}, 0D)"
 
     @staticmethod
-    def _of_double(v: Column, digit: int) -> Column:
-        klass = (F.when(v.isNull(), 0.0).when(F.isnan(v), 4.0).when(v == float("inf"), 3.0)
-                 .when(v == float("-inf"), 1.0).otherwise(2.0))
-        return klass if digit == 0 else F.when(klass == 2.0, v)
-
-    def _of_text(self, name: str, digit: int) -> Column:
-        at = (digit - 1) * BYTES
-        if at >= self.longest[name]:
-            return F.octet_length(name).cast("double")
-        piece = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), at + 1, BYTES)), 2 * BYTES, "0")
-        return F.conv(piece, 16, 10).cast("double")
+    def _of_text(c: str, at: int, longest: int) -> str:
+        if at >= longest:
+            return f"CAST(octet_length({c}) AS DOUBLE)"
+        piece = f"hex(substring(CAST({c} AS BINARY), {at + 1}, {BYTES}))"
+        return f"CAST(conv(rpad({piece}, {2 * BYTES}, '0'), 16, 10) AS DOUBLE)"
 
     @staticmethod
-    def _of_number(c: Column, kind: T.DataType, digit: int) -> Column:
+    def _of_number(c: str, kind: T.DataType, digit: int) -> str:
         if isinstance(kind, T.TimestampType):
-            c = F.unix_micros(c)
+            c = f"unix_micros({c})"
         elif isinstance(kind, T.DateType):
-            c = F.unix_date(c)
+            c = f"unix_date({c})"
         elif isinstance(kind, T.BooleanType):
-            c = c.cast("int")
-        near = c.cast("double")
+            c = f"CAST({c} AS INT)"
+        near = f"CAST({c} AS DOUBLE)"
         if digit == 1:
             return near
         # what a double leaves over of more than 53 bits
-        exact = f"decimal(38,{kind.scale if isinstance(kind, T.DecimalType) else 0})"
-        return (c.cast(exact) - near.try_cast(exact)).cast("double")
+        exact = f"DECIMAL(38,{kind.scale if isinstance(kind, T.DecimalType) else 0})"
+        return f"CAST(CAST({c} AS {exact}) - try_cast({near} AS {exact}) AS DOUBLE)"
 
 
-def _inside(digit, cell: _Cell) -> Column:
-    cond = (digit(cell.at) >= cell.low) & (digit(cell.at) <= cell.high)
-    for i, v in enumerate(cell.path):
-        cond = cond & (digit(i) == v)
-    return cond
+def _inside(name, cell: _Cell) -> str:
+    return " AND ".join([f"{name(cell.at)} BETWEEN {_num(cell.low)} AND {_num(cell.high)}",
+                         *[f"{name(i)} = {_num(v)}" for i, v in enumerate(cell.path)]])
 
 
-def _step(digit: Column, cell: _Cell) -> Column:
+def _step(digit: str, cell: _Cell) -> str:
     """Number of the cell's equal step that holds ``digit``: it never falls as digits rise."""
     if not cell.low < cell.high:
-        return F.lit(0)
+        return "0"
     half = 0.5 if math.isinf(cell.high - cell.low) else 1.0
     width = cell.high * half - cell.low * half
-    share = (digit * half - F.lit(cell.low * half)) / F.lit(width) * CELLS
-    return F.least(F.floor(share), F.lit(CELLS - 1)).cast("int")
+    share = f"({digit} * {_num(half)} - {_num(cell.low * half)}) / {_num(width)} * {CELLS}"
+    return f"CAST(least(floor({share}), {CELLS - 1}) AS INT)"
 
 
-def _before(digit, cut: tuple[float, ...]) -> Column:
+def _before(name, cut: tuple[float, ...]) -> str:
     """Whether a row's first digits compare below those of ``cut``."""
-    cond = F.lit(False)
+    cond = "false"
     for i in reversed(range(len(cut))):
-        cond = (digit(i) < cut[i]) | ((digit(i) == cut[i]) & cond)
+        cond = f"({name(i)} < {_num(cut[i])} OR ({name(i)} = {_num(cut[i])} AND {cond}))"
     return cond
 
 
-def _bounds(digit, depth: range) -> list[Column]:
-    return [f(digit(i)).alias(f"{name}{k}") for k, i in enumerate(depth)
-            for f, name in ((F.min, "low"), (F.max, "high"))]
+def _bounds(names: Sequence[str]) -> str:
+    return ", ".join(f"min({d}) AS low{k}, max({d}) AS high{k}" for k, d in enumerate(names))
 
 
 def _entered(path: tuple[float, ...], row, n: int, before: int, rows: list[int]) -> _Cell:
@@ -172,19 +173,15 @@ def _select(df: DataFrame, windows: list[_Digits], roots: list[_Cell | None]) ->
             for cell in some:
                 depth = range(cell.at, min(cell.at + AHEAD, len(digits)))
                 used |= {f"d{w}_{i}": digits[i] for i in range(depth.stop) if f"d{w}_{i}" not in used}
-
-                def digit(i: int, w: int = w) -> Column:
-                    return F.col(f"d{w}_{i}")
-
-                ahead = [digit(i) for i in depth] + [F.lit(0.0)] * (AHEAD - len(depth))
-                marks.append(F.when(_inside(digit, cell), F.struct(
-                    F.lit(len(cells)).alias("cell"), _step(digit(cell.at), cell).alias("step"),
-                    *[d.alias(f"d{k}") for k, d in enumerate(ahead)])))
+                ahead = [f"d{w}_{i}" for i in depth] + ["0D"] * (AHEAD - len(depth))
+                fields = [f"'cell', {len(cells)}, 'step', {_step(ahead[0], cell)}",
+                          *[f"'d{k}', {d}" for k, d in enumerate(ahead)]]
+                marks.append(f"IF({_inside(lambda i, w=w: f'd{w}_{i}', cell)}, named_struct({', '.join(fields)}), NULL)")
                 cells.append((w, cell, len(depth)))
-        narrow = df.select(*[c.alias(name) for name, c in used.items()])
-        hits = narrow.select(F.explode(F.filter(F.array(*marks), lambda m: m.isNotNull())).alias("m"))
-        steps = hits.groupBy("m.cell", "m.step").agg(
-            F.count(F.lit(1)).alias("n"), *_bounds(lambda k: F.col(f"m.d{k}"), range(AHEAD))).collect()
+        hits = (df.selectExpr(*[f"{text} AS {name}" for name, text in used.items()])
+                .selectExpr(f"inline(filter(array({', '.join(marks)}), m -> m IS NOT NULL))"))
+        bounds = _bounds([f"d{k}" for k in range(AHEAD)]).split(", ")
+        steps = hits.groupBy("cell", "step").agg(*map(F.expr, ["count(1) AS n", *bounds])).collect()
         by_cell: dict[int, list] = {}
         for r in sorted(steps, key=lambda r: (r["cell"], r["step"])):
             by_cell.setdefault(r["cell"], []).append(r)
@@ -216,12 +213,12 @@ def with_tiles(df: DataFrame, windows: Sequence[Tiles]) -> DataFrame:
              if isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType))}
     longest = {c: 0 for c in texts}
     if texts:
-        sizes = df.agg(*[F.coalesce(F.max(F.octet_length(c)), F.lit(0)).alias(c) for c in longest]).first()
+        sizes = df.selectExpr(*[f"coalesce(max(octet_length(`{c}`)), 0) AS `{c}`" for c in longest]).first()
         longest = {c: sizes[c] for c in longest}
     digits = [_Digits(df, w.order, longest) for w in windows]
     known = [min(AHEAD, len(d)) for d in digits]
-    ends = df.agg(F.count(F.lit(1)).alias("n"), *[
-        F.struct(*_bounds(lambda i, d=d: d[i], range(n))).alias(f"w{k}")
+    ends = df.selectExpr("count(1) AS n", *[
+        "named_struct(" + ", ".join(f"'low{i}', min({d[i]}), 'high{i}', max({d[i]})" for i in range(n)) + f") AS w{k}"
         for k, (d, n) in enumerate(zip(digits, known))]).first()
     roots = []
     for k, w in enumerate(windows):
@@ -229,12 +226,11 @@ def with_tiles(df: DataFrame, windows: Sequence[Tiles]) -> DataFrame:
         firsts = [1 + sum(sizes[:t]) for t in range(1, w.tiles) if sizes[t]]
         roots.append(_entered((), ends[f"w{k}"], known[k], 0, firsts) if firsts else None)
     cuts = _select(df, digits, roots)
-    used, out = {}, {}
+    used, tiles = {}, []
     for n, (w, found) in enumerate(zip(windows, cuts)):
         depth = max(map(len, found.values()), default=0)
         used |= {f"__digit_{n}_{i}": digits[n][i] for i in range(depth)}
-        tile = F.lit(1)
-        for row in sorted(found):
-            tile = tile + F.when(_before(lambda i, n=n: F.col(f"__digit_{n}_{i}"), found[row]), 0).otherwise(1)
-        out[w.out] = tile.cast("int")
-    return df.withColumns(used).withColumns(out).drop(*used)
+        later = "".join(f" + IF({_before(lambda i, n=n: f'__digit_{n}_{i}', found[row])}, 0, 1)" for row in sorted(found))
+        tiles.append(f"CAST(1{later} AS INT) AS `{w.out}`")
+    names = [f"`{c}`" for c in df.columns]
+    return df.selectExpr(*names, *[f"{text} AS {name}" for name, text in used.items()]).selectExpr(*names, *tiles)

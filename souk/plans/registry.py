@@ -22,6 +22,7 @@ from souk.operators import reviews as rev
 from souk.operators import sales
 from souk.operators import sellers as sel
 from souk.operators import timeseries as ts
+from souk.operators.mart_store import MartStore
 from souk.sources import fixtures as fx
 from souk.session import ensure_checkpoint_dir
 from souk.sources import ingest
@@ -201,9 +202,26 @@ def _customer_360(m: fx.Marketplace) -> DataFrame:
     return mart.customer_360(m.customers, m.geolocation, m.orders, m.order_items, m.payments, m.reviews, AS_OF_DATE)
 
 
+def _mart_in_two_loads(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
+    """All orders in two loads. The first has the orders of the first years, and some
+    later ones as shipped; the second brings the others, and those again as they ended."""
+    store = MartStore(spark, _scratch(spark, "mart-store"))
+    early = F.coalesce(F.year("order_purchase_timestamp") < 1996, F.lit(True))
+    underway = F.col("order_id") % 17 == 0
+    none = F.lit(None).cast("timestamp")
+    shipped = m.orders.where(~early & underway).withColumns(
+        {"order_status": F.lit("shipped"), "order_delivered_customer_date": none})
+    for orders in (m.orders.where(early).unionByName(shipped), m.orders.where(~early)):
+        ids = orders.select("order_id")
+        items, pays, revs = (t.join(ids, "order_id", "left_semi") for t in (m.order_items, m.payments, m.reviews))
+        store.load(orders, m.customers, items, pays, revs, m.geolocation)
+    return store.mart(AS_OF_DATE)
+
+
 def _mart_queries(_m: Make) -> dict[str, Query]:
     return {
         "customer_360": lambda s, d: _customer_360(_m(s, d)),
+        "customer_360_two_loads": lambda s, d: _mart_in_two_loads(s, _m(s, d)),
         "customer_360_read_back": lambda s, d: _mart_read_back(s, _m(s, d)),
         "customer_delivery_median": lambda s, d: (lambda m: mart.delivery_median(m.orders, m.customers))(_m(s, d)),
         "customer_payment_mode": lambda s, d: (
