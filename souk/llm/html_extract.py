@@ -3,7 +3,11 @@
 A tolerant scanner cuts a page into blocks (runs of text between block-level tags) and
 drops regions that are never main text: scripts, styles, forms, navigation, headers,
 footers, asides, hidden elements, and elements whose class, id or role names a menu, an
-advert, a notice, a sidebar or comments. A form is kept without its controls if it holds an
+advert, a notice, a sidebar or comments. Names are taken whole, and of a compound name only
+its last word counts (``site-sidebar``; plain boxes such as ``-area`` and numbers behind it
+do not), never a modifier (``has-sidebar``, ``comments-open``, ``ad-free``). An element so
+named stays if it holds at least ``LONG`` characters and most of the page's text outside
+links, and no article or main region with as much lies outside it. A form is kept without its controls if it holds an
 article or main region, or at least ``LONG`` characters and most of the page's text outside
 links (pages that lie in one form as a whole).
 
@@ -11,11 +15,13 @@ Pass one labels each block by length, link density, stop-word density and region
 blocks with running text are good, link-dense ones and ones without stop words bad, blocks
 too short or too odd to tell stay undecided. Where the page marks article or main regions
 (or names elements like one) that hold most of its text outside links, only blocks in them
-are candidates. A region is a feature that spares what may be text: in it, links that read
-as a sentence, headings, preformatted text and blocks without stop words that are below
-``LONG`` or end like a sentence stay undecided, and so do all others without stop words if
-the regions' running text does not outweigh them (stop words say nothing about languages
-that are not listed). Three link-dense blocks in a row in a region are a menu and cut out.
+are candidates. A region is a feature that spares what may be text: in it, a block without
+any link is good from ``SHORT`` characters on, with or without stop words, and undecided
+below; links that read as a sentence, headings, preformatted text and blocks with few links
+and without stop words that are below ``LONG`` or end like a sentence stay undecided, and so
+do all others without stop words if the regions' running text does not outweigh them (stop
+words say nothing about languages that are not listed). Three link-dense blocks in a row in a
+region are a menu and cut out.
 
 Pass two gives undecided blocks the label of the nearest decided neighbour of their region;
 inside an article or main region, one between a good and a bad block is good, and a heading
@@ -68,6 +74,15 @@ social related recommended popup modal overlay newsletter subscribe subscription
 widget toolbar toc pager pagination copyright disclaimer complementary contentinfo
 """.split())
 CONTENT_NAMES = frozenset("article post entry content story title body main text".split())
+# words of a compound name: what stands before or behind them is a state, no part of the page
+MODIFIERS = frozenset("""
+has no not non with without is are under open opened closed free left right top bottom enabled disabled
+active inactive visible on off count policy page pages
+""".split())
+BOXES = frozenset("""
+area bar block box column container inner item items links list outer panel row section slot unit
+wrap wrapper
+""".split())
 REGIONS = frozenset(("article", "main"))
 REGION_NAMES = frozenset("article post entry story content main".split())
 MENU = 3                        # link-dense blocks in a row that make a menu inside an article
@@ -85,6 +100,7 @@ TOKEN = re.compile(
 NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])(?!\s*=\s*[\"']?until)"
                     r"|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -94,22 +110,38 @@ def _names(attrs: str) -> set[str]:
             for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())} if attrs else set()
 
 
-def _dropped(tag: str, attrs: str, in_region: bool) -> bool:
+def _named(attrs: str) -> set[str]:
+    """What the class, id and role names of an element say it is: the last word of each."""
+    found = set()
+    for m in NAMES.finditer(attrs):
+        for name in CAMEL.sub("-", m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", name) if len(w) > 1]
+            while len(words) > 1 and words[-1] in BOXES:
+                words.pop()
+            if words and not MODIFIERS.intersection(words):
+                found.add(words[-1])
+    return found
+
+
+KEPT, BY_NAME, DROPPED = range(3)
+
+
+def _dropped(tag: str, attrs: str, in_region: bool) -> int:
+    """Whether an element is no main text for what it is, or only by its name."""
     if tag in DROPPED_TAGS:
-        return True
+        return DROPPED
     if tag == "header" and not in_region:
-        return True
+        return DROPPED
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return KEPT
     if HIDDEN.search(attrs):
-        return True
-    names = _names(attrs)
-    found = names & DROPPED_NAMES
-    if tag == "article":
+        return DROPPED
+    found = _named(attrs) & DROPPED_NAMES
+    if found and tag == "article":
         found &= {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"}
-    elif names & CONTENT_NAMES:
+    elif found and _names(attrs) & CONTENT_NAMES:
         found -= {"header", "footer", "share", "social", "widget", "related", "menu"}
-    return bool(found)
+    return BY_NAME if found else KEPT
 
 
 def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
@@ -119,10 +151,11 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
     an element that is only named like one).
     """
     blocks: list[tuple[str, int, int, str]] = []
-    stack: list[tuple[str, bool, int]] = []     # (tag, dropped, region)
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []    # (tag, dropped, region, named)
     text: list[str] = []
-    linked = regions = links = forms = 0
+    linked = regions = links = forms = named = 0
     form_of: list[int] = []                     # per block the form it lies in (0: none)
+    named_of: list[tuple[int, ...]] = []        # per block the elements around it that are dropped by name
     whole: set[int] = set()                     # forms that hold an article or main element
     tag_of = ""
 
@@ -140,6 +173,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
             if words:
                 blocks.append((words, linked, stack[-1][2] if stack else 0, tag_of))
                 form_of.append(forms if opened["form"] else 0)
+                named_of.append(stack[-1][3] if stack else ())
             text.clear()
         linked = 0
 
@@ -183,14 +217,19 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
                              or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
                 close()
             links = 0
-        outer = stack[-1] if stack else ("", False, 0)
-        drop = outer[1] or _dropped(tag, attrs, outer[2] > 0) or tag in FORM_TAGS and opened["form"] > 0
-        region = outer[2]
+        outer = stack[-1] if stack else ("", False, 0, ())
+        why = _dropped(tag, attrs, outer[2] > 0)
+        drop = outer[1] or why == DROPPED or tag in FORM_TAGS and opened["form"] > 0
+        region, around = outer[2], outer[3]
+        if why == BY_NAME and not drop:
+            named += 1
+            around = (*around, named)
         if tag in REGIONS and not _dropped(tag, attrs, False):
             # an article cannot lie in a menu or advert: that one was never closed
-            if outer[1] and not any(t in ("article", "dialog") or t == "form" and d for t, d, _ in stack):
-                drop = False
-                while stack and stack[-1][1]:
+            if (outer[1] or outer[3]) and not any(t in ("article", "dialog") or t == "form" and d
+                                                  for t, d, _, _ in stack):
+                drop, around = False, ()
+                while stack and (stack[-1][1] or stack[-1][3]):
                     close()
             if not drop:
                 if opened["form"]:
@@ -204,11 +243,15 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
             links += 1
         if tag == "form" and not opened["form"]:
             forms += 1
-        if block or drop:       # other inline elements change nothing for what is in them
-            stack.append((tag, drop, region))
+        if block or drop or around != outer[3]:     # other inline elements change nothing for what is in them
+            stack.append((tag, drop, region, around))
             opened[tag] += 1
         tag_of = tag if block else tag_of
     flush()
+    spared = _spared(blocks, named_of)
+    stays = [spared.issuperset(chain) for chain in named_of]
+    blocks = [b for b, stay in zip(blocks, stays) if stay]
+    form_of = [f for f, stay in zip(form_of, stays) if stay]
     size = _unlinked(blocks)
     held: Counter = Counter()
     for form, n in zip(form_of, size):
@@ -217,6 +260,21 @@ def blocks_of(page: str) -> list[tuple[str, int, int, str]]:
     return [b for b, form in zip(blocks, form_of) if form in whole]
 
 
+def _spared(blocks: list[tuple[str, int, int, str]], named_of: list[tuple[int, ...]]) -> set[int]:
+    """Elements dropped by name that hold most of the page's text outside links, and no article
+    or main region of ``LONG`` characters lies outside them."""
+    size = _unlinked(blocks)
+    held: Counter = Counter()
+    in_regions: Counter = Counter()
+    for chain, n, (_, _, region, _) in zip(named_of, size, blocks):
+        for element in chain:
+            held[element] += n
+            in_regions[element] += n if region else 0
+    total, regions = sum(size), sum(n for n, b in zip(size, blocks) if b[2])
+    return {e for e, n in held.items()
+            if n >= LONG and 2 * n >= total and regions - in_regions[e] < LONG}
+
+
 def _unlinked(blocks: list[tuple[str, int, int, str]]) -> list[int]:
     """Characters of each block outside links."""
     return [max(0, len(words.replace(" ", "")) - linked) for words, linked, _, _ in blocks]
@@ -235,7 +293,7 @@ def _label(words: str, linked: int, in_region: bool, tag: str) -> bool | None:
     if _link_dense(words, linked):      # a few words need a larger share to read as a sentence
         sentence = prose >= (PROSE if n >= SHORT else 2 * PROSE)
         return None if spared or in_region and sentence else False
-    if n >= LONG and prose >= SOME_PROSE or n >= SHORT and prose >= PROSE:
+    if n >= LONG and prose >= SOME_PROSE or n >= SHORT and (prose >= PROSE or in_region and not linked):
         return True
     if n < (LONG if in_region else SHORT) or spared or in_region and (tag == "pre" or SENTENCE.search(words)):
         return None

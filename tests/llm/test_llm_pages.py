@@ -4,8 +4,11 @@ import base64
 import collections
 import hashlib
 import re
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from souk.llm import html_extract, url_filter, warc
 from souk.llm.common import shared_path
@@ -53,13 +56,78 @@ def test_density_rules_decide_inside_an_article():
     share = "Share: <a href='/f'>Facebook</a> <a href='/t'>Twitter</a>"
     page = (f"<article><h1>Head</h1><p>By <a href='/j'>Jane Doe</a></p><h2>Sub</h2><p>{PROSE * 6}</p><p>{share}</p><p>{words}</p>"
             f"<p>{PROSE}</p><p>Ok.</p><p>{words}</p><p>Tags</p><p>{share}</p></article>")
-    assert html_extract.main_text(page) == "\n".join(["Head", "Sub", (PROSE * 6).strip(), PROSE.strip(), "Ok."])
+    # link-dense blocks and short lines beside them go; an unlinked paragraph is the article's text
+    assert html_extract.main_text(page) == "\n".join(
+        ["Head", "Sub", (PROSE * 6).strip(), words, PROSE.strip(), "Ok.", words, "Tags"])
     # an article that holds little of the text is no region, its blocks are judged like all
     card = "<article><h3>Card</h3><p>Of the day.</p></article>"
     assert html_extract.main_text(f"{card}<div><p>{PROSE * 3}</p><p>{PROSE * 3}</p></div>") == "\n".join(
         ["Card", "Of the day."] + [(PROSE * 3).strip()] * 2)
 
 
+WRAPPERS = [
+    "<article class='post comments-open'>", "<div id='content' class='has-sidebar'>", "<div id='main' class='no-sidebar'>",
+    "<div class='content sidebar-right'>", "<div class='entry-content ad-free'>", "<div class='page-with-toc'>",
+    "<div class='post-body promo'>", "<div class='wrapper menu-open'>", "<div class='article-body has-ads'>",
+    "<section class='social-policy'>", "<div class='siteNavOpen'>", "<div class='notice'>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_modifiers_and_majority_keep_a_page(wrapper):
+    end = f"</{wrapper[1:].split()[0]}>"
+    body = f"<h1>Head</h1><p>{PROSE * 4}</p><p>{PROSE * 3}</p>"
+    page = f"<nav><a href='/'>Home</a></nav>{wrapper}{body}{end}<footer>{PROSE}</footer>"
+    assert html_extract.main_text(page).split("\n") == ["Head", (PROSE * 4).strip(), (PROSE * 3).strip()]
+
+
+@pytest.mark.parametrize("name", ["site-sidebar", "main-nav", "comments-area", "ad-slot", "ad-300x250", "widget_2",
+                                  "siteFooter", "cookie-banner", "newsletter-signup", "comment-list", "sidebar"])
+def test_named_surroundings_go_even_if_longer_than_the_article(name):
+    body = f"<h1>Head</h1><p>{PROSE * 4}</p>"
+    aside = f"<div class='x {name}'>" + f"<p>{PROSE * 9}</p>" * 3 + "</div>"
+    for page in (f"<article>{body}</article>{aside}", f"{aside}<div class='post-content'>{body}</div>",
+                 f"<article>{body}{aside}</article>"):
+        assert html_extract.main_text(page).split("\n") == ["Head", (PROSE * 4).strip()], page[:60]
+
+
+class _Article(HTMLParser):
+    """Blocks of the one article of a generated page, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.blocks = False, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside |= tag == "article"
+        self.skip += tag in ("script", "style") or dict(attrs).get("class") == "ad"
+        if tag in ("p", "h1", "h2", "h3", "li", "ul", "ol", "div", "article", "blockquote"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "h3", "li", "ul", "ol", "div", "article", "blockquote"):
+            self.blocks.append("")
+        self.skip = max(0, self.skip - (tag in ("script", "style", "div")))
+        self.inside &= tag != "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+
+def test_all_blocks_of_all_articles_come_out():
+    pages = pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()
+    assert len(pages) == 2500
+    for i, page in enumerate(pages):
+        parser = _Article()
+        parser.feed(page or "")
+        parser.close()
+        want = [w for w in (" ".join(b.split()) for b in parser.blocks) if w]
+        assert html_extract.main_text(page).split("\n") == (want or [""]), i
+
+
 def test_stop_words_judge_no_article_in_another_language():
     other = "Кошка сидела возле дома рядом с собакой короля долгое время. " * 4
     page = f"<article><h1>Кошка</h1><p>{other}</p><p>{PROSE}</p><p>{other}</p><pre>{'x = y + z ' * 30}</pre></article>"
