@@ -31,7 +31,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pandas as pd
@@ -61,6 +61,12 @@ def worker_state() -> dict:
     return tokenizers.__dict__.setdefault("_souk_worker_state", {})
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is still all letters once composed and in lower case: some letters turn
+    into a letter and a mark, which the tokenizer joins with what follows."""
+    return word.isalpha() and (word.isascii() or normalize("NFC", word).lower().isalpha())
+
+
 class WordTokenizer:
     """Token ids of whole texts by a tokenizer that never joins tokens over white space.
 
@@ -187,7 +193,7 @@ class WordTokenizer:
                 continue
             if w in old:
                 words[w] = old[w]
-            elif w[-1:] in tails and w[:-1].isalpha():
+            elif w[-1:] in tails and _letters(w[:-1]):
                 # letters and a final stop or comma are pieces of their own in any case
                 tailed.append(w)
                 core = w[:-1]

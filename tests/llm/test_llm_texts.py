@@ -138,6 +138,24 @@ def test_plan_places_every_piece_and_meets_the_bound():
     assert sum(t for _, t in packing.plan({300: 40}, 512)[0]) == 40
 
 
+def test_every_letter_before_a_stop_has_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    plain, words = Tokenizer.from_file(TOKENIZER), packing.WordTokenizer(TOKENIZER)
+    letters = [c for c in map(chr, range(0x80, 0x32000)) if c.isalpha()]
+    assert len(letters) > 100_000 and "\u0130" in letters and "\u09df" in letters
+    some = [f"{before}{c}{stop}" for c in letters for before, stop in (("", "."), ("ka", ","))]
+    for curly in ("", "\u2019 <|"):           # texts of Latin letters are put in lower case first
+        texts = [" ".join([*some[at:at + 4000], curly]) for at in range(0, len(some), 4000)]
+        want = plain.encode_batch_fast(texts, add_special_tokens=False)
+        for text, ids, e in zip(texts, words.encode(texts), want):
+            assert ids.tolist() == e.ids, text[:40]
+    odd = [c for c in letters if not c.lower().isalpha()] + [chr(c) for c in range(0x958, 0x960)]
+    for c in odd:                             # alone in a text, too
+        for text in (f"x{c}. {c},", f"{c}.", f"\u2019 {c.upper()}.", f"{c}\u0301. {c}x."):
+            assert next(words.encode([text])).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
