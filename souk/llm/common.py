@@ -50,16 +50,27 @@ def slices(text, size: int = 1 << 20) -> Iterator:
     yield text[at:] if at else text
 
 
+TASKS_PER_CORE = 4
+
+
 def block_pairs(left: DataFrame, left_key: str, n_left: int,
                 right: DataFrame, right_key: str, n_right: int) -> DataFrame:
-    """Every (left block row, right block row) pair, one task per pair of partitions.
+    """Every (left block row, right block row) pair.
 
     Both frames hold one row per block (a bounded binary payload). The product is
     over blocks, never over rows; nothing is broadcast, and neither side is copied
-    on disk: a task fetches the two blocks it works on.
+    on disk. A task streams the pairs of two partitions; these hold as many blocks as keep
+    the number of tasks at a few per core, however many blocks there are.
     """
-    lhs = left.repartitionByRange(max(1, n_left), left_key)
-    rhs = right.repartitionByRange(max(1, n_right), right_key)
+    spark = left.sparkSession
+    tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_left, n_right = max(1, n_left), max(1, n_right)
+    few = min(n_left, n_right, max(1, round(tasks ** 0.5)))
+    many = min(max(n_left, n_right), -(-tasks // few))
+    parts = (few, many) if n_left <= n_right else (many, few)
+    lhs = left.repartitionByRange(parts[0], left_key)
+    rhs = right.repartitionByRange(parts[1], right_key)
     return lhs.hint("shuffle_replicate_nl").crossJoin(rhs)
 
 

@@ -2,12 +2,14 @@
 
 * Usable vectors (no null, NaN or infinite component, not all zero) are collapsed to
   distinct ones and dealt evenly over shards; a task builds one small-world graph per
-  shard, inserting nodes in batches with vectorised beam searches.
+  shard, inserting nodes in batches with vectorised beam searches. A node that ends
+  without an incoming edge gets one from a near neighbour, so all can be reached.
 * Before a graph is stored, its search beam is audited: vectors placed at exactly the
   link cosine from sampled nodes must be led back to them. The beam doubles until the
   measured recall reaches ``recall`` (or covers the shard, where search is exhaustive).
 * Every block of vectors queries every shard. A query whose whole beam consists of
-  links widens to the full frontier of linked nodes, so large groups are not cut.
+  links is answered by the exact product with the shard, so large groups are not cut and
+  a full beam needs no audit.
 * Candidates are verified by cosine in double precision. A task returns, per vector,
   the number of links, and a spanning forest of the links; pairs are never emitted.
 
@@ -39,6 +41,7 @@ SHARD_ROWS = 50_000       # vectors per shard graph
 LEAST_SHARDS = 4
 EXPAND = 4                # beam entries expanded per step
 BATCH = 512
+NODE_CHUNK = 8192         # nodes compared at once with queries whose beam is full
 SLACK = 1e-4              # single-precision margin before the double-precision check
 
 
@@ -61,6 +64,7 @@ class Graph:
         while at < n:
             self._insert(at, min(n, at + min(at, BATCH)))
             at = min(n, at + min(at, BATCH))
+        self._adopt()
 
     # ---- search -------------------------------------------------------------------
 
@@ -203,6 +207,27 @@ class Graph:
                 ids3 = np.where(sims3 > -np.inf, ids3, -1)
                 self.links[layer][some] = self._choose(self.v[some], ids3, sims3, m)
 
+    def _adopt(self) -> None:
+        """An incoming edge on the lowest layer for every node that has none."""
+        if len(self.v) < 2:
+            return
+        links = self.links[0]
+        degree = np.bincount(links[links >= 0], minlength=len(self.v))
+        for node in np.flatnonzero(degree == 0):
+            near = links[node][links[node] >= 0]
+            for parent in near[np.argsort(-(self.v[near] @ self.v[node]), kind="stable")]:
+                row = links[parent]
+                free = np.flatnonzero(row < 0)
+                if not len(free):           # in place of the farthest that others lead to as well
+                    spare = np.flatnonzero(degree[row] > 1)
+                    free = spare[np.argsort(self.v[row[spare]] @ self.v[parent], kind="stable")]
+                if len(free):
+                    if row[free[0]] >= 0:
+                        degree[row[free[0]]] -= 1
+                    row[free[0]] = node
+                    degree[node] += 1
+                    break
+
     # ---- audit --------------------------------------------------------------------
 
     def audit(self, threshold: float, recall: float, seed: int = 11) -> float:
@@ -218,7 +243,7 @@ class Graph:
         planted = (threshold * base + side * noise).astype(np.float32)
         while True:
             ids, sims = self.search(planted, self.beam)
-            # found, or the beam is full of nodes at least as near
+            # found, or the beam is full of links: then the whole shard is compared
             got = ((ids == pick[:, None]).any(1)
                    | ((sims >= threshold - SLACK).all(1) & (ids >= 0).all(1)))
             measured = float(got.mean())
@@ -228,36 +253,31 @@ class Graph:
 
     # ---- linked nodes -------------------------------------------------------------
 
-    def linked(self, q: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Yield (query rows, node positions) arrays of candidate links."""
-        low = threshold - SLACK
+    def linked(self, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(query rows, node positions)`` of candidate links, and the query rows whose beam
+        is full of links, which may have more."""
         ids, sims = self.search(q, self.beam)
-        hit = (sims >= low) & (ids >= 0)
-        full = hit.all(1)
+        hit = (sims >= threshold - SLACK) & (ids >= 0)
+        full = hit.all(1) & (ids.shape[1] < len(self.v))
         r, c = np.nonzero(hit & ~full[:, None])
-        yield r, ids[r, c]
-        todo = np.flatnonzero(full)
-        if not len(todo):
-            return
-        # widen to the whole linked frontier, many queries at once by matrix products
-        inside = np.zeros(len(self.v), bool)
-        fresh = np.unique(ids[todo])
-        fresh = fresh[fresh >= 0]
-        while len(fresh):
-            inside[fresh] = True
-            around = np.unique(self.links[0][fresh])
-            around = around[around >= 0]
-            around = around[~inside[around]]
-            touched = np.zeros(len(around), bool)
-            for at in range(0, len(todo), BATCH):
-                touched |= (q[todo[at:at + BATCH]] @ self.v[around].T >= low).any(0)
-            fresh = around[touched]
-        members = np.flatnonzero(inside)
-        for at in range(0, len(todo), BATCH):
-            some = todo[at:at + BATCH]
-            for m in range(0, len(members), 8192):
-                r, c = np.nonzero(q[some] @ self.v[members[m:m + 8192]].T >= low)
-                yield some[r], members[m:m + 8192][c]
+        return r, ids[r, c], np.flatnonzero(full)
+
+
+def mask_edges(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(rows, their columns, columns, their columns)``: few edges that connect what the true
+    entries of ``mask`` (rows x columns) connect. Least column numbers travel to and fro; in a
+    dense mask they arrive after a few turns."""
+    n = mask.shape[1]
+    of_col = np.arange(n)
+    for _ in range(4):
+        of_row = np.where(mask, of_col[None, :], n).min(1)
+        least = np.minimum(of_col, np.where(mask, of_row[:, None], n).min(0))
+        if (least == of_col).all():
+            rows, cols = np.flatnonzero(of_row < n), np.flatnonzero(of_col != np.arange(n))
+            return rows, of_row[rows], cols, of_col[cols]
+        of_col = least
+    rows, cols = np.nonzero(mask)
+    return rows, cols, np.empty(0, np.int64), np.empty(0, np.int64)
 
 
 def _matrix(arrays, d: int) -> np.ndarray:
@@ -368,17 +388,30 @@ def _links_of(graph: dict, queries: dict, threshold: float) -> pd.DataFrame:
     q32, q_node = q64.astype(np.float32), queries["node"]
     n = len(node)
     step = int(max(16, min(BATCH, (1 << 25) // max(1, n))))
+    by_node = np.argsort(node)
+    at_node = by_node[np.minimum(np.searchsorted(node, q_node, sorter=by_node), n - 1)]
+    itself = np.where(node[at_node] == q_node, at_node, -1)     # the query's own place in the shard
     count = np.zeros(len(q_node), np.int64)
     tree = (np.empty(0, np.int64), np.empty(0, np.int64))
     for at in range(0, len(q_node), step):
-        for r, c in g.linked(q32[at:at + step], threshold):
-            r = r + at
-            cos = np.concatenate([np.einsum("nd,nd->n", q64[r[i:i + 65536]], exact[c[i:i + 65536]])
-                                  for i in range(0, len(r), 65536)] or [np.empty(0)])
-            ok = (cos >= threshold) & (q_node[r] != node[c])
-            r, c = r[ok], c[ok]
-            np.add.at(count, r, copies[c])
-            tree = star_edges(np.append(tree[0], q_node[r]), np.append(tree[1], node[c]))
+        r, c, full = g.linked(q32[at:at + step], threshold)
+        r = r + at
+        cos = np.concatenate([np.einsum("nd,nd->n", q64[r[i:i + 65536]], exact[c[i:i + 65536]])
+                              for i in range(0, len(r), 65536)] or [np.empty(0)])
+        ok = (cos >= threshold) & (q_node[r] != node[c])
+        r, c = r[ok], c[ok]
+        np.add.at(count, r, copies[c])
+        edges = [(q_node[r], node[c])]
+        full = full + at
+        for lo in range(0, n if len(full) else 0, NODE_CHUNK):
+            mask = q64[full] @ exact[lo:lo + NODE_CHUNK].T >= threshold
+            own = itself[full] - lo
+            inside = np.flatnonzero((own >= 0) & (own < mask.shape[1]))
+            mask[inside, own[inside]] = False
+            count[full] += mask @ copies[lo:lo + NODE_CHUNK]
+            rows, to, cols, roots = mask_edges(mask)
+            edges += [(q_node[full[rows]], node[lo + to]), (node[lo + cols], node[lo + roots])]
+        tree = star_edges(*(np.concatenate([t, *e]) for t, e in zip(tree, zip(*edges))))
     some = np.flatnonzero(count)
     return pd.DataFrame({
         "a": np.append(q_node[some], tree[0]),

@@ -43,7 +43,7 @@ LEVELS = 16               # impact levels per dimension
 INDEX_ROWS = 8192         # vectors per index block
 QUERY_ROWS = 2048         # queries per query block
 GROUP = 64                # segments between two proofs
-FEW = 512                 # possible members that are rescored at once
+FEW = 16                  # a share of one in so many rows (or 4 k) may be left to rescore
 LONG = (1 << 63) - 1
 
 
@@ -121,7 +121,8 @@ class ImpactIndex:
         weights[:d] = q[:d]
         segments = self._segments(weights)
         rows = np.arange(n)
-        if segments is not None and n > FEW:
+        few = max(4 * k, n // FEW)
+        if segments is not None:
             dim, first, last, gain, top, slack = segments
             base = sum(int(min(weights[j] * self.low[j][0], weights[j] * self.high[j][-1]))
                        for j in np.flatnonzero(weights))
@@ -145,7 +146,7 @@ class ImpactIndex:
                     bound = floor if bound is None else max(bound, floor)
                 if bound is not None:
                     rows = np.flatnonzero(acc + room >= bound)
-                    if len(rows) <= FEW:
+                    if len(rows) <= few:
                         break
         return self._best(rows, self.v[rows] @ weights, q_id, k)
 
