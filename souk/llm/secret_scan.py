@@ -4,10 +4,11 @@ Parts of a text are marked by one regular-expression replacement per kind; split
 the marks gives match and gap lengths, whose running sum is the position in code points.
 
 Strong kinds (``assign``, ``access``, ``hex``) are always reported. Weak candidates
-(``ident``: an identifier assignment, ``opaque``: a long mixed token, ``endpoint``: a URL
+(``ident``: an identifier assignment, ``opaque``: a long token with letters and digits or
+cases mixed all through it, unlike words, slugs and UUIDs, ``endpoint``: a URL
 or an IPv4 address) mean little alone. They are reported only if a complementary part
 lies in the same scope: identifiers need a secret, secrets an identifier or an endpoint,
-endpoints a secret. An opaque token that shares characters with an identifier assignment or
+endpoints a secret other than a bare hexadecimal number (a commit, a checksum). An opaque token that shares characters with an identifier assignment or
 an endpoint is its value or path and no second part, unless it lies in the user part of a
 URL (``scheme://user:secret@host``). The interval join of parts within ``scope`` code points is done by
 two ordered sweeps per text (furthest end so far, nearest start to come), so it needs
@@ -44,6 +45,10 @@ KINDS = [
                  r"|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]+)?(?![0-9.]*[0-9]))", 0, False),
 ]
 USER = r"^[^:]+://[^/?#@]*@"                    # an endpoint up to its host, if it names a user
+# an opaque token changes between small letters, capitals and digits inside its words
+TURN = r"(?<=[a-z])(?=[A-Z0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[0-9])"
+NUMBER = r"(?<=[A-Za-z])[0-9]+|[0-9]+(?=[A-Za-z])"
+LEAST_TURNS, LEAST_NUMBERS, LEAST_CHARACTERS = 4, 2, 10
 NAMES = [k[0] for k in KINDS]
 LEAST_SECRET = 12
 SCOPE = 200
@@ -71,7 +76,10 @@ def _parts(docs: DataFrame, text: str, carry: list[str]) -> DataFrame:
             if name == "assign":
                 good = F.length(F.regexp_extract(value, ASSIGN, 2)) >= LEAST_SECRET
             elif name == "opaque":
-                good = good & value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+                good = (good & ~value.rlike("^[0-9a-fA-F-]+$")
+                        & (F.regexp_count(value, F.lit(TURN)) >= LEAST_TURNS)
+                        & (F.regexp_count(value, F.lit(NUMBER)) >= LEAST_NUMBERS)
+                        & (F.size(F.array_distinct(F.split(value, ""))) >= LEAST_CHARACTERS))
             secret = value.rlike("[a-f]") if name == "hex" else F.lit(True)
             user = F.length(F.regexp_extract(value, USER, 0)) if name == "endpoint" else F.lit(0)
             return F.struct(F.lit(k).alias("k"), i.alias("i"),
@@ -94,8 +102,8 @@ def _spans(parts: DataFrame, scope: int) -> DataFrame:
              .where("good").withColumn("end", F.col("start") + F.col("n")))
     strong = F.col("k") < 3
     identifier = F.col("k").isin(NAMES.index("access"), NAMES.index("ident"))
-    secret = F.col("k").isin(NAMES.index("assign"), NAMES.index("opaque")) \
-        | ((F.col("k") == NAMES.index("hex")) & F.col("secret"))
+    credential = F.col("k").isin(NAMES.index("assign"), NAMES.index("opaque"))
+    secret = credential | ((F.col("k") == NAMES.index("hex")) & F.col("secret"))
     endpoint = F.col("k") == NAMES.index("endpoint")
     before = Window.partitionBy("h").orderBy("start", "end", "k").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("h").orderBy(F.desc("start"), F.desc("end"), F.desc("k")) \
@@ -118,9 +126,10 @@ def _spans(parts: DataFrame, scope: int) -> DataFrame:
     inside = (~strong & shares(strong)) | (opaque & (shares(ident) | path))
     found = found.withColumn("inside", inside).where(~F.col("inside"))
     linked = (found.withColumn("by_secret", near(secret, scope))
+              .withColumn("by_credential", near(credential, scope))
               .withColumn("by_identifier", near(identifier, scope))
               .withColumn("by_endpoint", near(endpoint, scope)))
-    keep = (strong | ((identifier | endpoint) & F.col("by_secret"))
+    keep = (strong | (identifier & F.col("by_secret")) | (endpoint & F.col("by_credential"))
             | (opaque & (F.col("by_identifier") | F.col("by_endpoint"))))
     return linked.where(keep).select("h", "k", "start", "end")
 

@@ -250,6 +250,21 @@ def test_characters_of_one_token_are_no_complement_of_it(spark):
     assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}[1] == cases[1][0]
 
 
+def test_words_slugs_and_hashes_are_no_credentials(spark):
+    clean = ["User_id: 12345 wrote a long-form-article-about-2024-elections yesterday",
+             "10.0.0.12:8080 build release-candidate-2024-11-rc1-final",
+             "client_id=web-frontend and internationalisation-module-v2",
+             "10.1.2.3 getUserAccountNameById2Json and 550e8400-e29b-41d4-a716-446655440000",
+             "client_id=abc42 see SomeVeryLongClassNameFactoryBean, AAAAAAAAAAAAAAAAAAAAAAAA1A1A1A"]
+    issue = "https://git.example.com/x/y/issues/12"
+    docs = _docs(spark, [*[(i, t, "a") for i, t in enumerate(clean)], (9, f"{issue} by 3f786850e387550fdab836ed7e6dc881de23001b", "a"),
+                         (10, f"{issue} by xK3f78-6850e38_7550fdA/b836Ed7e", "a")])
+    got = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert [got[i] for i in range(len(clean))] == clean
+    assert got[9] == f"{issue} by [SECRET]"        # base: a hexadecimal run is reported in any case
+    assert got[10] == "[SECRET] by [SECRET]"
+
+
 def test_redaction_masks_spans_and_keeps_the_rest(spark):
     rows = [(0, f"é {ID} b password={KEY} end", "a"), (1, "clean", "a"), (2, None, "a"), (3, "", "a"), (3, KEY, "a")]
     got = secret_scan.redact(_docs(spark, rows))
