@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
+PART = 10_000             # repeats of one row that are written together
 BITS, FIRST, SECOND = 52, 41, 30    # rank bits; bits inside a cell of either round
 
 
@@ -61,22 +62,41 @@ def source_targets(sizes: DataFrame, weights: tuple = (1, 2, 3), cap: int = 3) -
     place = F.pmod(F.col("before") + F.col("inside") - 1, F.lit(len(weights))).cast("int") + 1
     weighed = stored(ranked.select("source", "source_size",
                                    F.element_at(cycle, place).alias("weight")), "weighed")
-    # share by weight; sources at their cap leave, the rest shares what they leave over
-    limit = F.col("source_size") * cap
-    total = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t")).first()["t"]
-    level = None
-    while True:
-        capped = F.lit(False) if level is None else \
-            limit.cast("double") < F.col("weight") * F.lit(level)
-        row = weighed.agg(
-            F.coalesce(F.sum(F.when(capped, limit)), F.lit(0)).alias("gone"),
-            F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0)).alias("w")).first()
-        after = (total - row["gone"]) / row["w"] if row["w"] else None
-        if after is None or level is not None and after <= level:
-            break
-        level = after
-    share = F.col("weight") * F.lit(level if level is not None else 0.0)
-    return weighed.withColumn("target", F.least(share, limit.cast("double")))
+    return _shared(weighed, F.col("source_size") * cap)
+
+
+def _shared(weighed: DataFrame, limit: Column) -> DataFrame:
+    """``weighed`` with ``target``: all words shared by weight, no source above its limit.
+
+    Sources reach their limits in the order of limit / weight. With the first of that order
+    at their limits, the others share what is left; the first source that its own share does
+    not lift above its limit tells the level of all. Running sums are taken range by range.
+    """
+    weight, ratio = F.col("weight"), F.col("ratio")
+    every = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("t"),
+                        F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()
+    order = ["ratio", "null", "source"]
+    ranged = stored(weighed.select("source", "weight", F.col("source").isNull().alias("null"), limit.alias("limit"),
+                                   F.when(weight > 0, limit / weight).otherwise(float("inf")).alias("ratio"))
+                    .repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "limits")
+    sums = ranged.groupBy("range").agg(F.sum("limit").alias("limits"), F.sum("weight").alias("weights"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)       # a row per range
+    sums = sums.select("range", F.sum("limits").over(earlier).alias("limits_before"),
+                       F.sum("weights").over(earlier).alias("weights_before"))
+    ahead = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(one: str, many: str) -> Column:
+        return F.coalesce(F.sum(one).over(ahead), F.lit(0)) + F.coalesce(many, F.lit(0))
+
+    steps = ranged.join(sums, "range").select(
+        *order, "limit", "weight", (F.lit(every["t"]) - before("limit", "limits_before")).alias("open"),
+        (F.lit(every["w"]) - before("weight", "weights_before")).alias("open_weight"))
+    level = F.when(F.col("open_weight") > 0, F.col("open") / F.col("open_weight"))
+    below = ~(F.col("limit").cast("double") < weight * level)
+    found = steps.agg(F.min_by(F.when(below, level), F.when(below, F.struct(*order))).alias("level"),
+                      F.max(F.when(weight > 0, ratio)).alias("top")).first()
+    share = found["level"] if found["level"] is not None else found["top"] or 0.0     # else all are at their limits
+    return weighed.withColumn("target", F.least(F.col("weight") * F.lit(float(share)), limit.cast("double")))
 
 
 def text_hash(col: str):
@@ -137,9 +157,21 @@ def _same_source(a: str, b: str) -> Column:
     return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
 
+def _counted(rows: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """``rows`` once per number from ``first`` to ``last``, in parts of ``PART`` numbers: one row
+    that stands for a third of all is written by many tasks."""
+    bounds = rows.withColumns({"__from": first, "__to": last})
+    many = F.col("__to") - F.col("__from") >= PART
+    parts = (bounds.where(many).withColumn("__from", F.explode(F.sequence("__from", "__to", F.lit(PART).cast("long"))))
+             .withColumn("__to", F.least(F.col("__to"), F.col("__from") + (PART - 1)))
+             .repartition("__from", *[f"`{c}`" for c in rows.columns if c in ("h", "__souk_h")]))
+    return (bounds.where(~many).unionByName(parts)
+            .withColumn(name, F.explode(F.sequence("__from", "__to"))).drop("__from", "__to"))
+
+
 def _numbered(items: DataFrame) -> DataFrame:
     """One row per document row: equal rows are told apart by ``copy``."""
-    return items.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).drop("m")
+    return _counted(items, F.lit(1).cast("long"), F.col("m"), "copy").drop("m")
 
 
 def _cuts(docs: DataFrame, text: str, doc_id: str, source: str, weights: tuple, cap: int, seed: int,
@@ -260,8 +292,8 @@ def mixed_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     order = Window.partitionBy(*own_keys).orderBy(
         F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})))
     last = F.sum("__souk_m").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = alike.withColumn("__souk_last", last).withColumn("__souk_copy", F.explode(
-        F.sequence(F.col("__souk_last") - F.col("__souk_m") + 1, F.col("__souk_last"))))
+    alike = stored(alike.withColumn("__souk_last", last), "alike")
+    numbered = _counted(alike, F.col("__souk_last") - F.col("__souk_m") + 1, F.col("__souk_last"), "__souk_copy")
     many = _with_copies(numbered, cuts, seed, cap, "__souk_").select(*columns, "__souk_copies")
     both = plain.select(*columns, "__souk_copies").unionByName(many)
     times = F.sequence(F.lit(1).cast("long"), F.col("__souk_copies"))

@@ -304,6 +304,38 @@ def test_targets_share_everything_and_stop_at_the_cap(spark):
     assert {k: v[1] for k, v in got.items()} == pytest.approx(target)
 
 
+def test_targets_of_many_sources_need_no_rounds(spark):
+    rng = np.random.default_rng(12)
+    sizes = {f"s{i:03d}": int(n) for i, n in enumerate(rng.pareto(0.4, 200) * 10)}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(7)
+    for cap in (1, 2, 3):
+        got = {r.source: r.target for r in mixing.source_targets(frame, (1, 2, 3), cap).collect()}
+        weight = {k: i % 3 + 1 for i, k in enumerate(sorted(sizes))}
+        capped = set()
+        while True:
+            level = (sum(sizes.values()) - sum(cap * sizes[k] for k in capped)) / (
+                sum(w for k, w in weight.items() if k not in capped) or 1)
+            more = {k for k in sizes if k not in capped and cap * sizes[k] < weight[k] * level}
+            if not more:
+                break
+            capped |= more
+        want = {k: min(weight[k] * level, cap * sizes[k]) if k not in capped else cap * sizes[k] for k in sizes}
+        assert got == pytest.approx(want) and (cap == 1 or sum(got.values()) == pytest.approx(sum(sizes.values())))
+
+
+def test_many_repeats_of_a_row_are_written_in_parts(spark, monkeypatch):
+    rows = [(1, "same words here", "a", "h0")] * 50 + [(2, "w x", "a", "h1"), (3, "y", "b", "h2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, h string")
+
+    def draws():
+        return (collections.Counter(map(tuple, mixing.mixed_documents(docs).collect())),
+                collections.Counter(map(tuple, mixing.mix_plan(docs).collect())))
+
+    whole = draws()
+    monkeypatch.setattr(mixing, "PART", 7)
+    assert draws() == whole and whole[1].total() == len(rows)
+
+
 def test_repeated_rows_keep_their_own_columns(spark):
     rows = [(1, "same words here", "a", f"h{i}") for i in range(6)] + [(1, "same words here", "a", "h0")] * 2 \
         + [(2, "w " * 40, "a", "x"), (None, "x y", "a", "n0"), (None, "x y", "a", None)]
