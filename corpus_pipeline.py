@@ -8,9 +8,17 @@ Five stages, each on all rows its predecessor kept:
 4. mixing: each document appears as often as the source mix takes it;
 5. packing: the pieces of all documents with their place in a sequence.
 
-All stages but the last return the columns of ``documents``. The last two depend on a
-learned model and a tokenizer, so SQL cannot express the whole; the stages are tested
-against brute force on small fixtures.
+All stages but the last return the columns of ``documents``. The first depends on a learned
+model and the last on a tokenizer, so SQL cannot express the whole; ``tests/llm`` runs the
+pipeline on a small corpus and compares every stage's rows with a plain Python version.
+
+Defined results: null and empty texts, and texts without words, are not toxic; together they
+are one group of near-duplicates, of which one document stays; they hold no secrets (a null
+text stays null, with a null ``n_chars``), are taken as often as the certain copies of their
+source, and are packed as the end token alone. Repeated rows of an id are near-duplicates of
+each other; a null id stays behind all others of its group. Without labels of both classes no
+document goes in the first stage. An empty table gives no rows; extra columns are carried by
+all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
