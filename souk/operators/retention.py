@@ -149,35 +149,41 @@ def purchase_latency(orders: DataFrame, customers: DataFrame, order_items: DataF
     """Days since the customer's previous purchase row, per product category.
 
     Purchase rows are items, in the order (purchase time, order_id, order_item_id).
-    Items of one order follow each other with a 0-day gap, so the gap is taken at order
-    grain and belongs to the order's first item; its other items are 0-day events.
+    Items of one order follow each other with a 0-day gap, so only the order's first item
+    has a gap to look up: the lag runs over one narrow row per order (person, time, category
+    of the first item), and all other items are counted as 0-day events per category.
     -> product_category_name, product_category_name_english, repeat_purchase_events,
        avg_days_between_orders, min_days, max_days
     """
-    per_category = (
+    lines = stored_table(
         order_items.select("order_id", "order_item_id", "product_id")
         .join(products.select("product_id", "product_category_name"), "product_id")
         .groupBy("order_id", "product_category_name")
         .agg(F.count(F.lit(1)).alias("n"), F.min("order_item_id").alias("item"))
-    )
-    baskets = per_category.groupBy("order_id").agg(   # bounded by the lines of one order
-        F.collect_list(F.struct("product_category_name", "n", "item")).alias("__lines"),
-        F.min("item").alias("__first"))
-    rows = (_person_orders(orders, customers, valid_orders(orders) & F.col("order_purchase_timestamp").isNotNull())
-            .join(baskets, "order_id"))
-    lagged = grouped_lag(rows, ["customer_unique_id"], [("order_purchase_timestamp", True), ("order_id", True)],
+        .join(_person_orders(orders, customers, valid_orders(orders) & F.col("order_purchase_timestamp").isNotNull())
+              .drop("customer_id"), "order_id"), "lines")
+    baskets = lines.groupBy("order_id").agg(
+        F.first("customer_unique_id").alias("customer_unique_id"),
+        F.first("order_purchase_timestamp").alias("order_purchase_timestamp"),
+        F.min_by("product_category_name", "item").alias("product_category_name"))
+    lagged = grouped_lag(baskets, ["customer_unique_id"], [("order_purchase_timestamp", True), ("order_id", True)],
                          "order_purchase_timestamp", "__prev", buckets)
-    lines = lagged.select("__first", D.days_between("__prev", "order_purchase_timestamp").alias("__gap"),
-                          F.explode("__lines").alias("l")).select("__first", "__gap", "l.*")
-    opens = F.col("item") == F.col("__first")
-    gap = F.when(opens, F.col("__gap"))                       # NULL on a customer's first order
-    zeros = F.col("n") - F.when(opens, 1).otherwise(0)
-    agg = lines.groupBy("product_category_name").agg(
-        (F.sum(zeros) + F.count(gap)).alias("repeat_purchase_events"),
-        F.coalesce(F.sum(gap), F.lit(0)).cast("long").alias("__days"),
-        F.least(F.min(gap), F.min(F.when(zeros > 0, 0))).cast("long").alias("min_days"),
-        F.greatest(F.max(gap), F.max(F.when(zeros > 0, 0))).cast("long").alias("max_days"),
-    ).where(F.col("repeat_purchase_events") >= min_events)
+    gap = D.days_between("__prev", "order_purchase_timestamp")      # NULL on a customer's first order
+    openings = lagged.groupBy("product_category_name").agg(
+        F.count(F.lit(1)).alias("__opened"), F.count(gap).alias("__gaps"), F.sum(gap).alias("__days"),
+        F.min(gap).alias("__min"), F.max(gap).alias("__max"))
+    items = lines.groupBy(F.col("product_category_name").alias("__category")).agg(F.sum("n").alias("__items"))
+    zeros = F.col("__items") - F.coalesce("__opened", F.lit(0))
+    zero = F.when(zeros > 0, 0)
+    agg = (                                                         # rows per category
+        items.join(openings, F.col("__category").eqNullSafe(F.col("product_category_name")), "left")
+        .select(F.col("__category").alias("product_category_name"),
+                (zeros + F.coalesce("__gaps", F.lit(0))).alias("repeat_purchase_events"),
+                F.coalesce("__days", F.lit(0)).cast("long").alias("__days"),
+                F.least("__min", zero).cast("long").alias("min_days"),
+                F.greatest("__max", zero).cast("long").alias("max_days"))
+        .where(F.col("repeat_purchase_events") >= min_events)
+    )
     return (
         agg.join(translation, "product_category_name", "left")  # one row per category
         .select("product_category_name", "product_category_name_english", "repeat_purchase_events",

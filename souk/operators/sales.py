@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import labels as L
 from souk.functions.numeric import count_if, dbl, pct, rnd, safe_div
-from souk.operators.ranks import global_rank
+from souk.session import stored_table
 from souk.sources.calendar import add_datekeys, join_calendar
 
 
@@ -133,8 +133,23 @@ def rolling_revenue(orders: DataFrame, payments: DataFrame, cal: DataFrame, mont
     ).orderBy("year", "month_number")
 
 
-def regional_profile(orders: DataFrame, customers: DataFrame, payments: DataFrame,
-                     buckets: int | None = None) -> DataFrame:
+def _within(regions: DataFrame, value: str, ranks: tuple[int, ...]) -> dict[int, Column]:
+    """Per wanted rank: whether ``rank() over (order by value desc)`` is at most that.
+
+    A row ranks at most k exactly if its value is not below the k-th greatest, so the greatest
+    few values decide (each task keeps that many); no row is ranked.
+    """
+    top = [r[0] for r in regions.select(value).orderBy(F.desc(value)).limit(max(ranks)).collect()]
+
+    def least(k: int) -> Column:
+        if len(top) < k or top[k - 1] is None:      # fewer values than that: NULLs rank behind them
+            return F.lit(True)
+        return F.coalesce(F.col(value) >= F.lit(top[k - 1]), F.lit(False))
+
+    return {k: least(k) for k in ranks}
+
+
+def regional_profile(orders: DataFrame, customers: DataFrame, payments: DataFrame) -> DataFrame:
     """Revenue and order rank per (state, city) with a profile label.
 
     The third ladder branch of the reference repeats the first test, so it can
@@ -146,20 +161,17 @@ def regional_profile(orders: DataFrame, customers: DataFrame, payments: DataFram
         .join(customers.select("customer_id", "customer_state", "customer_city"), "customer_id")
         .join(order_payments(payments), "order_id")  # one row per order
     )
-    regions = facts.groupBy("customer_state", "customer_city").agg(
-        F.count("order_id").alias("total_orders"), F.sum("payment_value").alias("total_revenue"))
-    # cities are free text, so the ranks are taken range by range
-    key = [("customer_state", True), ("customer_city", True)]
-    by_revenue = global_rank(regions, [("total_revenue", False), *key], 1, "__rr", "__cities", buckets)
-    r = global_rank(by_revenue, [("total_orders", False), *key], 1, "__vr", "__again", buckets)
-    rr, vr = F.col("__rr"), F.col("__vr")
+    regions = stored_table(facts.groupBy("customer_state", "customer_city").agg(
+        F.count("order_id").alias("total_orders"), F.sum("payment_value").alias("total_revenue")), "regions")
+    # the ladder asks for ranks up to 50 only
+    revenue, volume = _within(regions, "total_revenue", (10, 20)), _within(regions, "total_orders", (10, 50))
     profile = (
-        F.when((rr <= 10) & (vr <= 10), L.REGIONAL_PROFILES[0])
-        .when((rr <= 20) & (vr > 50), L.REGIONAL_PROFILES[1])
-        .when((rr <= 10) & (vr <= 10), L.REGIONAL_PROFILES[2])
+        F.when(revenue[10] & volume[10], L.REGIONAL_PROFILES[0])
+        .when(revenue[20] & ~volume[50], L.REGIONAL_PROFILES[1])
+        .when(revenue[10] & volume[10], L.REGIONAL_PROFILES[2])
         .otherwise(L.REGIONAL_PROFILES[3])
     )
-    return r.select(
+    return regions.select(
         "customer_state",
         "customer_city",
         "total_orders",

@@ -8,7 +8,6 @@ bounds a calendar by the data, or writes the files that an ingest entry reads ba
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,8 @@ from souk.operators import sellers as sel
 from souk.operators import timeseries as ts
 from souk.operators.mart_store import MartStore
 from souk.sources import fixtures as fx
-from souk.session import ensure_checkpoint_dir
+from souk.session import scratch_path as _scratch
+from souk.session import stored_table
 from souk.sources import ingest
 from souk.sources.calendar import add_datekeys, calendar_check, calendar_spanning
 from souk.sources.tables import read_table
@@ -137,11 +137,6 @@ def _retention_queries(_m: Make) -> dict[str, Query]:
     }
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint location."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-scratch/{name}-{uuid.uuid4().hex}"
-
-
 def _orders_csv(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
     """Write the marketplace orders as CSV (as the reference receives them), load them back as text."""
     path = _scratch(spark, "orders-csv")
@@ -169,6 +164,19 @@ def _data_calendar(m: fx.Marketplace) -> DataFrame:
     return calendar_spanning(m.orders, "order_purchase_timestamp", "order_estimated_delivery_date")
 
 
+def _integrity_report(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
+    """Both reports from one stored pass over the star schema."""
+    tables = _star(m)
+    counts = stored_table(ingest.key_counts(tables), "key-counts")
+    bad = F.col("duplicate_keys") + F.col("null_keys")
+    keys = ingest.key_violations(tables, counts=counts).select(
+        F.lit("key").alias("constraint_type"), "table_name", F.col("key_columns").alias("column_names"),
+        bad.alias("violations"))
+    return keys.unionByName(ingest.foreign_key_report(tables, counts=counts).select(
+        F.lit("foreign key").alias("constraint_type"), F.col("child_table").alias("table_name"),
+        F.col("child_column").alias("column_names"), F.col("orphan_rows").alias("violations")))
+
+
 def _ingest_queries(_m: Make) -> dict[str, Query]:
     spec = ingest.TYPE_SPEC["orders"]
     return {
@@ -189,6 +197,7 @@ def _ingest_queries(_m: Make) -> dict[str, Query]:
             F.date_format("max_date", "yyyy-MM-dd").alias("max_date"), "day_count"),
         "key_violations": lambda s, d: ingest.key_violations(_star(_m(s, d))),
         "foreign_key_report": lambda s, d: ingest.foreign_key_report(_star(_m(s, d))),
+        "integrity_report": lambda s, d: _integrity_report(s, _m(s, d)),
         "review_surrogate_keys": lambda s, d: ingest.render_timestamps(
             ingest.add_surrogate_key(_m(s, d).reviews, ["review_id", "order_id"], "review_sk")
             .withColumn("review_score", F.col("review_score").cast("double"))),

@@ -189,31 +189,76 @@ def date_range_profile(columns: Iterable[tuple[str, DataFrame, str]]) -> DataFra
     return out
 
 
-def key_violations(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] = PRIMARY_KEYS) -> DataFrame:
-    """Per table, keys that occur more than once and keys with a NULL part.
+def _key_text(cols: Sequence[str]) -> Column:
+    """A key as one text (NULL if a part is), the same for equal values and for no others."""
+    if len(cols) == 1:
+        return F.col(cols[0]).cast("string")
+    parts = [F.col(c).cast("string") for c in cols]
+    return F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts])
+
+
+def key_counts(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] = PRIMARY_KEYS,
+               relationships: Sequence[tuple[str, str, str, str]] = RELATIONSHIPS) -> DataFrame:
+    """T12, T13, T15 in one pass: every declared key and relationship answered by one shuffle.
+
+    A table is read once and gives, for each key domain it takes part in, rows ``(domain, key,
+    role)``: role 0 is the key's own table, the others are its children. They are counted
+    per (domain, key) with map-side combine, so a key that a third of all children name costs
+    a row per task; a second, tiny aggregation counts per domain. A domain is a
+    table with its key columns, so orders' primary key and its children are one.
+    -> domain ("table(columns)"), duplicate_keys, rows_in_duplicate_keys, null_keys,
+       orphans (array: orphan rows of each child, in the order of ``relationships``)
+    """
+    domains: dict[tuple[str, tuple[str, ...]], list[tuple[str, str]]] = {
+        (t, tuple(cols)): [] for t, cols in keys.items() if t in tables}
+    for child_t, child_c, parent_t, parent_c in relationships:
+        if child_t in tables and parent_t in tables:
+            domains.setdefault((parent_t, (parent_c,)), []).append((child_t, child_c))
+    roles: dict[str, list[tuple[int, int, Sequence[str]]]] = {}
+    for d, ((table, cols), children) in enumerate(domains.items()):
+        roles.setdefault(table, []).append((d, 0, cols))
+        for r, (child, col) in enumerate(children, 1):
+            roles.setdefault(child, []).append((d, r, (col,)))
+    rows = None
+    for table, some in roles.items():
+        every = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(r).alias("role"), _key_text(cols).alias("key"))
+                          for d, r, cols in some])
+        part = tables[table].select(F.explode(every).alias("k")).select("k.d", "k.role", "k.key") \
+            .where((F.col("role") == 0) | F.col("key").isNotNull())     # a NULL reference is no orphan
+        rows = part if rows is None else rows.unionByName(part)
+    most = max(map(len, domains.values()), default=0)
+    per_key = rows.groupBy("d", "key").agg(*[F.count(F.when(F.col("role") == r, 1)).alias(f"n{r}")
+                                             for r in range(most + 1)])
+    own, null = F.col("n0"), F.col("key").isNull()
+    twice = ~null & (own > 1)
+    counts = per_key.groupBy("d").agg(
+        F.count(F.when(twice, 1)).alias("duplicate_keys"),
+        F.coalesce(F.sum(F.when(twice, own)), F.lit(0)).alias("rows_in_duplicate_keys"),
+        F.coalesce(F.sum(F.when(null, own)), F.lit(0)).alias("null_keys"),
+        *[F.coalesce(F.sum(F.when(own == 0, F.col(f"n{r}"))), F.lit(0)).alias(f"o{r}") for r in range(1, most + 1)])
+    # a domain of an empty table without children has no rows, yet a line in the report
+    names = tables[next(iter(tables))].sparkSession.createDataFrame(
+        [(d, f"{t}({','.join(cols)})") for d, (t, cols) in enumerate(domains)], "d int, domain string")
+    zero = F.lit(0).cast("long")
+    return names.join(counts, "d", "left").select(
+        "domain", *[F.coalesce(c, zero).alias(c) for c in ("duplicate_keys", "rows_in_duplicate_keys", "null_keys")],
+        F.array(*[F.coalesce(f"o{r}", zero) for r in range(1, most + 1)]).cast("array<bigint>").alias("orphans"))
+
+
+def key_violations(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] = PRIMARY_KEYS,
+                   counts: DataFrame | None = None) -> DataFrame:
+    """Per table, keys that occur more than once and keys with a NULL part; ``counts`` is a
+    stored :func:`key_counts`, if there is one.
 
     -> table_name, key_columns, duplicate_keys, rows_in_duplicate_keys, null_keys
     """
-    parts = []
-    for table, cols in keys.items():
-        if table not in tables:
-            continue
-        any_null = F.lit(False)
-        for c in cols:
-            any_null = any_null | F.col(c).isNull()
-        # one grouped pass: NULL key parts form their own groups, counted separately
-        counted = tables[table].groupBy(*cols).agg(F.count(F.lit(1)).alias("__n")).withColumn("__null", any_null)
-        clean_dup = (~F.col("__null")) & (F.col("__n") > 1)
-        parts.append(counted.agg(
-            F.count(F.when(clean_dup, 1)).alias("duplicate_keys"),
-            F.coalesce(F.sum(F.when(clean_dup, F.col("__n"))), F.lit(0)).alias("rows_in_duplicate_keys"),
-            F.coalesce(F.sum(F.when(F.col("__null"), F.col("__n"))), F.lit(0)).alias("null_keys"),
-        ).select(F.lit(table).alias("table_name"), F.lit(",".join(cols)).alias("key_columns"),
-                 "duplicate_keys", "rows_in_duplicate_keys", "null_keys"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    known = {t: cols for t, cols in keys.items() if t in tables}
+    found = key_counts(tables, known, ()) if counts is None else counts
+    wanted = [f"{t}({','.join(cols)})" for t, cols in known.items()]
+    return found.where(F.col("domain").isin(wanted)).select(
+        F.substring_index("domain", "(", 1).alias("table_name"),
+        F.regexp_extract("domain", r"\((.*)\)", 1).alias("key_columns"),
+        "duplicate_keys", "rows_in_duplicate_keys", "null_keys")
 
 
 def orphans(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str) -> DataFrame:
@@ -223,23 +268,26 @@ def orphans(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str
 
 
 def foreign_key_report(tables: Mapping[str, DataFrame],
-                       relationships: Sequence[tuple[str, str, str, str]] = RELATIONSHIPS) -> DataFrame:
-    """T13 + T15: declared parent/child relationships with their orphan counts.
+                       relationships: Sequence[tuple[str, str, str, str]] = RELATIONSHIPS,
+                       counts: DataFrame | None = None) -> DataFrame:
+    """T13 + T15: declared parent/child relationships with their orphan counts; ``counts`` is a
+    stored :func:`key_counts`, if there is one.
 
     -> child_table, child_column, parent_table, parent_column, orphan_rows
     """
-    parts = []
-    for child_t, child_c, parent_t, parent_c in relationships:
-        if child_t not in tables or parent_t not in tables:
-            continue
-        n = orphans(tables[child_t], child_c, tables[parent_t], parent_c).agg(F.count(F.lit(1)).alias("orphan_rows"))
-        parts.append(n.select(F.lit(child_t).alias("child_table"), F.lit(child_c).alias("child_column"),
-                              F.lit(parent_t).alias("parent_table"), F.lit(parent_c).alias("parent_column"),
-                              "orphan_rows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    known = [r for r in relationships if r[0] in tables and r[2] in tables]
+    found = key_counts(tables, {}, known) if counts is None else counts
+    place: dict[str, int] = {}
+    rows = []
+    for child_t, child_c, parent_t, parent_c in known:
+        domain = f"{parent_t}({parent_c})"
+        place[domain] = place.get(domain, 0) + 1
+        rows.append((domain, place[domain], child_t, child_c, parent_t, parent_c))
+    names = found.sparkSession.createDataFrame(
+        rows, "domain string, r int, child_table string, child_column string, parent_table string, parent_column string")
+    return names.join(found, "domain").select(
+        "child_table", "child_column", "parent_table", "parent_column",
+        F.element_at("orphans", F.col("r")).alias("orphan_rows"))
 
 
 def add_surrogate_key(df: DataFrame, order: Sequence[str], name: str = "surrogate_key",
@@ -259,7 +307,7 @@ def render_timestamps(df: DataFrame, fmt: str = "yyyy-MM-dd HH:mm:ss") -> DataFr
 
 __all__ = [
     "PRIMARY_KEYS", "RELATIONSHIPS", "TYPE_SPEC", "add_surrogate_key", "cast_failures", "compact_name",
-    "date_range_profile", "foreign_key_report", "key_violations", "load_raw", "normalise", "null_before",
+    "date_range_profile", "foreign_key_report", "key_counts", "key_violations", "load_raw", "normalise", "null_before",
     "orphans", "preview", "render_timestamps", "schema_report",
 ]
 

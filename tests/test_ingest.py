@@ -3,6 +3,8 @@
 import os
 import tempfile
 
+from pyspark.sql import functions as F
+
 from souk.sources import ingest
 
 
@@ -128,3 +130,31 @@ def test_load_star_schema_from_csv_files_end_to_end(spark):
     loaded = sorted(map(tuple, pay.boleto_by_state(star.payments, star.orders, star.customers).collect()))
     direct = sorted(map(tuple, E.queries()["boleto_by_state"](spark, sf).collect()))
     assert loaded == direct
+
+
+def test_keys_and_references_in_one_pass(spark):
+    tables = {
+        "p": spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "x")], "id long, c string"),
+        "q": spark.createDataFrame([("1", "12"), ("11", "2"), ("1", None), (None, None), ("1", "12")], "a string, b string"),
+        "k": spark.createDataFrame([(1, 2), (3, 2), (3, None), (None, 9)], "pid int, pid2 long"),
+        "none": spark.createDataFrame([], "id long"),
+    }
+    keys = {"p": ("id",), "q": ("a", "b"), "none": ("id",), "absent": ("id",)}
+    links = [("k", "pid", "p", "id"), ("k", "pid2", "p", "id"), ("k", "pid", "none", "id"), ("k", "pid", "absent", "id"),
+             ("k", "pid", "q", "a")]
+    counts = ingest.key_counts(tables, keys, links)
+    found = {r.table_name: tuple(r)[1:] for r in ingest.key_violations(tables, keys, counts).collect()}
+    assert found == {"p": ("id", 1, 2, 1), "q": ("a,b", 1, 2, 2), "none": ("id", 0, 0, 0)}
+    assert found == {r.table_name: tuple(r)[1:] for r in ingest.key_violations(tables, keys).collect()}
+    for given in (counts, None):
+        got = {tuple(r)[:4]: r.orphan_rows for r in ingest.foreign_key_report(tables, links, given).collect()}
+        assert got == {(c, cc, p, pc): ingest.orphans(tables[c], cc, tables[p], pc).count()
+                       for c, cc, p, pc in links if p != "absent"}
+
+
+def test_integrity_reads_each_table_once(spark, tmp_path):
+    for t in ("customers", "orders"):
+        spark.range(5).select(F.col("id").alias("customer_id"), F.col("id").alias("order_id")).write.parquet(f"{tmp_path}/{t}")
+    tables = {t: spark.read.parquet(f"{tmp_path}/{t}") for t in ("customers", "orders")}
+    plan = ingest.key_counts(tables)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Join" in plan and plan.count("Exchange hashpartitioning") == 2

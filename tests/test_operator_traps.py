@@ -3,6 +3,8 @@
 import datetime as dt
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from souk.functions import labels as L
 from souk.operators import mart, payments, retention, reviews, timeseries
 from souk.sources.calendar import calendar
@@ -176,3 +178,69 @@ def test_latency_gaps_at_order_grain(spark):
                                                         products, names, min_events=1).collect()}
     # rows: a (first), b 0 days later, b 10 days later, a 0 days later
     assert got == {("a", "A", 1, 0, 0, 0), ("b", None, 2, 5, 0, 10)}
+
+
+def test_fan_out_is_factorised(spark):
+    """1,000 payments and 1,000 items on one order: a million pairs that no join makes."""
+    from souk.operators import reviews as rv
+    from souk.operators import sellers
+
+    orders = spark.createDataFrame([(1, "delivered"), (2, "delivered"), (3, "canceled")], "order_id long, order_status string") \
+        .withColumns({"order_purchase_timestamp": F.expr("timestamp'2020-01-01 00:00:00'"),
+                      "order_delivered_customer_date": F.expr("timestamp'2020-01-05 00:00:00'")})
+    items = spark.createDataFrame([(1, i, i % 2, i % 3) for i in range(1000)] + [(2, 0, 0, 0), (3, 0, 0, 0)],
+                                  "order_id long, order_item_id long, product_id long, seller_id long")
+    pays = spark.createDataFrame([(1, i, Decimal("0.5")) for i in range(1000)] + [(2, 0, Decimal("7")), (3, 0, Decimal("9"))],
+                                 "order_id long, payment_sequential long, payment_value decimal(20,3)")
+    products = spark.createDataFrame([(0, "a"), (1, "b")], "product_id long, product_category_name string")
+    reviews = spark.createDataFrame([(1, i % 5 + 1 if i % 7 else None) for i in range(1000)] + [(2, 1)],
+                                    "order_id long, review_score int")
+    pareto = sellers.seller_pareto(items, pays, orders, tiles=3)
+    assert sorted(r.revenue for r in pareto.collect()) == [166500.0, 166500.0, 167007.0]
+    conc = {r.product_category_name: r for r in sellers.category_concentration(items, products, pays, orders).collect()}
+    assert conc["a"].total_vendors == 3 and conc["a"].leader_market_share_pct == round(100 * 83507 / 250007, 2)
+    speed = rv._category_speed_quality(orders, items, products, reviews)
+    got = {r.product_category_name: r for r in speed.collect()}
+    assert got["a"]["__rows"] == 500 * 1000 + 1 and got["b"]["__rows"] == 500 * 1000
+    assert got["a"]["__orders"] == 2 and got["b"]["__lead"] == 4.0
+    scores = [i % 5 + 1 for i in range(1000) if i % 7]
+    assert got["b"]["__score"] == sum(scores) / len(scores)
+    assert got["a"]["__score"] == (500 * sum(scores) + 1) / (500 * len(scores) + 1)
+    bad = sellers.bad_review_sellers(items, orders, reviews, min_orders=0, max_score=6).collect()
+    assert {r.seller_id: (r.total_orders, r.one_star_count) for r in bad} == {
+        0: (2, 334 * scores.count(1) + 1), 1: (1, 333 * scores.count(1)), 2: (1, 333 * scores.count(1))}
+    for df in (speed, sellers._item_revenue(items, pays, orders)):
+        df.collect()
+        for node in _joins(df._jdf.queryExecution().executedPlan()):
+            assert node <= items.count()
+
+
+def _joins(plan):
+    """Output rows of the joins of an executed plan."""
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert found
+    return found
+
+
+def test_regional_ranks_by_threshold_equal_rank(spark):
+    from pyspark.sql import Window
+
+    from souk.operators.sales import _within
+
+    for n in (0, 5, 30, 200):
+        df = spark.createDataFrame([(i, None if i % 9 == 4 else i * 7 % 23) for i in range(n)], "id long, v int")
+        got = _within(df, "v", (1, 10, 20, 50))
+        ranked = df.withColumn("r", F.rank().over(Window.orderBy(F.desc("v"))))
+        for k, cond in got.items():
+            assert ranked.where(cond != (F.col("r") <= k)).count() == 0, (n, k)

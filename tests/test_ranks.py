@@ -128,3 +128,19 @@ def test_default_ranges_follow_the_shuffle_partitions_for_small_inputs_too(spark
     df = spark.range(40).withColumn("v", F.col("id") % 3)
     used = bucketize(df, [("v", True), ("id", True)]).select("__bucket").distinct().count()
     assert used > 1
+
+
+@pytest.mark.parametrize("ranges", [3, 64, 5000])
+def test_running_sum_shares_sums_among_peers_across_ranges(spark, ranges):
+    from souk.operators.ranks import global_running_sum
+
+    rows = [(i, f"k{i % 7}" if i % 3 else "hot", None if i % 11 == 0 else i * 31 % 17 - 5) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g string, v long").withColumn(
+        "m", (F.col("v") * 1.25).cast("decimal(20,3)"))
+    for peers, order in ((1, [("g", True), ("id", True)]), (1, [("m", False), ("id", True)]),
+                         (2, [("g", False), ("v", True), ("id", True)])):
+        keys = [F.col(c).asc() if a else F.col(c).desc() for c, a in order[:peers]]
+        want = {r.id: r.s for r in df.select("id", F.sum("m").over(Window.orderBy(*keys)).alias("s")).collect()}
+        got = global_running_sum(df, order, peers, "m", "s", "t", buckets=ranges).collect()
+        assert {r.id: r.s for r in got} == want
+        assert {r.t for r in got} == {sum(x for x in (r.m for r in df.collect()) if x is not None)}
