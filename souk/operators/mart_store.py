@@ -19,65 +19,46 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.operators import mart
 from souk.operators.mart import KEY
 from souk.session import stored_table
+from souk.sources.loads import Loads
 
 
-class MartStore:
+class MartStore(Loads):
     """Loads orders into the tables below ``path``, a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def last_load(self) -> int:
-        """Number of the last complete load (0: none)."""
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/done")
-        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return max((int(n.removeprefix("load=")) for n in names if n.startswith("load=")), default=0)
-
-    def _write(self, df: DataFrame, table: str, load: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{table}/load={load}")
-
-    def _read(self, table: str, until: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}").where(F.col("load") <= until)
-
     def load(self, orders: DataFrame, customers: DataFrame, order_items: DataFrame, payments: DataFrame,
              reviews: DataFrame, geolocation: DataFrame) -> int:
         """Add ``orders`` with all their items, payments and reviews; an order that is known
         takes the place of its former version. ``customers`` and ``geolocation`` are whole
         tables; persons without orders are added, too. -> the load's number"""
         n = self.last_load() + 1
-        self._write(mart.order_facts(orders, customers, order_items, payments, reviews), "facts", n)
-        facts = self._read("facts", n)
+        self.write(mart.order_facts(orders, customers, order_items, payments, reviews), "facts", n)
+        facts = self.read("facts", n)
         own, older = facts.where(F.col("load") == n), facts.where(F.col("load") < n)
         renewed = own.select("order_id").distinct().join(older.select("order_id").distinct(), "order_id", "left_semi")
         # who holds or held a replaced order; the first load finds none
         anew = facts.join(renewed, "order_id", "left_semi").select(KEY).distinct()
-        self._write(anew, "anew", n)
-        anew = self._read("anew", n).where(F.col("load") == n).select(KEY)
+        self.write(anew, "anew", n)
+        anew = self.read("anew", n).where(F.col("load") == n).select(KEY)
         counted = own.join(anew, KEY, "left_anti").unionByName(self._last_versions(facts, anew)).drop("load")
         counted = stored_table(counted, "counted")
-        self._write(mart.month_partials(counted), "months", n)
-        self._write(mart.trait_partials(counted), "traits", n)
+        self.write(mart.month_partials(counted), "months", n)
+        self.write(mart.trait_partials(counted), "traits", n)
         touched = own.select(KEY).unionByName(anew)
         everyone = customers.select(KEY).distinct()
         if n > 1:
-            everyone = everyone.join(self._read("persons", n - 1).select(KEY).distinct(), KEY, "left_anti")
+            everyone = everyone.join(self.read("persons", n - 1).select(KEY).distinct(), KEY, "left_anti")
         touched = stored_table(touched.unionByName(everyone).distinct(), "touched")
         months, traits = (self._partials(table, touched, n) for table in ("months", "traits"))
         rows = mart.person_rows(customers.join(touched, KEY, "left_semi"), geolocation,
                                 mart.merged_months(months), mart.merged_traits(traits))
-        self._write(rows, "persons", n)
-        self._write(self.spark.range(1), "done", n)
-        return n
+        self.write(rows, "persons", n)
+        return self.finish(n)
 
     @staticmethod
     def _last_versions(facts: DataFrame, persons: DataFrame) -> DataFrame:
@@ -89,13 +70,13 @@ class MartStore:
 
     def _partials(self, table: str, persons: DataFrame, n: int) -> DataFrame:
         """Partials of ``persons`` that count: those since they last started anew."""
-        since = self._read("anew", n).groupBy(KEY).agg(F.max("load").alias("__since"))
-        own = self._read(table, n).join(persons, KEY, "left_semi").join(since, KEY, "left")
+        since = self.read("anew", n).groupBy(KEY).agg(F.max("load").alias("__since"))
+        own = self.read(table, n).join(persons, KEY, "left_semi").join(since, KEY, "left")
         return own.where(F.col("load") >= F.coalesce("__since", F.lit(0))).drop("load", "__since")
 
     def persons(self) -> DataFrame:
         """Every person's last row."""
-        rows = self._read("persons", self.last_load())
+        rows = self.read("persons", self.last_load())
         last = rows.groupBy(KEY).agg(F.max("load").alias("load"))
         return rows.join(last, [KEY, "load"]).drop("load")
 

@@ -27,6 +27,7 @@ from souk.session import scratch_path as _scratch
 from souk.session import stored_table
 from souk.sources import ingest
 from souk.sources.calendar import add_datekeys, calendar_check, calendar_spanning
+from souk.sources.loads import IdentityKeys
 from souk.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,6 +145,28 @@ def _orders_csv(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
     return ingest.load_raw(spark, path, columns=list(ingest.TYPE_SPEC["orders"]))
 
 
+def _reviews_csv(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
+    """Write the reviews as CSV with line breaks and quotes in the comments, load them back."""
+    path = _scratch(spark, "reviews-csv")
+    said = F.concat("review_comment_message", F.lit('\nso "good",\n\n'), F.col("review_id").cast("string"))
+    ingest.render_timestamps(m.reviews.withColumn("review_comment_message", said)) \
+        .write.option("header", True).option("escape", '"').csv(path)
+    columns = [c for c in ingest.TYPE_SPEC["order_reviews"] if c in m.reviews.columns]
+    raw = ingest.load_raw(spark, path, columns, multi_line=True)
+    return ingest.render_timestamps(ingest.normalise(raw, ingest.TYPE_SPEC["order_reviews"])
+                                    .withColumn("review_score", F.col("review_score").cast("double")))
+
+
+def _review_identity_keys(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
+    """Reviews loaded twice; the second load brings those of the first again, and the rest."""
+    keys = IdentityKeys(spark, _scratch(spark, "review-keys"))
+    natural = ["review_id", "order_id"]
+    early = m.reviews.where(F.col("order_id") % 3 == 0)
+    keys.assign(early, natural, "review_sk")
+    return ingest.render_timestamps(keys.assign(m.reviews, natural, "review_sk")
+                                    .withColumn("review_score", F.col("review_score").cast("double")))
+
+
 def _mart_read_back(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
     """Write the mart, read it back as its consumers do, one row per cohort year."""
     path = _scratch(spark, "mart")
@@ -182,6 +205,8 @@ def _ingest_queries(_m: Make) -> dict[str, Query]:
     return {
         "ingest_orders_csv": lambda s, d: ingest.render_timestamps(
             ingest.normalise(_orders_csv(s, _m(s, d)), spec, min_valid_ts="1990-01-01")),
+        "ingest_reviews_csv": lambda s, d: _reviews_csv(s, _m(s, d)),
+        "review_identity_keys": lambda s, d: _review_identity_keys(s, _m(s, d)),
         "ingest_cast_failures": lambda s, d: ingest.cast_failures(_orders_csv(s, _m(s, d)), spec, "orders"),
         "date_range_profile": lambda s, d: (lambda m: ingest.date_range_profile([
             ("orders", m.orders, c) for c in (

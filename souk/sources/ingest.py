@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk.operators.ranks import global_row_number
+from souk.sources.csv_records import load_csv
 
 # ---- fixed values: the reference schema (table -> column -> target type) -------
 TYPE_SPEC: dict[str, dict[str, str]] = {
@@ -103,11 +104,14 @@ def load_raw(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
              multi_line: bool = False) -> DataFrame:
     """Read a CSV file or folder with every column as text.
 
-    ``multi_line`` allows quoted fields that span lines (free-text review comments); such
-    a file cannot be split, so only the tables that need it are read that way.
+    ``multi_line`` allows quoted fields that span lines (free-text review comments): the
+    records are put together from the lines of all file splits (``csv_records``), so
+    such a file is read by as many tasks as any other.
     With ``columns`` the header is not inferred; the schema is all-string.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+    if multi_line:
+        return load_csv(spark, path, columns)
+    reader = spark.read.option("header", True).option("escape", '"')
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     else:
@@ -345,7 +349,7 @@ def load_star_schema(spark: SparkSession, csv_dir: str | Mapping[str, str], blan
     to paths. Files are matched to tables by ``compact_name`` of their stem; columns are
     read as text and converted with ``normalise`` (cast failures become NULL and
     can be counted with ``cast_failures``). Orders, items and reviews get their
-    ``yyyyMMdd`` date keys. Lazy: nothing is read until a query runs.
+    ``yyyyMMdd`` date keys. Lazy but for the lines of multi-line files, which are stored.
     """
     from souk.sources.calendar import add_datekeys
 

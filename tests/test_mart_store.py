@@ -40,7 +40,7 @@ def test_new_and_replaced_orders_in_three_loads(spark, m):
     assert _load(store, m, first) == 1
     assert _rows(store.mart(AS_OF_DATE)) == _rows(_full(m, first))
     # a load that broke off before its last table leaves files that nobody reads
-    store._write(mart.month_partials(mart.order_facts(m.orders, m.customers, m.order_items, m.payments, m.reviews)),
+    store.write(mart.month_partials(mart.order_facts(m.orders, m.customers, m.order_items, m.payments, m.reviews)),
                  "months", 2)
     assert store.last_load() == 1 and _rows(store.mart(AS_OF_DATE)) == _rows(_full(m, first))
     # some orders change: earlier and later dates, other status
