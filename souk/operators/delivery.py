@@ -129,13 +129,12 @@ def local_vs_longhaul(orders: DataFrame, customers: DataFrame, order_items: Data
     """
     o = _delivered(orders).select("order_id", "customer_id", "order_purchase_timestamp",
                                   "order_delivered_customer_date", "order_estimated_delivery_date")
-    # sellers is a dimension but not bounded by construction: AQE picks the join
-    # strategy from its runtime size instead of a forced broadcast
-    seller_state = order_items.select("order_id", "seller_id").join(
-        sellers.select("seller_id", "seller_state"), "seller_id")
+    # facts first: orders and items of a star bucketed by order_id meet without an exchange.
+    # Sellers and customers are not bounded by construction: AQE picks their joins by size
+    shipments = o.join(order_items.select("order_id", "seller_id"), "order_id")
     rows = (
-        o.join(customers.select("customer_id", "customer_state"), "customer_id")
-        .join(seller_state, "order_id")
+        shipments.join(sellers.select("seller_id", "seller_state"), "seller_id")
+        .join(customers.select("customer_id", "customer_state"), "customer_id")
         .select("order_id", "customer_state", "seller_state", "order_purchase_timestamp",
                 "order_delivered_customer_date", "order_estimated_delivery_date")
         .distinct()

@@ -16,6 +16,7 @@ from souk.functions import labels as L
 from souk.functions.numeric import count_if, dbl, pct, rnd, safe_div
 from souk.session import stored_table
 from souk.sources.calendar import add_datekeys, join_calendar
+from souk.sources.star import join_calendar_by_month
 
 
 def valid_orders(orders: DataFrame) -> Column:
@@ -81,6 +82,27 @@ def monthly_growth(orders: DataFrame, payments: DataFrame, cal: DataFrame) -> Da
     )
 
 
+def dated_sales(orders: DataFrame, payments: DataFrame) -> DataFrame:
+    """Valid orders with what was paid for them and their ``purchase_datekey``, to be stored by month."""
+    o = add_datekeys(orders.where(valid_orders(orders)).select("order_id", "order_status", "order_purchase_timestamp"),
+                     {"order_purchase_timestamp": "purchase_datekey"})
+    return o.join(order_payments(payments), "order_id").select(
+        "order_id", "order_status", "purchase_datekey", "payment_value")
+
+
+def quarter_sales(sales: DataFrame, cal: DataFrame, year: int, quarter: int) -> DataFrame:
+    """Orders and revenue per weekday and status of one quarter, from sales stored by month (J3):
+    only the quarter's partitions are read.
+
+    -> day_of_week, day_name, order_status, total_orders, total_revenue
+    """
+    days = cal.where((F.col("year") == year) & (F.col("quarter") == quarter))
+    rows = join_calendar_by_month(sales, days, "purchase_datekey", ("day_of_week", "day_name"))
+    return rows.groupBy("day_of_week", "day_name", "order_status").agg(
+        F.count("order_id").alias("total_orders"), dbl(F.sum("payment_value")).alias("total_revenue"),
+    ).orderBy("day_of_week", "order_status")
+
+
 def category_volume_value(order_items: DataFrame, products: DataFrame, orders: DataFrame,
                           top: float = 0.20) -> DataFrame:
     """Top-fraction categories by item volume vs by item revenue.
@@ -210,6 +232,6 @@ def aov_basket(orders: DataFrame, order_items: DataFrame, payments: DataFrame, c
 
 
 __all__ = [
-    "aov_basket", "category_volume_value", "monthly_growth", "monthly_sales", "order_payments", "order_scores", "regional_profile",
+    "aov_basket", "category_volume_value", "dated_sales", "monthly_growth", "monthly_sales", "order_payments", "order_scores", "quarter_sales", "regional_profile",
     "rolling_revenue", "seasonality_tag", "valid_orders",
 ]

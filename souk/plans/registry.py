@@ -28,6 +28,7 @@ from souk.session import stored_table
 from souk.sources import ingest
 from souk.sources.calendar import add_datekeys, calendar_check, calendar_spanning
 from souk.sources.loads import IdentityKeys
+from souk.sources.star import write_by_month
 from souk.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,7 @@ def _sales_queries(_m: Make) -> dict[str, Query]:
         "monthly_growth": lambda s, d: (lambda m: sales.monthly_growth(m.orders, m.payments, _cal(m)))(_m(s, d)),
         "category_volume_value": lambda s, d: (
             lambda m: sales.category_volume_value(m.order_items, m.products, m.orders))(_m(s, d)),
+        "quarter_sales": lambda s, d: _quarter_sales(s, _m(s, d)),
         "rolling_revenue": lambda s, d: (lambda m: sales.rolling_revenue(m.orders, m.payments, _cal(m)))(_m(s, d)),
         "regional_profile": lambda s, d: (
             lambda m: sales.regional_profile(m.orders, m.customers, m.payments))(_m(s, d)),
@@ -145,6 +147,22 @@ def _orders_csv(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
     return ingest.load_raw(spark, path, columns=list(ingest.TYPE_SPEC["orders"]))
 
 
+def _load_profile(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
+    """Cast failures and date ranges of the orders, counted by the load itself; and the
+    rows that the load stored."""
+    spec = ingest.TYPE_SPEC["orders"]
+    table, profile = ingest.load_typed(_orders_csv(spark, m), spec, "orders", _scratch(spark, "orders-typed"),
+                                       min_valid_ts="1990-01-01")
+    return profile.crossJoin(F.broadcast(table.agg(F.count(F.lit(1)).alias("loaded_rows"))))      # one row
+
+
+def _quarter_sales(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
+    """One quarter of the sales stored by month."""
+    path = _scratch(spark, "sales-by-month")
+    write_by_month(sales.dated_sales(m.orders, m.payments), path, "purchase_datekey", "order_id")
+    return sales.quarter_sales(spark.read.parquet(path), _cal(m), 1996, 2)
+
+
 def _reviews_csv(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
     """Write the reviews as CSV with line breaks and quotes in the comments, load them back."""
     path = _scratch(spark, "reviews-csv")
@@ -205,6 +223,7 @@ def _ingest_queries(_m: Make) -> dict[str, Query]:
     return {
         "ingest_orders_csv": lambda s, d: ingest.render_timestamps(
             ingest.normalise(_orders_csv(s, _m(s, d)), spec, min_valid_ts="1990-01-01")),
+        "ingest_load_profile": lambda s, d: _load_profile(s, _m(s, d)),
         "ingest_reviews_csv": lambda s, d: _reviews_csv(s, _m(s, d)),
         "review_identity_keys": lambda s, d: _review_identity_keys(s, _m(s, d)),
         "ingest_cast_failures": lambda s, d: ingest.cast_failures(_orders_csv(s, _m(s, d)), spec, "orders"),

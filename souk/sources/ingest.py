@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,6 +160,42 @@ def cast_failures(raw: DataFrame, spec: Mapping[str, str], table: str) -> DataFr
                 (F.col("raw_values") - F.col("typed_values")).alias("failed_casts"))
 
 
+def load_typed(raw: DataFrame, spec: Mapping[str, str], table: str, path: str,
+               min_valid_ts: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """T3, T7, T8 in the pass that loads: convert ``raw``, store it at ``path``, and count while
+    the rows go by (``DataFrame.observe``), so no check reads the table again.
+
+    -> the stored table, and a profile with a row per column: table_name, column_name,
+       target_type, raw_values, typed_values, failed_casts, min_value, max_value (timestamps
+       after cleanup, as text; NULL for other types). The metrics are those of the completed
+       write: what a failed attempt of a task counted is not among them.
+    """
+    cols = [c for c in raw.columns if c in spec]
+    typed = normalise(raw, spec, min_valid_ts=min_valid_ts)
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    seen = Observation(f"load of {table}")
+    metrics = []
+    both = raw.select(*[F.when(F.trim(c) != "", F.col(c)).alias(f"__raw_{i}") for i, c in enumerate(cols)], "*")
+    for i, c in enumerate(cols):
+        text = F.col(f"__raw_{i}")
+        metrics += [F.count(text).alias(f"r{i}"),
+                    F.count(text.try_cast(spec[c]) if spec[c] != "string" else text).alias(f"t{i}")]
+        if spec[c] == "timestamp":
+            when = text.try_cast("timestamp")
+            when = null_before(when, min_valid_ts) if min_valid_ts is not None else when
+            metrics += [F.date_format(F.min(when), fmt).alias(f"a{i}"), F.date_format(F.max(when), fmt).alias(f"z{i}")]
+    normalise(both.observe(seen, *metrics).drop(*[f"__raw_{i}" for i in range(len(cols))]), spec,
+              min_valid_ts=min_valid_ts).write.parquet(path)
+    got = seen.get
+    rows = [(table, c, spec[c], got[f"r{i}"], got[f"t{i}"], got[f"r{i}"] - got[f"t{i}"], got.get(f"a{i}"), got.get(f"z{i}"))
+            for i, c in enumerate(cols)]
+    spark = raw.sparkSession
+    profile = spark.createDataFrame(
+        rows, "table_name string, column_name string, target_type string, raw_values long, typed_values long, "
+              "failed_casts long, min_value string, max_value string")
+    return spark.read.schema(typed.schema).parquet(path), profile
+
+
 def schema_report(df: DataFrame, table: str) -> list[tuple[str, str, str, bool]]:
     """T4: (table, column, type, nullable) from the DataFrame schema (metadata only)."""
     return [(table, f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields]
@@ -311,7 +347,7 @@ def render_timestamps(df: DataFrame, fmt: str = "yyyy-MM-dd HH:mm:ss") -> DataFr
 
 __all__ = [
     "PRIMARY_KEYS", "RELATIONSHIPS", "TYPE_SPEC", "add_surrogate_key", "cast_failures", "compact_name",
-    "date_range_profile", "foreign_key_report", "key_counts", "key_violations", "load_raw", "normalise", "null_before",
+    "date_range_profile", "foreign_key_report", "key_counts", "key_violations", "load_typed", "load_raw", "normalise", "null_before",
     "orphans", "preview", "render_timestamps", "schema_report",
 ]
 
