@@ -4,10 +4,11 @@ A store keeps, per load, the order facts, the mergeable partials (sums per perso
 counts per person and trait) and the person rows that the load touched, each as Parquet
 partitioned by load number. A load
 
-* reduces its own orders to facts and partials; nobody else's orders are read,
+* reduces its own orders to facts and partials; of all others it reads the order ids only,
 * finds orders that it replaces (same ``order_id``, new status or dates): minima and maxima
   cannot be taken back, so the persons of replaced orders start anew, from the last version
-  of each of their orders, and their older partials no longer count,
+  of each of their orders, and their older partials no longer count (only then are older
+  facts read),
 * recomputes the rows of touched persons alone, from their partials of all loads.
 
 The mart reads every person's last row and takes the scores, which depend on all persons, by
@@ -45,8 +46,10 @@ class MartStore(Loads):
         anew = facts.join(renewed, "order_id", "left_semi").select(KEY).distinct()
         self.write(anew, "anew", n)
         anew = self.read("anew", n).where(F.col("load") == n).select(KEY)
-        counted = own.join(anew, KEY, "left_anti").unionByName(self._last_versions(facts, anew)).drop("load")
-        counted = stored_table(counted, "counted")
+        counted = own
+        if anew.take(1):
+            counted = own.join(anew, KEY, "left_anti").unionByName(self._last_versions(facts, anew))
+            counted = stored_table(counted, "counted")
         self.write(mart.month_partials(counted), "months", n)
         self.write(mart.trait_partials(counted), "traits", n)
         touched = own.select(KEY).unionByName(anew)

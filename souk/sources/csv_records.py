@@ -60,7 +60,8 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
              .select("file", F.col("lines")[0]["block"].alias("block"), F.col("lines")[0]["at"].alias("at"),
                      F.array_join(F.transform("lines", lambda s: s["line"]), "\n").alias("line")))
     records = whole.select("file", "block", "at", "line").unionByName(glued)
-    first = records.groupBy("file").agg(F.min(F.struct("block", "at")).alias("top"))    # a row per file
+    written = lines.where(~F.col("line").isin("", "\r"))           # blank lines before the header are none
+    first = written.groupBy("file").agg(F.min(F.struct("block", "at")).alias("top"))     # a row per file
     return records.join(first, "file").select(
         "file", text.alias("record"), (F.struct("block", "at") == F.col("top")).alias("first"))
 

@@ -29,9 +29,9 @@ def read_bucketed(spark: SparkSession, path: str) -> DataFrame:
     """A table written by :func:`write_bucketed`, with its buckets, in any session."""
     name = _name(path)
     if not spark.catalog.tableExists(name):
-        r = spark.read.parquet(f"{path}.layout").first()
+        r, quoted = spark.read.parquet(f"{path}.layout").first(), path.replace("'", "\\'")
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({r['columns']}) USING parquet CLUSTERED BY (`{r['key']}`) "
-                  f"SORTED BY (`{r['key']}`) INTO {r['buckets']} BUCKETS LOCATION '{path}'")
+                  f"SORTED BY (`{r['key']}`) INTO {r['buckets']} BUCKETS LOCATION '{quoted}'")
     return spark.table(name)
 
 

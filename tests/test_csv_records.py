@@ -55,7 +55,7 @@ def test_awkward_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,"b ""x"", y"\n1,"open\nto the end\n')       # no closing quote
     got = load_csv(spark, str(tmp_path / "a.csv"))
     assert got.columns == ["a", 'b "x", y'] and _rows(got) == [("1", "open\nto the end")]
-    (tmp_path / "b.csv").write_text("a,b\n\n1,2\n\n")                               # blank lines are no records
+    (tmp_path / "b.csv").write_text("\n\na,b\n\n1,2\n\n")                               # blank lines are no records
     assert _rows(load_csv(spark, str(tmp_path / "b.csv"))) == [("1", "2")]
     (tmp_path / "c.csv").write_text("a,b\n")
     assert load_csv(spark, str(tmp_path / "c.csv")).collect() == []
