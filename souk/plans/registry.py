@@ -156,6 +156,20 @@ def _load_profile(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
     return profile.crossJoin(F.broadcast(table.agg(F.count(F.lit(1)).alias("loaded_rows"))))      # one row
 
 
+RAW_FILES = {"customers": "shop_customers_dataset", "orders": "shop_orders_dataset", "order_items": "shop_order_items_dataset",
+             "payments": "shop_order_payments_dataset", "sellers": "shop_sellers_dataset"}
+
+
+def _star_from_files(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
+    """Raw files under their long names, loaded as a star; what came of each column."""
+    folder = _scratch(spark, "raw-files")
+    for name, stem in RAW_FILES.items():
+        raw = fx.raw_orders(m) if name == "orders" else ingest.render_timestamps(getattr(m, name))
+        raw.write.option("header", True).csv(f"{folder}/{stem}.csv")
+    star = ingest.load_star_schema(spark, folder, min_valid_ts="1990-01-01")
+    return ingest.column_profile(star.tables)
+
+
 def _quarter_sales(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
     """One quarter of the sales stored by month."""
     path = _scratch(spark, "sales-by-month")
@@ -223,6 +237,11 @@ def _ingest_queries(_m: Make) -> dict[str, Query]:
     return {
         "ingest_orders_csv": lambda s, d: ingest.render_timestamps(
             ingest.normalise(_orders_csv(s, _m(s, d)), spec, min_valid_ts="1990-01-01")),
+        "ingest_star_profile": lambda s, d: _star_from_files(s, _m(s, d)),
+        "column_profile": lambda s, d: (lambda m: ingest.column_profile({
+            "orders": m.orders, "payments": m.payments, "products": m.products, "order_reviews": m.reviews}))(_m(s, d)),
+        "orders_preview": lambda s, d: ingest.render_timestamps(
+            ingest.preview(_m(s, d).orders, 10, ["order_purchase_timestamp", "order_id"])),
         "ingest_load_profile": lambda s, d: _load_profile(s, _m(s, d)),
         "ingest_reviews_csv": lambda s, d: _reviews_csv(s, _m(s, d)),
         "review_identity_keys": lambda s, d: _review_identity_keys(s, _m(s, d)),

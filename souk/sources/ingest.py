@@ -201,9 +201,28 @@ def schema_report(df: DataFrame, table: str) -> list[tuple[str, str, str, bool]]
     return [(table, f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields]
 
 
-def preview(df: DataFrame, n: int = 10) -> DataFrame:
-    """T5: ``SELECT TOP n *``: any n rows, no order (a sampling feature by design)."""
-    return df.limit(n)
+def column_profile(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """T4 with counts: every column of every table, its type, rows and NULLs; one scan a table.
+
+    -> table_name, position, column_name, data_type, row_count, null_count
+    """
+    out = None
+    for table, df in tables.items():
+        fields = list(df.schema.fields)
+        counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}")
+                                                        for i, f in enumerate(fields)])
+        rows = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column_name"),
+                                  F.lit(f.dataType.simpleString()).alias("data_type"), F.col("n").alias("row_count"),
+                                  (F.col("n") - F.col(f"c{i}")).alias("null_count")) for i, f in enumerate(fields)])
+        part = counts.select(F.lit(table).alias("table_name"), F.inline(rows))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def preview(df: DataFrame, n: int = 10, order: Sequence[str] = ()) -> DataFrame:
+    """T5, O3: ``SELECT TOP n *``: any n rows, or the first n in the order of some columns (each
+    task keeps n rows; nothing is sorted as a whole)."""
+    return df.orderBy(*order).limit(n) if order else df.limit(n)
 
 
 def date_range_profile(columns: Iterable[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -346,7 +365,7 @@ def render_timestamps(df: DataFrame, fmt: str = "yyyy-MM-dd HH:mm:ss") -> DataFr
 
 
 __all__ = [
-    "PRIMARY_KEYS", "RELATIONSHIPS", "TYPE_SPEC", "add_surrogate_key", "cast_failures", "compact_name",
+    "PRIMARY_KEYS", "RELATIONSHIPS", "TYPE_SPEC", "add_surrogate_key", "cast_failures", "column_profile", "compact_name",
     "date_range_profile", "foreign_key_report", "key_counts", "key_violations", "load_typed", "load_raw", "normalise", "null_before",
     "orphans", "preview", "render_timestamps", "schema_report",
 ]
