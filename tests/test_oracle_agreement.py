@@ -60,8 +60,9 @@ def test_entry_smoke(spark):
                           "yoy_revenue_growth_pct", "seasonality_tag"]
 
 
-RANKED = ["rfm_segments", "customer_pareto", "purchase_latency", "churn_risk_count", "slow_dispatch_sellers",
-          "seller_pareto", "regional_profile", "review_surrogate_keys", "customer_360"]
+RANKED = ["customer_pareto", "customer_running_revenue", "purchase_latency", "churn_risk_count",
+          "review_surrogate_keys", "review_identity_keys"]
+SELECTED = ["rfm_segments", "slow_dispatch_sellers", "seller_pareto", "customer_360"]
 
 
 @pytest.mark.parametrize("name", RANKED)
@@ -73,3 +74,13 @@ def test_ranked_queries_match_oracle_with_many_ranges(spark, duck, name, monkeyp
     got = E.queries()[name](spark, SF).toPandas()
     want = duck.sql(E.oracle_sql()[name]).df()
     assert _rows(got) == _rows(want)
+
+
+@pytest.mark.parametrize("name", SELECTED)
+def test_selected_tiles_match_oracle_with_few_cells(spark, duck, name, monkeypatch):
+    import souk.operators.selection as selection
+
+    monkeypatch.setattr(selection, "CELLS", 5)
+    got = E.queries()[name](spark, SF).toPandas()
+    want = duck.sql(E.oracle_sql()[name]).df()
+    assert _rows(got) == _rows(want)
