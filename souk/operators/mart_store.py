@@ -41,9 +41,11 @@ class MartStore(Loads):
         self.write(mart.order_facts(orders, customers, order_items, payments, reviews), "facts", n)
         facts = self.read("facts", n)
         own, older = facts.where(F.col("load") == n), facts.where(F.col("load") < n)
-        renewed = own.select("order_id").distinct().join(older.select("order_id").distinct(), "order_id", "left_semi")
-        # who holds or held a replaced order; the first load finds none
-        anew = facts.join(renewed, "order_id", "left_semi").select(KEY).distinct()
+        # who holds or held a replaced order; the first load replaces none
+        anew = own.select(KEY).limit(0)
+        if n > 1:
+            renewed = own.select("order_id").distinct().join(older.select("order_id").distinct(), "order_id", "left_semi")
+            anew = facts.join(renewed, "order_id", "left_semi").select(KEY).distinct()
         self.write(anew, "anew", n)
         anew = self.read("anew", n).where(F.col("load") == n).select(KEY)
         counted = own
@@ -52,15 +54,14 @@ class MartStore(Loads):
             counted = stored_table(counted, "counted")
         self.write(mart.month_partials(counted), "months", n)
         self.write(mart.trait_partials(counted), "traits", n)
-        touched = own.select(KEY).unionByName(anew)
-        everyone = customers.select(KEY).distinct()
+        months, traits = self.read("months", n).drop("load"), self.read("traits", n).drop("load")
         if n > 1:
-            everyone = everyone.join(self.read("persons", n - 1).select(KEY).distinct(), KEY, "left_anti")
-        touched = stored_table(touched.unionByName(everyone).distinct(), "touched")
-        months, traits = (self._partials(table, touched, n) for table in ("months", "traits"))
-        rows = mart.person_rows(customers.join(touched, KEY, "left_semi"), geolocation,
-                                mart.merged_months(months), mart.merged_traits(traits))
-        self.write(rows, "persons", n)
+            new = customers.select(KEY).distinct().join(self.read("persons", n - 1).select(KEY).distinct(), KEY, "left_anti")
+            touched = stored_table(own.select(KEY).unionByName(anew).unionByName(new).distinct(), "touched")
+            customers = customers.join(touched, KEY, "left_semi")
+            months = mart.merged_months(self._partials("months", touched, n))
+            traits = mart.merged_traits(self._partials("traits", touched, n))
+        self.write(mart.person_rows(customers, geolocation, months, traits), "persons", n)
         return self.finish(n)
 
     @staticmethod
