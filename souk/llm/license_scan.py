@@ -27,6 +27,7 @@ columns are never read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import islice
 
@@ -34,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 # fixed values: phrases and their labels
 PHRASES = [
@@ -85,7 +86,8 @@ def pieces(text: str, n: int) -> list[tuple[int, str]]:
 
 def folded(raw: bytes) -> str:
     """The words of a UTF-8 text, parted by one space."""
-    return b" ".join(raw.translate(FOLDED).split()).decode("utf-8", "replace")
+    parts = (b" ".join(part.split()) for part in slices(raw.translate(FOLDED)))
+    return b" ".join(filter(None, parts)).decode("utf-8", "replace")
 
 
 class Scanner:
@@ -173,17 +175,14 @@ class Scanner:
 
 
 def _apart(spans: set[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
-    """Of ``(edits, start, end)`` that overlap those with fewest edits, then the earliest."""
-    group: list[tuple[int, int, int]] = []
-    end = -1
-    for span in sorted(spans, key=lambda s: (s[1], s[2])):
-        if group and span[1] >= end:
-            yield min(group)
-            group = []
-        group.append(span)
-        end = max(end, span[2]) if len(group) > 1 else span[2]
-    if group:
-        yield min(group)
+    """Those of ``(edits, start, end)`` that overlap none with fewer edits (then: an earlier
+    one) that stays."""
+    stay: list[tuple[int, int]] = []
+    for edits, lo, hi in sorted(spans):
+        at = bisect_left(stay, (lo,))
+        if (at == 0 or stay[at - 1][1] <= lo) and (at == len(stay) or stay[at][0] >= hi):
+            stay.insert(at, (lo, hi))
+            yield edits, lo, hi
 
 
 def _spots(raw: bytes, wanted: set[int]) -> dict[int, tuple[int, int]]:

@@ -277,3 +277,26 @@ def test_a_very_long_text_with_many_notices_is_scanned_whole():
     n, places, notices = scanner.scan(text.encode())
     assert n == 200 * 1005 and len(places) == len(notices) == 200
     assert all(text[s:e] == "Released under the MIT License" for _, _, _, s, e, _, _ in notices)
+
+
+def test_overlapping_places_of_a_notice_cost_no_place_apart_from_the_best():
+    # the middle one has fewest edits; of a chain whose ends have fewer both ends stay
+    assert list(lic._apart({(2, 0, 10), (1, 8, 18), (2, 16, 26)})) == [(1, 8, 18)]
+    assert sorted(lic._apart({(1, 0, 10), (2, 8, 18), (1, 16, 26)})) == [(1, 0, 10), (1, 16, 26)]
+    assert list(lic._apart({(1, 4, 9), (1, 0, 5)})) == [(1, 0, 5)] and list(lic._apart(set())) == []
+    rng = random.Random(3)
+    for _ in range(500):
+        spans = {(rng.randint(0, 3), lo, lo + rng.randint(1, 9)) for lo in rng.sample(range(40), rng.randint(0, 12))}
+        stay = []
+        for edits, lo, hi in sorted(spans):
+            if all(hi <= a or lo >= b for _, a, b in stay):
+                stay.append((edits, lo, hi))
+        assert list(lic._apart(spans)) == stay
+
+
+def test_words_are_whole_where_a_long_text_is_worked_on_in_parts():
+    text = "MIT,  License\x00é" * 150_000 + " " * (1 << 20) + "apache\nlicense"
+    want = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    n, places, _ = lic.Scanner(lic.PHRASES, lic.NOTICES).scan(text.encode())
+    assert lic.folded(text.encode()) == " ".join(want)
+    assert n == len(want) and places[-1] == ("apache", n - 2)
