@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ POWER = 0.5              # counts are divided by this power of the text's words
 SCALE = 10.0              # feature units that bring weights near one
 CUT = 0.5
 CACHE_WORDS = 200_000
+STEP_TEXTS = 16           # texts of a batch that are Python strings at once
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -106,14 +108,15 @@ def train(toxic: np.ndarray, n_words: np.ndarray, ids: list[np.ndarray], counts:
     gain = np.where(ratio > 1, c1[known] * ratio, 0.0)
     best = np.argsort(-gain, kind="stable")[:FEATURES]
     keep = known[best[gain[best] > 0]]
-    place = np.full(HASHES, -1, np.int32)
-    place[keep] = np.arange(len(keep))
+    del c1, c0, docs1                   # as large as all features; the matrix comes next
     m = len(keep)
+    by_hash = np.argsort(keep)
+    hashes = keep[by_hash]
     x = np.zeros((len(ids), 2 * m + 2))
     root = n_words ** POWER
     for row, i, c in zip(range(len(ids)), ids, counts):
-        some = place[i] >= 0
-        at, c = place[i[some]], c[some].astype(float)
+        some = np.isin(i, hashes)
+        at, c = by_hash[np.searchsorted(hashes, i[some])], c[some].astype(float)
         x[row, at] = SCALE * c / root[row]
         x[row, m + at] = np.log1p(c)
     share = x[:, :m].sum(1) * root / n_words
@@ -161,15 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
               .select(F.xxhash64("__souk_id").alias("place"), "text", "toxic")
               .mapInPandas(featurise, "place long, toxic boolean, n long, ids binary, counts binary"))
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")      # one order of the sums, whatever came first
-        model = train(pdf["toxic"].to_numpy(bool), pdf["n"].to_numpy(float),
-                      [np.frombuffer(b, np.uint32) for b in pdf["ids"]],
-                      [np.frombuffer(b, np.uint32) for b in pdf["counts"]],
+    def learn(found: pa.Table) -> pa.Table:
+        order = np.argsort(found["place"].to_numpy(), kind="stable")    # one order of the sums, whatever came first
+        ids, counts = ([np.frombuffer(b.as_buffer(), np.uint32) for b in found[c]] for c in ("ids", "counts"))
+        model = train(found["toxic"].to_numpy().astype(bool)[order], found["n"].to_numpy().astype(float)[order],
+                      [ids[i] for i in order], [counts[i] for i in order],
                       (sizes.get(False, 0), sizes.get(True, 0)))
-        return pd.DataFrame({"model": [pickle.dumps(model)]})
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
-    row = sample.groupBy(F.lit(1).alias("one")).applyInPandas(learn, "model binary").first()
+    row = sample.groupBy(F.lit(1).alias("one")).applyInArrow(learn, "model binary").first()
     return pickle.loads(row["model"]) if row else None
 
 
@@ -212,12 +215,14 @@ def _scored(docs: DataFrame, model: dict | None, text: str) -> DataFrame:
         return docs.select(*names, F.lit(0.0).alias("__souk_severity"), F.lit(0.0).alias("__souk_toxic"))
     shared = docs.sparkSession.sparkContext.broadcast(model)    # at most FEATURES weights
 
-    @F.pandas_udf("severity double, toxic double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("severity double, toxic double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            severity, toxic = scorer.score(list(texts))
-            yield pd.DataFrame({"severity": severity, "toxic": toxic})
+            parts = [scorer.score(texts.slice(at, STEP_TEXTS).to_pylist())
+                     for at in range(0, max(1, len(texts)), STEP_TEXTS)]
+            severity, toxic = (np.concatenate(p) for p in zip(*parts))
+            yield pa.StructArray.from_arrays([pa.array(severity), pa.array(toxic)], ["severity", "toxic"])
 
     both = docs.select(*names, score(F.col(text)).alias("__souk_score"))
     return both.select(*names, F.col("__souk_score.severity").alias("__souk_severity"),
