@@ -3,16 +3,16 @@
 Plan shape:
 * items, payments and reviews are reduced to one row per order and joined to the orders on
   ``order_id`` (one co-partitioned join chain): the *order facts*;
-* everything else follows from two mergeable partials of the facts, each one aggregation
-  with map-side combine: sums, minima and maxima per (person, month), and counts per
-  (person, trait), where a trait is a product, seller or payment type of the person's
-  orders, a purchase day or a number of delivery days. Distinct counts, the payment-type
-  mode, the exact median and the gaps between purchase days all come from the second, so
-  a person with a third of all orders costs one partial row per task, not one task;
-* what is gathered per person is its purchase days, bounded by the calendar;
+* everything else follows from two mergeable partials of the facts: sums, minima and maxima
+  per (person, month) with map-side combine, and the traits (products, sellers and payment
+  types of the person's orders, purchase days and numbers of delivery days) as arrays, one
+  row per person. Distinct counts, the payment-type mode, the exact median and the gaps
+  between purchase days all come from the second;
+* a person with a third of all orders has its traits in many rows, each of about ``ORDERS``
+  orders, and counted by value: no task and no group holds all of them;
 * partials of several loads add up, so the mart can follow its tables (``mart_store``);
-* the order facts and the assembled rows are stored in the shared folder, as both partials
-  read the one and the passes of the RFM scores the other;
+* the order facts, the traits and the assembled rows are stored in the shared folder, as each
+  is read more than once;
 * the three RFM scores are selected together by grouped counts over the stored rows
   (``with_tiles``: no sort, no join-back; NULLs lowest, ties by person).
 
@@ -188,29 +188,30 @@ def _delivery_days() -> Column:
                   D.days_between("order_purchase_timestamp", "order_delivered_customer_date"))
 
 
-# kinds of traits
-PRODUCT, SELLER, TYPE, DAY, LEAD = range(5)
+# what the orders of a person name: distinct products and sellers, and, once for each order,
+# payment types, the purchase day (days since 1970) and the number of delivery days
+TRAITS = ("products", "sellers", "types", "days", "leads")
+ORDERS = 2_000            # of a person in one trait row, about
+VALUES = 100_000          # of a person that are put together in one group
 
 
-def trait_partials(facts: DataFrame) -> DataFrame:
-    """``person, kind, value, n``: orders per product, seller, payment type, purchase day
-    (days since 1970) and number of delivery days of a person."""
-    def traits(kind: int, values: Column) -> Column:
-        some = F.filter(values, lambda v: v.isNotNull())
-        return F.coalesce(F.transform(some, lambda v: F.struct(
-            F.lit(kind).alias("kind"), v.cast("string").alias("value"))),
-            F.array().cast("array<struct<kind:int,value:string>>"))
+def trait_partials(facts: DataFrame, most: int = ORDERS) -> DataFrame:
+    """``person, products, sellers, types, days, leads, n``: the values as arrays, ``n`` of them
+    in all, so an order's values travel as one row.
 
-    every = F.concat(traits(PRODUCT, F.col("__products")), traits(SELLER, F.col("__sellers")),
-                     traits(TYPE, F.col("__types")), traits(DAY, F.array(F.unix_date("purchase_date"))),
-                     traits(LEAD, F.array(_delivery_days())))
-    return merged_traits(facts.select(KEY, F.explode(every).alias("t"))
-                         .select(KEY, "t.kind", "t.value", F.lit(1).cast("long").alias("n")))
-
-
-def merged_traits(traits: DataFrame) -> DataFrame:
-    """Trait partials of several loads as those of all their orders."""
-    return traits.groupBy(KEY, "kind", "value").agg(F.sum("n").alias("n"))
+    A person with more than ``most`` orders has a row for about each ``most`` of them. Such
+    persons are few (one for each ``most`` orders at the most) and broadcast.
+    """
+    known = facts.where(F.col(KEY).isNotNull())
+    busy = known.groupBy(KEY).agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts")).where(F.col("__parts") > 1)
+    part = F.coalesce(F.pmod(F.xxhash64("order_id", "order_purchase_timestamp"), F.col("__parts")), F.lit(0))
+    rows = known.join(F.broadcast(busy), KEY, "left").groupBy(KEY, part.alias("__part")).agg(
+        F.array_distinct(F.flatten(F.collect_list("__products"))).alias("products"),
+        F.array_distinct(F.flatten(F.collect_list("__sellers"))).alias("sellers"),
+        F.flatten(F.collect_list("__types")).alias("types"),
+        F.collect_list(F.unix_date("purchase_date")).alias("days"),
+        F.collect_list(_delivery_days()).alias("leads"))
+    return rows.select(KEY, *TRAITS, sum(map(F.size, TRAITS), F.lit(0).cast("long")).alias("n"))
 
 
 def _order_metrics(months: DataFrame) -> DataFrame:
@@ -248,30 +249,69 @@ def _order_metrics(months: DataFrame) -> DataFrame:
     )
 
 
-def _trait_metrics(traits: DataFrame) -> DataFrame:
+def _trait_metrics(traits: DataFrame, most: int = VALUES) -> DataFrame:
     """Distinct products and sellers, payment-type mode, median delivery days and purchase gaps.
+    ``traits`` (stored; of any number of loads) is read by both ways:
+
+    * persons with up to ``most`` values have them put together,
+    * the others (few, so broadcast) have them counted by value first.
 
-    * Mode: most orders, ties to the alphabetically first type.
-    * Median: exact over delivered orders, from counts per number of days.
-    * Gaps: orders are ranked by (purchase_date, order_id), so orders of one day are
-      adjacent and 0 days apart. The gaps telescope to (last - first) / (orders - 1); the
-      greatest is between consecutive days (0 if all orders share one); the second order
-      falls on the first day if that day has two. Orders without a date are ignored.
+    Mode: most orders, ties to the alphabetically first type. Median: exact over delivered
+    orders. Gaps: orders are ranked by (purchase_date, order_id), so orders of one day are
+    adjacent and 0 days apart. The gaps telescope to (last - first) / (orders - 1); the
+    greatest is between consecutive days (0 if all orders share one); the second order
+    falls on the first day if that day has two. Orders without a date are ignored.
     """
+    many = F.broadcast(traits.groupBy(KEY).agg(F.sum("n").alias("__n")).where(F.col("__n") > most).select(KEY))
+    return _by_person(traits.join(many, KEY, "left_anti")).unionByName(_by_value(traits.join(many, KEY, "left_semi")))
+
+
+def _by_person(traits: DataFrame) -> DataFrame:
+    """Trait metrics of persons whose values fit one group."""
+    all_ = traits.groupBy(KEY).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in TRAITS]).select(
+        KEY, *[F.array_distinct(c).alias(c) for c in TRAITS[:2]], "types",
+        *[F.sort_array(c).alias(c) for c in TRAITS[3:]])
+    days, leads, types = F.col("days"), F.col("leads"), F.col("types")
+    n, size = F.size(days), F.size(leads)
+    steps = F.transform(F.slice(days, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda d, i: d - F.get(days, i))
+    used = F.transform(F.array_distinct(types), lambda t: F.struct(
+        (-F.size(F.filter(types, lambda x: x == t))).alias("n"), t.alias("value")))
+
+    def some(values: str) -> Column:
+        return F.when(F.size(values) > 0, F.size(values)).cast("long")
+
+    return all_.select(
+        KEY, some("products").alias("distinct_products_purchased"), some("sellers").alias("distinct_sellers_purchased"),
+        F.array_min(used)["value"].alias("most_used_payment_type"),
+        F.when(size > 0, (F.get(leads, F.floor((size - 1) / 2).cast("int")) + F.get(leads, F.floor(size / 2).cast("int"))) / 2.0)
+        .cast("double").alias("median_delivery_days"),
+        F.when(n >= 2, safe_div(F.get(days, n - 1) - F.get(days, 0), n - 1)).alias("avg_days_between_orders"),
+        F.when(n >= 2, F.array_max(steps)).cast("long").alias("max_days_between_orders"),
+        F.when(n >= 2, F.get(days, 1) - F.get(days, 0)).cast("long").alias("first_to_second_order_days"),
+    )
+
+
+def _by_value(traits: DataFrame) -> DataFrame:
+    """Trait metrics from counts per (person, trait, value): a person of any size is spread over
+    its values; what is gathered is its purchase days, bounded by the calendar."""
+    rows = None
+    for c in TRAITS:
+        part = traits.select(KEY, F.lit(c).alias("kind"), F.explode(F.col(c).cast("array<string>")).alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
     kind, n = F.col("kind"), F.col("n")
 
-    def of(k: int, value: Column) -> Column:
+    def of(k: str, value: Column) -> Column:
         return F.when(kind == k, value)
 
-    number = F.when(kind.isin(DAY, LEAD), F.col("value").cast("int"))
-    agg = traits.groupBy(KEY).agg(
-        F.sum(of(PRODUCT, F.lit(1))).alias("distinct_products_purchased"),
-        F.sum(of(SELLER, F.lit(1))).alias("distinct_sellers_purchased"),
-        F.min_by(of(TYPE, F.col("value")), of(TYPE, F.struct(-n, "value"))).alias("most_used_payment_type"),
-        F.percentile(of(LEAD, number), F.lit(0.5), n).alias("median_delivery_days"),
-        F.sum(of(DAY, n)).alias("__n"),
+    number = F.when(kind.isin("days", "leads"), F.col("value")).cast("int")
+    agg = rows.groupBy(KEY, "kind", "value").agg(F.count(F.lit(1)).alias("n")).groupBy(KEY).agg(
+        F.sum(of("products", F.lit(1))).alias("distinct_products_purchased"),
+        F.sum(of("sellers", F.lit(1))).alias("distinct_sellers_purchased"),
+        F.min_by(of("types", F.col("value")), of("types", F.struct(-n, "value"))).alias("most_used_payment_type"),
+        F.percentile(of("leads", number), F.lit(0.5), n).alias("median_delivery_days"),
+        F.sum(of("days", n)).alias("__n"),
         # at most one per calendar day
-        F.array_sort(F.collect_list(of(DAY, F.struct(number.alias("day"), n.alias("n"))))).alias("__days"),
+        F.array_sort(F.collect_list(of("days", F.struct(number.alias("day"), n.alias("n"))))).alias("__days"),
     )
     days, size, repeat = F.col("__days"), F.size("__days"), F.col("__n") >= 2
     steps = F.transform(F.slice(days, F.lit(2), F.greatest(size - 1, F.lit(0))),
@@ -395,8 +435,10 @@ def customer_360(customers: DataFrame, geolocation: DataFrame, orders: DataFrame
     facts = order_facts(orders, customers, order_items, payments, reviews)
     if checkpoint:
         facts = stored_table(facts, "facts")
-    core = features(person_rows(customers, geolocation, month_partials(facts), trait_partials(facts)),
-                    as_of_date, churn_days)
+    traits = trait_partials(facts)
+    if checkpoint:
+        traits = stored_table(traits, "traits")
+    core = features(person_rows(customers, geolocation, month_partials(facts), traits), as_of_date, churn_days)
     if checkpoint:
         core = stored_table(core, "core")
     return with_scores(core)

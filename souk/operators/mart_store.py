@@ -1,7 +1,7 @@
 """The mart as a maintained table: loads of orders instead of full rebuilds.
 
 A store keeps, per load, the order facts, the mergeable partials (sums per person and month,
-counts per person and trait) and the person rows that the load touched, each as Parquet
+traits per person) and the person rows that the load touched, each as Parquet
 partitioned by load number. A load
 
 * reduces its own orders to facts and partials; of all others it reads the order ids only,
@@ -60,7 +60,8 @@ class MartStore(Loads):
             touched = stored_table(own.select(KEY).unionByName(anew).unionByName(new).distinct(), "touched")
             customers = customers.join(touched, KEY, "left_semi")
             months = mart.merged_months(self._partials("months", touched, n))
-            traits = mart.merged_traits(self._partials("traits", touched, n))
+            # rows of several loads stand side by side, as those of a person with many orders do
+            traits = stored_table(self._partials("traits", touched, n), "traits")
         self.write(mart.person_rows(customers, geolocation, months, traits), "persons", n)
         return self.finish(n)
 

@@ -73,3 +73,20 @@ def test_only_touched_persons_are_written(spark, m):
     assert _rows(store.mart(AS_OF_DATE)) == before
     assert _load(store, m, m.orders.limit(0)) == 3      # an empty load changes nothing
     assert _rows(store.mart(AS_OF_DATE)) == before
+
+
+def test_traits_are_a_row_per_person_and_split_for_persons_with_many_orders(spark, m):
+    facts = mart.order_facts(m.orders, m.customers, m.order_items, m.payments, m.reviews).localCheckpoint()
+    persons = facts.select(KEY).distinct().count()
+    traits = mart.trait_partials(facts).localCheckpoint()
+    assert traits.count() == persons        # an order's values travel as one row, not as a row each
+    split = mart.trait_partials(facts, most=3).localCheckpoint()
+    assert split.count() > persons
+    most = facts.groupBy(KEY).count().agg(F.max("count")).first()[0]
+    assert split.agg(F.max(F.size("days"))).first()[0] < most
+    want = _rows(mart._trait_metrics(traits))
+    assert len(want) == persons
+    for rows in (traits, split):            # together, by value, and some of each
+        for few in (0, 60):
+            assert _rows(mart._trait_metrics(rows, most=few)) == want
+    assert _rows(mart._trait_metrics(split)) == want
