@@ -19,7 +19,7 @@ from souk.functions import labels as L
 from souk.functions.numeric import avg_double, count_if, pct, rnd, rnd_decimal, safe_div
 from souk.operators.sales import order_payments, order_scores, valid_orders
 from souk.operators.selection import Tiles, with_tiles
-from souk.session import stored_table
+from souk.session import stored_table, tasks_for
 
 
 def slow_dispatch_sellers(orders: DataFrame, order_items: DataFrame, min_orders: int = 5,
@@ -32,10 +32,13 @@ def slow_dispatch_sellers(orders: DataFrame, order_items: DataFrame, min_orders:
     """
     o = orders.where(valid_orders(orders) & F.col("order_approved_at").isNotNull()
                      & F.col("order_delivered_carrier_date").isNotNull())
+    # both sides in as many parts as the items need: what a task sorts and counts does not grow
+    items = order_items.select("order_id", "seller_id").where(F.col("order_id").isNotNull())
+    parts = tasks_for(items, order_items.count())
     lead = (
         o.select("order_id", D.seconds_between("order_approved_at", "order_delivered_carrier_date").alias("secs"))
-        .join(order_items.select("order_id", "seller_id"), "order_id")
-        .where(F.col("secs") >= 0)
+        .where((F.col("secs") >= 0) & F.col("order_id").isNotNull()).repartition(parts, "order_id")
+        .join(items.repartition(parts, "order_id"), "order_id")
     )
     perf = (
         lead.groupBy("seller_id")

@@ -55,6 +55,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+TASK_ROWS = 500_000       # rows that one task sorts or groups, about
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """Partitions for a shuffle of ``rows`` rows: one for each ``TASK_ROWS``, so a task's memory
+    stays the same as tables grow, and no fewer than the session runs at once."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-scratch/{name}-{uuid.uuid4().hex}"

@@ -6,7 +6,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from souk.functions import labels as L
-from souk.operators import mart, payments, retention, reviews, timeseries
+from souk.operators import mart, payments, retention, reviews, sellers, timeseries
 from souk.sources.calendar import calendar
 
 T = dt.datetime
@@ -244,3 +244,24 @@ def test_regional_ranks_by_threshold_equal_rank(spark):
         ranked = df.withColumn("r", F.rank().over(Window.orderBy(F.desc("v"))))
         for k, cond in got.items():
             assert ranked.where(cond != (F.col("r") <= k)).count() == 0, (n, k)
+
+
+def test_slow_dispatch_joins_in_as_many_parts_as_the_items_need(spark, monkeypatch):
+    import souk.session as session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 2)
+    stored, plans = sellers.stored_table, []
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(sellers, "stored_table", seen)
+    day = T(2020, 3, 1, 9)
+    orders = _orders(spark, [(i, i, "delivered", day, day, day + dt.timedelta(hours=i % 10), None, None) for i in range(50)]
+                     + [(None, 99, "delivered", day, day, day, None, None)])
+    items = spark.createDataFrame([(i % 50, i % 10) for i in range(200)] + [(None, 3)], "order_id long, seller_id long")
+    got = sellers.slow_dispatch_sellers(orders, items).collect()
+    assert [tuple(r) for r in got] == [(9, 5, 9.0, 0.38)]
+    parts = session.tasks_for(items, 201)
+    assert parts == 101 and plans[0].count(f", {parts})") >= 2
