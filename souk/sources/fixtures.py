@@ -14,11 +14,12 @@ All derivations are row-local projections or joins on keys, except
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from souk.session import tasks_for
 from souk.sources.star import read_bucketed, write_bucketed
 from souk.sources.tables import read_table
 
@@ -85,8 +86,12 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_items(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """``dealt``: for readers of the row number; as many parts as the rows need, so what a task
+    sorts does not grow with the table."""
     li = read_table(spark, sf_dir, "lineitem")
+    if dealt:
+        li = li.repartition(tasks_for(li, li.count()), "l_orderkey")
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")
     price = F.col("l_extendedprice").cast("decimal(20,3)")
@@ -101,13 +106,15 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several payment rows per order: one per (order, return flag)."""
+def payments(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Several payment rows per order: one per (order, return flag). ``dealt`` as for items."""
     li = read_table(spark, sf_dir, "lineitem")
     line_value = (F.col("l_extendedprice").cast("decimal(12,2)")
                   * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)")
     per_flag = li.groupBy(F.col("l_orderkey").alias("order_id"), "l_returnflag").agg(
         F.sum(line_value).cast("decimal(20,4)").alias("payment_value"))
+    if dealt:
+        per_flag = per_flag.repartition(tasks_for(li, li.count()), "order_id")
     flag = F.col("l_returnflag")
     return per_flag.select(
         "order_id",
@@ -219,6 +226,14 @@ class Marketplace:
     def payments(self) -> DataFrame:
         return self._view("payments", payments)
 
+    @cached_property
+    def numbered_items(self) -> DataFrame:
+        return self._view("order_items", partial(order_items, dealt=True))
+
+    @cached_property
+    def numbered_payments(self) -> DataFrame:
+        return self._view("payments", partial(payments, dealt=True))
+
     @cached_property
     def products(self) -> DataFrame:
         return self._view("products", products)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk.operators.ranks import global_row_number
+from souk.session import tasks_for
 from souk.sources.csv_records import load_csv
 
 # ---- fixed values: the reference schema (table -> column -> target type) -------
@@ -257,13 +258,16 @@ def _key_text(cols: Sequence[str]) -> Column:
 
 
 def key_counts(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] = PRIMARY_KEYS,
-               relationships: Sequence[tuple[str, str, str, str]] = RELATIONSHIPS) -> DataFrame:
-    """T12, T13, T15 in one pass: every declared key and relationship answered by one shuffle.
+               relationships: Sequence[tuple[str, str, str, str]] = RELATIONSHIPS,
+               sizes: Mapping[str, int] | None = None) -> DataFrame:
+    """T12, T13, T15 in one pass over the tables: every declared key and relationship.
 
     A table is read once and gives, for each key domain it takes part in, rows ``(domain, key,
     role)``: role 0 is the key's own table, the others are its children. They are counted
-    per (domain, key) with map-side combine, so a key that a third of all children name costs
-    a row per task; a second, tiny aggregation counts per domain. A domain is a
+    per (domain, key, task that read them), then per (domain, key), so a key that a third of all
+    children name costs a row per task. Both times the rows are dealt into as many parts as
+    ``sizes`` (rows of each table, or a bound; counted if not given) call for: what a task holds
+    does not grow with the tables. One row of sums per task then counts the domains. A domain is a
     table with its key columns, so orders' primary key and its children are one.
     -> domain ("table(columns)"), duplicate_keys, rows_in_duplicate_keys, null_keys,
        orphans (array: orphan rows of each child, in the order of ``relationships``)
@@ -286,15 +290,27 @@ def key_counts(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]
             .where((F.col("role") == 0) | F.col("key").isNotNull())     # a NULL reference is no orphan
         rows = part if rows is None else rows.unionByName(part)
     most = max(map(len, domains.values()), default=0)
-    per_key = rows.groupBy("d", "key").agg(*[F.count(F.when(F.col("role") == r, 1)).alias(f"n{r}")
+    sizes = sizes or {}
+    parts = tasks_for(rows, sum(len(some) * (sizes[t] if t in sizes else tables[t].count()) for t, some in roles.items()))
+    per_reader = rows.withColumn("reader", F.spark_partition_id()).repartition(parts, "d", "key", "reader") \
+        .groupBy("d", "key", "reader").agg(*[F.count(F.when(F.col("role") == r, 1)).alias(f"n{r}")
                                              for r in range(most + 1)])
+    per_key = per_reader.repartition(parts, "d", "key").groupBy("d", "key").agg(
+        *[F.sum(f"n{r}").alias(f"n{r}") for r in range(most + 1)])
     own, null = F.col("n0"), F.col("key").isNull()
     twice = ~null & (own > 1)
-    counts = per_key.groupBy("d").agg(
-        F.count(F.when(twice, 1)).alias("duplicate_keys"),
-        F.coalesce(F.sum(F.when(twice, own)), F.lit(0)).alias("rows_in_duplicate_keys"),
-        F.coalesce(F.sum(F.when(null, own)), F.lit(0)).alias("null_keys"),
-        *[F.coalesce(F.sum(F.when(own == 0, F.col(f"n{r}"))), F.lit(0)).alias(f"o{r}") for r in range(1, most + 1)])
+    sums, lines = [], []
+    for d, children in enumerate(domains.values()):
+        here = F.col("d") == d
+        sums += [F.count(F.when(here & twice, 1)).alias(f"k{d}"), F.sum(F.when(here & twice, own)).alias(f"t{d}"),
+                 F.sum(F.when(here & null, own)).alias(f"z{d}"),
+                 *[F.sum(F.when(here & (own == 0), F.col(f"n{r}"))).alias(f"o{d}_{r}") for r, _ in enumerate(children, 1)]]
+        lines.append(F.struct(
+            F.lit(d).alias("d"), F.col(f"k{d}").alias("duplicate_keys"), F.col(f"t{d}").alias("rows_in_duplicate_keys"),
+            F.col(f"z{d}").alias("null_keys"),
+            *[(F.col(f"o{d}_{r}") if r <= len(children) else F.lit(None).cast("long")).alias(f"o{r}")
+              for r in range(1, most + 1)]))
+    counts = F.broadcast(per_key.agg(*sums).select(F.inline(F.array(*lines))))      # a row per domain
     # a domain of an empty table without children has no rows, yet a line in the report
     names = tables[next(iter(tables))].sparkSession.createDataFrame(
         [(d, f"{t}({','.join(cols)})") for d, (t, cols) in enumerate(domains)], "d int, domain string")
@@ -305,14 +321,14 @@ def key_counts(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]
 
 
 def key_violations(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] = PRIMARY_KEYS,
-                   counts: DataFrame | None = None) -> DataFrame:
+                   counts: DataFrame | None = None, sizes: Mapping[str, int] | None = None) -> DataFrame:
     """Per table, keys that occur more than once and keys with a NULL part; ``counts`` is a
-    stored :func:`key_counts`, if there is one.
+    stored :func:`key_counts`, if there is one, ``sizes`` as there.
 
     -> table_name, key_columns, duplicate_keys, rows_in_duplicate_keys, null_keys
     """
     known = {t: cols for t, cols in keys.items() if t in tables}
-    found = key_counts(tables, known, ()) if counts is None else counts
+    found = key_counts(tables, known, (), sizes) if counts is None else counts
     wanted = [f"{t}({','.join(cols)})" for t, cols in known.items()]
     return found.where(F.col("domain").isin(wanted)).select(
         F.substring_index("domain", "(", 1).alias("table_name"),
@@ -328,14 +344,14 @@ def orphans(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str
 
 def foreign_key_report(tables: Mapping[str, DataFrame],
                        relationships: Sequence[tuple[str, str, str, str]] = RELATIONSHIPS,
-                       counts: DataFrame | None = None) -> DataFrame:
+                       counts: DataFrame | None = None, sizes: Mapping[str, int] | None = None) -> DataFrame:
     """T13 + T15: declared parent/child relationships with their orphan counts; ``counts`` is a
-    stored :func:`key_counts`, if there is one.
+    stored :func:`key_counts`, if there is one, ``sizes`` as there.
 
     -> child_table, child_column, parent_table, parent_column, orphan_rows
     """
     known = [r for r in relationships if r[0] in tables and r[2] in tables]
-    found = key_counts(tables, {}, known) if counts is None else counts
+    found = key_counts(tables, {}, known, sizes) if counts is None else counts
     place: dict[str, int] = {}
     rows = []
     for child_t, child_c, parent_t, parent_c in known:

@@ -158,3 +158,37 @@ def test_integrity_reads_each_table_once(spark, tmp_path):
     tables = {t: spark.read.parquet(f"{tmp_path}/{t}") for t in ("customers", "orders")}
     plan = ingest.key_counts(tables)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2 and "Join" in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_keys_are_counted_in_as_many_parts_as_the_rows_need(spark, monkeypatch):
+    import souk.session as session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    tables = {"p": spark.range(5).union(spark.range(2)).select(F.col("id").cast("string")),
+              "c": spark.range(900).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).cast("string").alias("pid"))}
+    keys, links = {"p": ("id",)}, [("c", "pid", "p", "id")]
+    counts = ingest.key_counts(tables, keys, links, sizes={"c": 5_000})
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    parts = session.tasks_for(counts, 5_000 + 7)
+    assert parts >= 51 and sum(line.count(f", {parts})") for line in plan.splitlines() if "Exchange hashpartitioning" in line) == 2
+    got = {r.domain: r for r in counts.collect()}["p(id)"]
+    assert (got.duplicate_keys, got.rows_in_duplicate_keys, got.null_keys) == (2, 4, 0)
+    assert list(got.orphans) == [tables["c"].where("pid in ('5', '6')").count()]
+
+
+def test_numbered_items_and_payments_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    import souk.session as session
+    from souk.sources import fixtures as fx
+
+    monkeypatch.setattr(session, "TASK_ROWS", 2)
+    i = F.col("id")
+    spark.range(200).select(
+        (i % 60).alias("l_orderkey"), (i % 7).alias("l_partkey"), (i % 5).alias("l_suppkey"), (i % 3).cast("int").alias("l_linenumber"),
+        i.cast("double").alias("l_quantity"), (i * 10).cast("double").alias("l_extendedprice"), F.lit(0.1).alias("l_discount"),
+        F.lit(0.05).alias("l_tax"), F.element_at(F.array(*map(F.lit, "ANR")), (i % 3 + 1).cast("int")).alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus"), F.expr("timestamp'1996-01-01 00:00:00'").alias("l_shipdate")) \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    m = fx.marketplace(spark, str(tmp_path))
+    for dealt, plain in ((m.numbered_items, m.order_items), (m.numbered_payments, m.payments)):
+        assert ", 100)" in dealt._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
