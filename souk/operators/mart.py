@@ -205,7 +205,9 @@ def trait_partials(facts: DataFrame, most: int = ORDERS) -> DataFrame:
     known = facts.where(F.col(KEY).isNotNull())
     busy = known.groupBy(KEY).agg(F.ceil(F.count(F.lit(1)) / most).alias("__parts")).where(F.col("__parts") > 1)
     part = F.coalesce(F.pmod(F.xxhash64("order_id", "order_purchase_timestamp"), F.col("__parts")), F.lit(0))
-    rows = known.join(F.broadcast(busy), KEY, "left").groupBy(KEY, part.alias("__part")).agg(
+    # a task holds few orders of a person: nothing to gather before the shuffle
+    dealt = known.join(F.broadcast(busy), KEY, "left").withColumn("__part", part).repartition(KEY, "__part")
+    rows = dealt.groupBy(KEY, "__part").agg(
         F.array_distinct(F.flatten(F.collect_list("__products"))).alias("products"),
         F.array_distinct(F.flatten(F.collect_list("__sellers"))).alias("sellers"),
         F.flatten(F.collect_list("__types")).alias("types"),
