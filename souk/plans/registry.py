@@ -229,7 +229,7 @@ def _data_calendar(m: fx.Marketplace) -> DataFrame:
 def _integrity_report(spark: SparkSession, m: fx.Marketplace) -> DataFrame:
     """Both reports from one stored pass over the star schema."""
     tables = _star(m)
-    counts = stored_table(ingest.key_counts(tables, sizes=_sizes(m)), "key-counts")
+    counts = stored_table(ingest.key_counts(tables, sizes=_sizes(m), in_parts=m.dealt), "key-counts")
     bad = F.col("duplicate_keys") + F.col("null_keys")
     keys = ingest.key_violations(tables, counts=counts).select(
         F.lit("key").alias("constraint_type"), "table_name", F.col("key_columns").alias("column_names"),
@@ -265,9 +265,9 @@ def _ingest_queries(_m: Make) -> dict[str, Query]:
         "calendar_check": lambda s, d: calendar_check(_data_calendar(_m(s, d))).select(
             F.date_format("min_date", "yyyy-MM-dd").alias("min_date"),
             F.date_format("max_date", "yyyy-MM-dd").alias("max_date"), "day_count"),
-        "key_violations": lambda s, d: (lambda m: ingest.key_violations(_star(m), sizes=_sizes(m)))(_m(s, d)),
+        "key_violations": lambda s, d: (lambda m: ingest.key_violations(_star(m), sizes=_sizes(m), in_parts=m.dealt))(_m(s, d)),
         "foreign_key_report": lambda s, d: (
-            lambda m: ingest.foreign_key_report(_star(m), sizes=_sizes(m)))(_m(s, d)),
+            lambda m: ingest.foreign_key_report(_star(m), sizes=_sizes(m), in_parts=m.dealt))(_m(s, d)),
         "integrity_report": lambda s, d: _integrity_report(s, _m(s, d)),
         "review_surrogate_keys": lambda s, d: ingest.render_timestamps(
             ingest.add_surrogate_key(_m(s, d).reviews, ["review_id", "order_id"], "review_sk")

@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -64,6 +65,16 @@ def tasks_for(df: DataFrame, rows: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows in parts of about ``TASK_ROWS``: what a task that reads files holds
+    grows with its split of them, what a task of such a part holds does not. Rows are dealt by
+    all their values and the task that read them, so only equal rows of one task stay together."""
+    if rows <= TASK_ROWS:
+        return df
+    return df.withColumn("__reader", F.spark_partition_id()) \
+        .repartition(tasks_for(df, rows), *df.columns, "__reader").drop("__reader")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/souk-scratch/{name}-{uuid.uuid4().hex}"

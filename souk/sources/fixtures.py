@@ -107,14 +107,15 @@ def order_items(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFr
 
 
 def payments(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
-    """Several payment rows per order: one per (order, return flag). ``dealt`` as for items."""
+    """Several payment rows per order: one per (order, return flag). ``dealt`` as for items; the
+    rows are dealt before they are summed, so no task keeps the sums of all orders it has read."""
     li = read_table(spark, sf_dir, "lineitem")
+    if dealt:
+        li = li.repartition(tasks_for(li, li.count()), "l_orderkey")
     line_value = (F.col("l_extendedprice").cast("decimal(12,2)")
                   * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)")
     per_flag = li.groupBy(F.col("l_orderkey").alias("order_id"), "l_returnflag").agg(
         F.sum(line_value).cast("decimal(20,4)").alias("payment_value"))
-    if dealt:
-        per_flag = per_flag.repartition(tasks_for(li, li.count()), "order_id")
     flag = F.col("l_returnflag")
     return per_flag.select(
         "order_id",
@@ -226,6 +227,11 @@ class Marketplace:
     def payments(self) -> DataFrame:
         return self._view("payments", payments)
 
+    @property
+    def dealt(self) -> tuple[str, ...]:
+        """Tables whose numbered form comes in parts of a bounded number of rows; stored ones do not."""
+        return () if self.star_dir else ("order_items", "payments")
+
     @cached_property
     def numbered_items(self) -> DataFrame:
         return self._view("order_items", partial(order_items, dealt=True))

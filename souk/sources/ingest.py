@@ -9,14 +9,14 @@ become distributed checks that report violations.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Collection, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from souk.operators.ranks import global_row_number
-from souk.session import tasks_for
+from souk.session import dealt, tasks_for
 from souk.sources.csv_records import load_csv
 
 # ---- fixed values: the reference schema (table -> column -> target type) -------
@@ -259,13 +259,14 @@ def _key_text(cols: Sequence[str]) -> Column:
 
 def key_counts(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] = PRIMARY_KEYS,
                relationships: Sequence[tuple[str, str, str, str]] = RELATIONSHIPS,
-               sizes: Mapping[str, int] | None = None) -> DataFrame:
+               sizes: Mapping[str, int] | None = None, in_parts: Collection[str] = ()) -> DataFrame:
     """T12, T13, T15 in one pass over the tables: every declared key and relationship.
 
-    A table is read once and gives, for each key domain it takes part in, rows ``(domain, key,
-    role)``: role 0 is the key's own table, the others are its children. They are counted
-    per (domain, key, task that read them), then per (domain, key), so a key that a third of all
-    children name costs a row per task. Both times the rows are dealt into as many parts as
+    A table is read once, and its key columns are dealt into parts of a bounded number of rows (but
+    for the tables ``in_parts``, which come so). A row gives, for each key domain it takes part in, a
+    row ``(domain, key, role)``: role 0 is the key's own table, the others are its children. They are
+    counted per (domain, key, task that held them), then per (domain, key), so a key that a third of
+    all children name costs a row per task. Both times the rows are dealt into as many parts as
     ``sizes`` (rows of each table, or a bound; counted if not given) call for: what a task holds
     does not grow with the tables. One row of sums per task then counts the domains. A domain is a
     table with its key columns, so orders' primary key and its children are one.
@@ -282,16 +283,19 @@ def key_counts(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]
         roles.setdefault(table, []).append((d, 0, cols))
         for r, (child, col) in enumerate(children, 1):
             roles.setdefault(child, []).append((d, r, (col,)))
+    sizes = {t: (sizes or {})[t] if t in (sizes or {}) else tables[t].count() for t in roles}
     rows = None
     for table, some in roles.items():
-        every = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(r).alias("role"), _key_text(cols).alias("key"))
-                          for d, r, cols in some])
-        part = tables[table].select(F.explode(every).alias("k")).select("k.d", "k.role", "k.key") \
+        short = {c: f"c{i}" for i, c in enumerate(dict.fromkeys(c for _, _, cols in some for c in cols))}
+        keyed = tables[table].select(*[F.col(c).alias(name) for c, name in short.items()])
+        keyed = keyed if table in in_parts else dealt(keyed, sizes[table])
+        every = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(r).alias("role"),
+                                   _key_text([short[c] for c in cols]).alias("key")) for d, r, cols in some])
+        part = keyed.select(F.explode(every).alias("k")).select("k.d", "k.role", "k.key") \
             .where((F.col("role") == 0) | F.col("key").isNotNull())     # a NULL reference is no orphan
         rows = part if rows is None else rows.unionByName(part)
     most = max(map(len, domains.values()), default=0)
-    sizes = sizes or {}
-    parts = tasks_for(rows, sum(len(some) * (sizes[t] if t in sizes else tables[t].count()) for t, some in roles.items()))
+    parts = tasks_for(rows, sum(len(some) * sizes[t] for t, some in roles.items()))
     per_reader = rows.withColumn("reader", F.spark_partition_id()).repartition(parts, "d", "key", "reader") \
         .groupBy("d", "key", "reader").agg(*[F.count(F.when(F.col("role") == r, 1)).alias(f"n{r}")
                                              for r in range(most + 1)])
@@ -321,14 +325,15 @@ def key_counts(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]
 
 
 def key_violations(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] = PRIMARY_KEYS,
-                   counts: DataFrame | None = None, sizes: Mapping[str, int] | None = None) -> DataFrame:
+                   counts: DataFrame | None = None, sizes: Mapping[str, int] | None = None,
+                   in_parts: Collection[str] = ()) -> DataFrame:
     """Per table, keys that occur more than once and keys with a NULL part; ``counts`` is a
-    stored :func:`key_counts`, if there is one, ``sizes`` as there.
+    stored :func:`key_counts`, if there is one, ``sizes`` and ``in_parts`` as there.
 
     -> table_name, key_columns, duplicate_keys, rows_in_duplicate_keys, null_keys
     """
     known = {t: cols for t, cols in keys.items() if t in tables}
-    found = key_counts(tables, known, (), sizes) if counts is None else counts
+    found = key_counts(tables, known, (), sizes, in_parts) if counts is None else counts
     wanted = [f"{t}({','.join(cols)})" for t, cols in known.items()]
     return found.where(F.col("domain").isin(wanted)).select(
         F.substring_index("domain", "(", 1).alias("table_name"),
@@ -344,14 +349,15 @@ def orphans(child: DataFrame, child_col: str, parent: DataFrame, parent_col: str
 
 def foreign_key_report(tables: Mapping[str, DataFrame],
                        relationships: Sequence[tuple[str, str, str, str]] = RELATIONSHIPS,
-                       counts: DataFrame | None = None, sizes: Mapping[str, int] | None = None) -> DataFrame:
+                       counts: DataFrame | None = None, sizes: Mapping[str, int] | None = None,
+                       in_parts: Collection[str] = ()) -> DataFrame:
     """T13 + T15: declared parent/child relationships with their orphan counts; ``counts`` is a
-    stored :func:`key_counts`, if there is one, ``sizes`` as there.
+    stored :func:`key_counts`, if there is one, ``sizes`` and ``in_parts`` as there.
 
     -> child_table, child_column, parent_table, parent_column, orphan_rows
     """
     known = [r for r in relationships if r[0] in tables and r[2] in tables]
-    found = key_counts(tables, {}, known, sizes) if counts is None else counts
+    found = key_counts(tables, {}, known, sizes, in_parts) if counts is None else counts
     place: dict[str, int] = {}
     rows = []
     for child_t, child_c, parent_t, parent_c in known:

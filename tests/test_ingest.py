@@ -1,6 +1,7 @@
 """CSV text load, try_cast normalisation, quality checks and the mart sink."""
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import functions as F
@@ -192,3 +193,46 @@ def test_numbered_items_and_payments_are_dealt_by_their_rows(spark, tmp_path, mo
     for dealt, plain in ((m.numbered_items, m.order_items), (m.numbered_payments, m.payments)):
         assert ", 100)" in dealt._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_no_task_that_reads_a_large_table_spreads_its_rows_over_the_domains(spark, tmp_path, monkeypatch):
+    import souk.session as session
+
+    i = F.col("id")
+    spark.range(700).select(F.when(i % 5 != 0, i % 350).alias("order_id"),        # repeated keys, NULL keys
+                            F.when(i % 7 != 0, F.when(i % 3 != 0, 4).otherwise(i)).alias("customer_id")) \
+        .unionByName(spark.range(300).selectExpr("3 as order_id", "4 as customer_id")).write.parquet(f"{tmp_path}/orders")
+    spark.range(0, 400, 2).select(i.alias("customer_id")).write.parquet(f"{tmp_path}/customers")
+    spark.range(600).select((i % 400).alias("order_id"), (i % 9).alias("order_item_id"), (i % 30).alias("seller_id")).write.parquet(f"{tmp_path}/order_items")
+    spark.range(20).select(i.alias("seller_id")).write.parquet(f"{tmp_path}/sellers")
+    tables = {t: spark.read.parquet(f"{tmp_path}/{t}") for t in ("orders", "customers", "order_items", "sellers")}
+    whole = sorted(map(tuple, ingest.key_counts(tables).collect()), key=repr)
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    counts = ingest.key_counts(tables, in_parts=("order_items",))
+    branches = counts._jdf.queryExecution().executedPlan().toString().split("Generate explode")[1:]
+    dealt = {re.search("ReadSchema: struct<(.*)>", b)[1].replace(":bigint", ""): "Exchange" in b.split("FileScan")[0] for b in branches}
+    assert dealt == {"order_id,customer_id": True, "customer_id": True, "order_id,order_item_id,seller_id": False, "seller_id": False}
+    assert sorted(map(tuple, counts.collect()), key=repr) == whole
+    report = {r.table_name: tuple(r)[2:] for r in ingest.key_violations(tables, counts=counts).collect()}
+    o = tables["orders"].groupBy("order_id").count().where("order_id is not null and count > 1")
+    assert report["orders"] == (o.count(), o.agg(F.sum("count")).first()[0], tables["orders"].where("order_id is null").count())
+    orphans = ingest.orphans(tables["orders"], "customer_id", tables["customers"], "customer_id").count()
+    assert {r.orphan_rows for r in ingest.foreign_key_report(tables, counts=counts).collect() if r.child_column == "customer_id"} \
+        == {orphans} and orphans > 0
+
+
+def test_numbered_payments_are_dealt_before_they_are_summed(spark, tmp_path, monkeypatch):
+    import souk.session as session
+    from souk.sources import fixtures as fx
+
+    monkeypatch.setattr(session, "TASK_ROWS", 2)
+    i = F.col("id")
+    spark.range(200).select(
+        F.when(i % 11 != 0, i % 60).alias("l_orderkey"), (i * 10).cast("double").alias("l_extendedprice"), F.lit(0.1).alias("l_discount"),
+        F.when(i % 13 != 0, F.element_at(F.array(*map(F.lit, "ANR")), (i % 3 + 1).cast("int"))).alias("l_returnflag")) \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    m = fx.marketplace(spark, str(tmp_path))
+    plan = m.numbered_payments._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan.split("Exchange hashpartitioning")[1]
+    assert sorted(map(tuple, m.numbered_payments.collect()), key=repr) == sorted(map(tuple, m.payments.collect()), key=repr)
+    assert m.dealt == ("order_items", "payments") and fx.marketplace(spark, str(tmp_path), str(tmp_path)).dealt == ()
