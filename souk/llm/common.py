@@ -89,7 +89,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     small-star contraction: a logarithmic number of rounds, each two grouped minima
     (combined map-side, so a hub costs one row per task) and equi-joins (a hub's rows are
     split by the adaptive skew join of two stored tables). No adjacency list is ever
-    gathered, and nothing but one yes or no per round reaches the driver.
+    gathered, and nothing but one yes or no per half round reaches the driver.
 
     Self-loops and repeated edges are ignored; rows with a null end are dropped
     because they name no node.
@@ -105,6 +105,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
                        .select("a", F.least("a", "m").alias("m")), "least")
         e = stored(sym.join(least, "a").where(F.col("b") > F.col("a"))
                    .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "edges")
+        if _is_stars(e):            # as short chains are by now
+            break
         # small star: u and its smaller neighbours move to the least of them
         least = stored(e.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = e.join(least, "a").where(F.col("b") != F.col("m")) \

@@ -200,7 +200,8 @@ def link_forest(nodes: DataFrame, n_nodes: int, radius: int) -> DataFrame:
         held: list[np.ndarray] = []
 
         def flush(parts):
-            fps = np.unique(np.concatenate(parts).view(np.uint64))
+            # in the order of longs, as components take their least: links point at it at once
+            fps = np.unique(np.concatenate(parts)).view(np.uint64)
             pairs = forest(fps, radius)
             return pd.DataFrame({"a": fps[[p[0] for p in pairs]].view(np.int64),
                                  "b": fps[[p[1] for p in pairs]].view(np.int64)})
@@ -244,6 +245,13 @@ def link_forest(nodes: DataFrame, n_nodes: int, radius: int) -> DataFrame:
             .mapInPandas(compare, "a long, b long"))
 
 
+def with_component(nodes: DataFrame, radius: int) -> DataFrame:
+    """``nodes``, a stored table of distinct ``fp``, with their component's root fingerprint."""
+    member = connected_components(link_forest(nodes, nodes.count(), radius)) \
+        .select(F.col("node").alias("fp"), "component")
+    return nodes.join(member, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def components(prints: DataFrame, doc_id: str = "doc_id", radius: int = 3) -> DataFrame:
     """``(fp, component, component_id)``: a component's root fingerprint and its smallest
     ``doc_id``, linking fingerprints at ``radius`` bits or fewer.
@@ -251,10 +259,7 @@ def components(prints: DataFrame, doc_id: str = "doc_id", radius: int = 3) -> Da
     ``prints`` is a stored table with ``fp`` (signed long) and the id column.
     """
     nodes = stored(prints.groupBy("fp").agg(F.min(doc_id).alias("least_id")), "nodes")
-    member = stored(connected_components(link_forest(nodes, nodes.count(), radius))
-                    .select(F.col("node").alias("fp"), "component"), "member")
-    named = stored(nodes.join(member, "fp", "left")
-                   .select("fp", "least_id", F.coalesce("component", "fp").alias("component")), "named")
+    named = stored(with_component(nodes, radius), "named")
     label = stored(named.groupBy("component").agg(F.min("least_id").alias("component_id")), "label")
     return stored(named.join(label, "component").select("fp", "component", "component_id"),
                   "component_of")
@@ -276,11 +281,9 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     held = stored(docs.select(*[F.col(f"`{c}`") for c in names],
                               fingerprint_column(text, shingle).alias("__souk_fp"),
                               F.monotonically_increasing_id().alias("__souk_row")), "docs_fp")
-    prints = held.select(F.col("__souk_fp").alias("fp"), F.col(doc_id).alias("doc_id"),
-                         F.col("__souk_row").alias("row"))
-    first = (prints.join(components(prints, "doc_id", radius), "fp")
-             .groupBy("component")
-             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("k")))
+    row = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("doc_id"), F.col("__souk_row").alias("row"))
+    nodes = stored(held.groupBy(F.col("__souk_fp").alias("fp")).agg(F.min(row).alias("k")), "nodes")
     # nearly every row is kept, so the key set is never a small side to broadcast
-    keep = stored(first.select(F.col("k.row").alias("__souk_row")), "keep")
+    keep = stored(with_component(nodes, radius).groupBy("component").agg(F.min("k").alias("k"))
+                  .select(F.col("k.row").alias("__souk_row")), "keep")
     return held.join(keep.hint("merge"), "__souk_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from souk.llm import mixing, packing, secret_scan, simhash, toxicity
+from souk.llm import common, mixing, packing, secret_scan, simhash, toxicity
 from souk.llm.common import connected_components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -80,6 +80,30 @@ def test_simhash_groups_and_dedup(spark, monkeypatch):
     assert simhash.simhash_dedup(_docs(spark, [])).collect() == []
 
 
+def test_dedup_stores_no_table_that_is_read_once(spark, monkeypatch):
+    names = []
+
+    def counted(df, name="t", keep=common.stored):
+        names.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(common, "stored", counted)
+    monkeypatch.setattr(simhash, "stored", counted)
+    chain = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")       # stars after half a round
+    assert sorted(map(tuple, connected_components(chain).collect())) == [(1, 1), (2, 1), (3, 1)]
+    assert names == ["edges", "least", "edges"]
+    names.clear()
+    fps = [5 - (1 << 63), 5, 7 - (1 << 63), (1 << 60) - 1]                 # the least long is not the least bit pattern
+    nodes = common.stored(spark.createDataFrame([(f,) for f in fps], "fp long"), "nodes")
+    links = common.stored(simhash.link_forest(nodes, 4, 3), "links")
+    assert {r["a"] + r["b"] - fps[0] for r in links.collect()} == {fps[1], fps[2]}
+    names.clear()
+    text = " ".join(f"w{i}" for i in range(300))
+    kept = simhash.simhash_dedup(_docs(spark, [(2, text, "a"), (1, text, "b"), (3, None, "c"), (None, "", "d")]))
+    assert sorted((r["doc_id"], r["source"]) for r in kept.collect()) == [(1, "b"), (3, "c")]
+    assert names == ["docs_fp", "nodes", "cells", "edges", "keep"]
+
+
 def test_fingerprint_bits_are_a_strict_majority_of_the_hashes(spark):
     text = "the quick brown fox jumps over the quick brown dog"
     grams = [" ".join(text.split()[i:i + 3]) for i in range(8)]
